@@ -231,10 +231,9 @@ def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     """
     spark = fps.sparkSession
     cells = _cells(fps)
-    # The homes of a cell are its members; cells without a visitor and with one home only hold no pair.
-    load = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(~F.col("visitor"), 1)).alias("h")).filter("n > 1 and h > 0")
-    load = S.stash(load.select("cell", (F.col("n") > most).alias("hot")), "cells")
-    joined = cells.join(load, "cell")
+    load = cells.groupBy("cell").count().filter(F.col("count") > most).select(F.col("cell").alias("hot"))
+    load = S.stash(load, "cells")
+    joined = cells.join(load, F.col("cell") == F.col("hot"), "left").select("cell", "fp", "visitor", F.col("hot").isNotNull().alias("hot"))
     other = F.when(F.shiftright("cell", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     parts = F.when(
         F.col("hot"),
