@@ -110,14 +110,14 @@ def _train(epochs: int):
         for b in batches:
             at, x = b.column(2), b.column(3)
             for i in range(b.num_rows):
-                rows.append((b.column(1)[i].as_py(), b.column(0)[i].as_py(), at[i].values.to_numpy().astype(np.int64), x[i].values.to_numpy().astype(np.float64)))
+                rows.append((b.column(1)[i].as_py(), b.column(0)[i].as_py(), at[i].values.to_numpy(), x[i].values.to_numpy()))
         rows.sort(key=lambda r: r[0])
         model = Ftrl(1 << BITS)
-        bias, one = np.array([1 << BITS]), np.ones(1)
-        rows = [(y, np.concatenate([at, bias]), np.concatenate([x, one])) for _, y, at, x in rows]
+        bias, one = np.array([1 << BITS], np.int32), np.ones(1, np.float32)
+        rows = [(y, np.concatenate([at, bias]), np.concatenate([x, one])) for _, y, at, x in rows]  # 8 bytes a feature
         for _ in range(epochs if len(rows) else 0):
             for y, at, x in rows:
-                model.update(at, x, y)
+                model.update(at, x.astype(np.float64), y)
         w = model.weights(slice(None))
         hold = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(hold.astype(np.int32)), pa.array(w[hold])], ["at", "w"])
