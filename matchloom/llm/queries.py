@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import chat, decontam, kneser, mixing, quality, secrets, simhash, substrings, topk, urls
+from . import chat, decontam, kneser, mixing, quality, secrets, simhash, stash, substrings, topk, urls
 
 #: The url rules of op8.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def start(spark: SparkSession) -> None:
+    ship(spark)
+    stash.prepare(spark)
+
+
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(PROBE))
@@ -46,7 +51,7 @@ FROM t GROUP BY conv_id
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     done = substrings.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -65,7 +70,7 @@ FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 
 
 def op3_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", quality.fold(F.col("doc_id"), 5, 1))
     model = kneser.train(docs.filter("NOT held_out"))
     done = kneser.score(docs, model, ["doc_id", "held_out"])
@@ -73,7 +78,7 @@ def op3_kneser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = secrets.scan(docs, *secrets.train(docs)).select("doc_id", "spans")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -88,7 +93,7 @@ def quality_labels(spark: SparkSession, sf_dir: str, held: bool = True) -> DataF
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.train(docs, quality_labels(spark, sf_dir))
     done = quality.score(docs, weights, ["doc_id"])
@@ -96,13 +101,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     done = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     done = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -113,13 +118,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     done = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return done.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.round("coverage", 9).alias("coverage"), "items")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    start(spark)
     vectors = topk.scaled(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 

@@ -168,7 +168,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def gradient(f: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood of windows f[n, L, SLOTS] with tags y[n, L], and its gradients."""
     n, length, _ = f.shape
-    e = w[f].sum(axis=2)
+    e = w[f[:, :, 0]]
+    for s in range(1, SLOTS):
+        e = e + w[f[:, :, s]]
     alpha, beta = np.empty((n, length, 3)), np.zeros((n, length, 3))
     alpha[:, 0] = e[:, 0]
     for i in range(1, length):
@@ -295,15 +297,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    f, y = [np.zeros((0, WINDOW, SLOTS), np.int64)], [np.zeros((0, WINDOW), np.int64)]
+    f, y = [np.zeros((0, WINDOW, SLOTS), np.int32)], [np.zeros((0, WINDOW), np.int32)]
     for b in batches:
-        f.append(b.column(1).flatten().to_numpy().reshape(-1, WINDOW, SLOTS).astype(np.int64))
-        y.append(b.column(2).flatten().to_numpy().reshape(-1, WINDOW).astype(np.int64))
+        f.append(b.column(1).flatten().to_numpy().reshape(-1, WINDOW, SLOTS))
+        y.append(b.column(2).flatten().to_numpy().reshape(-1, WINDOW))
     f, y = np.concatenate(f), np.concatenate(y)
     order = np.lexsort(np.concatenate([f.reshape(len(f), -1)[:, :24], y], axis=1).T) if len(f) else np.zeros(0, int)
-    # windows without a secret are many and alike: beyond 30,000 an even choice is enough
+    # windows without a secret are many and alike: beyond 12,000 an even choice is enough
     pos, neg = order[(y[order] > 0).any(axis=1)], order[(y[order] == 0).all(axis=1)]
-    neg = neg[np.unique(np.linspace(0, len(neg) - 1, min(len(neg), 30_000)).astype(int))] if len(neg) else neg
+    neg = neg[np.unique(np.linspace(0, len(neg) - 1, min(len(neg), 12_000)).astype(int))] if len(neg) else neg
     pick = np.concatenate([pos, neg]).astype(int)
     w, t = fit(f[pick], y[pick]) if len(pos) else (np.zeros((SIZE, 3)), np.zeros((3, 3)))
     hold = np.flatnonzero(np.abs(w).ravel() > 0)
@@ -348,8 +350,8 @@ def find(column: pa.Array, w: np.ndarray, t: np.ndarray) -> list[list[tuple[int,
     return out
 
 
-def scan(docs: DataFrame, w: np.ndarray, t: np.ndarray) -> DataFrame:
-    """All columns of docs, then spans: array of (start, kind, stop)."""
+def scan(docs: DataFrame, w: np.ndarray, t: np.ndarray, redacted: bool = False) -> DataFrame:
+    """All columns of docs, then spans: array of (start, kind, stop); in texts that come back redacted, where they were."""
     sent = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32).astype(np.float64), t))  # of fixed size
     names = docs.columns
 
@@ -358,7 +360,11 @@ def scan(docs: DataFrame, w: np.ndarray, t: np.ndarray) -> DataFrame:
         for b in batches:
             found = find(b.column(names.index("text")), *sent.value)
             spans = pa.array([[{"start": s, "kind": KINDS[k], "stop": e} for s, k, e in x] for x in found], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, spans], [*names, "spans"])
+            columns = list(b.columns)
+            if redacted and any(found):
+                texts = columns[names.index("text")].to_pylist()
+                columns[names.index("text")] = pa.array([redact(t, [(s, e) for s, _, e in x]) if x else t for t, x in zip(texts, found, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, spans], [*names, "spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, spans array<struct<start:bigint,kind:string,stop:bigint>>")

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stash as S
+from . import vectext as V
 
 SEED = 42
 THRESHOLD = 3
@@ -65,6 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(x.as_py()) for x in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        V.trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -221,6 +223,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((fp[i:j], visitor[i:j]))
     if held and (out := solve()) is not None:
         yield out
+    V.trim()
 
 
 def links(fps: DataFrame, most: int = 4096) -> DataFrame:

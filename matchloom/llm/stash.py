@@ -14,6 +14,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def prepare(spark: SparkSession) -> None:
+    """Smaller Arrow batches: whole texts travel in them, and both sides hold one per task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (as in tests) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

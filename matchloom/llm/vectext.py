@@ -9,6 +9,7 @@ slice (or by one longest text), never by the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +59,15 @@ def _pow(which: str, n: int) -> np.ndarray:
     return _cache[which]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: Python workers are reused and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
+
+
 @dataclass
 class Words:
     """Words of some rows: byte offsets in ``data``, hash, and the row of each word."""
@@ -96,6 +106,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         j = min(j, n)
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    trim()
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
