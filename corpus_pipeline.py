@@ -6,20 +6,19 @@ predecessor kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import decontam, mixing, quality, secrets, simhash, stash
-from matchloom.llm.queries import quality_labels
-from matchloom.session import ship, table
+from matchloom.llm.queries import quality_labels, start
+from matchloom.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as good; empty texts are scored like all others."""
-    ship(spark)
+    start(spark)
     docs = docs.select(COLUMNS)
     weights = quality.train(docs, quality_labels(spark, sf_dir, held=False))
     scored = quality.score(docs, weights, COLUMNS)
@@ -28,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate component; one of rows that repeat a doc_id."""
-    ship(spark)
+    start(spark)
     docs = docs.select(COLUMNS)
     found = simhash.near_duplicates(docs)
     keep = found.filter("doc_id = component_id").select("doc_id").distinct()
@@ -39,31 +38,23 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item by 0.8 or more."""
-    ship(spark)
+    start(spark)
     scanned = decontam.scan(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
     return scanned.filter("size(items) = 0").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret span replaced by [SECRET]; n_chars follows the text."""
-    ship(spark)
+    start(spark)
     docs = docs.select(COLUMNS)
-    weights = secrets.train(docs)
-    scanned = secrets.scan(docs, *weights)
-
-    def run(batches):
-        for b in batches:
-            texts, spans = b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            out = [secrets.redact(t, [(s["start"], s["stop"]) for s in x]) if x else t for t, x in zip(texts, spans, strict=True)]
-            size = [len(t) if x else n for t, x, n in zip(out, spans, b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2), b.column(3), pa.array(size, pa.int64())], COLUMNS)
-
-    return scanned.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    scanned = secrets.scan(docs, *secrets.train(docs), redacted=True)
+    size = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return scanned.select("doc_id", "text", "lang", "source", size)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size, target, taken."""
-    ship(spark)
+    start(spark)
     return mixing.mix(docs.select("doc_id", "source", "text"))
 
 
