@@ -1,0 +1,97 @@
+"""Scalar functions: ids, formatting, run-length masks, patches, pooling, projection."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def mask_id(scene: Column, no: Column) -> Column:
+    return F.concat_ws("#", scene.cast("string"), no.cast("string"))
+
+
+def parse_mask_id(mid: Column) -> Column:
+    """(scene, no) at the last '#'."""
+    part = lambda i: F.regexp_extract(mid, r"^(.+)#(\d+)$", i)
+    return F.struct(part(1).alias("scene"), part(2).cast("long").alias("no"))
+
+
+def flat_path(path: Column) -> Column:
+    return F.replace(path, F.lit("/"), F.lit("__"))
+
+
+def percent(x: Column) -> Column:
+    """Two places with a decimal comma; a dash for null."""
+    return F.coalesce(F.translate(F.format_string("%.2f", x * 100), ".", ","), F.lit("—"))
+
+
+def normalise(z: Column) -> Column:
+    norm = F.sqrt(F.aggregate(z, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(z, lambda x: F.try_divide(x.cast("double"), norm))
+
+
+def center_patch(x: Column, y: Column, patch: int, grid: int) -> Column:
+    """Index of the patch that holds a point, clamped to the grid."""
+    clamp = lambda v: F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(v / patch)))
+    return clamp(y) * grid + clamp(x)
+
+
+# ---- run-length masks: column-major runs, zeros first; text packs each run in base-32 digits of 5 bits
+
+
+def rle_encode(mask: np.ndarray) -> dict:
+    flat = mask.T.ravel().astype(np.int8)
+    cut = np.flatnonzero(np.diff(flat)) + 1
+    runs = np.diff(np.concatenate([[0], cut, [len(flat)]])).tolist()
+    if len(flat) and flat[0]:
+        runs = [0, *runs]
+    return {"size": list(mask.shape), "counts": _pack(runs)}
+
+
+def _pack(runs: list[int]) -> str:
+    out = []
+    for i, n in enumerate(runs):
+        x = n - (runs[i - 2] if i > 2 else 0)
+        while True:
+            digit, x = x & 31, x >> 5
+            more = not ((x == 0 and not digit & 16) or (x == -1 and digit & 16))
+            out.append(chr(48 + (digit | 32 if more else digit)))
+            if not more:
+                break
+    return "".join(out)
+
+
+def rle_runs(counts: str) -> list[int]:
+    runs, x, shift = [], 0, 0
+    for c in counts:
+        digit = ord(c) - 48
+        x |= (digit & 31) << shift
+        shift += 5
+        if not digit & 32:
+            if digit & 16:
+                x -= 1 << shift
+            runs.append(x + (runs[-2] if len(runs) > 2 else 0))
+            x, shift = 0, 0
+    return runs
+
+
+def rle_area(rle: dict) -> int:
+    return sum(rle_runs(rle["counts"])[1::2])
+
+
+def rle_decode(rle: dict) -> np.ndarray:
+    h, w = rle["size"]
+    runs = rle_runs(rle["counts"])
+    return np.repeat(np.arange(len(runs)) % 2, runs).astype(bool).reshape(w, h).T
+
+
+def pooled(features: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted mean of patch features at unit length."""
+    v = (features * weight[:, None]).sum(axis=0) / max(weight.sum(), 1e-12)
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def project_out(z: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """z without its part in the span of orthonormal rows."""
+    return z - (z @ basis.T) @ basis

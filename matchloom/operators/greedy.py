@@ -1,0 +1,102 @@
+"""Greedy choices in order: suppression, one-to-one assignment, gallery dedup, set cover.
+
+All but the cover are one problem: items in rank order, kept unless they
+conflict with an item kept before.  Conflicts come from joins; what is left is
+first-fit over them, per group where groups are bounded (scenes), or in rounds
+over the whole table where a group may be of any size (gallery labels).
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.cut import cut
+from .boxes import area, inter, overlap, pairs
+
+
+def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    kept: set[int] = set()
+    for r, before in sorted(zip(pdf["rank"], pdf["before"], strict=True), key=lambda x: x[0]):
+        if before is None or not any(b in kept for b in before):
+            kept.add(int(r))
+    return pd.DataFrame({"grp": pdf["grp"].iloc[0], "rank": sorted(kept)})
+
+
+def first_fit(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Kept (grp, rank) of items (grp, rank) with conflicts (grp, rank, before); groups are bounded."""
+    before = conflicts.groupBy("grp", "rank").agg(F.collect_list("before").alias("before"))
+    return items.select("grp", "rank").join(before, ["grp", "rank"], "left").groupBy("grp").applyInPandas(_first_fit, "grp long, rank long")
+
+
+def first_fit_rounds(items: DataFrame, conflicts: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """The same by rounds of joins: no group is gathered, so groups may be of any size.
+
+    An item is kept once all its earlier rivals are out, and out once one of them is kept.
+    """
+    edges = cut(conflicts.select("grp", "rank", "before"))
+    rivals = edges.select("grp", "rank").distinct()
+    kept = cut(items.select("grp", "rank").join(rivals, ["grp", "rank"], "left_anti"))
+    for _ in range(most_rounds):
+        hit = edges.join(kept.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_semi").select("grp", "rank").distinct()
+        edges = edges.join(hit, ["grp", "rank"], "left_anti")
+        edges = cut(edges.join(hit.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_anti"))
+        # rivals without an open rival before them are kept; those hit are out for good
+        rivals = cut(rivals.join(hit, ["grp", "rank"], "left_anti"))
+        fresh = rivals.join(edges.select("grp", "rank").distinct(), ["grp", "rank"], "left_anti")
+        kept = cut(kept.union(fresh))
+        rivals = cut(rivals.join(fresh, ["grp", "rank"], "left_anti"))
+        if rivals.isEmpty():
+            return kept
+    raise RuntimeError("first fit did not settle")
+
+
+def box_nms(masks: DataFrame, thr: float = 0.3) -> DataFrame:
+    """Label-agnostic suppression by (-score, mask_no); an IoU strictly above thr suppresses; empty unions never do."""
+    w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "mask_no")
+    r = masks.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+    on = (F.col("m.scene_id") == F.col("n.scene_id")) & (F.col("n.rank") < F.col("m.rank")) & overlap("m", "n")
+    i = inter("m", "n")
+    hit = r.alias("m").join(r.alias("n"), on).filter(F.coalesce(F.try_divide(i, area("m") + area("n") - i), F.lit(0.0)) > thr)
+    hit = hit.select(F.col("m.scene_id").alias("grp"), F.col("m.rank").alias("rank"), F.col("n.rank").alias("before"))
+    kept = first_fit(r.select(F.col("scene_id").alias("grp"), "rank"), hit)
+    return kept.withColumnRenamed("grp", "scene_id").join(r, ["scene_id", "rank"]).select("scene_id", "mask_no")
+
+
+def oracle_assign(gt: DataFrame, masks: DataFrame, least: float = 0.5) -> DataFrame:
+    """One mask per ground-truth box by falling IoU, ties by gt_no, then mask_no; -1 for a box without one."""
+    w = Window.partitionBy("scene_id").orderBy(F.desc("iou"), "gt_no", "mask_no")
+    c = pairs(gt, masks, least).withColumn("rank", (F.row_number().over(w) - 1).cast("long")).select("scene_id", "gt_no", "mask_no", "rank")
+    on = (F.col("m.scene_id") == F.col("n.scene_id")) & (F.col("n.rank") < F.col("m.rank")) & ((F.col("m.gt_no") == F.col("n.gt_no")) | (F.col("m.mask_no") == F.col("n.mask_no")))
+    hit = c.alias("m").join(c.alias("n"), on).select(F.col("m.scene_id").alias("grp"), F.col("m.rank").alias("rank"), F.col("n.rank").alias("before"))
+    kept = first_fit(c.select(F.col("scene_id").alias("grp"), "rank"), hit).withColumnRenamed("grp", "scene_id").join(c, ["scene_id", "rank"])
+    return gt.select("scene_id", "gt_no").join(kept.select("scene_id", "gt_no", "mask_no"), ["scene_id", "gt_no"], "left").select("scene_id", "gt_no", F.coalesce("mask_no", F.lit(-1)).cast("long").alias("mask_no"))
+
+
+def dedup(pairs_: DataFrame, refs: DataFrame, eta: float) -> DataFrame:
+    """Gallery rows kept, by label in insert order, unless their cosine with a kept row reaches eta.
+
+    pairs_: (label_id, insert_no, before, s) of rows of one label.
+    """
+    hit = pairs_.filter(F.col("s") >= eta).select(F.col("label_id").cast("long").alias("grp"), F.col("insert_no").alias("rank"), F.col("before"))
+    kept = first_fit_rounds(refs.select(F.col("label_id").cast("long").alias("grp"), F.col("insert_no").alias("rank")), hit)
+    return kept.select(F.col("grp").cast("int").alias("label_id"), F.col("rank").alias("insert_no"))
+
+
+def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
+    reach: dict[int, set[int]] = {}
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        reach.setdefault(a, set()).add(b)
+    left, chosen = set(reach), []
+    while left:
+        best = max(sorted(reach), key=lambda a: (len(reach[a] & left), -a))
+        left -= reach[best]
+        chosen.append(best)
+    return pd.DataFrame({"label_id": pdf["label_id"].iloc[0], "step": range(len(chosen)), "ref_id": chosen})
+
+
+def greedy_cover(covers: DataFrame) -> DataFrame:
+    """References of a label chosen one by one for the most uncovered rows; covers: (label_id, a, b), b covered by a (itself included)."""
+    return covers.groupBy("label_id").applyInPandas(_cover, "label_id int, step long, ref_id long")
