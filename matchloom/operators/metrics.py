@@ -15,59 +15,70 @@ RECALL_POINTS = np.linspace(0.0, 1.0, 101)
 MATCH = "scene_id long, cat int, rank long, score double, thr int, matched boolean, ignored boolean, gt_no long"
 
 
-def match_group(det: pd.DataFrame, gt: pd.DataFrame, thresholds: np.ndarray, lo: float, hi: float, max_det: int) -> list[tuple]:
-    """(rank, score, thr, matched, ignored, gt_no) of one scene and category.
+def match_group(det: dict, gt: dict, thresholds: np.ndarray, lo: float, hi: float, max_det: int) -> dict:
+    """Columns rank, score, thr, matched, ignored, gt_no of one scene and category (dicts of arrays).
 
     Detections by falling score meet ground truth with the ignored last; each
     takes the best IoU of at least the threshold, later ones winning ties; a
     matched box is free again only if it is a crowd; a match to an ignored box,
     or no match at an area out of range, makes the detection ignored.
     """
-    det = det.sort_values(["score", "det_no"], ascending=[False, True], kind="stable").head(max_det)
-    d, g = det[["x0", "y0", "x1", "y1"]].to_numpy(float), gt[["x0", "y0", "x1", "y1"]].to_numpy(float)
-    crowd = gt["iscrowd"].to_numpy(bool)
+    first = np.lexsort((det["det_no"], -det["score"]))[:max_det]
+    d, g = (np.stack([x[c] for c in ("x0", "y0", "x1", "y1")], axis=1).astype(float) for x in (det, gt))
+    d, score = d[first], det["score"][first]
     da, ga = (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1]), (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1])
-    skip = crowd | (ga < lo) | (ga > hi)
-    order = np.argsort(skip, kind="stable")
-    g, ga, crowd, skip, no = g[order], ga[order], crowd[order], skip[order], gt["gt_no"].to_numpy()[order]
+    skip = gt["iscrowd"] | (ga < lo) | (ga > hi)
+    order = np.lexsort((gt["gt_no"], skip))
+    g, ga, crowd, skip, no = g[order], ga[order], gt["iscrowd"][order], skip[order], gt["gt_no"][order]
     w = np.minimum(d[:, None, 2], g[None, :, 2]) - np.maximum(d[:, None, 0], g[None, :, 0])
     h = np.minimum(d[:, None, 3], g[None, :, 3]) - np.maximum(d[:, None, 1], g[None, :, 1])
     i = np.maximum(w, 0) * np.maximum(h, 0)
     union = np.where(crowd[None, :], da[:, None], da[:, None] + ga[None, :] - i)
     iou = np.divide(i, union, out=np.zeros_like(i), where=union > 0)
-    rows = []
-    for t, thr in enumerate(thresholds):
-        taken = np.zeros(len(g), bool)
-        for r in range(len(d)):
+    n, t = len(d), len(thresholds)
+    match = np.full((t, n), -1)
+    rivals = [(r, np.flatnonzero(iou[r] >= thresholds[0] - 1e-9).tolist()) for r in np.flatnonzero((iou >= thresholds[0] - 1e-9).any(axis=1)).tolist()]
+    for k, thr in enumerate(thresholds.tolist()):
+        taken: set[int] = set()
+        for r, near in rivals:
             best, m = min(thr, 1 - 1e-10), -1
-            for j in np.flatnonzero(iou[r] >= best):
-                if taken[j] and not crowd[j]:
+            for j in near:
+                if j in taken and not crowd[j]:
                     continue
                 if m >= 0 and not skip[m] and skip[j]:
                     break
-                if iou[r, j] < best:
-                    continue
-                best, m = iou[r, j], j
+                if iou[r, j] >= best:
+                    best, m = iou[r, j], j
             if m >= 0:
-                taken[m] = True
-            out = m < 0 and not lo <= da[r] <= hi
-            rows.append((r, float(det["score"].iloc[r]), t, m >= 0, bool((m >= 0 and skip[m]) or out), int(no[m]) if m >= 0 else -1))
-    return rows
+                taken.add(m)
+                match[k, r] = m
+    hit = match >= 0
+    ignored = np.where(hit, skip[match] if len(g) else False, ((da < lo) | (da > hi))[None, :])
+    return {
+        "rank": np.tile(np.arange(n), t), "score": np.tile(score, t), "thr": np.repeat(np.arange(t), n),
+        "matched": hit.ravel(), "ignored": ignored.ravel(), "gt_no": np.where(hit, no[match] if len(g) else -1, -1).ravel(),
+    }
 
 
 def matches(dets: DataFrame, gts: DataFrame, by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100, thresholds: np.ndarray = IOU_THRESHOLDS) -> DataFrame:
     """Matches of dets (scene_id, det_no, label_id, score, box) to gts (scene_id, gt_no, gt_label, box, iscrowd).
 
-    One task group is a scene and category: bounded by the scene.
+    A task group is a scene, bounded by what one image holds; its categories are matched in turn.
     """
     d = dets.select("scene_id", (F.col("label_id") if by_category else F.lit(0)).cast("int").alias("cat"), "det_no", "score", "x0", "y0", "x1", "y1")
     g = gts.select("scene_id", (F.col("gt_label") if by_category else F.lit(0)).cast("int").alias("cat"), "gt_no", "iscrowd", "x0", "y0", "x1", "y1")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = match_group(left, right, thresholds, lo, hi, max_det) if len(left) else []
-        return pd.DataFrame([(key[0], key[1], *r[:2], r[2], *r[3:]) for r in rows], columns=["scene_id", "cat", "rank", "score", "thr", "matched", "ignored", "gt_no"])
-
-    return d.groupBy("scene_id", "cat").cogroup(g.groupBy("scene_id", "cat")).applyInPandas(run, MATCH)
+        a, b = ({c: x[c].to_numpy() for c in x.columns} for x in (left, right))
+        parts = []
+        for cat in np.unique(a["cat"]).tolist():
+            mine, own = a["cat"] == cat, b["cat"] == cat
+            rows = match_group({c: v[mine] for c, v in a.items()}, {c: v[own].astype(bool) if c == "iscrowd" else v[own] for c, v in b.items()}, thresholds, lo, hi, max_det)
+            parts.append(pd.DataFrame({"scene_id": key[0], "cat": cat, **rows}))
+        names = ["scene_id", "cat", "rank", "score", "thr", "matched", "ignored", "gt_no"]
+        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+
+    return d.groupBy("scene_id").cogroup(g.groupBy("scene_id")).applyInPandas(run, MATCH)
 
 
 def gt_counts(gts: DataFrame, lo: float = 0.0, hi: float = 1e10) -> DataFrame:

@@ -149,7 +149,7 @@ ETA = 0.3
 
 
 @query("gallery_dedup", f"""WITH RECURSIVE {V.REF}, o AS (SELECT label_id, insert_no, z, row_number() OVER (PARTITION BY label_id ORDER BY insert_no)-1 AS rank FROM ref),
-items AS (SELECT label_id AS grp, rank FROM o), sup AS (SELECT m.label_id AS grp, m.rank, list(n.rank) AS before FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank WHERE round(list_dot_product(m.z,n.z),6)>={ETA} GROUP BY ALL),
+items AS MATERIALIZED (SELECT label_id AS grp, rank FROM o), sup AS MATERIALIZED (SELECT m.label_id AS grp, m.rank, list(n.rank) AS before FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank WHERE round(list_dot_product(m.z,n.z),6)>={ETA} GROUP BY ALL),
 fit AS (SELECT grp, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT grp FROM items)
  UNION ALL SELECT f.grp, f.k+1, CASE WHEN s.before IS NOT NULL AND list_has_any(f.kept, s.before) THEN f.kept ELSE list_append(f.kept, f.k) END FROM fit f JOIN items i ON i.grp=f.grp AND i.rank=f.k LEFT JOIN sup s ON s.grp=f.grp AND s.rank=f.k),
 won AS (SELECT grp, unnest(kept) AS rank FROM (SELECT grp, arg_max(kept, k) AS kept FROM fit GROUP BY grp)) SELECT o.label_id, o.insert_no FROM won JOIN o ON o.label_id=won.grp AND o.rank=won.rank""")

@@ -211,15 +211,15 @@ won AS (SELECT grp, unnest(kept) AS rank FROM (SELECT grp, arg_max(kept, k) AS k
 
 
 @query("box_nms", f"""WITH RECURSIVE {V.PRED}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY score DESC, mask_no)-1 AS rank FROM pred),
-items AS (SELECT scene_id AS grp, rank FROM r),
-sup AS (SELECT m.scene_id AS grp, m.rank, list(g.rank) AS before FROM r m JOIN r g ON m.scene_id=g.scene_id AND g.rank<m.rank WHERE {IOU}/((g.x1-g.x0)*(g.y1-g.y0)+(m.x1-m.x0)*(m.y1-m.y0)-{IOU})>0.3 GROUP BY ALL), {FIT}
+items AS MATERIALIZED (SELECT scene_id AS grp, rank FROM r),
+sup AS MATERIALIZED (SELECT m.scene_id AS grp, m.rank, list(g.rank) AS before FROM r m JOIN r g ON m.scene_id=g.scene_id AND g.rank<m.rank WHERE {IOU}/((g.x1-g.x0)*(g.y1-g.y0)+(m.x1-m.x0)*(m.y1-m.y0)-{IOU})>0.3 GROUP BY ALL), {FIT}
 SELECT r.scene_id, r.mask_no FROM won JOIN r ON r.scene_id=won.grp AND r.rank=won.rank""")
 def box_nms(spark, sf):
     return G.box_nms(V.pred(spark, sf))
 
 
 ORACLE = f"""{SCENE}, c AS (SELECT scene_id, gt_no, mask_no, row_number() OVER (PARTITION BY scene_id ORDER BY iou DESC, gt_no, mask_no)-1 AS rank FROM p WHERE iou>=0.5),
-items AS (SELECT scene_id AS grp, rank FROM c), sup AS (SELECT m.scene_id AS grp, m.rank, list(n.rank) AS before FROM c m JOIN c n ON m.scene_id=n.scene_id AND n.rank<m.rank AND (m.gt_no=n.gt_no OR m.mask_no=n.mask_no) GROUP BY ALL), {FIT},
+items AS MATERIALIZED (SELECT scene_id AS grp, rank FROM c), sup AS MATERIALIZED (SELECT m.scene_id AS grp, m.rank, list(n.rank) AS before FROM c m JOIN c n ON m.scene_id=n.scene_id AND n.rank<m.rank AND (m.gt_no=n.gt_no OR m.mask_no=n.mask_no) GROUP BY ALL), {FIT},
 oracle AS (SELECT g.scene_id, g.gt_no, g.gt_label, (g.x1-g.x0)*(g.y1-g.y0) AS gt_area, coalesce(x.mask_no,-1) AS mask_no FROM gt g LEFT JOIN (SELECT c.* FROM c JOIN won ON c.scene_id=won.grp AND c.rank=won.rank) x ON x.scene_id=g.scene_id AND x.gt_no=g.gt_no)"""
 
 
