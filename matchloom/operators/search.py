@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 64 << 20
+QUERY_ROWS = 50_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -72,18 +73,24 @@ def _emit(b: pa.RecordBatch, keep: list[str], rid, label, ins, z, per_label, lea
 
 
 def _grid(queries: DataFrame, refs: DataFrame, keep: list[str], per_label: bool, least: float | None, n: int, dim: int) -> DataFrame:
-    """Blocks of references against blocks of queries: each reference block has about BROADCAST_BYTES."""
+    """Blocks of references (about BROADCAST_BYTES) against parts of queries (about QUERY_ROWS), one task each."""
     blocks = -(-n * dim * 8 // BROADCAST_BYTES)
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    span = lambda n_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n_) - 1).cast("long")))
     r = refs.select(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("blk"), "ref_id", "label_id", "insert_no", "z")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).cast("long").alias("blk"), F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(64)).alias("part"), *keep, "z")
-    r = r.select("blk", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long").alias("part"), "ref_id", "label_id", "insert_no", "z")
+    q = queries.select(span(blocks).alias("blk"), F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(parts)).alias("part"), *keep, "z")
+    r = r.select("blk", span(parts).alias("part"), "ref_id", "label_id", "insert_no", "z")
+
+    kinds = {"ref_id": pa.int64(), "label_id": pa.int32(), "insert_no": pa.int64(), "s": pa.float64()}
+    out_names = ["label_id", "s"] if per_label else list(kinds)
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({**{c: pa.array([], left.schema.field(c).type) for c in keep}, **{c: pa.array([], kinds[c]) for c in out_names}})
         b = left.select([*keep, "z"]).combine_chunks().to_batches()
         g = right.combine_chunks()
         z = _matrix(g.column("z").combine_chunks()) if g.num_rows else np.zeros((0, dim))
-        parts = [_emit(x.slice(lo, 512), keep, g.column("ref_id").to_numpy(), g.column("label_id").to_numpy(), g.column("insert_no").to_numpy(), z, per_label, least) for x in b for lo in range(0, x.num_rows, 512)]
-        return pa.Table.from_batches(parts) if parts else pa.table({})
+        made = [_emit(x.slice(lo, 512), keep, g.column("ref_id").to_numpy(), g.column("label_id").to_numpy(), g.column("insert_no").to_numpy(), z, per_label, least) for x in b for lo in range(0, x.num_rows, 512)]
+        return pa.Table.from_batches(made) if made else empty
 
     out = q.groupBy("blk", "part").cogroup(r.groupBy("blk", "part")).applyInArrow(solve, _schema(queries, keep, per_label))
     return out.groupBy(*keep, "label_id").agg(F.max("s").alias("s")) if per_label else out
