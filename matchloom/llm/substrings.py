@@ -235,9 +235,11 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = 4096) -> DataFrame
     numbers = S.stash(some.mapInArrow(_numbers(k, m), "doc_id long, version long, pos int, size int, mini long, ident long"), "superkmers")
     kinds = numbers.groupBy("mini", "ident").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     minis = kinds.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = numbers.join(minis.select("mini", (F.col("n") > hot).alias("hot")), "mini")
+    # stashed, so that both sides of the join are plain exchanges and Spark can split a hot minimiser
+    minis = S.stash(minis.select("mini", (F.col("n") > hot).alias("hot")), "minimisers")
+    shared = numbers.join(minis, "mini")
     segs = S.stash(shared.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "size", "mini", "hot")).alias("segs")), "segments")
-    S.drop(numbers)
+    S.drop(numbers, minis)
     S.sweep(spark)
 
     packed = some.join(segs, ["doc_id", "version"]).select("text", "doc_id", "version", "segs")
