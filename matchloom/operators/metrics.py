@@ -141,10 +141,18 @@ def auroc(scored: DataFrame, by: list[str] | None = None, weight: str | None = N
 
 
 def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Average rank of equal values."""
+    """Average rank of equal values.
+
+    Ranks come from counts of distinct values, so the window runs over those and
+    not over the rows, and join back by value.
+    """
     by = by or []
-    w = Window.partitionBy(*by).orderBy(value)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    g = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = (F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out)
+    g = g.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), rank)
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"g._k{i}")) for i, c in enumerate([*by, value])]
+    return df.alias("d").join(g.alias("g"), on).select("d.*", f"g.{out}")
 
 
 def rejection(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import table
+from .numbering import numbered
 
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
@@ -71,8 +72,7 @@ def boot(scenes: DataFrame, replicates: int = 50) -> DataFrame:
     The scenes are numbered in order; a weight table has replicates x scenes rows at most.
     """
     spark = scenes.sparkSession
-    w = Window.orderBy("scene_id")
-    s = scenes.select("scene_id").distinct().withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    s = numbered(scenes.select("scene_id").distinct(), ["scene_id"], "i")
     n = s.agg(F.count("*").alias("n"))
     draw = s.select(F.col("i").alias("j")).crossJoin(spark.range(replicates).withColumnRenamed("id", "b")).crossJoin(F.broadcast(n))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")

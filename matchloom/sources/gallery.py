@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.numbering import numbered
+
 REQUIRED = ("ref_id", "label_id", "insert_no", "deleted", "z")
 
 
@@ -21,9 +23,9 @@ def label_ids(rows: DataFrame, label: str = "label") -> DataFrame:
 def append(gallery: DataFrame, batch: DataFrame, dim: int) -> DataFrame:
     """gallery and batch, numbered on; fails on repeated ids, wrong dimensions, non-finite values or null labels."""
     last = gallery.agg(F.coalesce(F.max("insert_no"), F.lit(-1)).alias("last"))
-    w = Window.orderBy("ref_id")
+    ids = numbered(batch.select("ref_id").distinct(), ["ref_id"], "_no")
     ok = (F.size("z") == dim) & finite(F.col("z")) & F.col("label_id").isNotNull() & F.col("ref_id").isNotNull()
-    fresh = batch.crossJoin(F.broadcast(last)).withColumn("insert_no", (F.row_number().over(w) + F.col("last")).cast("long")).withColumn("deleted", F.lit(False))
+    fresh = batch.join(ids, "ref_id", "left").crossJoin(F.broadcast(last)).withColumn("insert_no", (F.col("_no") + 1 + F.col("last")).cast("long")).withColumn("deleted", F.lit(False))
     fresh = fresh.filter(F.assert_true(F.coalesce(ok, F.lit(False)), F.lit("invalid gallery row")).isNull())
     out = gallery.select(*REQUIRED).unionByName(fresh.select(*REQUIRED))
     n = F.count("*").over(Window.partitionBy("ref_id"))
