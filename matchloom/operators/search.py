@@ -129,7 +129,7 @@ def planes(dim: int, bits: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((bits, dim))
 
 
-def lsh_search(queries: DataFrame, refs: DataFrame, keep: list[str], dim: int, bits: int = 6, tables: int = 16, seed: int = 0) -> DataFrame:
+def lsh_search(queries: DataFrame, refs: DataFrame, keep: list[str], dim: int, bits: int = 5, tables: int = 32, seed: int = 0) -> DataFrame:
     """Approximate best reference of each query by random hyperplanes: equi-joins on (table, bucket), then exact scores."""
     p = planes(dim, bits * tables, seed)
 
