@@ -39,9 +39,9 @@ def ks_distance(spark, sf):
     return S.ks(table(spark, sf, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"])
 
 
-@query("wilson_interval", "WITH c AS (SELECT l_shipdate::DATE AS d, count(*)::DOUBLE AS n, (count(*) FILTER (l_returnflag='R'))/count(*) AS p FROM lineitem WHERE l_orderkey<3000 GROUP BY 1) SELECT d, round(((p+1.9208/n)-1.96*sqrt(p*(1-p)/n+0.9604/(n*n)))/(1+3.8416/n),6) AS lo, round(((p+1.9208/n)+1.96*sqrt(p*(1-p)/n+0.9604/(n*n)))/(1+3.8416/n),6) AS hi FROM c")
+@query("wilson_interval", "WITH c AS (SELECT l_shipdate::DATE AS d, count(*)::DOUBLE AS n, (count(*) FILTER (l_returnflag='R'))/count(*) AS p FROM lineitem GROUP BY 1) SELECT d, round(((p+1.9208/n)-1.96*sqrt(p*(1-p)/n+0.9604/(n*n)))/(1+3.8416/n),6) AS lo, round(((p+1.9208/n)+1.96*sqrt(p*(1-p)/n+0.9604/(n*n)))/(1+3.8416/n),6) AS hi FROM c")
 def wilson_interval(spark, sf):
-    c = table(spark, sf, "lineitem").filter("l_orderkey < 3000").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
+    c = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
     lo, hi = S.wilson(F.col("k"), F.col("n"))
     return c.select("d", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
@@ -136,22 +136,22 @@ def center_patches(spark, sf):
     return V.pred(spark, sf).select("scene_id", "mask_no", X.center_patch(x, y, 14, 37).cast("long").alias("patch"))
 
 
-@query("rle_areas", f"WITH {V.PRED} SELECT scene_id, mask_no, ((x1-x0)*(y1-y0))::BIGINT AS area, true AS same FROM pred WHERE scene_id<5")
+@query("rle_areas", f"WITH {V.PRED} SELECT scene_id, mask_no, ((x1-x0)*(y1-y0))::BIGINT AS area, true AS same FROM pred")
 def rle_areas(spark, sf):
-    """Box masks through run-length text and back: area, and whether decoding restores the mask."""
+    """Box masks, each in a frame of the box and one pixel around it, through run-length text and back: area, and whether decoding restores the mask."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             area, same = [], []
             for x0, y0, x1, y1 in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                m = np.zeros((600, 800), dtype=bool)
-                m[int(y0) : int(y1), int(x0) : int(x1)] = True
+                m = np.zeros((int(y1 - y0) + 2, int(x1 - x0) + 2), dtype=bool)
+                m[1:-1, 1:-1] = True
                 r = X.rle_encode(m)
                 area.append(X.rle_area(r))
                 same.append(bool((X.rle_decode(r) == m).all()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area, pa.int64()), pa.array(same)], ["scene_id", "mask_no", "area", "same"])
 
-    return V.pred(spark, sf).filter("scene_id < 5").select("scene_id", "mask_no", "x0", "y0", "x1", "y1").mapInArrow(run, "scene_id long, mask_no long, area long, same boolean")
+    return V.pred(spark, sf).select("scene_id", "mask_no", "x0", "y0", "x1", "y1").mapInArrow(run, "scene_id long, mask_no long, area long, same boolean")
 
 
 @query("pool_features", "WITH e AS (SELECT label, i, round(sum(embedding[i]::DOUBLE*(vec_id%7))/sum(vec_id%7),6) AS v FROM embeddings, (SELECT unnest(range(1,5)) AS i) GROUP BY ALL) SELECT label, i::INT AS i, v FROM e")
@@ -161,11 +161,30 @@ def pool_features(spark, sf):
     return e.groupBy("label", (F.col("p") + 1).alias("i")).agg(F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 6).alias("v"))
 
 
+def _directions(e, n: int) -> np.ndarray:
+    """The n leading directions of all vectors: partial sums of products per task, one matrix of dim x dim in the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for b in batches:
+            z = SE._matrix(b.column(0))
+            total = total + z.T.astype(float) @ z.astype(float)
+        if np.ndim(total):
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
+
+    cells = e.select("embedding").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    size = max((c.i + 1 for c in cells), default=0)
+    gram = np.zeros((size, size))
+    for c in cells:
+        gram[c.i, c.j] = c.v
+    return np.linalg.eigh(gram)[1][:, ::-1][:, :n].T
+
+
 @query("debias_project")
 def debias_project(spark, sf):
-    """Embeddings without the two leading directions of a bounded sample; returns what is left of the norm."""
-    sample = np.array([r[0] for r in table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").limit(512).collect()], dtype=float)
-    basis = np.linalg.svd(sample, full_matrices=False)[2][:2]
+    """Embeddings without the two leading directions of all of them; returns what is left of the norm."""
+    basis = _directions(table(spark, sf, "embeddings"), 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -238,6 +238,43 @@ def top1_by_bin(spark, sf):
 
 # ---- detection metrics ---------------------------------------------------------------
 
+RANGES = (("all", 0.0, 1e10), ("small", 0.0, 1023.5), ("medium", 1024.0, 2047.5), ("large", 2048.0, 1e10))
+_THR = ", ".join(f"({i},{float(t)!r}::DOUBLE)" for i, t in enumerate(M.IOU_THRESHOLDS))
+_POINTS = ", ".join(f"({float(x)!r}::DOUBLE)" for x in M.RECALL_POINTS)
+EVAL = f"""{V.PRED}, {V.GT}, {V.ZONES}, thrs(thr, least) AS (VALUES {_THR}), points(x) AS (VALUES {_POINTS}),
+truth AS (SELECT scene_id, gt_no, gt_label, false AS crowd, x0, y0, x1, y1 FROM gt UNION ALL SELECT scene_id, -1, gt_label, true, x0, y0, x1, y1 FROM zones, (SELECT DISTINCT gt_label FROM gt))"""
+
+
+def match_sql(name: str = "mt", by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100) -> str:
+    """CTEs that end in ``name``: the matches of EVAL, detection by detection.
+
+    The state of a group is the list of taken boxes. A detection's boxes come in
+    order of choice, those to ignore last; crowds carry negative numbers, which are never taken.
+    """
+    cat, own, n = ("label_id", "gt_label", name) if by_category else ("0", "0", name)
+    return f"""{n}_g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene_id, cat ORDER BY skip, gt_no) AS j FROM (SELECT scene_id, {own} AS cat, gt_no, crowd, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area, crowd OR (x1-x0)*(y1-y0)<{lo} OR (x1-x0)*(y1-y0)>{hi} AS skip FROM truth)),
+{n}_d AS MATERIALIZED (SELECT * FROM (SELECT scene_id, {cat} AS cat, score, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area, row_number() OVER (PARTITION BY scene_id, {cat} ORDER BY score DESC, mask_no)-1 AS rank FROM pred) WHERE rank<{max_det}),
+{n}_p AS (SELECT *, inter/CASE WHEN crowd THEN mask_area ELSE mask_area+gt_area-inter END AS iou FROM (SELECT m.scene_id, m.cat, m.rank, g.j, g.skip, g.crowd, m.area AS mask_area, g.area AS gt_area, {IOU} AS inter FROM {n}_d m JOIN {n}_g g ON m.scene_id=g.scene_id AND m.cat=g.cat WHERE g.x0<m.x1 AND m.x0<g.x1 AND g.y0<m.y1 AND m.y0<g.y1)),
+{n}_c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene_id, cat, thr ORDER BY rank) AS k FROM (SELECT scene_id, cat, thr, rank, list(CASE WHEN crowd THEN -j ELSE j END ORDER BY skip, iou DESC, j DESC) AS js FROM {n}_p JOIN thrs ON iou>=least GROUP BY ALL)),
+{n}_s AS (SELECT DISTINCT scene_id, cat, thr, 0::BIGINT AS k, []::BIGINT[] AS taken, -1::BIGINT AS rank, NULL::BIGINT AS pick FROM {n}_c
+ UNION ALL SELECT scene_id, cat, thr, k, CASE WHEN free[1]>0 THEN list_append(taken, free[1]) ELSE taken END, rank, free[1] FROM (SELECT c.scene_id, c.cat, c.thr, c.k, s.taken, c.rank, [x for x in c.js if NOT list_contains(s.taken, x)] AS free FROM {n}_s s JOIN {n}_c c ON c.scene_id=s.scene_id AND c.cat=s.cat AND c.thr=s.thr AND c.k=s.k+1)),
+{n} AS MATERIALIZED (SELECT d.scene_id, d.cat::INT AS cat, d.rank, d.score, t.thr::INT AS thr, g.j IS NOT NULL AS matched, coalesce(g.skip, d.area<{lo} OR d.area>{hi}) AS ignored, coalesce(g.gt_no, -1) AS gt_no
+ FROM {n}_d d CROSS JOIN thrs t LEFT JOIN {n}_s s ON s.scene_id=d.scene_id AND s.cat=d.cat AND s.thr=t.thr AND s.rank=d.rank LEFT JOIN {n}_g g ON g.scene_id=s.scene_id AND g.cat=s.cat AND g.j=abs(s.pick)),
+{n}_n AS (SELECT cat, count(*) AS npig FROM {n}_g WHERE NOT skip GROUP BY cat)"""
+
+
+def ap_sql(name: str = "mt") -> str:
+    """CTE ``name``_ap: AP of the matches ``name`` by cat."""
+    return f"""{name}_pr AS (SELECT cat, thr, recall, max(prec) AS prec FROM (SELECT m.cat, thr, sum(matched::INT) OVER w/npig AS recall, sum(matched::INT) OVER w/(count(*) OVER w+2.220446049250313e-16) AS prec FROM {name} m JOIN {name}_n USING (cat) WHERE NOT ignored WINDOW w AS (PARTITION BY m.cat, thr ORDER BY score DESC, scene_id, rank ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
+{name}_ap AS (SELECT n.cat, n.npig, coalesce(a.ap, 0) AS ap FROM {name}_n n LEFT JOIN (SELECT cat, sum(p)/1010 AS ap FROM (SELECT cat, thr, x, max(prec) AS p FROM {name}_pr JOIN points ON x<=recall GROUP BY ALL) GROUP BY cat) a USING (cat))"""
+
+
+def ar_sql(name: str, k: int) -> str:
+    return f"SELECT {k} AS max_det, round(avg(r),9) AS ar FROM (SELECT n.cat, (SELECT count(*) FROM {name} m WHERE m.cat=n.cat AND matched AND NOT ignored AND rank<{k})/npig/10 AS r FROM {name}_n n)"
+
+
+_BY_AREA = " UNION ALL ".join(f"SELECT round(avg(ap),9) AS ap, count(*) AS cats, '{n}' AS area FROM m_{n}_ap" for n, _, _ in RANGES)
+
 
 def _eval(spark, sf, least: float = 0.0, by_category: bool = True, **kw):
     d = V.pred(spark, sf).filter(F.col("score") >= least).withColumnRenamed("mask_no", "det_no")
@@ -249,34 +286,34 @@ def _eval(spark, sf, least: float = 0.0, by_category: bool = True, **kw):
     return M.matches(d, g, by_category, **kw), g
 
 
-@query("coco_matches")
+@query("coco_matches", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT * FROM mt")
 def coco_matches(spark, sf):
     return _eval(spark, sf)[0]
 
 
-@query("tp_counts")
+@query("tp_counts", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT cat, thr, count(*) FILTER (matched AND NOT ignored) AS tp, count(*) FILTER (NOT matched AND NOT ignored) AS fp FROM mt GROUP BY ALL")
 def tp_counts(spark, sf):
     m, _ = _eval(spark, sf)
     return m.groupBy("cat", "thr").agg(F.count_if(F.col("matched") & ~F.col("ignored")).alias("tp"), F.count_if(~F.col("matched") & ~F.col("ignored")).alias("fp"))
 
 
-@query("ap_by_category")
+@query("ap_by_category", f"WITH RECURSIVE {EVAL}, {match_sql()}, {ap_sql()} SELECT cat, npig, round(ap,9) AS ap FROM mt_ap")
 def ap_by_category(spark, sf):
     m, g = _eval(spark, sf)
     return M.average_precision(m, M.gt_counts(g)).withColumn("ap", F.round("ap", 9))
 
 
-@query("ap_by_area")
+@query("ap_by_area", f"WITH RECURSIVE {EVAL}, {', '.join(match_sql(f'm_{n}', lo=lo, hi=hi) + ', ' + ap_sql(f'm_{n}') for n, lo, hi in RANGES)} {_BY_AREA}")
 def ap_by_area(spark, sf):
     out = None
-    for name, lo, hi in (("all", 0.0, 1e10), ("small", 0.0, 1023.5), ("medium", 1024.0, 2047.5), ("large", 2048.0, 1e10)):
+    for name, lo, hi in RANGES:
         m, g = _eval(spark, sf, lo=lo, hi=hi)
         part = M.average_precision(m, M.gt_counts(g, lo, hi)).agg(F.round(F.avg("ap"), 9).alias("ap"), F.count("*").alias("cats")).withColumn("area", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("ar_at_maxdets")
+@query("ar_at_maxdets", f"WITH RECURSIVE {EVAL}, {match_sql()} {' UNION ALL '.join(ar_sql('mt', k) for k in (1, 10, 100))}")
 def ar_at_maxdets(spark, sf):
     m, g = _eval(spark, sf)
     n = M.gt_counts(g)
@@ -287,7 +324,7 @@ def ar_at_maxdets(spark, sf):
     return out
 
 
-@query("proposal_recall")
+@query("proposal_recall", f"WITH RECURSIVE {EVAL}, {match_sql(by_category=False, max_det=1000)} {' UNION ALL '.join(ar_sql('mt', k) for k in (100, 1000))}")
 def proposal_recall(spark, sf):
     m, g = _eval(spark, sf, by_category=False, max_det=1000)
     n = M.gt_counts(g.withColumn("gt_label", F.lit(0)))
