@@ -331,7 +331,10 @@ def proposal_recall(spark, sf):
     return M.average_recall(m, n, 100).unionByName(M.average_recall(m, n, 1000))
 
 
-@query("boot_ap")
+@query("boot_ap", f"""WITH RECURSIVE {EVAL}, {match_sql()}, {V.boot_sql('gt', 10)}, wg AS (SELECT b, cat, sum(w) AS npig FROM mt_g JOIN boot USING (scene_id) WHERE NOT skip GROUP BY ALL),
+pr AS (SELECT b, cat, thr, recall, max(prec) AS prec FROM (SELECT b, m.cat, thr, sum(w*matched::INT) OVER o/npig AS recall, sum(w*matched::INT) OVER o/(sum(w) OVER o+2.220446049250313e-16) AS prec FROM mt m JOIN boot USING (scene_id) JOIN wg USING (b, cat) WHERE NOT ignored WINDOW o AS (PARTITION BY b, m.cat, thr ORDER BY score DESC, scene_id, rank ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
+ap AS (SELECT b, cat, sum(p)/1010 AS ap FROM (SELECT b, cat, thr, x, max(prec) AS p FROM pr JOIN points ON x<=recall GROUP BY ALL) GROUP BY ALL), v AS (SELECT b, avg(coalesce(ap,0)) AS value FROM wg LEFT JOIN ap USING (b, cat) GROUP BY b)
+SELECT count(*) AS replicates, round(quantile_cont(value,0.025),6) AS lo, round(quantile_cont(value,0.975),6) AS hi FROM v""")
 def boot_ap(spark, sf):
     m, g = _eval(spark, sf)
     w = V.boot(g, 10)
