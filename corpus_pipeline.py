@@ -26,14 +26,22 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate component; one of rows that repeat a doc_id."""
+    """The document of smallest id of each near-duplicate component.
+
+    Rows that repeat an id and its text count once. Different texts under one id
+    all stay if one of them is kept, and so does each row without an id.
+    """
     start(spark)
     docs = docs.select(COLUMNS)
     found = simhash.near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    # rows without an id cannot be told apart by id: each is kept
-    kept = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi")
-    return kept.union(docs.filter("doc_id IS NULL")).select(COLUMNS)
+    keep = stash.stash(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    kept = docs.filter("doc_id IS NOT NULL").join(keep, "doc_id")
+    if keep.filter("_rows > 1").isEmpty():
+        kept = kept.select(COLUMNS)
+    else:
+        again = kept.filter("_rows > 1").select(COLUMNS).dropDuplicates(["doc_id", "text"])
+        kept = kept.filter("_rows = 1").select(COLUMNS).union(again)
+    return kept.union(docs.filter("doc_id IS NULL"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
