@@ -441,3 +441,81 @@ def test_pipeline(spark, sf):
         assert not secrets.base_spans(r.text) and r.n_chars == len(r.text)
     final = pipeline(spark, sf).collect()
     assert sorted(r.doc_id for r in final) == sorted(kept)
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, items int, component_id string, fp string, taken int, y double, hash string"
+
+
+def hostile_documents():
+    """Nulls in every column, repeated rows and ids, empty and very long texts."""
+    rows = [(1, "plain words here", "en", "a", 16), (1, "plain words here", "en", "a", 16), (2, None, None, None, None), (None, "no id at all in this row", "en", "b", 24), (None, None, None, None, None), (3, "", "", "", 0)]
+    rows += [(4, " \n\t", "de", "b", 3), (5, "long " * 60_000, "en", "a", 300_000), (6, "x" * 200_000, "en", None, 200_000), (2, "another text of the same id", "fr", "a", 27), (7, 'token = "abcdefghijklmnop" é', "en", "a", 28), (9, "Plain WORDS here", "en", "c", 16)]
+    return [(*r, 0.1, "s", 1, "c", "f", 2, 0.5, "h") for r in rows]
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_pipeline_stage_on_hostile_rows(spark, sf, at):
+    import corpus_pipeline as C
+
+    rows = hostile_documents()
+    docs, stage = spark.createDataFrame(rows, CLASH), C.STAGES[at][1]
+    got = [tuple(r) for r in stage(spark, docs, sf).collect()]
+    empty = stage(spark, docs.limit(0), sf)
+    assert empty.count() == 0 and (at == 4 or empty.columns == C.COLUMNS)
+    short = [r[:5] for r in rows]
+    if at == 4:
+        assert sorted((str(r[0]) for r in got)) == sorted(str(r[0]) for r in short)
+    elif at == 3:
+        assert Counter(r for r in got if r[0] != 7) == Counter(r for r in short if r[0] != 7)
+        assert [r[1] for r in got if r[0] == 7][0].endswith("é") and "abcdefghijklmnop" not in [r[1] for r in got if r[0] == 7][0]
+    elif at == 2:
+        assert Counter(got) == Counter(short)  # none of these leaks a benchmark item
+    elif at == 1:
+        # rows of one id and text count once; both texts of id 2 stay, and both rows without an id
+        assert sorted((r[0] for r in got if r[0] is not None)) == [1, 2, 2, 5, 6, 7] and sum(r[0] is None for r in got) == 2
+        assert {r[1] for r in got if r[0] == 2} == {None, "another text of the same id"}
+    else:
+        assert not Counter(got) - Counter(short)
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import corpus_pipeline as C
+    from matchloom.session import table
+
+    docs = table(spark, sf, "documents")
+    pick = {r.doc_id: r.text for r in docs.collect()}
+    out = {}
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+        out[name] = {r.doc_id: r.text for r in docs.collect()}
+    marked = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect() if r.quality is not None and r.doc_id in pick}
+    assert sum((i in out["quality"]) == bool(q) for i, q in marked.items()) >= 0.97 * len(marked)
+    # near-duplicates: all pairs of fingerprints
+    ids = sorted(out["quality"])
+    fp = np.array([plain_fingerprint(out["quality"][i]) for i in ids], dtype=np.uint64)
+    lab, near = np.arange(len(ids)), np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
+    while True:
+        new = np.array([lab[n].min() for n in near])
+        if (new == lab).all():
+            break
+        lab = new
+    assert set(out["simhash"]) == {ids[i] for i in set(lab.tolist())}
+    # benchmark items: tiles of every pair of item and document
+    v = lambda t: np.array([zlib.crc32("".join(c.lower() if "A" <= c <= "Z" else c for c in x).encode()) for x in words(t)], dtype=np.uint64)
+    items = [x for x in (v(r.text) for r in table(spark, sf, "benchmark").collect()) if len(x) >= 5]
+    leaks = set()
+    for i, t in out["simhash"].items():
+        d = v(t)
+        if any(np.isin(x, d).mean() >= 0.8 and sum(n for *_, n in decontam.tile(x, d)) >= 0.8 * len(x) for x in items):
+            leaks.add(i)
+    assert set(out["decontaminate"]) == set(out["simhash"]) - leaks
+    # secrets: only spans change, and every base span does
+    assert set(out["secrets"]) == set(out["decontaminate"])
+    for i, t in out["secrets"].items():
+        old, at = out["decontaminate"][i] or "", 0
+        pieces = (t or "").split("[SECRET]")
+        for x in pieces:
+            at = old.index(x, at) + len(x)
+        assert (len(pieces) > 1) >= bool(plain_spans(old)) and not plain_spans(t)
+        if len(pieces) == 1:
+            assert t == out["decontaminate"][i]
