@@ -52,3 +52,29 @@ def gallery_check(types: DataFrame) -> DataFrame:
 
 def ap_ceiling(recall: Column) -> Column:
     return F.least(F.lit(1.0), recall + 1 / 101)
+
+
+def transfer(cells: DataFrame, sizes: tuple[int, ...] = (25, 50, 100), least: int = 5) -> DataFrame:
+    """Whether the level holds at each size (cells: n, r, holds): a majority of chains, at the last size all alike, else an error."""
+    full = F.col("n") == max(sizes)
+    alike = F.when(full & (F.count_distinct("holds") > 1), F.raise_error(F.lit("cells of the full gallery differ")).cast("boolean"))
+    return cells.groupBy("n").agg(F.count_if("holds").alias("chains"), F.coalesce(alike, F.when(full, F.every("holds")).otherwise(F.count_if("holds") >= least)).alias("holds"))
+
+
+def zone_verdict(found: Column, upper: Column, lower: Column, margin: Column | float) -> Column:
+    """upper, lower or partial: within the margin of the upper level, of the lower one, or between; null levels give null, overlapping zones an error."""
+    hi, lo = upper - margin, lower + margin
+    return F.when(lo >= hi, F.raise_error(F.lit("zones overlap")).cast("string")).when(found >= hi, "upper").when(found <= lo, "lower").when(found.isNotNull(), "partial")
+
+
+def sequential_choice(results: DataFrame, gain: float = 0.01) -> DataFrame:
+    """The last candidate that beats the one before it by ``gain`` (results: ord, name, recall), from the first in ord. A few rows, folded in one."""
+    rows = F.array_sort(F.collect_list(F.struct("ord", "name", "recall")))
+    fold = F.aggregate("rows", F.col("rows")[0], lambda at, x: F.when(x["recall"] >= at["recall"] + gain, x).otherwise(at))
+    return results.agg(rows.alias("rows")).filter(F.size("rows") > 0).select(fold.alias("x")).select("x.name", "x.recall")
+
+
+def ceiling_violations(found: DataFrame, recall: DataFrame, slack: float = 1 / 101) -> DataFrame:
+    """Types whose ap is above min(1, recall + slack): none, for a correct evaluation."""
+    top = F.least(F.lit(1.0), F.col("recall") + slack)
+    return found.join(recall, "type").filter(F.col("ap") > top + 1e-12).select("type", "ap", top.alias("top"))

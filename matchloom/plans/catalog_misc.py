@@ -124,10 +124,10 @@ def percent_format(spark, sf):
     return table(spark, sf, "events").select("event_id", X.percent(F.col("event_id") / 8.0).alias("p"))
 
 
-@query("normalised", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])/list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]),6) AS n FROM embeddings")
+@query("normalised", "SELECT vec_id, round(embedding[1]::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])),6) AS first, round(embedding[-1]::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])),6) AS last FROM embeddings")
 def normalised(spark, sf):
     z = X.normalise(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(z, F.lit(0.0), lambda a, x: a + x * x), 6).alias("n"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at(z, 1), 6).alias("first"), F.round(F.element_at(z, -1), 6).alias("last"))
 
 
 @query("center_patches", f"WITH {V.PRED} SELECT scene_id, mask_no, (greatest(0,least(36,floor((y0+y1)/2/14)))*37+greatest(0,least(36,floor((x0+x1)/2/14))))::BIGINT AS patch FROM pred")

@@ -11,6 +11,7 @@ from matchloom.operators import calibration as C
 from matchloom.operators import greedy as G
 from matchloom.operators import metrics as M
 from matchloom.operators import nesting as N
+from matchloom.operators import rules as R
 from matchloom.operators import search as S
 from matchloom.sources import gallery as GA
 from matchloom.sources import voc
@@ -164,3 +165,35 @@ def test_voc_rules(spark):
     assert {(r.name, r.category_id) for r in out} == {("a", 0), ("b", 1)}
     with pytest.raises(Exception):  # noqa: B017
         voc.with_rules(d, {}, [], ["a"]).collect()
+
+
+def test_zone_verdict(spark):
+    d = spark.createDataFrame([(60.0, 50.0, 59.0), (60.0, 50.0, 51.0), (60.0, 50.0, 55.0), (60.0, 50.0, None)], "hi double, lo double, d double")
+    got = [r[0] for r in d.select(R.zone_verdict(F.col("d"), F.col("hi"), F.col("lo"), 1.0)).collect()]
+    assert got == ["upper", "lower", "partial", None]
+    with pytest.raises(Exception, match="overlap"):
+        d.select(R.zone_verdict(F.col("d"), F.lit(52.0), F.col("lo"), 1.0)).collect()
+
+
+def test_transfer_wants_one_full_cell(spark):
+    c = spark.range(9).selectExpr("100 n", "id r", "id > 0 holds")
+    with pytest.raises(Exception, match="differ"):
+        R.transfer(c).collect()
+    assert R.transfer(c.withColumn("holds", F.lit(False))).collect()[0].holds is False
+    assert R.transfer(c.withColumn("n", F.lit(25))).collect()[0].holds is True
+
+
+def test_sequential_choice(spark):
+    rows = lambda *r: spark.createDataFrame([(i, n, float(x)) for i, (n, x) in enumerate(r)], "ord int, name string, recall double")
+    assert R.sequential_choice(rows(("a", 0.5), ("b", 0.505), ("c", 0.6), ("d", 0.605))).collect()[0].name == "c"
+    assert R.sequential_choice(rows(("a", 0.5))).collect()[0].name == "a"
+    assert R.sequential_choice(rows(("a", 0.5)).limit(0)).count() == 0
+
+
+def test_matching_ignores_zones_and_frees_crowds():
+    box = lambda *rows: {c: np.array([r[i] for r in rows], dtype=float) for i, c in enumerate(("x0", "y0", "x1", "y1"))}
+    det = {**box((0, 0, 10, 10), (0, 0, 10, 10), (0, 0, 10, 10)), "det_no": np.arange(3), "score": np.array([0.9, 0.8, 0.7])}
+    gt = {**box((0, 0, 10, 10), (0, 0, 40, 40)), "gt_no": np.array([0, 1]), "iscrowd": np.array([False, True])}
+    m = M.match_group(det, gt, np.array([0.5]), 0.0, 1e10, 100)
+    # the first takes the box, the others the crowd, again and again, and count for nothing
+    assert m["gt_no"].tolist() == [0, 1, 1] and m["ignored"].tolist() == [False, True, True]
