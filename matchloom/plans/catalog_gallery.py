@@ -13,6 +13,7 @@ from ..operators import search as S
 from ..operators import stats as T
 from ..sources import gallery as GA
 from . import views as V
+from .numbering import numbered
 from .registry import query
 
 K = ["scene_id", "mask_no", "vec_id", "known"]
@@ -297,11 +298,13 @@ def kappa_calibration(spark, sf):
     """Threshold by quantile and by model of the tail for two error rates; kappa is null where no root exists."""
     pairs = S.similarities(V.query(spark, sf).filter("NOT known"), V.ref(spark, sf), ["vec_id"])
     tail = C.Tail.of(pairs, 20_000, 1_001)
-    star = [r[0] for r in _decided(spark, sf).filter("NOT known").select("s_star").collect()]  # the calibration set, bounded by its protocol
-    n = V.ref(spark, sf).count()
+    star = numbered(_decided(spark, sf).filter("NOT known").select("vec_id", "s_star"), ["s_star", "vec_id"], "i")
+    m, n = star.count(), V.ref(spark, sf).count()
     rows = []
     for eps in (0.05, 0.01):
-        k = C.solve_kappa(tail, star, eps, n)
+        ranks = C.decisive_ranks(eps, m) if m else ()
+        level = {m - r.i: r.s_star for r in star.filter(F.col("i").isin([m - k for k in ranks])).select("i", "s_star").collect()} if m else {}
+        k = C.solve_kappa(tail, *(level[r] for r in ranks), eps, n) if m else None
         rows.append((str(eps), k, C.tau_model(tail, eps, k, n) if k else None))
     q = spark.createDataFrame(rows, "eps string, kappa double, tau_m double")
     return q

@@ -132,7 +132,7 @@ def test_auroc(spark):
 def test_calibration_scalars(spark):
     t = C.Tail(5, [5.0, 4.0], [1.0, 2.0, 3.0, 4.0, 5.0])
     assert t.quantile(0.5) == 3.0 and t.quantile(0.9) == pytest.approx(4.6)
-    assert C.solve_kappa(t, [0.0] * 10, 0.05, 10) is None
+    assert C.solve_kappa(t, 0.0, 0.0, 0.05, 10) is None
     n = spark.createDataFrame([(6, 100), (7, 100)], "k long, n long")
     assert [r[0] for r in n.select(C.needs_recalibration(F.col("k"), F.col("n"), (1, 20), (1, 5))).collect()] == [False, True]
 
@@ -197,3 +197,20 @@ def test_matching_ignores_zones_and_frees_crowds():
     m = M.match_group(det, gt, np.array([0.5]), 0.0, 1e10, 100)
     # the first takes the box, the others the crowd, again and again, and count for nothing
     assert m["gt_no"].tolist() == [0, 1, 1] and m["ignored"].tolist() == [False, True, True]
+
+
+def test_kappa_by_two_ranks_equals_counting():
+    rng, found = np.random.default_rng(1), 0
+    for m, eps in ((40, 0.05), (41, 0.05), (7, 0.3), (100, 0.01), (20, 0.1), (1, 0.5)):
+        s = np.sort(np.round(rng.normal(size=m), 1))[::-1]
+        pairs = np.sort(rng.normal(size=5000))
+        t = C.Tail(5000, pairs[-500:].tolist(), np.quantile(pairs, np.linspace(0, 1, 1001)).tolist())
+        k, above = C.decisive_ranks(eps, m)
+        for level in [*s.tolist(), s[0] + 1, s[-1] - 1, 0.05]:
+            over = (s >= level).sum() / m - eps
+            assert (over < 0) == (s[k - 1] < level) and (over > 0) == (above <= m and s[above - 1] >= level)
+        kappa = C.solve_kappa(t, s[k - 1], s[above - 1], eps, 60)
+        if kappa is not None:
+            found += 1
+            assert (s >= C.tau_model(t, eps, kappa, 60)).sum() / m <= eps
+    assert found
