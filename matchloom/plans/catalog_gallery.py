@@ -297,7 +297,7 @@ def predicted_ratio(spark, sf):
 def kappa_calibration(spark, sf):
     """Threshold by quantile and by model of the tail for two error rates; kappa is null where no root exists."""
     pairs = S.similarities(V.query(spark, sf).filter("NOT known"), V.ref(spark, sf), ["vec_id"])
-    tail = C.Tail.of(pairs, 20_000, 1_001)
+    tail = C.Tail.of(pairs)
     star = numbered(_decided(spark, sf).filter("NOT known").select("vec_id", "s_star"), ["s_star", "vec_id"], "i")
     m, n = star.count(), V.ref(spark, sf).count()
     rows = []

@@ -1,5 +1,7 @@
 """Hand-made cases and properties of the core operators."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -214,3 +216,39 @@ def test_kappa_by_two_ranks_equals_counting():
             found += 1
             assert (s >= C.tau_model(t, eps, kappa, 60)).sum() / m <= eps
     assert found
+
+
+def test_kappa_calibration_reads_tail_past_20000_pairs(spark, tmp_path):
+    """All gallery rows alike: each answered query exceeds the threshold with all N pairs, so it lies about 0.05 m N pairs deep."""
+    from matchloom.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(7)
+    ids = [*range(2, 4000, 4), *range(1, 1100, 2)]
+    z = rng.normal(size=(len(ids), 4)) * np.where(np.array(ids) % 2, 1e-3, 1.0)[:, None] + np.where(np.array(ids) % 2, 1.0, 0.0)[:, None] * [1, 0, 0, 0]
+    spark.createDataFrame([(i, i % 10, v.tolist()) for i, v in zip(ids, z, strict=True)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.eps: r for r in QUERIES["kappa_calibration"](spark, str(tmp_path)).collect()}
+    refs = [i for i in ids if i % 2 and i % 50 != 49]
+    q = z[np.array(ids) % 2 == 0].astype(np.float32).astype(float)
+    r = z[np.isin(ids, refs)].astype(np.float32).astype(float)
+    s = np.round(q @ r.T, 6)
+    pairs, star, n = np.sort(s.ravel()), s.max(axis=1), len(refs)
+    level = lambda eps, kappa: np.quantile(pairs, (1 - eps) ** (1 / (kappa * n)))
+    deep = 0
+    for eps in (0.05, 0.01):
+        lo, hi = math.log(1e-3), 0.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (star >= level(eps, math.exp(mid))).mean() > eps else (lo, mid)
+        k, tau = got[str(eps)].kappa, got[str(eps)].tau_m
+        deep = max(deep, (pairs >= tau).sum())
+        assert abs(k - math.exp(hi)) < 1e-6 * k
+        assert abs(tau - level(eps, k)) < 3e-6
+    assert 20_000 < deep < 200_000
+
+
+@pytest.mark.parametrize("n, keep, points", [(0, 5, 11), (1, 5, 11), (7, 3, 11), (1000, 50, 101), (3000, 5000, 11)])
+def test_tail_equals_sorting(spark, n, keep, points):
+    s = np.round(np.random.default_rng(n).normal(size=n), 1 if n == 1000 else 6)
+    t = C.Tail.of(spark.createDataFrame([(float(x),) for x in s] + [(None,)], "s double"), keep, points)
+    assert t.n == n and t.top == sorted(s.tolist(), reverse=True)[:keep]
+    assert np.allclose(t.grid, np.quantile(s, np.linspace(0, 1, points)) if n else [])
