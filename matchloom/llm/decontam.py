@@ -13,8 +13,8 @@ block's word hashes are broadcast at a time and every document meets every
 block, so neither side need be small.
 
 Defined results: null and empty texts hold nothing; items without words are left out, and
-items shorter than ``shortest`` words must occur whole; repeated items count once each; rows that share a doc_id share their findings
-where the benchmark has several blocks; an empty benchmark contaminates nothing; an empty table gives an empty result.
+items shorter than ``shortest`` words must occur whole; repeated items count once each; every row has its own findings, with or without an id and
+however many rows share it; an empty benchmark contaminates nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -180,10 +180,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, least:
     if blocks == 1:
         return one(0, docs)
     _ = fields
+    # Findings depend on the text alone; they join back by id and text, so a row gets what it would get from one block.
+    key = F.sha2("text", 256)
     found = None
     for block in range(blocks):
-        part = one(block, docs.select("doc_id", "text")).filter("coverage > 0").select("doc_id", "items", "coverage")
+        part = one(block, docs.select("doc_id", "text")).filter("coverage > 0").select("doc_id", key.alias("_key"), "items", "coverage").distinct()
         found = part if found is None else found.union(part)
-    found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"))
-    joined = docs.alias("d").join(found.alias("f"), F.col("d.doc_id") == F.col("f.doc_id"), "left")
+    found = found.groupBy("doc_id", "_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("coverage").alias("coverage"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.sha2("d.text", 256) == F.col("f._key"))
+    joined = docs.alias("d").join(found.alias("f"), same, "left")
     return joined.select(*(F.col(f"d.`{c}`") for c in keep), F.coalesce("f.items", F.array().cast("array<long>")).alias("items"), F.coalesce("f.coverage", F.lit(0.0)).alias("coverage"))

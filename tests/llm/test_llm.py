@@ -399,6 +399,16 @@ def test_decontam(spark, texts, size):
     assert decontam.scan(frame(spark, rows), bench.limit(0)).filter("coverage > 0").count() == 0
 
 
+@pytest.mark.parametrize("size", [8 << 20, 200])
+def test_decontam_findings_are_per_row(spark, size):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, item), (2, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10"), *((i, f"filler {i} " * 9) for i in range(10, 30))], "item_id long, text string")
+    rows = [(None, f"a {item} b"), (None, "clean"), (None, None), (None, f"a {item} b"), (7, f"c {item}"), (7, "clean too"), (7, None), (8, f"{item} q1 q2 q3 q4 q5 q6 q7 q8 x q9 q10")]
+    got = decontam.scan(frame(spark, rows), bench, block_bytes=size)
+    assert sorted((str(r.doc_id), str(r.text), r["items"], r.coverage) for r in got.collect()) == sorted((str(i), str(t), [x for x, p in ((1, item), (2, "q1")) if p in (t or "")], float(item in (t or ""))) for i, t in rows)
+    assert "hash" in got.columns
+
+
 # ---- op10
 
 
