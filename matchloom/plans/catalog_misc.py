@@ -161,6 +161,16 @@ def pool_features(spark, sf):
     return e.groupBy("label", (F.col("p") + 1).alias("i")).agg(F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 6).alias("v"))
 
 
+@query("pool_vectors", """WITH r AS (SELECT label, vec_id, vec_id%7 AS w, embedding AS z FROM embeddings), t AS (SELECT label, sum(w) AS total, min(vec_id)+max(vec_id) AS mid FROM r GROUP BY 1),
+n AS (SELECT r.*, total, row_number() OVER (PARTITION BY r.label ORDER BY abs(2*vec_id-mid), vec_id) AS near FROM r JOIN t USING (label)), u AS (SELECT label, z, CASE WHEN total=0 THEN (near=1)::INT ELSE w END AS w FROM n),
+e AS (SELECT label, i, sum(z[i]::DOUBLE*w)/sum(w) AS v FROM u, (SELECT unnest(range(1,(SELECT max(len(embedding)) FROM embeddings)+1)) AS i) GROUP BY ALL)
+SELECT label, i::INT AS i, round(v/greatest(sqrt(sum(v*v) OVER (PARTITION BY label)),1e-12),6) AS v FROM e""")
+def pool_vectors(spark, sf):
+    """The whole pooled vector of each label; pool_features has the first four components of the mean, as its SQL has."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", (F.col("vec_id") % 7).alias("w"), "embedding")
+    return X.pool(e, "label", "vec_id", "w", "embedding").withColumn("v", F.round("v", 6))
+
+
 def _directions(e, n: int) -> np.ndarray:
     """The n leading directions of all vectors: partial sums of products per task, one matrix of dim x dim in the driver."""
 

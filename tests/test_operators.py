@@ -252,3 +252,27 @@ def test_tail_equals_sorting(spark, n, keep, points):
     t = C.Tail.of(spark.createDataFrame([(float(x),) for x in s] + [(None,)], "s double"), keep, points)
     assert t.n == n and t.top == sorted(s.tolist(), reverse=True)[:keep]
     assert np.allclose(t.grid, np.quantile(s, np.linspace(0, 1, points)) if n else [])
+
+
+def test_pool_equals_pooled_over_all_components(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(12, 9)).astype(np.float32)
+    rows = [(i % 3, i, 0 if i % 3 == 2 else i % 4, z[i].tolist()) for i in range(12)]
+    got = X.pool(spark.createDataFrame(rows, "label int, at long, w long, z array<float>"), "label", "at", "w", "z").orderBy("i").collect()
+    for label in range(3):
+        mine = [r for r in rows if r[0] == label]
+        want = X.pooled(np.array([r[3] for r in mine]), np.array([r[2] for r in mine]), 1)  # of 2, 5, 8, 11, the middle is 6.5
+        assert np.allclose([r.v for r in got if r.label == label], want) and np.linalg.norm(want) == pytest.approx(1)
+        assert label != 2 or np.allclose(want, z[5] / np.linalg.norm(z[5]))
+    with pytest.raises(ValueError):
+        X.pooled(z, np.zeros(12))
+
+
+def test_patch_grid_mask():
+    m = np.zeros((9, 8), bool)
+    m[0:3, 0:4] = True
+    assert np.allclose(X.patch_grid_mask(m, (9, 8), 4), [[0.75, 0.0], [0.0, 0.0]])
+    assert np.allclose(X.patch_grid_mask(np.ones((10, 7)), (5, 4), 2), 1.0)
+    assert np.allclose(X.patch_grid_mask(np.array([[1, 1, 0]]), (1, 2), 1), [[1.0, 1 / 3]])
+    with pytest.raises(ValueError):
+        X.patch_grid_mask(m, (4, 4), 2, resize=False)
