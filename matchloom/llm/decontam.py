@@ -13,7 +13,8 @@ block's word hashes are broadcast at a time and every document meets every
 block, so neither side need be small.
 
 Defined results: null and empty texts hold nothing; items without words are left out, and
-items shorter than ``shortest`` words must occur whole; repeated items count once each; every row has its own findings, with or without an id and
+items shorter than ``shortest`` words must occur whole; repeated items count once each; items without an id contaminate too and
+stand as one null at the end of ``items``; every row has its own findings, with or without an id and
 however many rows share it; an empty benchmark contaminates nothing; an empty table gives an empty result.
 """
 
@@ -92,7 +93,7 @@ def tile(item: np.ndarray, doc: np.ndarray, shortest: int = SHORTEST) -> list[tu
 class Index:
     """Items of one block: their word hashes and a sorted table of seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], shortest: int = SHORTEST):
+    def __init__(self, ids: list[int | None], texts: list[str], shortest: int = SHORTEST):
         self.ids, self.items, self.shortest = [], [], shortest
         col = pa.array(texts, pa.large_string())
         for i, j, raw, off in V.slices(col):
@@ -136,7 +137,7 @@ class Index:
                     covered[p[a:b] + d] = True
                 yield int(key[a] // len(self.items)), int(key[a] % len(self.items)), covered
 
-    def find(self, w: V.Words, least: float) -> Iterator[tuple[int, int, float]]:
+    def find(self, w: V.Words, least: float) -> Iterator[tuple[int, int | None, float]]:
         """(row, item id, coverage) of coverages of at least ``least``."""
         for row, n, covered in self.hits(w):
             item = self.items[n]
@@ -151,26 +152,26 @@ class Index:
 def scan(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, least: float = LEAST, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of docs, then items (array of contaminating item ids) and coverage (the largest, 0 if none)."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     keep = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def one(block: int, source: DataFrame) -> DataFrame:
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_bytes
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_bytes
         index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], shortest))
         names = source.columns
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = names.index("text")
             for b in batches:
-                found: dict[int, list[tuple[int, float]]] = {}
+                found: dict[int, list[tuple[int | None, float]]] = {}
                 for i, _, raw, off in V.slices(b.column(at)):
                     w = V.words(raw, off, lower=True)
                     for row, item, share in index.value.find(w, least):
                         found.setdefault(i + row, []).append((item, share))
-                lists = pa.array([sorted({x for x, _ in found.get(i, [])}) for i in range(b.num_rows)], pa.list_(pa.int64()))
+                lists = pa.array([sorted({x for x, _ in found.get(i, [])}, key=lambda x: (x is None, x)) for i in range(b.num_rows)], pa.list_(pa.int64()))
                 most = pa.array([max((s for _, s in found.get(i, [])), default=0.0) for i in range(b.num_rows)], pa.float64())
                 yield pa.RecordBatch.from_arrays([*b.columns, lists, most], [*names, "items", "coverage"])
 

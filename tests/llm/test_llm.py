@@ -409,6 +409,15 @@ def test_decontam_findings_are_per_row(spark, size):
     assert "hash" in got.columns
 
 
+@pytest.mark.parametrize("size", [8 << 20, 200])
+def test_decontam_scans_items_without_id(spark, size):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(10)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (None, b), (3, c), (None, None), (None, ""), *((None, f"filler {i} " * 9) for i in range(20))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.scan(frame(spark, [(1, a), (2, f"{c} {b} {a}"), (3, c), (4, "clean"), (None, b)]), bench, block_bytes=size).collect()}
+    assert [got[i]["items"] for i in (1, 2, 3, 4, None)] == [[None], [3, None], [3], [], [None]]
+    assert [got[i].coverage for i in (1, 2, 3, 4, None)] == [1.0, 1.0, 1.0, 0.0, 1.0]
+
+
 # ---- op10
 
 
