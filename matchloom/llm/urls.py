@@ -4,8 +4,8 @@ Everything is DataFrame functions.  Parsing: the host runs from the first
 ``://`` to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; the path from there
 to ``?``, ``#`` or the end.  A null url or one without ``://`` has both empty.
 
-The tree: per host, path segments are first generalised by kind (digits, long
-hex, dates become wildcards), then, level by level, all children of a node that
+The tree: per host, all path segments are first generalised by kind (digits, long
+hex, dates become wildcards), then, level by level to any depth, all children of a node that
 has too many different ones become one wildcard.  Sibling branches of a host whose smoothed
 share of blocked urls is alike and that lead on alike are merged, and a template
 is rejected if its smoothed purity (share of blocked among the urls that rules
@@ -18,15 +18,12 @@ are judged each; an empty table gives an empty result; other columns are kept ou
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stash as S
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 4
 
 
 def host_of(url: Column) -> Column:
@@ -61,10 +58,9 @@ def kind_of(segment: Column) -> Column:
     return F.regexp_replace(s, r"[0-9]+", "{n}")
 
 
-def _levels(path: Column) -> list[Column]:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
-    cut = [F.when(F.size(parts) > i, kind_of(F.get(parts, F.lit(i)))) for i in range(DEPTH)]
-    return [*cut, F.when(F.size(parts) > DEPTH, F.lit("{more}"))]
+def _segments(path: Column) -> Column:
+    """All path segments, each generalised by kind."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/", -1), kind_of)
 
 
 def judge(
@@ -82,30 +78,34 @@ def judge(
     the tree is above Spark's broadcast threshold; then AQE splits hot keys.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    level = [f"s{i}" for i in range(DEPTH + 1)]
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    cut = parsed.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("r"), *(c.alias(n) for n, c in zip(level, _levels(F.col("path")), strict=True)))
-    cut = cut.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), F.xxhash64(*level).alias("kinds"), *level)
+    cut = parsed.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("r"), _segments(F.col("path")).alias("segments"))
+    cut = cut.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"), F.xxhash64("segments").alias("kinds"), "segments")
 
     # One row per (host, kinds): all later work is on this table of templates.
     labelled = F.count("ruled")
     blocked = F.count(F.when(F.col("ruled") == "block", 1))
-    tree = cut.groupBy("host", "kinds", *level).agg(F.count("*").alias("n"), labelled.alias("labelled"), blocked.alias("blocked"))
+    tree = cut.groupBy("host", "kinds", "segments").agg(F.count("*").alias("n"), labelled.alias("labelled"), blocked.alias("blocked"))
     tree = S.stash(tree, "tree")  # stashed level by level, or plans would double with each
-    done: list[str] = []
-    for name in level[:DEPTH]:  # variable segments, from the root down
-        node = ["host", *done]
-        wide = tree.groupBy(*node).agg((F.count_distinct(name) > most_children).alias("wide"))
-        on = reduce(lambda a, b: a & b, (F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in node))
-        up = tree.alias("t").join(wide.alias("w"), on).select(
-            *(f"t.{c}" for c in tree.columns if c != name),
-            F.when(F.col("w.wide") & F.col(f"t.{name}").isNotNull(), F.lit("*")).otherwise(F.col(f"t.{name}")).alias(name),
-        )
+    level = 0
+    while True:  # variable segments, from the root down, until no node can have too many children at any level below
+        node, rest = F.slice("segments", 1, level), F.slice("segments", level + 1, F.size("segments") - level)
+        deep = tree.filter(F.size("segments") > level).groupBy("host", node.alias("node"))
+        wide = deep.agg(F.count_distinct(rest).alias("leads"), F.count_distinct(F.get("segments", F.lit(level))).alias("children")).filter(F.col("leads") > most_children)
+        wide = S.stash(wide, "wide")
+        if wide.isEmpty():
+            S.drop(wide)
+            break
+        w = wide.filter(F.col("children") > most_children).select(F.col("host").alias("_host"), "node", F.lit(True).alias("_wide"))
+        on = (F.col("host") == F.col("_host")) & (node == F.col("node")) & (F.size("segments") > level)
+        star = F.transform("segments", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))
+        up = tree.join(w, on, "left").select(*(c for c in tree.columns if c != "segments"), F.when(F.col("_wide"), star).otherwise(F.col("segments")).alias("segments"))
         before, tree = tree, S.stash(up, "tree")
         S.drop(before)
-        done.append(name)
-    template = F.concat_ws("/", *level)
-    tree = tree.select("host", "kinds", "n", "labelled", "blocked", F.col("s0").alias("branch"), template.alias("template"))
+        S.drop(wide)
+        level += 1
+    template = F.concat_ws("/", "segments")
+    tree = tree.select("host", "kinds", "n", "labelled", "blocked", F.get("segments", F.lit(0)).alias("branch"), template.alias("template"))
 
     # Smoothed shares, from the root to the leaf; each is the prior of the next.
     def share(prior: Column) -> Column:

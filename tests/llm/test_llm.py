@@ -375,6 +375,17 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
 
 
+def test_urls_deep_branches(spark):
+    long = "/".join("abcdefgh"[i % 8] for i in range(60))
+    u = [f"http://w{i // 10}.net/{x}/b/c/d/{e}/{i % 10}x" for i in range(30) for x in "pq" for e in ("good", "bad")]
+    u += [f"http://v.net/a/b/c/d/e/{'abcdefghijklmnopqrstuvwxyz'[i // 10]}{'abcdefghij'[i % 10]}/f" for i in range(40)] + [f"http://v.net/{long}", "http://v.net/a/b/c"]
+    got = {r.path: r for r in urls.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), [(f"w{i}.net/p/b/c/d/bad", "block") for i in range(3)] + [(f"w{i}.net/p/b/c/d/good", "allow") for i in range(3)]).collect()}
+    assert got["/p/b/c/d/bad/1x"].template == "p/b/c/d/bad/{n}x" and got["/p/b/c/d/good/1x"].template == "p/b/c/d/good/{n}x"
+    assert got["/p/b/c/d/bad/1x"].purity > 0.5 > got["/p/b/c/d/good/1x"].purity
+    assert {r.template for p, r in got.items() if p.endswith("/f")} == {"a/b/c/d/e/*/f"}
+    assert got["/a/b/c"].template == "a/b/c" and got[f"/{long}"].template == long.replace("a/b/c/d/e/f/", "a/b/c/d/e/*/", 1)
+
+
 # ---- op9
 
 
