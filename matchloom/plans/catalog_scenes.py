@@ -336,8 +336,18 @@ pr AS (SELECT b, cat, thr, recall, max(prec) AS prec FROM (SELECT b, m.cat, thr,
 ap AS (SELECT b, cat, sum(p)/1010 AS ap FROM (SELECT b, cat, thr, x, max(prec) AS p FROM pr JOIN points ON x<=recall GROUP BY ALL) GROUP BY ALL), v AS (SELECT b, avg(coalesce(ap,0)) AS value FROM wg LEFT JOIN ap USING (b, cat) GROUP BY b)
 SELECT count(*) AS replicates, round(quantile_cont(value,0.025),6) AS lo, round(quantile_cont(value,0.975),6) AS hi FROM v""")
 def boot_ap(spark, sf):
+    return _boot_ap(spark, sf, 10)
+
+
+@query("boot_ap_ci")
+def boot_ap_ci(spark, sf):
+    """boot_ap with the 50 replicates of the other bootstrap queries."""
+    return _boot_ap(spark, sf)
+
+
+def _boot_ap(spark, sf, *replicates: int):
     m, g = _eval(spark, sf)
-    w = V.boot(g, 10)
+    w = V.boot(g, *replicates)
     ap = M.average_precision(m, M.gt_counts(g), w).groupBy("b").agg(F.avg("ap").alias("value"))
     return ap.agg(F.count("*").alias("replicates"), *S.interval("value"))
 

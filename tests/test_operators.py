@@ -276,3 +276,17 @@ def test_patch_grid_mask():
     assert np.allclose(X.patch_grid_mask(np.array([[1, 1, 0]]), (1, 2), 1), [[1.0, 1 / 3]])
     with pytest.raises(ValueError):
         X.patch_grid_mask(m, (4, 4), 2, resize=False)
+
+
+def test_boot_ap_ci_has_50_replicates(spark, tmp_path):
+    from matchloom.plans import catalog_scenes as K
+    from matchloom.plans import views
+    from matchloom.plans.catalog import QUERIES
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 400").write.parquet(f"{tmp_path}/lineitem.parquet")
+    m, g = K._eval(spark, str(tmp_path))
+    m, g = m.localCheckpoint(), g.localCheckpoint()
+    value = [r.v for r in M.average_precision(m, M.gt_counts(g), views.boot(g, 50)).groupBy("b").agg(F.avg("ap").alias("v")).collect()]
+    got = QUERIES["boot_ap_ci"](spark, str(tmp_path)).collect()[0]
+    assert got.replicates == len(value) == 50
+    assert np.allclose([got.lo, got.hi], np.quantile(value, [0.025, 0.975]), atol=2e-6)
