@@ -152,7 +152,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     second = S.stash(rest.groupBy("source", "g").applyInPandas(_level(2), schema), "flight")
     third = second.filter(open_).withColumn("g", F.lit(0).cast("long")).groupBy("source", "g").applyInPandas(_level(3), schema)
     S.drop(sizes)
-    S.sweep(spark)
     out = first.filter(~open_).union(second.filter(~open_)).union(third)
     taken = ((F.col("times") + F.round("pi")) * F.col("size")).cast("long").alias("taken")
     return out.select("doc_id", "source", "size", "source_size", "target", taken)

@@ -246,7 +246,6 @@ def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
     found = S.stash(dealt.select("cell", "part", "fp", "visitor").mapInArrow(_compare, "a long, b long").distinct(), "links")
     S.drop(load)
-    S.sweep(spark)
     return found
 
 
@@ -270,7 +269,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         after = S.stash(pairs.union(small.select(F.col("m").alias("u"), "v")).filter("u <> v").distinct(), "star")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0]
         S.drop(now, large)
-        S.sweep(spark)
         now = after
         if sign == before:
             break

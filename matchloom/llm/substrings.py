@@ -240,23 +240,19 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = 4096) -> DataFrame
     shared = numbers.join(minis, "mini")
     segs = S.stash(shared.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "size", "mini", "hot")).alias("segs")), "segments")
     S.drop(numbers, minis)
-    S.sweep(spark)
 
     packed = some.join(segs, ["doc_id", "version"]).select("text", "doc_id", "version", "segs")
     packed = S.stash(packed.mapInArrow(_pack(k), "doc_id long, version long, pos int, size int, bucket long, ident long, packed binary"), "packed")
     S.drop(segs)
-    S.sweep(spark)
 
     strings = packed.select("bucket", "ident", "packed", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"))
     strings = strings.mapInArrow(_fold, "bucket long, ident long, packed binary, lo long, hi long").repartition("bucket").sortWithinPartitions("bucket", "packed")
     counted = S.stash(strings.mapInArrow(_count(k), "bucket long, ident long, runs array<struct<off:int,n:int,doc:bigint>>"), "counted")
-    S.sweep(spark)
     places = packed.select("bucket", "ident", "doc_id", "version", "pos")
     again = F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))
     span = lambda r: F.struct((F.col("pos") + r["off"]).alias("from"), (F.col("pos") + r["off"] + r["n"] + (k - 1)).alias("to"))
     spans = places.join(counted, ["bucket", "ident"]).select("doc_id", "version", F.transform(again, span).alias("spans")).filter("size(spans) > 0")
     spans = S.stash(spans.groupBy("doc_id", "version").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     S.drop(packed, counted)
-    S.sweep(spark)
     out = texts.join(spans, ["doc_id", "version"], "left").select("text", "doc_id", "spans")
     return out.mapInArrow(_cut_words, "doc_id long, n_words long, n_removed long, kept string")

@@ -84,8 +84,8 @@ class Words:
         return len(self.start)
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, last row + 1, bytes, offsets from 0) of slices of about CHUNK bytes.
+def slices(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first row, last row + 1, bytes, offsets from 0) of slices of about ``size`` (CHUNK) bytes.
 
     Null texts have no bytes.
     """
@@ -102,7 +102,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (size or CHUNK), "right")) - 1)
         j = min(j, n)
         yield i, j, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j

@@ -121,36 +121,51 @@ def test_substrings(spark, texts, hot):
 # ---- op3
 
 
-def test_kneser(spark, texts):
+@pytest.mark.parametrize("per_shard", [60, 4_000_000])
+def test_kneser(spark, texts, per_shard):
     rows = [*texts, (5, texts[5][1]), (None, "A b")]
-    model = kneser.train(frame(spark, rows))
-    got = kneser.score(frame(spark, [*rows, (900, "never seen words")]), model, ["doc_id", "hash"]).collect()
-    seqs = [[x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in words(t)] + [0] for _, t in rows]
-    uni, big = Counter(x for s in seqs for x in s), Counter(p for s in seqs for p in zip([1, *s], s))
+    model = kneser.train(frame(spark, rows), per_shard=per_shard)
+    assert (len(model.split.keys) > 3) == (per_shard == 60)
+    extra = [(900, "never seen words"), (901, "a never bee"), (902, "go go a")]
+    clash = frame(spark, [*rows, *extra]).withColumn("score", F.lit("x"))
+    got = kneser.score(clash, model, ["doc_id", "hash", "score"]).collect()
+    low = lambda t: ["".join(c.lower() if c.isascii() else c for c in x) for x in words(t)] + [0]
+    seqs = [low(t) for _, t in rows]
+    tri = Counter(x for s in seqs for x in zip([1, 1, *s], [1, *s], s))
+    uni = Counter(x for s in seqs for x in s)
     n, v = sum(uni.values()), len(uni)
-    after = Counter(b for _, b in big)
+    two = Counter((b, c) for _, b, c in tri)
+    one = Counter(c for _, c in two)
     disc = lambda c: [0, *kneser._discounts({f"n{i}": sum(x == i for x in c.values()) for i in (1, 2, 3, 4)})]
-    d2, d1 = disc(big), disc(after)
-    total, gamma = Counter(), Counter()
-    for (a, _), x in big.items():
-        total[a] += x
-        gamma[a] += d2[min(x, 3)]
-    m = sum(after.values())
-    low = sum(d1[min(x, 3)] for x in after.values()) / m
-
-    def q(w):
-        return max(after[w] - d1[min(after[w], 3)], 0) / m + low / (v + 1)
-
-    def p(a, w):
-        return max(big[a, w] - d2[min(big[a, w], 3)], 0) / total[a] + gamma[a] / total[a] * q(w) if a in total else q(w)
-
-    for c in ("a", 1, "never"):
-        assert sum(p(c, w) for w in uni) + p(c, "unseen") == pytest.approx(1)
+    d3, d2, d1 = disc(tri), disc(two), disc(one)
+    t3, g3, t2, g2 = Counter(), Counter(), Counter(), Counter()
+    for (a, b, _), x in tri.items():
+        t3[a, b] += x
+        g3[a, b] += d3[min(x, 3)]
+    for (b, _), x in two.items():
+        t2[b] += x
+        g2[b] += d2[min(x, 3)]
+    m = sum(one.values())
+    left = sum(d1[min(x, 3)] for x in one.values()) / m
+
+    def p(a, b, w):
+        q = max(one[w] - d1[min(one[w], 3)], 0) / m + left / (v + 1)
+        if b in t2:
+            q = max(two[b, w] - d2[min(two[b, w], 3)], 0) / t2[b] + g2[b] / t2[b] * q
+        if (a, b) in t3:
+            q = max(tri[a, b, w] - d3[min(tri[a, b, w], 3)], 0) / t3[a, b] + g3[a, b] / t3[a, b] * q
+        return q
+
+    for c in (("a", "a"), (1, 1), ("bee", "a"), ("never", "a"), ("a", "never")):
+        assert sum(p(*c, w) for w in uni) + p(*c, "unseen") == pytest.approx(1)
     assert model.sums["tokens"] == n and model.sums["words"] == v
-    for r, s in zip(sorted(got, key=lambda r: str(r.doc_id)), [x for _, x in sorted(zip([str(i) for i, _ in [*rows, (900, "")]], [*seqs, ["never", "seen", "words", 0]]), key=lambda x: x[0])]):
-        assert r.n_tokens == len(s) and r.n_known == sum(x in uni for x in s)
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip([1, *s], s)), abs=1e-6)
-        assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in s), abs=1e-6)
+    want = Counter()
+    for i, t in [*rows, *extra]:
+        s = low(t)
+        score = sum(math.log10(p(*x)) for x in zip([1, 1, *s], [1, *s], s))
+        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in s)
+        want[i, len(s), sum(x in uni for x in s), round(base, 6), round(score, 6)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got) == want
     empty = kneser.train(frame(spark, rows).limit(0))
     assert all(r.score == pytest.approx(0) for r in kneser.score(frame(spark, rows), empty, ["doc_id"]).collect())
 
