@@ -45,7 +45,7 @@ from . import vectext as V
 
 END = np.uint64(0x5D1F0A3C9E7B2468)  # the end token's hash
 BEGIN = np.uint64(0xA96E4D17F3B0C25B)  # the start mark's
-PER_SHARD = 4_000_000  # tokens
+PER_SHARD = 1_500_000  # tokens
 PASSES = 4
 SCORE_BYTES = 4 << 20  # of text that are looked up at once
 _SPLIT = np.uint64(0x9FB21C651E98DF25)
@@ -314,6 +314,8 @@ def _reduce_triples(folder: str, shards: int, split: Split):
             v2, w2, to = v[hot][first], w[hot][first], shard_of(key, shards)
             rows += [{"kind": 4, "shard": s, "key": key[a:b].tobytes(), "v": v2[a:b].tobytes(), "w": w2[a:b].tobytes(), "count": m[a:b].astype(np.uint32).tobytes()} for s, a, b in _by_shard(to)]
         _save(folder, f"tri-{shard}", arrays)
+        del arrays, vw, v, w
+        V.trim()
         return pa.Table.from_pylist(rows, schema=_SCHEMA)
 
     return run
