@@ -358,7 +358,7 @@ def _discounts(n: dict[str, int]) -> tuple[float, float, float]:
 def _open(path: str) -> dict[str, np.ndarray] | None:
     if not os.path.exists(path):
         return None
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     size = 256
     while (end := bytes(raw[:size]).find(b"\n")) < 0:
         size *= 2
@@ -400,7 +400,7 @@ class Model:
         """Counts of keys, or rows of four for ``ctx`` and ``mid``; 0 where there is none."""
         wide = name in ("ctx", "mid")
         out = np.zeros((len(key), 4) if wide else len(key), dtype=np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16) if self.sums["shards"] < 1 << 16 else shard, kind="stable")
         for s, a, b in _by_shard(shard[order]):
             t = self.file(f"{file}-{s}")
             if t is None:
@@ -439,14 +439,12 @@ class Model:
         sums = self.look("tri", "mid", mid, shard_of(self.split.place(mid, mid), shards))
         if hot.any():
             sums[hot] = self.sub[np.searchsorted(self.split.keys, mid[hot])]
-        vw, held = np.unique(pair(v, w), return_index=True), hot[vi]
-        inv = np.searchsorted(vw[0], pair(v, w))
-        key, first = vw
-        cold = ~held[first]
+        key, cold = pair(v, w), ~hot[vi]
         n2 = np.zeros(len(key), np.int64)
-        n2[cold] = self.look("tri", "bi", key[cold], shard_of(V.mix64(v[first][cold]), shards))
-        n2[~cold] = self.look("split", "bi", key[~cold], shard_of(key[~cold], shards))
-        p2 = step(n2, sums[vi[first]], d2, p1[wi[first]])[inv]
+        n2[cold] = self.look("tri", "bi", key[cold], shard_of(V.mix64(mid), shards)[vi[cold]])
+        if hot.any():
+            n2[~cold] = self.look("split", "bi", key[~cold], shard_of(key[~cold], shards))
+        p2 = step(n2, sums[vi], d2, p1[wi])
         # trigrams
         shard, uv = shard_of(self.split.place(u, v), shards), pair(u, v)
         p3 = step(self.look("tri", "tri", pair(uv, w), shard), self.look("tri", "ctx", uv, shard), d3, p2)
