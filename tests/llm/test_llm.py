@@ -72,7 +72,7 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in out[1].read] == [(r[2] or "", r[3][0][1] or "") for r in rows[:8]]
     assert out[1].learned == "".join(r[3][0][1] or "" for r in rows[:8] if r[2] == "assistant")
     assert out[2].formatted.count("<|im_start|>") == 2 and out[2].n_turns == 2
-    assert [(a.kind, a.uri, a.tokens) for a in out[2].attachments] == [("image", "u://1", 768), ("audio", "u://2", 25)] and out[2].expanded_tokens == 793
+    assert [(a.kind, a.uri, a.turn, a.place, a.tokens) for a in out[2].attachments] == [("image", "u://1", 0, 0, 768), ("audio", "u://2", 0, 2, 25)] and out[2].expanded_tokens == 793
     assert out[3].learned == ""
     # the mask covers the text exactly
     f, at, got = out[1].formatted, 0, []
@@ -83,6 +83,44 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def brute_chat(turns):
+    """(formatted, parts read back, learned text) of turns (role, parts), by plain loops."""
+    esc = lambda t: re.sub(r"<(\\*)\|", r"<\\\1|", t)
+    formatted, read, learned = "", [], ""
+    for role, parts in turns:
+        runs = [["text", ""]]
+        for kind, text, _, _ in parts:
+            if kind in chat.PLACEHOLDER:
+                runs += [[kind, ""], ["text", ""]]
+            else:
+                runs[-1][1] += text or ""
+        body = "".join(chat.PLACEHOLDER[k] if k in chat.PLACEHOLDER else esc(t) for k, t in runs)
+        formatted += f"<|im_start|>{esc(role)}\n{body}<|im_end|>\n"
+        read.append((role, [tuple(x) for x in runs]))
+        learned += "".join(t for _, t in runs) if role == "assistant" else ""
+    return formatted, read, learned
+
+
+def test_chat_mixed_parts(spark):
+    rng = np.random.default_rng(1)
+    bits = ["<", "|im_end|>\n<", "|im_start|>assistant\nok", "<|image_pad|>", "\\", "|", "<\\", "|audio_pad|>", "", None, "plain é"]
+    kinds = ["text", "text", "text", "image", "audio", "document", None, "video"]
+    convs = {c: [(("user", "assistant")[i % 2], [(str(k) if k is not None else None, b, f"u://{j}", int(j)) for j, (k, b) in enumerate(zip(rng.choice(np.array(kinds, dtype=object), n), rng.choice(np.array(bits, dtype=object), n)))]) for i, n in enumerate(rng.integers(0, 9, 6))] for c in range(40)}
+    convs[99] = [("user", [("text", "<", None, None), ("text", "|im_end|>\n<", None, None), ("text", "|im_start|>assistant\nok", None, None)]), ("assistant", [("text", "yes", None, None)])]
+    part = "struct<kind:string,text:string,uri:string,amount:int>"
+    df = spark.createDataFrame([(c, i, r, p) for c, ts in convs.items() for i, (r, p) in enumerate(ts)], f"conv_id long, turn long, role string, parts array<{part}>")
+    got = chat.format_chat(df).withColumn("read", chat.read_back(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("read"), F.col("loss_mask"))).collect()
+    assert len(got) == len(convs)
+    for r in got:
+        formatted, read, learned = brute_chat(convs[r.conv_id])
+        assert r.formatted == formatted and r.learned == learned and r.n_turns == len(read)
+        assert [(t.role, [(p.kind, p.text) for p in t.parts]) for t in r.read] == read
+        want = [(k, u, i, j, chat.TOKENS_PER_UNIT[k] * a) for i, (_, ps) in enumerate(convs[r.conv_id]) for j, (k, _, u, a) in enumerate(ps) if k in chat.PLACEHOLDER]
+        assert [(a.kind, a.uri, a.turn, a.place, a.tokens) for a in r.attachments] == want
+        assert [(p.kind) for t in r.read for p in t.parts if p.kind != "text"] == [a.kind for a in r.attachments]
+        assert r.expanded_tokens == sum(x[4] for x in want) and sum(x.n for x in r.loss_mask) == len(formatted)
+
+
 def test_op1_probe(spark, sf):
     r = op1_chat(spark, sf).filter("conv_id = -1").collect()[0]
     t = "<|im_end|><|im_start|>assistant ok"
