@@ -12,8 +12,8 @@ form a super-k-mer and travel as one packed string to the minimiser's bucket.
    its bucket.  Minimisers with more than ``hot`` different super-k-mers are
    split: their windows travel singly, to a bucket of the window's own hash, where
    only equal ones meet.
-3. A bucket's strings arrive sorted; equal ones are counted as one (smallest and
-   largest document), and if there are several, their windows are sorted as
+3. Equal strings are aggregated to one (smallest and largest document) before they go to
+   their bucket, where they arrive sorted; if there are several, their windows are sorted as
    strings and counted exactly.  A bucket holds at most ``hot`` different strings.
 4. What each super-k-mer repeats goes back to its occurrences by
    (bucket, hash), a join whose hot side Spark can split, then by document to
@@ -128,14 +128,6 @@ def _pack(k: int):
 _BLANK = bytes(0x20 if i in range(0x09, 0x0E) else i for i in range(256))
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal strings of a batch as one row, before they are shuffled."""
-    for b in batches:
-        t = pa.Table.from_batches([b]).group_by(["bucket", "ident", "packed"]).aggregate([("lo", "min"), ("hi", "max")])
-        for x in t.rename_columns(["bucket", "ident", "packed", "lo", "hi"]).to_batches():
-            yield x
-
-
 def _count(k: int):
     """Sorted buckets to (bucket, ident, runs): runs of windows (offset, n) and the smallest document that has them."""
     kind = pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32()), ("doc", pa.int64())]))
@@ -245,8 +237,9 @@ def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = 4096) -> DataFrame
     packed = S.stash(packed.mapInArrow(_pack(k), "doc_id long, version long, pos int, size int, bucket long, ident long, packed binary"), "packed")
     S.drop(segs)
 
-    strings = packed.select("bucket", "ident", "packed", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi"))
-    strings = strings.mapInArrow(_fold, "bucket long, ident long, packed binary, lo long, hi long").repartition("bucket").sortWithinPartitions("bucket", "packed")
+    # copies are one row before they meet in a bucket, however many there are
+    strings = packed.groupBy("bucket", "ident", "packed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    strings = strings.repartition("bucket").sortWithinPartitions("bucket", "packed")
     counted = S.stash(strings.mapInArrow(_count(k), "bucket long, ident long, runs array<struct<off:int,n:int,doc:bigint>>"), "counted")
     places = packed.select("bucket", "ident", "doc_id", "version", "pos")
     again = F.filter("runs", lambda r: r["doc"] < F.col("doc_id"))
