@@ -11,11 +11,12 @@ flipped bit reaches: about ten of 262,144 per half.  Pairs are compared per
 anchor between homes and visitors, in blocks.
 
 Fingerprints, not documents, are compared: equal ones are one class, so copies
-cost one row.  An anchor hotter than ``most`` rows is split by one of the four
-bytes of the other half that must agree (at most 3 bits differ there), again
-and again on both sides by blocks, so each task holds two blocks at most; each
-task answers with a spanning forest of its links, never all pairs, and classes
-come from large-star/small-star rounds over those forests.
+cost one row.  An anchor hotter than ``most`` rows is split by the four bytes
+of the other half, one of which must agree (at most 3 bits differ there); a part that is
+still hotter is cut into blocks by a hash, and every pair of blocks is a task of its own, so
+no task holds more than two blocks of about ``most`` rows.  Each task answers with a spanning
+forest of its links, never all pairs, and classes come from large-star/small-star
+rounds over those forests.
 
 Defined results: null text is empty, and texts without words have fingerprint
 zero, linked like any other; repeated rows are one class (each row is
@@ -192,13 +193,8 @@ def forest(homes: np.ndarray, others: np.ndarray, block: int = 1024) -> np.ndarr
     return np.stack([nodes[e[:, 0]], nodes[e[:, 1]]], axis=1).view(np.int64) if len(e) else np.zeros((0, 2), np.int64)
 
 
-def _groups(column: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(column)) + 1
-    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(column)], strict=True))
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, part): answers with each cell's forest; only one cell is held at a time."""
+    """Rows sorted by (cell, part, pair): answers with each group's forest; only one group is held at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     last = None
 
@@ -212,14 +208,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"]) if len(e) else None
 
     for b in batches:
-        cell, part, fp, visitor = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        key = cell * 4096 + part
-        for i, j in _groups(key) if len(key) else []:
-            if last is not None and key[i] != last:
+        if not b.num_rows:
+            continue
+        cell, part, duo, fp, visitor = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cut = (np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(duo) != 0)) + 1).tolist()
+        for i, j in zip([0, *cut], [*cut, len(cell)], strict=True):
+            key = (cell[i], part[i], duo[i])
+            if last is not None and key != last:
                 if (out := solve()) is not None:
                     yield out
                 held = []
-            last = key[i]
+            last = key
             held.append((fp[i:j], visitor[i:j]))
     if held and (out := solve()) is not None:
         yield out
@@ -229,36 +228,42 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, most: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to join all that link within 3 bits.
 
-    Cells of more than ``most`` rows are split by the bytes of the other half:
-    four parts per row, and a pair of the cell agrees in one byte at least.
+    Cells of more than ``most`` rows are split by the bytes of the other half: four parts per row,
+    and a pair of the cell agrees in one byte at least. Parts of more than ``most`` rows are split
+    into blocks; a row goes to every pair that its block is in.
     """
-    spark = fps.sparkSession
-    cells = _cells(fps)
-    load = cells.groupBy("cell").count().filter(F.col("count") > most).select(F.col("cell").alias("hot"))
-    load = S.stash(load, "cells")
+    cells = S.stash(_cells(fps), "cells")
+    load = S.stash(cells.groupBy("cell").count().filter(F.col("count") > most).select(F.col("cell").alias("hot")), "hot")
     joined = cells.join(load, F.col("cell") == F.col("hot"), "left").select("cell", "fp", "visitor", F.col("hot").isNotNull().alias("hot"))
     other = F.when(F.shiftright("cell", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    parts = F.when(
-        F.col("hot"),
-        F.transform(F.array(*(F.lit(8 * i) for i in range(4))), lambda i: i * 32 + 1 + F.call_function("shiftright", other, i).bitwiseAND(F.lit(255))),
-    ).otherwise(F.array(F.lit(0).cast("long")))
-    rows = joined.select("cell", F.explode(parts).alias("part"), "fp", "visitor")
-    dealt = rows.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    found = S.stash(dealt.select("cell", "part", "fp", "visitor").mapInArrow(_compare, "a long, b long").distinct(), "links")
-    S.drop(load)
+    bytes_ = F.transform(F.array(*(F.lit(8 * i) for i in range(4))), lambda i: i * 32 + 1 + F.call_function("shiftright", other, i).bitwiseAND(F.lit(255)))
+    single = joined.filter(~F.col("hot")).select("cell", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("duo"), "fp", "visitor")
+    if load.isEmpty():
+        rows = single
+    else:
+        parts = S.stash(joined.filter("hot").select("cell", F.explode(bytes_).alias("part"), "fp", "visitor"), "parts")
+        crowd = parts.groupBy("cell", "part").count().filter(F.col("count") > most).select("cell", "part", F.ceil(F.col("count") / most).alias("blocks"))
+        mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        duos = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda p: F.least(mine, p) * 65536 + F.greatest(mine, p))
+        dealt = parts.join(crowd, ["cell", "part"], "left")
+        small = dealt.filter("blocks IS NULL").select("cell", "part", F.lit(0).cast("long").alias("duo"), "fp", "visitor")
+        rows = single.union(small).union(dealt.filter("blocks IS NOT NULL").select("cell", "part", F.explode(duos).alias("duo"), "fp", "visitor"))
+    dealt = rows.repartition("cell", "part", "duo").sortWithinPartitions("cell", "part", "duo")
+    found = S.stash(dealt.mapInArrow(_compare, "a long, b long").distinct(), "links")
+    S.drop(load, cells)
     return found
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, by alternating large-star and small-star rounds.
 
     The neighbours of a node are never gathered: its smallest neighbour is a
-    partial aggregate, joined back to the edges.
+    partial aggregate, joined back to the edges. Rounds go on until nothing changes,
+    of the order of the square of the logarithm of the longest chain.
     """
-    spark = edges.sparkSession
     now = S.stash(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "star")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
@@ -273,8 +278,6 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if sign == before:
             break
         before = sign
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
