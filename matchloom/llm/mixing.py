@@ -5,8 +5,13 @@ one time more with probability pi = T / S - floor(T / S).  Which documents take
 the extra time is drawn by the cube method: the vector of probabilities moves
 along the null space of the balancing constraints (tokens and documents of the
 source), each move fixing at least one document at 0 or 1, so both totals stay
-exact until fewer units than constraints are left.  Those few, with up to 128
-documents of usual size per source that were kept for it, are the landing problem.
+exact until fewer units than constraints are left.  Those few, with up to ``RESERVE``
+documents of usual size per source that were kept for it, are the landing problem: of all
+ways to round them, the one that comes nearest to what the source is owed.
+
+Equal rows (source, doc_id, size) are one unit with a number of copies c: floor(c pi) of
+them take the extra time for certain, and one more with the rest as its probability, so repeats, however
+many, are a row of the flight.
 
 The flight is run in blocks of about ``block`` documents by a hash of the id,
 then over what is left of groups of blocks, then over what is left of each
@@ -14,8 +19,9 @@ source: every level leaves two units per group at most, so no task sees a whole
 source, however hot.  Draws come from hashes of (source, level, group), so reruns agree.
 
 Defined results: null texts have size 0; documents of size 0 take no words;
-a null source is a source of its own, weighed last; repeated rows are units of
-their own; an empty table gives an empty result; other columns are ignored.
+a null source is a source of its own, weighed last; repeated rows are documents of
+their own, and of equal ones any may take the extra time; an empty table gives an empty
+result; other columns are ignored.  Targets are computed over one row per source in one task.
 """
 
 from __future__ import annotations
@@ -88,24 +94,33 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
         active = [i for i in active if 1e-9 < p[i] < 1 - 1e-9]
 
 
-def land(p: np.ndarray, size: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Rounds the open units; what they owe in tokens is made good by the late ones, large to small."""
+RESERVE = 14
+PIECE = 4096  # copies of a unit that are written out at once
+
+
+def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rounds the open units: of all 0-1 choices the one whose tokens, then documents, come nearest to the open totals."""
     p = p.copy()
-    is_open = (p > 1e-9) & (p < 1 - 1e-9)
-    spare = float((p * size)[late & is_open].sum())  # the late ones can give back so much
-    more = float(((1 - p) * size)[late & is_open].sum())  # and take so much more
-    big = lambda which: sorted(np.flatnonzero(which & is_open).tolist(), key=lambda i: (-size[i], i))
-    owed = 0.0
-    for i in big(~late):
-        p[i], owed = min(((take, owed + (p[i] - take) * size[i]) for take in (0.0, 1.0)), key=lambda x: (max(-spare - x[1], x[1] - more, 0.0), abs(x[1])))
-    owed += spare
-    for i in big(late):
-        p[i] = float(abs(owed - size[i]) < abs(owed))
-        owed -= p[i] * size[i]
+    at = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    if len(at) > RESERVE + 4:  # numerically stuck units: the largest are rounded alone
+        at = at[np.argsort(-size[at], kind="stable")]
+        early, at = at[: -(RESERVE + 4)], at[-(RESERVE + 4) :]
+        owed = 0.0
+        for i in early:
+            take = float(abs(owed + p[i] * size[i] - size[i]) <= abs(owed + p[i] * size[i]))
+            owed += (p[i] - take) * size[i]
+            p[i] = take
+    else:
+        owed = 0.0
+    tokens, number = np.zeros(1), np.zeros(1)
+    for i in at:
+        tokens, number = np.concatenate([tokens, tokens + size[i]]), np.concatenate([number, number + 1])
+    off = np.abs(tokens - (p[at] * size[at]).sum() - owed) + 0.05 * size[at].mean() * np.abs(number - p[at].sum()) if len(at) else np.zeros(1)
+    p[at] = int(off.argmin()) >> np.arange(len(at)) & 1
     return np.round(p)
 
 
-def _level(level: int, reserve: int = 128):
+def _level(level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # an order of content, not of arrival
         pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
@@ -117,10 +132,10 @@ def _level(level: int, reserve: int = 128):
             usual = np.flatnonzero((pi > 0) & (pi < 1) & (size > 0))
             usual = usual[size[usual] <= np.quantile(size[usual], 0.75)] if len(usual) else usual
             late = late.copy()
-            late[usual[: min(reserve, len(pdf) // 5)]] = True
+            late[usual[: min(RESERVE, len(pdf) // 5)]] = True
         p = pi.astype(float).copy()
         p[~late] = flight(pi[~late], np.stack([size * pi, pi])[:, ~late], rng)  # a = size and 1: token and document totals
-        pdf["pi"] = land(p, size, late) if level == 3 else np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p))
+        pdf["pi"] = land(p, size) if level == 3 else np.where(p < 1e-9, 0.0, np.where(p > 1 - 1e-9, 1.0, p))
         pdf["late"] = late
         return pdf
 
@@ -129,22 +144,24 @@ def _level(level: int, reserve: int = 128):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, block: int = 4096, groups: int = 1024) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of (doc_id, source, text)."""
-    spark = docs.sparkSession
     sizes = S.stash(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     goal = targets(sizes, weights, most)
     number = sizes.groupBy("source").agg(F.count("*").alias("n"))
     goal = S.stash(goal.join(number, goal["source"].eqNullSafe(number["source"])).drop(number["source"]), "targets")  # a row per source
     t, s = goal.alias("t"), sizes.alias("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(
-        "s.doc_id", "s.source", "s.size", "source_size", "target",
+    same = s.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")).alias("s")
+    share = F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0)) * F.col("copies")
+    units = same.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(
+        "s.doc_id", "s.source", "s.size", "source_size", "target", "copies",
         F.floor(ratio + 1e-12).cast("long").alias("times"),
-        F.greatest(ratio - F.floor(ratio + 1e-12), F.lit(0.0)).alias("pi"),
+        F.floor(share + 1e-9).cast("long").alias("sure"),
+        F.greatest(share - F.floor(share + 1e-9), F.lit(0.0)).alias("pi"),
         F.xxhash64("s.doc_id", "s.size").alias("h"),
         F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("long").alias("blocks"),
         F.lit(False).alias("late"),
     )
-    schema = "doc_id long, source string, size long, source_size long, target double, times long, pi double, h long, blocks long, late boolean, g long"
+    schema = "doc_id long, source string, size long, source_size long, target double, copies long, times long, sure long, pi double, h long, blocks long, late boolean, g long"
     open_ = (F.col("pi") > 0) & (F.col("pi") < 1)
     units = units.withColumn("g", F.pmod("h", "blocks"))
     first = S.stash(units.groupBy("source", "g").applyInPandas(_level(1), schema), "flight")
@@ -153,5 +170,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     third = second.filter(open_).withColumn("g", F.lit(0).cast("long")).groupBy("source", "g").applyInPandas(_level(3), schema)
     S.drop(sizes)
     out = first.filter(~open_).union(second.filter(~open_)).union(third)
-    taken = ((F.col("times") + F.round("pi")) * F.col("size")).cast("long").alias("taken")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken)
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    extra = F.col("sure") + F.round("pi").cast("long")
+    once = out.filter("copies = 1").select(*names, ((F.col("times") + extra) * F.col("size")).cast("long").alias("taken"))
+    # repeats are written out piece by piece, the pieces dealt to tasks
+    last = ((F.col("copies") - 1) / PIECE).cast("long")
+    pieces = out.filter("copies > 1").select(*names, "copies", "times", extra.alias("extra"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).repartition("doc_id", "size", "piece")
+    at = F.sequence(F.col("piece") * PIECE + 1, F.least(F.col("copies"), (F.col("piece") + 1) * PIECE))
+    many = pieces.select(*names, "times", "extra", F.explode(at).alias("i"))
+    return once.union(many.select(*names, ((F.col("times") + (F.col("i") <= F.col("extra")).cast("long")) * F.col("size")).cast("long").alias("taken")))
