@@ -150,13 +150,16 @@ class Index:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, least: float = LEAST, block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of docs, then items (array of contaminating item ids) and coverage (the largest, 0 if none)."""
+    """All columns of docs, then items (array of contaminating item ids) and coverage (the largest, 0 if none).
+
+    Columns of docs by those two names give way to the results.
+    """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
+    docs = docs.drop("items", "coverage")
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     keep = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def one(block: int, source: DataFrame) -> DataFrame:
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()  # about block_bytes
@@ -180,7 +183,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, least:
 
     if blocks == 1:
         return one(0, docs)
-    _ = fields
     # Findings depend on the text alone; they join back by id and text, so a row gets what it would get from one block.
     key = F.sha2("text", 256)
     found = None

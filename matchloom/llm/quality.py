@@ -127,7 +127,6 @@ def _train(epochs: int):
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, epochs: int = 4) -> np.ndarray:
     """Weights (2**BITS features, then the bias) from labels (doc_id, y in 0..1)."""
-    spark = docs.sparkSession
     chosen = labels.filter("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.avg("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows of 16 bytes: safe to broadcast
     told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y", F.xxhash64("doc_id").alias("o"))
@@ -135,7 +134,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, epochs: int = 4)
     got = vectors.repartition(1).mapInArrow(_train(epochs), "at int, w double").toPandas()  # at most 2**BITS + 1 rows
     w = np.zeros((1 << BITS) + 1)
     w[got["at"].to_numpy()] = got["w"].to_numpy()
-    _ = spark
     return w
 
 
@@ -149,7 +147,8 @@ def score_texts(column: pa.Array, w: np.ndarray) -> np.ndarray:
 
 
 def score(docs: DataFrame, w: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and score."""
+    """Columns `keep` of docs and score, which takes the place of a kept column of its name."""
+    keep = [c for c in keep if c != "score"]
     sent = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # 1 MB, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +156,8 @@ def score(docs: DataFrame, w: np.ndarray, keep: list[str]) -> DataFrame:
             s = score_texts(b.column(0), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s)], [*keep, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, score double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}score double")
 
 
 def fold(doc_id: Column, folds: int, held: int) -> Column:
