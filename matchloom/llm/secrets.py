@@ -2,20 +2,31 @@
 
 Tokens are runs of letters, digits, ``+/_.-`` and non-ASCII bytes; everything
 else separates.  The field tags each token begin, inside or outside from its
-shape (length, classes of characters, share of digits, hex), its separators,
+shape (length, classes of characters, share of digits, changes of class, hex), its separators,
 neighbouring words (a lexicon and hashes) and file features (share of digits
 and of assignments, length).  It is trained by gradient ascent on the
 log-likelihood (forward-backward) with the base patterns as silver labels, on
 windows of a bounded sample: the ``most`` rows of smallest id hash, at most
-``PER_DOC`` windows of each.  Decoding is Viterbi over whole texts; tokens whose outside score
+``PER_DOC`` windows of each and ``NEGATIVES`` windows without a secret in all.
+
+So that the field finds what the patterns miss, every silver secret is also shown
+in other forms, drawn from hashes of its place: the value redrawn in other alphabets and lengths
+(base64, upper-case hex, letters and digits), the word before it replaced by
+another credential word, by a plain word or by nothing, and the sign between them
+changed.  Long words, numbers, addresses and hosts of the same documents stay
+outside.  A token is then a secret if its shape and its context say so together.
+
+Decoding is Viterbi over whole texts; tokens whose outside score
 leads by more than transitions can ever repay are outside in every best path, so
-the chain is cut there, which changes no result.
+the chain is cut there, which changes no result.  Tagged spans shorter than ``SHORTEST``
+characters are dropped: the patterns, too, take values of 12 characters or more.
 
 Spans are in code points, end exclusive.  Tagged spans that overlap a base span
 are dropped: base ones stay.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
-each; an empty table gives an empty result; without any silver label nothing is added.
+each; an empty table gives an empty result; without any silver label nothing is added;
+a column ``spans`` of the input gives way to the result.
 """
 
 from __future__ import annotations
@@ -40,8 +51,16 @@ ASSIGN_VALUE = 12
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "credentials", "pwd")
 
 MOST = 20_000
-PER_DOC = 6
+PER_DOC = 12
+NEGATIVES = 12_000
+FORMS = 6  # other forms of a silver secret
 WINDOW = 13
+SHORTEST = 12
+
+# Alphabets, signs and words that other forms are drawn from.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+SIGNS = (" = \"", ": ", "=", " = ", ": '", " ", " -> ")
+CUES = ("password", "secret", "token", "api_key", "key", "auth", "bearer", "credential", "pwd", "passwd")
 
 
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -269,26 +288,79 @@ def _silver(texts: pa.Array, i: int, j: int, raw: np.ndarray, off: np.ndarray, s
     return y
 
 
+def _forms(text: str, at: int, end: int, seed: int) -> list[tuple[str, int, int]]:
+    """(snippet, value from, to) of other forms of the secret text[at:end]; drawn from the seed alone."""
+    rng = np.random.default_rng(seed)
+    left = re.sub(r"[\"'=:\s]*$", "", text[max(0, at - 160) : at])
+    before, _, _ = left.rpartition(" ")
+    after = text[end : end + 120].lstrip("\"'")
+    plain = (re.findall(r"[^\W\d_]{3,}", before[-80:]) or ["text"])[0]
+    out = []
+    for i in range(FORMS):
+        letters = ALPHABETS[int(rng.integers(len(ALPHABETS)))]
+        size = int(rng.integers(16, 49))
+        value = "".join(letters[j] for j in rng.integers(0, len(letters), size).tolist())
+        cue = plain if i % 3 == 2 else CUES[int(rng.integers(len(CUES)))]
+        sign = SIGNS[int(rng.integers(len(SIGNS)))]
+        if cue == plain:
+            sign = SIGNS[int(rng.integers(5))]
+        head = f"{before} {cue}{sign}"
+        close = sign[-1] if sign[-1] in "\"'" else ""
+        out.append((f"{head}{value}{close}{after}", len(head), len(head) + size))
+    return out
+
+
+def _form_windows(forms: list[tuple[str, int, int]], file: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features and tags of the windows around the values; file features are those of the document."""
+    half, fs, ys = WINDOW // 2, [], []
+    for text, a, z in forms:
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        start, end, _, f = tokens(raw, np.array([0, len(raw)]))
+        cp = _code_points(raw)
+        inside = np.flatnonzero((cp[start] >= a) & (cp[start] < z))
+        if not len(inside) or len(start) < WINDOW:
+            continue
+        y = np.zeros(len(start), dtype=np.int8)
+        y[inside], y[inside[0]] = 2, 1
+        f[:, SLOTS - 1] = file
+        c = int(np.clip(inside[0], half, len(start) - half - 1))
+        fs.append(f[c - half : c + half + 1])
+        ys.append(y[c - half : c + half + 1])
+    return fs, ys
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     half = WINDOW // 2
     for b in batches:
         for i, j, raw, off in V.slices(b.column(0)):
             start, end, row, f = tokens(raw, off)
             y = _silver(b.column(0), i, j, raw, off, start, end, row)
+            cp = _code_points(raw)
             first = np.searchsorted(row, np.arange(j - i + 1))
             fs, ys, os_ = [], [], []
             for r in range(j - i):
                 a, z = first[r], first[r + 1]
                 if z - a < WINDOW:
                     continue
-                found = a + np.flatnonzero(y[a:z] == 1)[: PER_DOC // 2]
+                o, text = b.column(1)[i + r].as_py(), None
+                found = a + np.flatnonzero(y[a:z] == 1)
                 size = end[a:z] - start[a:z]
-                hard = a + np.argsort(-size * (y[a:z] == 0), kind="stable")[:2]  # the longest tokens that are no secrets
+                hard = a + np.argsort(-size * (y[a:z] == 0), kind="stable")[:4]  # the longest tokens that are no secrets
                 spread = a + (np.arange(1, 3) * (z - a)) // 3
-                for c in dict.fromkeys(np.clip(np.concatenate([found, hard, spread]), a + half, z - half - 1).tolist()):
+                # of many secrets an even choice, so that a document has PER_DOC windows at most besides the other forms
+                some = found[np.unique(np.linspace(0, len(found) - 1, min(len(found), PER_DOC - 6)).astype(int))] if len(found) else found
+                for c in dict.fromkeys(np.clip(np.concatenate([some, hard, spread]), a + half, z - half - 1).tolist()):
                     fs.append(f[c - half : c + half + 1])
                     ys.append(y[c - half : c + half + 1])
-                    os_.append(b.column(1)[i + r].as_py())
+                    os_.append(o)
+                for c in some[:1].tolist():
+                    text = b.column(0)[i + r].as_py()
+                    last = c
+                    while last + 1 < z and y[last + 1] == 2:
+                        last += 1
+                    s, e = int(cp[start[c]] - cp[off[r]]), int(cp[end[last]] - cp[off[r]])
+                    more, tags = _form_windows(_forms(text, s, e, o & 0x7FFFFFFF), f[c, SLOTS - 1])
+                    fs, ys, os_ = fs + more, ys + tags, os_ + [o] * len(more)
             if fs:
                 flat = np.concatenate(fs).astype(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fs) + 1, dtype=np.int32) * WINDOW * SLOTS), pa.array(flat))
@@ -296,29 +368,34 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(os_, pa.int64()), lists, tags], ["o", "f", "y"])
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    f, y = [np.zeros((0, WINDOW, SLOTS), np.int32)], [np.zeros((0, WINDOW), np.int32)]
-    for b in batches:
-        f.append(b.column(1).flatten().to_numpy().reshape(-1, WINDOW, SLOTS))
-        y.append(b.column(2).flatten().to_numpy().reshape(-1, WINDOW))
-    f, y = np.concatenate(f), np.concatenate(y)
-    order = np.lexsort(np.concatenate([f.reshape(len(f), -1)[:, :24], y], axis=1).T) if len(f) else np.zeros(0, int)
-    # windows without a secret are many and alike: beyond 12,000 an even choice is enough
-    pos, neg = order[(y[order] > 0).any(axis=1)], order[(y[order] == 0).all(axis=1)]
-    neg = neg[np.unique(np.linspace(0, len(neg) - 1, min(len(neg), 12_000)).astype(int))] if len(neg) else neg
-    pick = np.concatenate([pos, neg]).astype(int)
-    w, t = fit(f[pick], y[pick]) if len(pos) else (np.zeros((SIZE, 3)), np.zeros((3, 3)))
-    hold = np.flatnonzero(np.abs(w).ravel() > 0)
-    at = np.concatenate([hold, SIZE * 3 + np.arange(9)])
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.concatenate([w.ravel()[hold], t.ravel()]))], ["at", "w"])
-
-
-def train(docs: DataFrame, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions from a bounded sample of whole texts of docs."""
+def _fit(negatives: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, y = [np.zeros((0, WINDOW, SLOTS), np.int32)], [np.zeros((0, WINDOW), np.int32)]
+        for b in batches:
+            f.append(b.column(1).flatten().to_numpy().reshape(-1, WINDOW, SLOTS))
+            y.append(b.column(2).flatten().to_numpy().reshape(-1, WINDOW))
+        f, y = np.concatenate(f), np.concatenate(y)
+        order = np.lexsort(np.concatenate([f.reshape(len(f), -1)[:, :24], y], axis=1).T) if len(f) else np.zeros(0, int)
+        pos, neg = order[(y[order] > 0).any(axis=1)], order[(y[order] == 0).all(axis=1)]
+        neg = neg[np.unique(np.linspace(0, len(neg) - 1, min(len(neg), negatives)).astype(int))] if len(neg) else neg
+        pick = np.concatenate([pos, neg]).astype(int)
+        w, t = fit(f[pick], y[pick]) if len(pos) else (np.zeros((SIZE, 3)), np.zeros((3, 3)))
+        hold = np.flatnonzero(np.abs(w).ravel() > 0)
+        at = np.concatenate([hold, SIZE * 3 + np.arange(9)])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.concatenate([w.ravel()[hold], t.ravel()]))], ["at", "w"])
+
+    return run
+
+
+def train(docs: DataFrame, most: int = MOST, negatives: int = NEGATIVES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions from a bounded sample of whole texts of docs.
+
+    ``most`` bounds the rows, ``negatives`` the windows without a secret, an even choice of all.
+    """
     chosen = docs.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()  # ids only, `most` at most
     told = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("o"))
     windows = told.mapInArrow(_windows, "o long, f array<int>, y array<int>")
-    got = windows.repartition(1).mapInArrow(_fit, "at int, w double").toPandas()  # the size of the model
+    got = windows.repartition(1).mapInArrow(_fit(negatives), "at int, w double").toPandas()  # the size of the model
     flat = np.zeros(SIZE * 3 + 9)
     flat[got["at"].to_numpy()] = got["w"].to_numpy()
     return flat[: SIZE * 3].reshape(SIZE, 3), flat[SIZE * 3 :].reshape(3, 3)
@@ -343,6 +420,8 @@ def find(column: pa.Array, w: np.ndarray, t: np.ndarray) -> list[list[tuple[int,
             r = row[a]
             s, e = int(cp[start[a]] - cp[off[r]]), int(cp[end[b]] - cp[off[r]])
             mine = out[i + r]
+            if e - s < SHORTEST:
+                continue
             if not any(s < y and x < e for x, _, y in mine):
                 mine.append((s, 3, e))
     for spans in out:
@@ -353,6 +432,7 @@ def find(column: pa.Array, w: np.ndarray, t: np.ndarray) -> list[list[tuple[int,
 def scan(docs: DataFrame, w: np.ndarray, t: np.ndarray, redacted: bool = False) -> DataFrame:
     """All columns of docs, then spans: array of (start, kind, stop); in texts that come back redacted, where they were."""
     sent = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32).astype(np.float64), t))  # of fixed size
+    docs = docs.drop("spans")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -266,6 +266,27 @@ def test_secret_scan(spark, texts):
     assert secrets.scan(docs.limit(0), w, t).count() == 0
 
 
+def test_field_finds_what_patterns_miss(spark, sf):
+    """Secrets in forms that no base pattern knows, planted in documents of the tables; documents without any stay clean."""
+    from matchloom.session import table
+
+    docs = table(spark, sf.replace("0.001", "0.1"), "documents").select("doc_id", "text")
+    w, t = secrets.train(docs)
+    clean = [r.text for r in docs.orderBy("doc_id").limit(600).collect() if r.text and len(r.text.split()) > 40 and not secrets.base_spans(r.text)][:200]
+    found = secrets.find(pa.array(clean), w, t)
+    assert sum(map(len, found)) <= 1
+    rng = np.random.default_rng(7)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    planted, places = [], []
+    for i, x in enumerate(clean):
+        head = x[: len(x) // 2].rpartition(" ")[0] + " " + ('credential = "', "auth: ", "bearer ", 'passphrase = "')[i % 4]
+        planted.append(head + "".join(rng.choice(letters, 32).tolist()) + '" ' + x[len(x) // 2 :])
+        places.append((len(head), len(head) + 32))
+    assert not any(secrets.base_spans(x) for x in planted)
+    hit = [any(s <= a + 1 and e >= z - 1 for s, k, e in spans if k == 3) for spans, (a, z) in zip(secrets.find(pa.array(planted), w, t), places)]
+    assert np.mean(hit) > 0.95
+
+
 # ---- op5
 
 
