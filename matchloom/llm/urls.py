@@ -6,8 +6,9 @@ to ``?``, ``#`` or the end.  A null url or one without ``://`` has both empty.
 
 The tree: per host, all path segments are first generalised by kind (digits, long
 hex, dates become wildcards), then, level by level to any depth, all children of a node that
-has too many different ones become one wildcard.  Sibling branches of a host whose smoothed
-share of blocked urls is alike and that lead on alike are merged, and a template
+has too many different ones become one wildcard.  Sibling branches of a host are put in the order
+of their smoothed shares of blocked urls; neighbours are merged where a two-proportion z-test
+does not tell the shares apart and at least ``overlap`` of what they lead on to is common.  A template
 is rejected if its smoothed purity (share of blocked among the urls that rules
 label) reaches ``reject_at``; templates without labels fall back on their merged branch, then
 on the host, then on all urls, each level smoothing the one below it.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import stash as S
 
@@ -67,7 +69,8 @@ def judge(
     pages: DataFrame,
     rules: list[tuple[str, str]],
     most_children: int = 24,
-    alike: float = 0.1,
+    z: float = 1.96,
+    overlap: float = 0.5,
     weight: float = 8.0,
     reject_at: float = 0.5,
 ) -> DataFrame:
@@ -105,7 +108,7 @@ def judge(
         S.drop(wide)
         level += 1
     template = F.concat_ws("/", "segments")
-    tree = tree.select("host", "kinds", "n", "labelled", "blocked", F.get("segments", F.lit(0)).alias("branch"), template.alias("template"))
+    tree = tree.select("host", "kinds", "n", "labelled", "blocked", "segments", F.get("segments", F.lit(0)).alias("branch"), template.alias("template"))
 
     # Smoothed shares, from the root to the leaf; each is the prior of the next.
     def share(prior: Column) -> Column:
@@ -115,9 +118,16 @@ def judge(
     hosts = tree.groupBy("host").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"))
     hosts = hosts.crossJoin(F.broadcast(whole)).select("host", ((F.col("blocked") + weight * F.col("p_all")) / (F.col("labelled") + weight)).alias("p_host"))
     tree = S.stash(tree.join(hosts, "host"), "tree")
-    branches = tree.groupBy("host", "branch").agg(share(F.first("p_host")).alias("p"), F.max("p_host").alias("p_host"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), F.sort_array(F.collect_set(F.substring_index("template", "/", -1))).alias("leads"))
-    # Siblings with alike shares that lead on alike are one branch: their counts are pooled.
-    branches = branches.withColumn("group", F.xxhash64(F.floor(F.col("p") / alike), F.slice("leads", 1, 8)))
+    # A branch leads on to at most most_children segments, and a host has at most that many branches.
+    leads = F.sort_array(F.collect_set(F.coalesce(F.get("segments", F.lit(1)), F.lit(""))))
+    branches = tree.groupBy("host", "branch").agg(share(F.first("p_host")).alias("p"), F.max("p_host").alias("p_host"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled"), leads.alias("leads"))
+    rise = Window.partitionBy("host").orderBy("p", "branch")
+    before = lambda c: F.lag(c).over(rise)
+    n1, n2 = F.col("labelled") + weight, before("labelled") + weight
+    mean = (F.col("p") * n1 + before("p") * n2) / (n1 + n2)
+    apart = F.abs(F.col("p") - before("p")) > z * F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n2))
+    common = F.size(F.array_intersect("leads", before("leads"))) / F.size(F.array_union("leads", before("leads")))
+    branches = branches.withColumn("new", F.coalesce(apart | (common < overlap), F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(rise))
     pooled = branches.groupBy("host", "group").agg(share(F.first("p_host")).alias("p_branch"))
     branches = branches.join(pooled, ["host", "group"]).select("host", "branch", "group", "p_branch")
     b, t = branches.alias("b"), tree.alias("t")
