@@ -1,15 +1,21 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-Vectors are grouped by their nearest pivot.  Per group the summary holds the
-size and the radius around the pivot; since ``q.v = q.p + q.(v - p)``, every
-member of a group scores between ``q.p - |q| r`` and ``q.p + |q| r``.  From the
-summaries alone each query gets a floor under its k-th best score, and only
-groups whose ceiling reaches the floor can matter: the query is replicated to
-those and nowhere else, groups are solved locally, and the local winners meet
-in one small merge.  Groups above ``block`` rows are cut into blocks by a hash
-of the id, and queries of a group likewise, so a task holds one tile.
-
-Pivots are a bounded sample (``pivots`` vectors, those of smallest id hash);
+Vectors are grouped by their nearest pivot; there are about as many pivots as the square root
+of the rows (``most_pivots`` at most).  The summary of a cell holds its size, its radius around the
+pivot, the range of its vectors' lengths, and the distances of the k + 1 members nearest to the pivot.
+A member v at distance d scores at least ``q.p - |q| d`` and ``(|q|^2 + |v|^2 - (|q - p| + d)^2) / 2``,
+so the summaries alone give each query a floor under its k-th best score.  A cell's ceiling is the lesser of
+``q.p + |q| r`` and ``(|q|^2 + max |v|^2 - e^2) / 2``, where e, the least distance to a member, is at least
+``|q - p| - r`` and at least the distance to the plane between the cell and the query's own.  Only
+cells whose ceiling reaches the floor can matter.
+
+Neighbouring cells form groups of about ``block`` rows (halved along their main direction); a query is
+replicated to the groups that hold a cell that matters and nowhere else, groups without visitors
+are not sent, groups are solved locally, and the local winners meet in one small merge.
+A cell above ``block`` rows is a group of its own, cut into blocks by a hash
+of the id, and the queries of a group likewise, so a task holds one tile.
+
+Pivots are a bounded sample (the vectors of smallest id hash);
 every row is grouped and searched, and the bounds hold for any pivots, so results are exact.
 
 Defined results: vectors that are null or hold null or non-finite components
@@ -79,63 +85,120 @@ def best(q: np.ndarray, qid: np.ndarray, v: np.ndarray, vid: np.ndarray, k: int,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 64, block: int = 8192, query_block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score for queries and vectors of (vec_id, x)."""
-    spark = vectors.sparkSession
+class Cells:
+    """Pivots and what is known of their cells; at most ``most_pivots`` rows, held by the driver and sent to workers."""
+
+    def __init__(self, centre: np.ndarray, summary: dict[int, tuple], k: int, block: int):
+        self.centre, self.k, p = centre, k, len(centre)
+        self.norm = (centre**2).sum(axis=1)
+        get = lambda at, none: np.array([summary[i][at] if i in summary else none for i in range(p)])
+        self.size, self.radius, self.short, self.long = get(0, 0), get(1, 0.0), get(2, 0.0), get(3, 0.0)
+        self.near = np.full((p, k + 1), np.inf)
+        for i, row in summary.items():
+            self.near[i, : len(row[4])] = sorted(row[4])
+        gap = np.sqrt(np.maximum(self.norm[:, None] - 2 * centre @ centre.T + self.norm, 0))
+        self.gap = np.where(gap > 0, gap, np.inf)
+        self.group = self._groups(block)
+
+    def _groups(self, block: int) -> np.ndarray:
+        out, todo, n = np.zeros(len(self.centre), np.int64), [np.flatnonzero(self.size > 0)], 0
+        while todo:
+            at = todo.pop()
+            if len(at) <= 1 or self.size[at].sum() <= block:
+                out[at] = n
+                n += 1
+                continue
+            x = self.centre[at] - self.centre[at].mean(axis=0)
+            side = x @ np.linalg.svd(x, full_matrices=False)[2][0]
+            o = np.argsort(side, kind="stable")
+            half = int(np.clip(np.searchsorted(np.cumsum(self.size[at][o]), self.size[at].sum() / 2), 1, len(at) - 1))
+            todo += [at[o[half:]], at[o[:half]]]
+        return out
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ self.centre.T + self.norm, 0))
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, group) of all groups that can hold one of the k best."""
+        live, q2 = self.size > 0, (x**2).sum(axis=1)[:, None]
+        length, middle, d = np.sqrt(q2), x @ self.centre.T, self.distances(x)
+        slack = 1e-7 * (np.abs(middle) + length * self.radius + q2 + self.long**2) + 1e-6  # distances are differences of squares
+        own = d.argmin(axis=1)
+        plane = (d**2 - (d[np.arange(len(x)), own] ** 2)[:, None]) / (2 * self.gap[own])
+        least = np.maximum(np.maximum(d - self.radius, plane) * (1 - 1e-9) - 1e-6, 0)
+        high = np.minimum(middle + length * self.radius, (q2 + self.long**2 - least**2) / 2) + slack
+        low = np.maximum(middle[:, :, None] - length[:, :, None] * self.near, (q2[:, :, None] + (self.short**2)[:, None] - (d[:, :, None] + self.near) ** 2) / 2) - slack[:, :, None]
+        low = np.where(np.isfinite(self.near) & live[:, None], low, -np.inf).reshape(len(x), -1)
+        keep = self.k + 1  # one may be the query itself
+        floor = -np.partition(-low, keep - 1, axis=1)[:, keep - 1] if low.shape[1] >= keep else np.full(len(x), -np.inf)
+        i, j = np.nonzero((high >= floor[:, None]) & live)
+        pair = np.unique(i * (self.group.max(initial=0) + 1) + self.group[j])
+        return pair // (self.group.max(initial=0) + 1), pair % (self.group.max(initial=0) + 1)
+
+    def rows_at_once(self) -> int:
+        return max(1, (1 << 21) // (len(self.centre) * (self.k + 1)))
+
+
+def voronoi(vectors: DataFrame, k: int, pivots: int | None, most_pivots: int, block: int) -> tuple[Cells, DataFrame, int] | None:
+    """Cells of vectors (vec_id, x), the vectors with their cell, and the dimension; None without vectors."""
+    n, dim = vectors.agg(F.count("*"), F.max(F.size("x"))).collect()[0]
+    if not n:
+        return None
+    dim = max(int(dim or 0), 1)
+    pivots = pivots or min(most_pivots, int(np.ceil(np.sqrt(n))))
     sample = vectors.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
-    dim = int(vectors.agg(F.max(F.size("x"))).collect()[0][0] or 0)
-    if not len(sample) or not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     centre = np.zeros((len(sample), dim))
     for i, x in enumerate(sample["x"]):
         centre[i, : len(x)] = x
-    centre = np.unique(centre, axis=0)
-    norm = (centre**2).sum(axis=1)
+    first = Cells(np.unique(centre, axis=0), {}, k, block)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _dense(b.column(1), dim).astype(np.float64)
-            d = (x**2).sum(axis=1)[:, None] - 2 * x @ centre.T + norm
-            near = d.argmin(axis=1)
-            far = np.sqrt(((x - centre[near]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far)], ["vec_id", "x", "cell", "far"])
-
-    placed = S.stash(vectors.select("vec_id", "x").mapInArrow(place, "vec_id long, x array<long>, cell int, far double"), "placed")
-    summary = {r.cell: (r.n, r.r) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}  # at most `pivots` rows
-    size = np.array([summary.get(i, (0, 0.0))[0] for i in range(len(centre))])
-    radius = np.array([summary.get(i, (0, 0.0))[1] for i in range(len(centre))])
-    live = size > 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows, first.rows_at_once()):
+                b = whole.slice(lo, first.rows_at_once())
+                x = _dense(b.column(1), dim).astype(np.float64)
+                near = first.distances(x).argmin(axis=1)
+                far = np.sqrt(((x - first.centre[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(far), pa.array(np.sqrt((x**2).sum(axis=1)))], ["vec_id", "x", "cell", "far", "length"])
+
+    placed = S.stash(vectors.select("vec_id", "x").mapInArrow(place, "vec_id long, x array<long>, cell int, far double, length double"), "placed")
+    near = placed.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).filter(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("far").alias("near"))
+    known = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.min("length").alias("short"), F.max("length").alias("long")).join(near, "cell")
+    cells = Cells(first.centre, {r.cell: (r.n, r.r, r.short, r.long, r.near) for r in known.collect()}, k, block)  # a row per pivot
+    return cells, placed, dim
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int | None = None, most_pivots: int = 4096, block: int = 8192, query_block: int = 2048) -> DataFrame:
+    """query_id, rank, vec_id, score for queries and vectors of (vec_id, x)."""
+    spark = vectors.sparkSession
+    made = voronoi(vectors, k, pivots, most_pivots, block)
+    if made is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells, placed, dim = made
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _dense(b.column(1), dim).astype(np.float64)
-            middle, spread = x @ centre.T, np.sqrt((x**2).sum(axis=1))[:, None] * radius
-            slack = 1e-9 * (np.abs(middle) + spread) + 1e-6
-            low, high = np.where(live, middle - spread - slack, -np.inf), middle + spread + slack
-            order = np.argsort(-low, axis=1)
-            have = np.cumsum(size[order], axis=1) >= k + 1  # one may be the query itself
-            at = np.where(have.any(axis=1), have.argmax(axis=1), len(centre) - 1)
-            floor = np.take_along_axis(low, order, axis=1)[np.arange(len(x)), at]
-            floor = np.where(have.any(axis=1), floor, -np.inf)
-            i, j = np.nonzero((high >= floor[:, None]) & live)
-            idx = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(j.astype(np.int32))], ["query_id", "q", "cell"])
-
-    asked = queries.select("vec_id", "x").mapInArrow(bound, "query_id long, q array<long>, cell int")
-    # Tiles: (cell, data block, query block); the data go to every query block of a cell and the queries to every data block.
-    asked = S.stash(asked, "asked")
-    visits = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    nd = F.create_map(*[F.lit(x) for i in range(len(centre)) for x in (i, int(-(-size[i] // block)) or 1)])
-    nq = F.create_map(*[F.lit(x) for i in range(len(centre)) for x in (i, -(-visits.get(i, 0) // query_block))])
-    data = placed.select("cell", F.pmod(F.xxhash64("vec_id"), nd[F.col("cell")]).cast("int").alias("d"), F.explode(F.sequence(F.lit(1), nq[F.col("cell")], F.lit(1))).alias("w"), "vec_id", "x") if visits else placed.limit(0).select("cell", F.lit(0).alias("d"), F.lit(1).alias("w"), "vec_id", "x")
-    data = data.filter(F.col("w") >= 1)
-    ask = asked.select("cell", F.explode(F.sequence(F.lit(0), nd[F.col("cell")] - 1)).alias("d"), (F.pmod(F.xxhash64("query_id", F.lit(7)), nq[F.col("cell")]) + 1).cast("int").alias("w"), "query_id", "q")
+        for whole in batches:
+            for lo in range(0, whole.num_rows, cells.rows_at_once()):
+                b = whole.slice(lo, cells.rows_at_once())
+                i, g = cells.visits(_dense(b.column(1), dim).astype(np.float64))
+                idx = pa.array(i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(g.astype(np.int32))], ["query_id", "q", "grp"])
+
+    asked = S.stash(queries.select("vec_id", "x").mapInArrow(bound, "query_id long, q array<long>, grp int"), "asked")
+    # Tiles: (group, data block, query block); the data go to every query block of a group and the queries to every data block.
+    visitors = {r.grp: r.n for r in asked.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a row per group
+    held = np.bincount(cells.group, weights=cells.size, minlength=1).astype(int)
+    plan = [(int(g), max(1, -(-int(held[g]) // block)), -(-n // query_block)) for g, n in visitors.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "grp int, nd int, nq int"))
+    group = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(cells.group)], "cell int, grp int"))
+    data = placed.select("cell", "vec_id", "x").join(group, "cell").join(plan, "grp").select("grp", F.pmod(F.xxhash64("vec_id"), "nd").cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("w"), "vec_id", "x")
+    ask = asked.join(plan, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("d"), F.pmod(F.xxhash64("query_id", F.lit(7)), "nq").cast("int").alias("w"), "query_id", "q")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         q, v = _dense(left.column("q"), dim), _dense(right.column("x"), dim)
         a, b, s = best(q, left.column("query_id").to_numpy(), v, right.column("vec_id").to_numpy(), k) if len(q) and len(v) else (np.zeros(0, np.int64),) * 3
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
-    tiles = ask.groupBy("cell", "d", "w").cogroup(data.groupBy("cell", "d", "w")).applyInArrow(solve, OUT)
+    tiles = ask.groupBy("grp", "d", "w").cogroup(data.groupBy("grp", "d", "w")).applyInArrow(solve, OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return tiles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
