@@ -304,6 +304,52 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), w, ["doc_id"]).count() == 0
 
 
+def test_quality_features(texts):
+    """Words are runs of one class; every feature's index depends on its words, or shapes, alone."""
+    rows = [t or "" for _, t in texts] + ["ABC Abc aBC 12ab!!??", "x" * 300, "***"]
+    col = pa.array(rows)
+    index = {}
+    for i, j, raw, off in V.slices(col):
+        row, at = quality.features(raw, off)
+        names, where = [], []
+        tokens = [[m[0] for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^A-Za-z0-9\x80-\xff\x20\x09-\x0D])\1*", t.encode())] for t in rows[i:j]]
+        lower = [[(b"w", x.lower()) for x in t] for t in tokens]
+
+        def shape(x):
+            up = len(re.findall(rb"[A-Z]", x))
+            kind = 1 if re.match(rb"[A-Za-z\x80-\xff]", x) else 2 if x[:1].isdigit() else x[:1]
+            return (b"s", kind, min(up, 2) + 3 * (up == len(x)), min(len(x), 7))
+
+        shapes = [[shape(x) for x in t] for t in tokens]
+        for source, n in ((lower, 1), (shapes, 1), (lower, 2), (shapes, 2), (shapes, 3)):
+            for r, t in enumerate(source):
+                for k in range(len(t) - n + 1):
+                    names.append(tuple(t[k : k + n]))
+                    where.append(r)
+        assert row.tolist() == where
+        for name, x in zip(names, at.tolist()):
+            assert index.setdefault(name, x) == x
+    assert len(set(index.values())) > 0.98 * len(index)
+
+
+def test_ftrl_steps():
+    """The learner against the published update, one coordinate at a time."""
+    rng = np.random.default_rng(4)
+    model = quality.Ftrl(20, alpha=0.3, beta=1.0, l1=0.02, l2=0.5)
+    z, n = [0.0] * 21, [0.0] * 21
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.5)
+    for _ in range(200):
+        at = np.unique(rng.integers(0, 21, 5))
+        x, y = rng.random(len(at)), float(rng.integers(0, 2))
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at, x))))
+        model.update(at, x, y)
+        for i, v in zip(at.tolist(), x.tolist()):
+            g, w = (p - y) * v, weight(i)
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w
+            n[i] += g * g
+        assert model.weights(slice(None)) == pytest.approx([weight(i) for i in range(21)])
+
+
 def test_quality_held_out(spark, sf):
     from matchloom.llm.queries import op5_quality
     from matchloom.session import table
@@ -471,6 +517,93 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
 
 
+def brute_judge(urls_, rules, most_children=24, z=1.96, overlap=0.5, weight=8.0, reject_at=0.5):
+    """(verdict, template, purity) of every url by plain loops."""
+
+    def kind(x):
+        x = re.sub(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?", "{date}", x)
+        x = re.sub(r"[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}", "{uuid}", x)
+        x = re.sub(r"(?a:\b)(?=[0-9a-f]*[0-9])[0-9a-f]{12,}", "{hex}", x)
+        return re.sub("[0-9]+", "{n}", x)
+
+    rows, seen = {}, []
+    for u in urls_:
+        h, p = plain_url(u)
+        _, ruled = plain_rule(h, p) if rules is URL_RULES else (None, None)
+        kinds = tuple(kind(x) for x in re.sub("^/", "", p).split("/"))
+        seen.append((h, kinds, ruled))
+        row = rows.setdefault((h, kinds), [list(kinds), 0, 0])
+        row[1] += ruled is not None
+        row[2] += ruled == "block"
+    level = 0
+    while True:
+        rests, kids = {}, {}
+        for (h, _), (segs, _, _) in rows.items():
+            if len(segs) > level:
+                rests.setdefault((h, *segs[:level]), set()).add(tuple(segs[level:]))
+                kids.setdefault((h, *segs[:level]), set()).add(segs[level])
+        if not any(len(x) > most_children for x in rests.values()):
+            break
+        for (h, _), row in rows.items():
+            node = (h, *row[0][:level])
+            if len(row[0]) > level and len(kids[node]) > most_children:
+                row[0] = [*row[0][:level], "*", *row[0][level + 1 :]]
+        level += 1
+
+    def share(found, prior):
+        return (sum(r[2] for r in found) + weight * prior) / (sum(r[1] for r in found) + weight)
+
+    whole = share(rows.values(), 0.5)
+    out = {}
+    for host in {h for h, _ in rows}:
+        own = [r for (h, _), r in rows.items() if h == host]
+        p_host = share(own, whole)
+        branches = {}
+        for r in own:
+            branches.setdefault(r[0][0], []).append(r)
+        order = sorted((share(b, p_host), n) for n, b in branches.items())
+        groups = []
+        for i, (p, n) in enumerate(order):
+            size = sum(r[1] for r in branches[n]) + weight
+            leads = {r[0][1] if len(r[0]) > 1 else "" for r in branches[n]}
+            if i:
+                q, m, was = last
+                mean = (p * size + q * m) / (size + m)
+                same = abs(p - q) <= z * math.sqrt(mean * (1 - mean) * (1 / size + 1 / m)) and len(leads & was) / len(leads | was) >= overlap
+            if not i or not same:
+                groups.append([])
+            groups[-1].append(n)
+            last = (p, size, leads)
+        for names in groups:
+            p_branch = share([r for n in names for r in branches[n]], p_host)
+            templates = {}
+            for n in names:
+                for r in branches[n]:
+                    templates.setdefault("/".join(r[0]), []).append(r)
+            for t, found in templates.items():
+                out[host, t] = share(found, p_branch)
+    answers = []
+    for h, kinds, ruled in seen:
+        t = "/".join(rows[h, kinds][0])
+        answers.append((ruled or ("block" if out[h, t] >= reject_at else "allow"), t, out[h, t]))
+    return answers
+
+
+def test_urls_against_brute_force(spark, sf):
+    from matchloom.session import table
+
+    rng = np.random.default_rng(12)
+    u = [r.url for r in table(spark, sf.replace("0.001", "0.1"), "pages").select("url").collect()]
+    u += [f"http://shop.com/{a}/{b}/{c}" for a in ("de", "fr", "it", "us", "uk") for b in ("new", "old", "x1") for c in rng.integers(0, 30, 6)]
+    u += [f"http://a.com/{x}/p{i}/{'abcdefghijklmnopqrstuvwxyzABCDEFGH'[i]}" for x in ("de", "fr", "dex", "frx", "en") for i in range(30)] + [f"http://q.org/{i:013x}/2020-01-02/z" for i in range(5)] + [None, "", "x", "http://a.com", "http://a.com/"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), URL_RULES).orderBy("page_id").collect()
+    want = brute_judge(u, URL_RULES)
+    assert len(got) == len(u)
+    for r, (verdict, template, purity) in zip(got, want):
+        assert (r.verdict, r.template) == (verdict, template) and r.purity == pytest.approx(purity, abs=1e-8)
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
 def test_urls_deep_branches(spark):
     long = "/".join("abcdefgh"[i % 8] for i in range(60))
     u = [f"http://w{i // 10}.net/{x}/b/c/d/{e}/{i % 10}x" for i in range(30) for x in "pq" for e in ("good", "bad")]
@@ -494,6 +627,41 @@ def test_tiling():
     assert sum(t[2] for t in decontam.tile(v("a a a a a a a a a a"), v("a a a a a"))) == 5
 
 
+def brute_tiles(item, doc, shortest=5):
+    """Marked words of an item by greedy string tiling, in plain loops over word lists."""
+    shortest = min(shortest, len(item))
+    fi, fd, n = [True] * len(item), [True] * len(doc), min(len(item), len(doc))
+    while n >= shortest:
+        for p in range(len(item) - n + 1):
+            for q in range(len(doc) - n + 1):
+                if all(fi[p : p + n]) and all(fd[q : q + n]) and item[p : p + n] == doc[q : q + n]:
+                    fi[p : p + n], fd[q : q + n] = [False] * n, [False] * n
+        n -= 1
+    return fi.count(False)
+
+
+def test_decontam_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    vocab = np.array("a b c d e f g h".split())
+    items = [rng.choice(vocab, n).tolist() for n in (3, 5, 8, 12, 20, 30)]
+    docs = []
+    for i in range(120):
+        item = items[i % 6]
+        cuts = sorted(rng.integers(0, len(item) + 1, 2).tolist())
+        pieces = [item[: cuts[0]], item[cuts[0] : cuts[1]], item[cuts[1] :]]
+        rng.shuffle(pieces := [x for x in pieces])
+        docs.append(" ".join(sum(([*rng.choice(vocab, int(rng.integers(0, 4))).tolist(), *x] for x in pieces), [])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("coverage", F.lit("x"))
+    hits = 0
+    for r in decontam.scan(df, bench).collect():
+        share = [brute_tiles(x, docs[r.doc_id].split()) / len(x) for x in items]
+        assert r["items"] == [i for i, s in enumerate(share) if s >= 0.8 - 1e-9]
+        assert r.coverage == pytest.approx(max((s for s in share if s >= 0.8 - 1e-9), default=0.0))
+        hits += len(r["items"])
+    assert 20 < hits < 600
+
+
 @pytest.mark.parametrize("size", [8 << 20, 200])
 def test_decontam(spark, texts, size):
     item = "one two three four five six seven eight nine ten"
@@ -548,6 +716,25 @@ def test_topk(spark, block):
     assert topk.top_k(few, few.filter("vec_id % 50 = 0"), 5).count() == 4
 
 
+def test_topk_leaves_groups_out(spark):
+    """On clustered data most groups are never visited, and the answer is still that of all pairs."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = np.floor(256 * (centres[np.arange(4000) % 40] + 0.05 * rng.normal(size=(4000, 16)))).astype(int)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, x array<long>")
+    cells, placed, dim = topk.voronoi(v, 5, None, 4096, 200)
+    queries = x[::50].astype(float)
+    groups = len(set(cells.group[cells.size > 0].tolist()))
+    assert groups > 15 and len(cells.visits(queries)[0]) < 0.35 * groups * len(queries)
+    got = {}
+    for r in topk.top_k(v, v.filter("vec_id % 50 = 0"), 5, block=200).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    s = x[::50] @ x.T
+    for q in range(80):
+        want = sorted((-int(c), i) for i, c in enumerate(s[q]) if i != 50 * q)[:5]
+        assert got[50 * q] == want
+
+
 # ---- the pipeline
 
 
