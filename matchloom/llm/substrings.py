@@ -219,7 +219,7 @@ def _cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(1).slice(i, j - i), n_words, pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, k: int = K, m: int = M, hot: int = 512) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) of every row."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", F.xxhash64("text").alias("version"))
