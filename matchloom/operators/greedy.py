@@ -1,78 +1,136 @@
 """Greedy choices in order: suppression, one-to-one assignment, gallery dedup, set cover.
 
-All but the cover are one problem: items in rank order, kept unless they
-conflict with an item kept before.  Conflicts come from joins; what is left is
-first-fit over them, per group where groups are bounded (scenes), or in rounds
-over the whole table where a group may be of any size (gallery labels).
+Suppression and assignment take one scene at a time in an Arrow kernel (one shuffle, no
+self-join: a scene's pairs are a matrix). Gallery labels may be of any size, so dedup joins
+conflicts and settles them in rounds over the whole table, and the cover chooses in rounds.
+
+Defined results: scenes without masks give no rows; rows without a scene or label take no part; repeated
+numbers of a scene are rows of their own, in order of arrival among equals; empty boxes overlap nothing.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..plans.cut import cut
-from .boxes import area, inter, overlap, pairs
+from .kernel import per_group
 
+BOX = ("x0", "y0", "x1", "y1")
 
-def _first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    kept: set[int] = set()
-    for r, before in sorted(zip(pdf["rank"], pdf["before"], strict=True), key=lambda x: x[0]):
-        if before is None or not any(b in kept for b in before):
-            kept.add(int(r))
-    return pd.DataFrame({"grp": pdf["grp"].iloc[0], "rank": sorted(kept)})
+
+def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of all pairs of boxes [n, 4] and [m, 4]; 0 where the union is empty."""
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    i = np.maximum(w, 0) * np.maximum(h, 0)
+    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    union = size(a)[:, None] + size(b)[None, :] - i
+    return np.divide(i, union, out=np.zeros_like(i), where=union > 0)
 
 
-def first_fit(items: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Kept (grp, rank) of items (grp, rank) with conflicts (grp, rank, before); groups are bounded."""
-    before = conflicts.groupBy("grp", "rank").agg(F.collect_list("before").alias("before"))
-    return items.select("grp", "rank").join(before, ["grp", "rank"], "left").groupBy("grp").applyInPandas(_first_fit, "grp long, rank long")
+def _boxes(g: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([g[c] for c in BOX], axis=1).astype(float)
 
 
-def first_fit_rounds(items: DataFrame, conflicts: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """The same by rounds of joins: no group is gathered, so groups may be of any size.
+def first_fit_rounds(items: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Kept (grp, rank) of items (grp, rank) with conflicts (grp, rank, before): kept unless in conflict with one kept before.
 
-    An item is kept once all its earlier rivals are out, and out once one of them is kept.
+    No group is gathered, so groups may be of any size: an item is kept once all its earlier rivals
+    are out, and out once one of them is kept. Rounds go on until all are settled (a chain of n
+    conflicts takes n / 2); each settles one item at least, so they end.
     """
-    edges = cut(conflicts.select("grp", "rank", "before"))
-    rivals = edges.select("grp", "rank").distinct()
-    kept = cut(items.select("grp", "rank").join(rivals, ["grp", "rank"], "left_anti"))
-    for _ in range(most_rounds):
-        hit = edges.join(kept.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_semi").select("grp", "rank").distinct()
-        edges = edges.join(hit, ["grp", "rank"], "left_anti")
-        edges = cut(edges.join(hit.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_anti"))
-        # rivals without an open rival before them are kept; those hit are out for good
-        rivals = cut(rivals.join(hit, ["grp", "rank"], "left_anti"))
-        fresh = rivals.join(edges.select("grp", "rank").distinct(), ["grp", "rank"], "left_anti")
-        kept = cut(kept.union(fresh))
-        rivals = cut(rivals.join(fresh, ["grp", "rank"], "left_anti"))
-        if rivals.isEmpty():
-            return kept
-    raise RuntimeError("first fit did not settle")
+    edges = cut(conflicts.select("grp", "rank", "before").distinct())
+    kept = items.select("grp", "rank").join(edges.select("grp", "rank").distinct(), ["grp", "rank"], "left_anti")
+    settled = [cut(kept)]
+    news = settled[0]
+    while True:
+        hit = edges.join(news.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_semi").select("grp", "rank").distinct()
+        hit = cut(hit)
+        edges = edges.join(hit, ["grp", "rank"], "left_anti")  # those out
+        rivals = edges.select("grp", "rank").distinct()
+        open_ = edges.join(hit.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_anti")  # rivals that are out hold no one
+        open_ = cut(open_.join(news.select("grp", F.col("rank").alias("before")), ["grp", "before"], "left_anti"))
+        news = cut(rivals.join(open_.select("grp", "rank").distinct(), ["grp", "rank"], "left_anti"))
+        settled.append(news)
+        edges = open_
+        if edges.isEmpty():
+            break
+    out = settled[0]
+    for x in settled[1:]:
+        out = out.union(x)
+    return out
+
+
+def _fit(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.lexsort((g["before"], g["rank"]))
+    rank, before = g["rank"][order].tolist(), g["before"][order].tolist()
+    kept: set[int] = set()
+    out: set[int] = set()
+    for r, b in zip(rank, before, strict=True):  # the rows of a rank follow each other
+        if b in kept and b < r:
+            out.add(r)
+            kept.discard(r)
+        elif r not in out:
+            kept.add(r)
+    done = np.array(sorted(kept), np.int64)
+    return {"grp": np.full(len(done), g["grp"][0]), "rank": done}
+
+
+def first_fit(items: DataFrame, conflicts: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """first_fit_rounds, but in one kernel per group where no group has over ``most`` conflicts; the same rows either way."""
+    conflicts = cut(conflicts.select("grp", "rank", "before"))
+    top = conflicts.groupBy("grp").count().agg(F.max("count")).collect()[0][0] or 0
+    if top > most:
+        return first_fit_rounds(items, conflicts)
+    hit = conflicts.select("grp", "rank").distinct()
+    free = items.select("grp", "rank").join(hit, ["grp", "rank"], "left_anti")
+    # items without conflicts are kept; in the kernel they only matter as rivals of others
+    rivals = conflicts.select("grp", F.col("before").alias("rank")).distinct().join(hit, ["grp", "rank"], "left_anti").withColumn("before", F.lit(-1).cast("long"))
+    solved = per_group(conflicts.unionByName(rivals), "grp", _fit, "grp long, rank long").join(hit, ["grp", "rank"], "left_semi")
+    return free.union(solved)
+
+
+def _suppress(thr: float):
+    def solve(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((g["mask_no"], -g["score"]))
+        box, alive, kept = _boxes(g)[order], np.ones(len(order), bool), []
+        over = iou_matrix(box, box) > thr
+        for i in range(len(order)):
+            if alive[i]:
+                kept.append(i)
+                alive[i + 1 :] &= ~over[i, i + 1 :]
+        return {"scene_id": g["scene_id"][: len(kept)], "mask_no": g["mask_no"][order][kept]}
+
+    return solve
 
 
 def box_nms(masks: DataFrame, thr: float = 0.3) -> DataFrame:
     """Label-agnostic suppression by (-score, mask_no); an IoU strictly above thr suppresses; empty unions never do."""
-    w = Window.partitionBy("scene_id").orderBy(F.desc("score"), "mask_no")
-    r = masks.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
-    on = (F.col("m.scene_id") == F.col("n.scene_id")) & (F.col("n.rank") < F.col("m.rank")) & overlap("m", "n")
-    i = inter("m", "n")
-    hit = r.alias("m").join(r.alias("n"), on).filter(F.coalesce(F.try_divide(i, area("m") + area("n") - i), F.lit(0.0)) > thr)
-    hit = hit.select(F.col("m.scene_id").alias("grp"), F.col("m.rank").alias("rank"), F.col("n.rank").alias("before"))
-    kept = first_fit(r.select(F.col("scene_id").alias("grp"), "rank"), hit)
-    return kept.withColumnRenamed("grp", "scene_id").join(r, ["scene_id", "rank"]).select("scene_id", "mask_no")
+    return per_group(masks.select("scene_id", "mask_no", "score", *BOX), "scene_id", _suppress(thr), "scene_id long, mask_no long")
+
+
+def _assign(least: float):
+    def solve(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        box, is_gt = _boxes(x), x["is_gt"].astype(bool)
+        g, m = (np.flatnonzero(w)[np.argsort(x["no"][w], kind="stable")] for w in (is_gt, ~is_gt))
+        iou = iou_matrix(box[g], box[m])
+        i, j = np.nonzero(iou >= least)
+        out, taken = np.full(len(g), -1, np.int64), set()
+        for k in np.lexsort((j, i, -iou[i, j])).tolist():
+            if out[i[k]] < 0 and j[k] not in taken:
+                out[i[k]] = j[k]
+                taken.add(j[k])
+        return {"scene_id": x["scene_id"][: len(g)], "gt_no": x["no"][g], "mask_no": np.where(out >= 0, x["no"][m][out] if len(m) else -1, -1)}
+
+    return solve
 
 
 def oracle_assign(gt: DataFrame, masks: DataFrame, least: float = 0.5) -> DataFrame:
     """One mask per ground-truth box by falling IoU, ties by gt_no, then mask_no; -1 for a box without one."""
-    w = Window.partitionBy("scene_id").orderBy(F.desc("iou"), "gt_no", "mask_no")
-    c = pairs(gt, masks, least).withColumn("rank", (F.row_number().over(w) - 1).cast("long")).select("scene_id", "gt_no", "mask_no", "rank")
-    on = (F.col("m.scene_id") == F.col("n.scene_id")) & (F.col("n.rank") < F.col("m.rank")) & ((F.col("m.gt_no") == F.col("n.gt_no")) | (F.col("m.mask_no") == F.col("n.mask_no")))
-    hit = c.alias("m").join(c.alias("n"), on).select(F.col("m.scene_id").alias("grp"), F.col("m.rank").alias("rank"), F.col("n.rank").alias("before"))
-    kept = first_fit(c.select(F.col("scene_id").alias("grp"), "rank"), hit).withColumnRenamed("grp", "scene_id").join(c, ["scene_id", "rank"])
-    return gt.select("scene_id", "gt_no").join(kept.select("scene_id", "gt_no", "mask_no"), ["scene_id", "gt_no"], "left").select("scene_id", "gt_no", F.coalesce("mask_no", F.lit(-1)).cast("long").alias("mask_no"))
+    side = lambda d, no, is_gt: d.select("scene_id", F.lit(is_gt).alias("is_gt"), F.col(no).cast("long").alias("no"), *BOX)
+    return per_group(side(gt, "gt_no", True).union(side(masks, "mask_no", False)), "scene_id", _assign(least), "scene_id long, gt_no long, mask_no long")
 
 
 def dedup(pairs_: DataFrame, refs: DataFrame, eta: float) -> DataFrame:
@@ -81,22 +139,24 @@ def dedup(pairs_: DataFrame, refs: DataFrame, eta: float) -> DataFrame:
     pairs_: (label_id, insert_no, before, s) of rows of one label.
     """
     hit = pairs_.filter(F.col("s") >= eta).select(F.col("label_id").cast("long").alias("grp"), F.col("insert_no").alias("rank"), F.col("before"))
-    kept = first_fit_rounds(refs.select(F.col("label_id").cast("long").alias("grp"), F.col("insert_no").alias("rank")), hit)
+    kept = first_fit(refs.select(F.col("label_id").cast("long").alias("grp"), F.col("insert_no").alias("rank")), hit)
     return kept.select(F.col("grp").cast("int").alias("label_id"), F.col("rank").alias("insert_no"))
 
 
-def _cover(pdf: pd.DataFrame) -> pd.DataFrame:
-    reach: dict[int, set[int]] = {}
-    for a, b in zip(pdf["a"], pdf["b"], strict=True):
-        reach.setdefault(a, set()).add(b)
-    left, chosen = set(reach), []
-    while left:
-        best = max(sorted(reach), key=lambda a: (len(reach[a] & left), -a))
-        left -= reach[best]
-        chosen.append(best)
-    return pd.DataFrame({"label_id": pdf["label_id"].iloc[0], "step": range(len(chosen)), "ref_id": chosen})
-
-
 def greedy_cover(covers: DataFrame) -> DataFrame:
-    """References of a label chosen one by one for the most uncovered rows; covers: (label_id, a, b), b covered by a (itself included)."""
-    return covers.groupBy("label_id").applyInPandas(_cover, "label_id int, step long, ref_id long")
+    """(label_id, step, ref_id): references of a label chosen one by one for the most uncovered rows, the smaller id on ties.
+
+    covers: (label_id, a, b), b covered by a, itself included. Every round chooses once for each label that has
+    uncovered rows; no label is gathered.
+    """
+    left = cut(covers.select("label_id", "a", "b").filter("label_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").distinct())
+    step, out = 0, None
+    while not left.isEmpty():
+        best = left.groupBy("label_id", "a").agg(F.count("*").alias("n")).groupBy("label_id").agg(F.max(F.struct("n", (-F.col("a")).alias("neg"))).alias("m"))
+        best = cut(best.select("label_id", (-F.col("m.neg")).alias("ref_id")))
+        gone = left.join(best, (left["label_id"] == best["label_id"]) & (left["a"] == best["ref_id"])).select(left["label_id"], left["b"])
+        left = cut(left.join(gone, ["label_id", "b"], "left_anti"))
+        part = best.select("label_id", F.lit(step).cast("long").alias("step"), "ref_id")
+        out = part if out is None else out.union(part)
+        step += 1
+    return out if out is not None else left.select("label_id", F.lit(0).cast("long").alias("step"), F.col("a").alias("ref_id"))

@@ -1,20 +1,23 @@
-"""Detection metrics: matching, average precision and recall, AUROC, rejection rates."""
+"""Detection metrics: matching, average precision and recall, AUROC, rejection rates.
+
+Defined results: scenes without ground truth match nothing, scenes without detections give no rows;
+rows without a scene take no part; null scores come last; repeated detections are detections of their own;
+categories without ground truth have no AP, those without detections AP 0.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernel import per_group
+
 #: IoU and recall thresholds; both are the doubles of numpy.linspace.
 IOU_THRESHOLDS = np.linspace(0.5, 0.95, 10)
 RECALL_POINTS = np.linspace(0.0, 1.0, 101)
 
-MATCH = "scene_id long, cat int, rank long, score double, thr int, matched boolean, ignored boolean, gt_no long"
-
-
 def match_group(det: dict, gt: dict, thresholds: np.ndarray, lo: float, hi: float, max_det: int) -> dict:
     """Columns rank, score, thr, matched, ignored, gt_no of one scene and category (dicts of arrays).
 
@@ -60,25 +63,62 @@ def match_group(det: dict, gt: dict, thresholds: np.ndarray, lo: float, hi: floa
     }
 
 
-def matches(dets: DataFrame, gts: DataFrame, by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100, thresholds: np.ndarray = IOU_THRESHOLDS) -> DataFrame:
-    """Matches of dets (scene_id, det_no, label_id, score, box) to gts (scene_id, gt_no, gt_label, box, iscrowd).
+EVERY = (("all", 0.0, 1e10),)
+PACKED = "scene_id long, area string, cat int, rank long, score double, hits int, skips int"
 
-    A task group is a scene, bounded by what one image holds; its categories are matched in turn.
-    """
-    d = dets.select("scene_id", (F.col("label_id") if by_category else F.lit(0)).cast("int").alias("cat"), "det_no", "score", "x0", "y0", "x1", "y1")
-    g = gts.select("scene_id", (F.col("gt_label") if by_category else F.lit(0)).cast("int").alias("cat"), "gt_no", "iscrowd", "x0", "y0", "x1", "y1")
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = ({c: x[c].to_numpy() for c in x.columns} for x in (left, right))
+def packed(dets: DataFrame, gts: DataFrame, by_category: bool = True, ranges: tuple[tuple[str, float, float], ...] = EVERY, max_det: int = 100, gt_no: bool = False) -> DataFrame:
+    """One row for each detection and area range: which thresholds matched it (bits of hits) and ignored it (bits of skips).
+
+    dets: (scene_id, det_no, label_id, score, box); gts: (scene_id, gt_no, gt_label, box, iscrowd). All ranges are
+    matched in one pass over the scenes. With ``gt_no``, also the ground truth matched at each threshold, -1 for none.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    none = F.lit(None)
+    d = dets.select("scene_id", F.lit(False).alias("is_gt"), (F.col("label_id") if by_category else F.lit(0)).cast("int").alias("cat"), F.col("det_no").cast("long").alias("no"), F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"), F.lit(False).alias("crowd"), *(F.col(c).cast("double").alias(c) for c in box))
+    g = gts.select("scene_id", F.lit(True).alias("is_gt"), (F.col("gt_label") if by_category else F.lit(0)).cast("int").alias("cat"), F.col("gt_no").cast("long").alias("no"), none.cast("double").alias("score"), F.col("iscrowd").alias("crowd"), *(F.col(c).cast("double").alias(c) for c in box))
+    bit = 1 << np.arange(len(IOU_THRESHOLDS))
+
+    def solve(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = {k: v.astype(bool) if k in ("is_gt", "crowd") else v for k, v in x.items()}
         parts = []
-        for cat in np.unique(a["cat"]).tolist():
-            mine, own = a["cat"] == cat, b["cat"] == cat
-            rows = match_group({c: v[mine] for c, v in a.items()}, {c: v[own].astype(bool) if c == "iscrowd" else v[own] for c, v in b.items()}, thresholds, lo, hi, max_det)
-            parts.append(pd.DataFrame({"scene_id": key[0], "cat": cat, **rows}))
-        names = ["scene_id", "cat", "rank", "score", "thr", "matched", "ignored", "gt_no"]
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
+        for cat in np.unique(x["cat"][~x["is_gt"]]).tolist():
+            own = x["cat"] == cat
+            d_, g_ = own & ~x["is_gt"], own & x["is_gt"]
+            one = {"det_no": x["no"][d_], "score": x["score"][d_], **{c: x[c][d_] for c in box}}
+            two = {"gt_no": x["no"][g_], "iscrowd": x["crowd"][g_], **{c: x[c][g_] for c in box}}
+            for name, lo, hi in ranges:
+                m = match_group(one, two, IOU_THRESHOLDS, lo, hi, max_det)
+                n = len(m["score"]) // len(IOU_THRESHOLDS)
+                by_thr = lambda c, m=m, n=n: m[c].reshape(len(IOU_THRESHOLDS), n)
+                part = {"scene_id": np.full(n, x["scene_id"][0]), "area": np.full(n, name, dtype=object), "cat": np.full(n, cat), "rank": np.arange(n), "score": m["score"][:n], "hits": (by_thr("matched") * bit[:, None]).sum(axis=0), "skips": (by_thr("ignored") * bit[:, None]).sum(axis=0)}
+                parts.append(part | ({"gt_nos": list(by_thr("gt_no").T)} if gt_no else {}))
+        names = list(parts[0]) if parts else ["scene_id"]
+        if gt_no and parts:
+            nos = [v for p in parts for v in p["gt_nos"]]
+            held = np.empty(len(nos), dtype=object)
+            held[:] = nos
+            return {c: np.concatenate([p[c] for p in parts]) for c in names if c != "gt_nos"} | {"gt_nos": held}
+        return {c: np.concatenate([p[c] for p in parts]) for c in names} if parts else {"scene_id": np.zeros(0)}
+
+    return per_group(d.unionByName(g), "scene_id", solve, PACKED + (", gt_nos array<long>" if gt_no else ""))
+
+
+def _bit(bits: str, thr: Column) -> Column:
+    return F.call_function("shiftright", F.col(bits), thr).bitwiseAND(F.lit(1)) == 1
+
+
+def by_threshold(rows: DataFrame) -> DataFrame:
+    """packed rows, one for each threshold: thr, matched, ignored."""
+    thr = F.explode(F.array(*(F.lit(i) for i in range(len(IOU_THRESHOLDS))))).alias("thr")
+    keep = [c for c in rows.columns if c not in ("hits", "skips", "gt_nos")]
+    out = rows.select("*", thr)
+    return out.select(*keep, "thr", _bit("hits", F.col("thr")).alias("matched"), _bit("skips", F.col("thr")).alias("ignored"), *([F.get("gt_nos", F.col("thr")).alias("gt_no")] if "gt_nos" in rows.columns else []))
 
-    return d.groupBy("scene_id").cogroup(g.groupBy("scene_id")).applyInPandas(run, MATCH)
+
+def matches(dets: DataFrame, gts: DataFrame, by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100, gt_no: bool = False) -> DataFrame:
+    """Matches of dets to gts in one area range, a row for each detection and threshold: scene_id, cat, rank, score, thr, matched, ignored (, gt_no)."""
+    return by_threshold(packed(dets, gts, by_category, (("all", lo, hi),), max_det, gt_no)).drop("area")
 
 
 def gt_counts(gts: DataFrame, lo: float = 0.0, hi: float = 1e10) -> DataFrame:
@@ -86,44 +126,90 @@ def gt_counts(gts: DataFrame, lo: float = 0.0, hi: float = 1e10) -> DataFrame:
     return gts.filter(~F.col("iscrowd") & (a >= lo) & (a <= hi)).groupBy("scene_id", F.col("gt_label").cast("int").alias("cat")).agg(F.count("*").alias("n"))
 
 
-def precision_recall(match: DataFrame, counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Recall and precision envelope at every detection, by (b,) cat and thr; b is a bootstrap replicate."""
-    keys = ["b", "cat", "thr"] if weights is not None else ["cat", "thr"]
-    m = match.join(weights, "scene_id") if weights is not None else match.withColumn("w", F.lit(1).cast("long"))
+def area_counts(gts: DataFrame, ranges: tuple[tuple[str, float, float], ...]) -> DataFrame:
+    """gt_counts of several area ranges, told apart by ``area``."""
+    out = None
+    for name, lo, hi in ranges:
+        part = gt_counts(gts, lo, hi).withColumn("area", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_bounds(dets: DataFrame, parts: int = 32) -> list[float]:
+    """Rough quantiles of the scores: where a running sum over scores is cut into parts. Any bounds give the same sums."""
+    got = dets.agg(F.percentile_approx("score", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000))).collect()[0][0]
+    return sorted(set(got or []))
+
+
+def _npig(counts: DataFrame, weights: DataFrame | None, keys: list[str]) -> DataFrame:
     n = counts.join(weights, "scene_id") if weights is not None else counts.withColumn("w", F.lit(1).cast("long"))
-    total = n.groupBy(*keys[:-1]).agg(F.sum(F.col("n") * F.col("w")).alias("npig"))
-    run = Window.partitionBy(*keys).orderBy(F.desc("score"), "scene_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    m = m.filter("NOT ignored")
-    m = m.withColumn("tp", F.sum(F.when(F.col("matched"), F.col("w")).otherwise(0)).over(run)).withColumn("n", F.sum("w").over(run)).join(total, keys[:-1])
-    m = m.filter("npig > 0").withColumn("recall", F.col("tp") / F.col("npig")).withColumn("precision", F.col("tp") / (F.col("n") + F.lit(2.220446049250313e-16)))
-    back = Window.partitionBy(*keys).orderBy("score", F.desc("scene_id"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return m.withColumn("envelope", F.max("precision").over(back)).select(*keys, "recall", "envelope")
+    return n.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w")).alias("npig")).filter("npig > 0")
 
 
-def average_precision(match: DataFrame, counts: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """AP by (b,) cat: mean over thresholds and 101 recall points; null without ground truth, 0 without detections.
+def precision_recall(match: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """Recall and precision at every detection that is not ignored, by keys and thr.
 
-    A point takes the envelope of the first detection whose recall reaches it:
-    the largest envelope among detections that reach it, as envelopes only fall.
+    With ``bounds`` the running sums are taken within parts of the scores, which start from the totals of the
+    parts above, so no task sorts a whole category.
+    """
+    m = match.join(weights, "scene_id") if weights is not None else match.withColumn("w", F.lit(1).cast("long"))
+    part = F.lit(0)
+    for x in bounds or []:
+        part = part + (F.col("score") >= x).cast("int")
+    m = m.filter("NOT ignored").withColumn("part", part)
+    by = [*keys, "thr"]
+    run = Window.partitionBy(*by, "part").orderBy(F.desc("score"), "scene_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.when(F.col("matched"), F.col("w")).otherwise(0)
+    m = m.withColumn("tp", F.sum(hit).over(run)).withColumn("n", F.sum("w").over(run))
+    if bounds:
+        sums = match.join(weights, "scene_id") if weights is not None else match.withColumn("w", F.lit(1).cast("long"))
+        sums = sums.filter("NOT ignored").withColumn("part", part).groupBy(*by, "part").agg(F.sum(hit).alias("a"), F.sum("w").alias("b"))
+        above = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(*by, "part", F.coalesce(F.sum("a").over(above), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(above), F.lit(0)).alias("b"))
+        m = m.join(sums, [*by, "part"]).withColumn("tp", F.col("tp") + F.col("a")).withColumn("n", F.col("n") + F.col("b"))
+    m = m.join(_npig(counts, weights, keys), keys)
+    return m.select(*by, (F.col("tp") / F.col("npig")).alias("recall"), (F.col("tp") / (F.col("n") + F.lit(2.220446049250313e-16))).alias("precision"))
+
+
+def ap_by_threshold(match: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """(keys, npig, aps): AP at each threshold as an array, 0 without detections; keys without ground truth are left out.
+
+    A recall point takes the largest precision among detections whose recall reaches it, so the
+    running sum is the only window over detections: the rest is a maximum for each of 101 points.
     """
-    keys = ["b", "cat"] if weights is not None else ["cat"]
-    pr = precision_recall(match, counts, weights).groupBy(*keys, "thr", "recall").agg(F.max("envelope").alias("envelope"))
     points = F.array(*(F.lit(float(x)) for x in RECALL_POINTS))
-    hit = pr.select(*keys, "thr", "recall", "envelope", F.explode(F.filter(points, lambda p: p <= F.col("recall"))).alias("point"))
-    at = hit.groupBy(*keys, "thr", "point").agg(F.max("envelope").alias("p"))
-    ap = at.groupBy(*keys, "thr").agg(F.sum("p").alias("p")).groupBy(*keys).agg((F.sum("p") / (101 * len(IOU_THRESHOLDS))).alias("ap"))
-    n = counts.join(weights, "scene_id") if weights is not None else counts.withColumn("w", F.lit(1))
-    have = n.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w")).alias("npig")).filter("npig > 0")
-    return have.join(ap, keys, "left").select(*keys, "npig", F.coalesce("ap", F.lit(0.0)).alias("ap"))
-
-
-def average_recall(match: DataFrame, counts: DataFrame, max_det: int) -> DataFrame:
-    """AR over thresholds and categories with ground truth, at max_det detections per scene and category."""
-    tp = match.filter((F.col("rank") < max_det) & F.col("matched") & ~F.col("ignored")).groupBy("cat", "thr").agg(F.count("*").alias("tp"))
-    n = counts.groupBy("cat").agg(F.sum("n").alias("n"))
-    grid = n.crossJoin(F.broadcast(n.sparkSession.range(len(IOU_THRESHOLDS)).select(F.col("id").cast("int").alias("thr"))))
-    r = grid.join(tp, ["cat", "thr"], "left").select("cat", (F.coalesce("tp", F.lit(0)) / F.col("n")).alias("r"))
-    return r.groupBy("cat").agg(F.avg("r").alias("r")).agg(F.avg("r").alias("ar")).select(F.lit(max_det).alias("max_det"), F.round("ar", 9).alias("ar"))
+    pr = precision_recall(match, counts, keys, weights, bounds)
+    reach = F.size(F.filter(points, lambda p: p <= F.col("recall")))  # points up to here
+    top = pr.groupBy(*keys, "thr", reach.alias("k")).agg(F.max("precision").alias("p"))
+    later = Window.partitionBy(*keys, "thr").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.coalesce(F.lag("k", -1).over(Window.partitionBy(*keys, "thr").orderBy(F.desc("k"))), F.lit(0))
+    steps = top.withColumn("best", F.max("p").over(later)).withColumn("width", F.col("k") - before)
+    ap = steps.groupBy(*keys, "thr").agg((F.sum(F.col("best") * F.col("width")) / 101).alias("ap"))
+    lists = ap.groupBy(*keys).agg(F.collect_list(F.struct("thr", "ap")).alias("l"))
+    have = _npig(counts, weights, keys).join(lists, keys, "left")
+    at = F.map_from_entries(F.coalesce("l", F.array().cast("array<struct<thr:int,ap:double>>")))
+    aps = F.transform(F.array(*(F.lit(i) for i in range(len(IOU_THRESHOLDS)))), lambda i: F.coalesce(F.element_at(at, i), F.lit(0.0)))
+    return have.select(*keys, "npig", aps.alias("aps"))
+
+
+def mean_of(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+
+
+def average_precision(match: DataFrame, counts: DataFrame, weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """AP by (b,) cat: mean over thresholds and 101 recall points; b is a bootstrap replicate of weights (b, scene_id, w)."""
+    keys = ["b", "cat"] if weights is not None else ["cat"]
+    return ap_by_threshold(match, counts, keys, weights, bounds).select(*keys, "npig", mean_of(F.col("aps")).alias("ap"))
+
+
+def average_recall(match: DataFrame, counts: DataFrame, max_det: int, keys: list[str] | None = None) -> DataFrame:
+    """AR over thresholds and categories with ground truth, at max_det detections per scene and category, by keys."""
+    keys = keys or []
+    tp = match.filter((F.col("rank") < max_det) & F.col("matched") & ~F.col("ignored")).groupBy(*keys, "cat").agg(F.count("*").alias("tp"))
+    n = counts.groupBy(*keys, "cat").agg(F.sum("n").alias("n"))
+    r = n.join(tp, [*keys, "cat"], "left").select(*keys, "n", (F.coalesce("tp", F.lit(0)) / F.col("n") / len(IOU_THRESHOLDS)).alias("r"))
+    agg = (F.lit(max_det).alias("max_det"), F.round(F.avg("r"), 9).alias("ar"))
+    return r.groupBy(*keys).agg(*agg) if keys else r.agg(*agg)
 
 
 def auroc(scored: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:

@@ -1,14 +1,22 @@
 """Exact and approximate gallery search, and the open-set decision.
 
 The gallery is broadcast only after its size is checked; larger ones are cut
-into blocks that meet every query block in a grid of tasks, with partial results
-merged by the same order.  Similarities are dot products in double precision, rounded to 6 places before
-any comparison, so ties are the same on every plan.
+into blocks that meet every query block in a grid of tasks. Either way a kernel multiplies blocks
+of vectors and reduces what it sees before anything is emitted: the best of each label, the k nearest,
+counts, or histograms; only ``similarities`` without ``per_label`` emits all pairs. Partial results are merged by the same order.
+
+Similarities are dot products in double precision and are compared as they are; queries round what they return.
+``places`` rounds before any comparison, for callers that want near ties to be ties.
+
+Defined results: vectors that are null, hold null or non-finite components or have another length than the gallery's
+take no part: as references they are never found, as queries they find nothing and are undecided; repeated query rows
+are answered each; repeated references are references each; an empty gallery answers no one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,82 +26,247 @@ from pyspark.sql.window import Window
 
 BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 50_000
+AT_ONCE = 512  # queries that meet a block of references in one product
+BINS = 1 << 14
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of a list column as a matrix; all must be sound and of one length."""
     flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, dim or 0)
+
+
+def _sound(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the rows that take part, their matrix)."""
+    size = np.asarray(column.value_lengths().fill_null(-1))
+    flat = column.flatten()
+    value = np.asarray(flat.cast(pa.float64()).fill_null(np.nan), dtype=np.float64)
+    end = np.cumsum(np.maximum(size, 0))
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(value))])
+    at = np.flatnonzero((size == dim) & (bad[end] == bad[end - np.maximum(size, 0)]))
+    if dim == 0 or not len(at):
+        return at[:0], np.zeros((0, dim))
+    return at, value[(end[at] - dim)[:, None] + np.arange(dim)]
+
+
+class Refs:
+    """A block of the gallery as arrays."""
 
+    def __init__(self, t: pa.Table, dim: int):
+        t = t.combine_chunks()
+        column = t.column("z").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float32()))
+        at, self.z = _sound(column, dim)
+        self.ref_id, self.label_id, self.insert_no = (t.column(c).to_numpy()[at] if t.num_rows else np.zeros(0, np.int64) for c in ("ref_id", "label_id", "insert_no"))
 
-def _sims(q: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return np.round(q @ z.T, 6)
 
+Fold = Callable[[np.ndarray, pa.RecordBatch, Refs], list[pa.Array]]
+REF = ["ref_id", "label_id", "insert_no", "z"]
 
-def similarities(queries: DataFrame, refs: DataFrame, keep_query: list[str], per_label: bool = False, least: float | None = None) -> DataFrame:
-    """All pairs (keep_query, ref_id, label_id, insert_no, s), or the best of each label (keep_query, label_id, s).
 
-    ``per_label`` and ``least`` reduce inside the kernel, before anything is emitted.
+def fold_pairs(queries: DataFrame, refs: DataFrame, keep: list[str], fold: Fold, names: str, places: int | None = None) -> DataFrame:
+    """What fold makes of blocks of similarities: fold(s, queries' columns keep, refs) gives the columns of ``names`` (DDL).
+
+    A query meets the gallery in one block where that is broadcast, in several otherwise, so callers merge by query.
+    In a grid, equal query rows are folded once and written out as often as they occur.
     """
     spark = queries.sparkSession
     stats = refs.agg(F.count("*").alias("n"), F.max(F.size("z")).alias("d")).collect()[0]
-    dim = stats["d"] or 0
-    if (stats["n"] or 0) * dim * 8 > BROADCAST_BYTES:
-        return _grid(queries, refs, keep_query, per_label, least, int(stats["n"]), dim)
-    g = refs.select("ref_id", "label_id", "insert_no", "z").toArrow().combine_chunks()
-    held = spark.sparkContext.broadcast((g.column("ref_id").to_numpy(), g.column("label_id").to_numpy(), g.column("insert_no").to_numpy(), _matrix(g.column("z").combine_chunks()) if g.num_rows else np.zeros((0, dim))))
+    dim = max(stats["d"] or 0, 0)
+
+    def emit(b: pa.RecordBatch, r: Refs) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, b.num_rows, AT_ONCE):
+            part = b.slice(lo, AT_ONCE)
+            at, q = _sound(part.column(part.num_columns - 1), dim)
+            if not len(at) or not len(r.z):
+                continue
+            s = q @ r.z.T
+            own = part.select(keep).take(pa.array(at)) if keep else part.select([])
+            columns = fold(np.round(s, places) if places is not None else s, own, r)
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in names.split(", ")])
+
+    if (stats["n"] or 0) * dim * 8 <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast(Refs(refs.select(*REF).toArrow(), dim))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from emit(b, held.value)
+
+        return queries.select(*keep, "z").mapInArrow(run, names)
+
+    blocks = -(-int(stats["n"]) * dim * 8 // BROADCAST_BYTES)
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n) - 1).cast("long")))
+    r = refs.select(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("blk"), *REF).select("blk", span(parts).alias("part"), *REF)
+    some = queries.select(*keep, "z").groupBy(*keep, "z").agg(F.count("*").alias("_times"))
+    q = some.select(span(blocks).alias("blk"), F.pmod(F.xxhash64(*keep, "z"), F.lit(parts)).alias("part"), *keep, "_times", "z")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Refs(right, dim)
+        made = [x for b in left.select([*keep, "_times", "z"]).combine_chunks().to_batches() for x in emit_grid(b, block)]
+        return pa.Table.from_batches(made) if made else empty
+
+    def emit_grid(b: pa.RecordBatch, block: Refs) -> Iterator[pa.RecordBatch]:
+        times = b.column(len(keep)).to_numpy()
+        for i in np.unique(times).tolist() or []:
+            rows = b.filter(pa.array(times == i)).select([*keep, "z"])
+            for x in emit(rows, block):
+                yield x.append_column("_times", pa.array(np.full(x.num_rows, i)))
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(f"{names}, _times long"))
+    empty = schema.empty_table()
+    out = q.groupBy("blk", "part").cogroup(r.groupBy("blk", "part")).applyInArrow(solve, f"{names}, _times long")
+    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_i")).drop("_times")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                yield _emit(b.slice(lo, 512), keep_query, *held.value, per_label, least)
 
-    return queries.select(*keep_query, "z").mapInArrow(run, _schema(queries, keep_query, per_label))
+def _own(queries: DataFrame, keep: list[str]) -> str:
+    return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in queries.select(*keep).schema)
 
 
-def _schema(queries: DataFrame, keep: list[str], per_label: bool) -> str:
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select(*keep).schema)
-    return f"{own}, label_id int, s double" if per_label else f"{own}, ref_id long, label_id int, insert_no long, s double"
+def _copies(df: DataFrame) -> list[str]:
+    return ["_i"] if "_i" in df.columns else []
 
 
-def _emit(b: pa.RecordBatch, keep: list[str], rid, label, ins, z, per_label, least) -> pa.RecordBatch:
-    s = _sims(_matrix(b.column(len(keep))), z) if len(z) else np.zeros((b.num_rows, 0))
+def similarities(queries: DataFrame, refs: DataFrame, keep: list[str], per_label: bool = False, least: float | None = None, places: int | None = None) -> DataFrame:
+    """All pairs (keep, ref_id, label_id, insert_no, s), or the best of each label (keep, label_id, s); only s >= least."""
+
+    def best(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        order = np.argsort(r.label_id, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(r.label_id[order]) != 0]))
+        s = np.maximum.reduceat(s[:, order], heads, axis=1)
+        i, j = np.nonzero(s >= (least if least is not None else -np.inf))
+        return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.label_id[order][heads][j].astype(np.int32)), pa.array(s[i, j])]
+
+    def all_(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        i, j = np.nonzero(s >= (least if least is not None else -np.inf))
+        return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.ref_id[j]), pa.array(r.label_id[j].astype(np.int32)), pa.array(r.insert_no[j]), pa.array(s[i, j])]
+
     if per_label:
-        order = np.argsort(label, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(label[order]) != 0])) if len(label) else np.zeros(0, int)
-        s = np.maximum.reduceat(s[:, order], heads, axis=1) if len(heads) else s
-        names = [*keep, "label_id", "s"]
-        i, j = np.nonzero(s >= least) if least is not None else np.nonzero(np.ones_like(s, dtype=bool))
-        cols = [pa.array(label[order][heads][j].astype(np.int32)), pa.array(s[i, j])]
-    else:
-        names = [*keep, "ref_id", "label_id", "insert_no", "s"]
-        i, j = np.nonzero(s >= least) if least is not None else np.nonzero(np.ones_like(s, dtype=bool))
-        cols = [pa.array(rid[j]), pa.array(label[j].astype(np.int32)), pa.array(ins[j]), pa.array(s[i, j])]
-    at = pa.array(i)
-    return pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(len(keep))), *cols], names)
-
-
-def _grid(queries: DataFrame, refs: DataFrame, keep: list[str], per_label: bool, least: float | None, n: int, dim: int) -> DataFrame:
-    """Blocks of references (about BROADCAST_BYTES) against parts of queries (about QUERY_ROWS), one task each."""
-    blocks = -(-n * dim * 8 // BROADCAST_BYTES)
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    span = lambda n_: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n_) - 1).cast("long")))
-    r = refs.select(F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("blk"), "ref_id", "label_id", "insert_no", "z")
-    q = queries.select(span(blocks).alias("blk"), F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(parts)).alias("part"), *keep, "z")
-    r = r.select("blk", span(parts).alias("part"), "ref_id", "label_id", "insert_no", "z")
+        out = fold_pairs(queries, refs, keep, best, f"{_own(queries, keep)}label_id int, s double", places)
+        return out.groupBy(*keep, *_copies(out), "label_id").agg(F.max("s").alias("s")).drop("_i") if _copies(out) else out
+    return fold_pairs(queries, refs, keep, all_, f"{_own(queries, keep)}ref_id long, label_id int, insert_no long, s double", places).drop("_i")
 
-    kinds = {"ref_id": pa.int64(), "label_id": pa.int32(), "insert_no": pa.int64(), "s": pa.float64()}
-    out_names = ["label_id", "s"] if per_label else list(kinds)
 
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({**{c: pa.array([], left.schema.field(c).type) for c in keep}, **{c: pa.array([], kinds[c]) for c in out_names}})
-        b = left.select([*keep, "z"]).combine_chunks().to_batches()
-        g = right.combine_chunks()
-        z = _matrix(g.column("z").combine_chunks()) if g.num_rows else np.zeros((0, dim))
-        made = [_emit(x.slice(lo, 512), keep, g.column("ref_id").to_numpy(), g.column("label_id").to_numpy(), g.column("insert_no").to_numpy(), z, per_label, least) for x in b for lo in range(0, x.num_rows, 512)]
-        return pa.Table.from_batches(made) if made else empty
+def nearest(queries: DataFrame, refs: DataFrame, keep: list[str], k: int, allowed: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, places: int | None = None) -> DataFrame:
+    """(keep, ref_id, label_id, insert_no, s, rank): the k nearest references of each query, by s, then ref_id.
+
+    ``allowed`` gives the matrix of pairs (queries x references) that may be answered.
+    """
+
+    def top(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        ok = allowed(own, r) if allowed is not None else np.ones_like(s, dtype=bool)
+        order = np.argsort(r.ref_id, kind="stable")
+        s, ok = np.where(ok, s, -np.inf)[:, order], ok[:, order]
+        m = min(k, s.shape[1])
+        floor = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero((s >= floor[:, None]) & ok)
+        o = np.lexsort((j, -s[i, j], i))
+        i, j = i[o], j[o]
+        first = (np.arange(len(i)) - np.searchsorted(i, i)) < k
+        i, at = i[first], order[j[first]]
+        return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.ref_id[at]), pa.array(r.label_id[at].astype(np.int32)), pa.array(r.insert_no[at]), pa.array(s[i, j[first]]), pa.array((np.arange(len(i)) - np.searchsorted(i, i) + 1).astype(np.int32))]
+
+    out = fold_pairs(queries, refs, keep, top, f"{_own(queries, keep)}ref_id long, label_id int, insert_no long, s double, rank int", places)
+    if not _copies(out):
+        return out
+    w = Window.partitionBy(*keep, "_i").orderBy(F.desc("s"), "ref_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_i")
+
 
-    out = q.groupBy("blk", "part").cogroup(r.groupBy("blk", "part")).applyInArrow(solve, _schema(queries, keep, per_label))
-    return out.groupBy(*keep, "label_id").agg(F.max("s").alias("s")) if per_label else out
+def shares(queries: DataFrame, refs: DataFrame, levels: list[tuple[float, Callable[[Refs], np.ndarray] | None]], places: int | None = None) -> list[tuple[int, int]]:
+    """(pairs, pairs with s >= level) for each level, over the references that its mask chooses: partial counts only."""
+
+    def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        rows = [(i, s[:, m].size, int((s[:, m] >= level).sum())) for i, (level, mask) in enumerate(levels) for m in [mask(r) if mask is not None else slice(None)]]
+        return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)]
+
+    got = {r["i"]: (r["n"], r["k"]) for r in fold_pairs(queries, refs, [], count, "i int, n long, k long", places).groupBy("i").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    return [got.get(i, (0, 0)) for i in range(len(levels))]
+
+
+class Distribution:
+    """The similarities of all pairs, without a row for each: histograms first, then the values of the bins that are asked for.
+
+    ``by`` names a group of every pair by a small whole number, as a matrix or as a row for all queries.
+    """
+
+    def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, places: int | None = None):
+        self.args = (queries, refs, keep or [])
+        self.by, self.places = by, places
+
+        def ends(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+            return [pa.array([float(s.min())]), pa.array([float(s.max())])]
+
+        lo, hi = fold_pairs(*self.args, ends, "lo double, hi double", places).agg(F.min("lo"), F.max("hi")).collect()[0]
+        self.lo, self.hi = (lo, hi) if lo is not None else (0.0, 0.0)
+        group, bin_ = self._group, self._bin
+
+        def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+            g = group(own, r, s)
+            key, n = np.unique(g * BINS + bin_(s), return_counts=True)
+            return [pa.array((key // BINS).astype(np.int32)), pa.array((key % BINS).astype(np.int32)), pa.array(n)]
+
+        rows = fold_pairs(*self.args, count, "g int, bin int, n long", places).filter("g >= 0").groupBy("g", "bin").agg(F.sum("n").alias("n")).collect()  # BINS a group at most
+        self.counts: dict[int, np.ndarray] = {}
+        for r in rows:
+            self.counts.setdefault(r["g"], np.zeros(BINS, np.int64))[r["bin"]] = r["n"]
+
+    def _group(self, own: pa.RecordBatch, r: Refs, s: np.ndarray) -> np.ndarray:
+        return np.zeros(s.shape, np.int64) if self.by is None else np.broadcast_to(self.by(own, r), s.shape).astype(np.int64)
+
+    def _bin(self, s: np.ndarray) -> np.ndarray:
+        width = self.hi - self.lo
+        return np.clip(((s - self.lo) / width * BINS).astype(np.int64), 0, BINS - 1) if width > 0 else np.zeros(s.shape, np.int64)
+
+    def n(self, g: int = 0) -> int:
+        return int(self.counts[g].sum()) if g in self.counts else 0
+
+    def values(self, ranks: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """The values of ranks (0 for the smallest) in each group; the values of their bins reach the driver."""
+        want = {g: np.unique(np.searchsorted(np.cumsum(self.counts[g]), r, "right")) for g, r in ranks.items() if len(r)}
+        codes = np.array(sorted(g * BINS + b for g, bins in want.items() for b in bins.tolist()), np.int64)
+        group, bin_ = self._group, self._bin
+
+        def pick(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+            key = group(own, r, s) * BINS + bin_(s)
+            hit = np.isin(key, codes)
+            return [pa.array((key[hit] // BINS).astype(np.int32)), pa.array(s[hit])]
+
+        got = fold_pairs(*self.args, pick, "g int, s double", self.places).toArrow() if len(codes) else None
+        out = {}
+        for g, r in ranks.items():
+            if not len(r):
+                out[g] = np.zeros(0)
+                continue
+            v = np.sort(got.column("s").to_numpy()[got.column("g").to_numpy() == g])
+            size = self.counts[g]
+            below = np.cumsum(size) - size
+            bins = want[g]
+            start = np.cumsum(size[bins]) - size[bins]  # where a bin's values begin in v
+            b = np.searchsorted(np.cumsum(size), r, "right")
+            out[g] = v[start[np.searchsorted(bins, b)] + r - below[b]]
+        return out
+
+    def quantiles(self, q: np.ndarray, g: int = 0) -> np.ndarray:
+        """Linearly interpolated quantiles, exact; no values give none."""
+        n = self.n(g)
+        if not n:
+            return np.full(len(q), np.nan)
+        at = np.asarray(q, float) * (n - 1)
+        lo = np.floor(at).astype(np.int64)
+        hi = np.minimum(lo + 1, n - 1)
+        both = np.unique(np.concatenate([lo, hi]))
+        v = self.values({g: both})[g]
+        a, b = v[np.searchsorted(both, lo)], v[np.searchsorted(both, hi)]
+        return a + (b - a) * (at - lo)
+
+    def top(self, k: int, g: int = 0) -> np.ndarray:
+        """The k largest values, falling."""
+        n = self.n(g)
+        return self.values({g: np.arange(max(0, n - k), n)})[g][::-1] if n else np.zeros(0)
 
 
 def decide(by_label: DataFrame, queries: DataFrame, keys: list[str], tau: float | None = None) -> DataFrame:
@@ -108,45 +281,66 @@ def decide(by_label: DataFrame, queries: DataFrame, keys: list[str], tau: float
     return out.withColumn("y_hat", F.when(F.col("s_star") >= tau, F.col("y_hat")).otherwise(-1))
 
 
-def top(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k nearest references of each query; equal similarities by ref_id."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("s"), "ref_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def margin(by_label: DataFrame, keys: list[str]) -> DataFrame:
-    """Best less second-best label."""
+    """Best less second-best label; 0 with one label."""
     w = Window.partitionBy(*keys).orderBy(F.desc("s"), "label_id")
     two = by_label.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-    return two.groupBy(*keys).agg(F.round(F.max("s") - F.min("s"), 6).alias("margin"))
+    return two.groupBy(*keys).agg((F.max("s") - F.min("s")).alias("margin"))
 
 
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def planes(dim: int, bits: int, seed: int = 0) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((bits, dim))
+def lsh_plan(n: int, reach: float = 0.45, found: float = 0.95, bucket: int = 32) -> tuple[int, int]:
+    """(bits, tables): bits grow with the gallery, so that a bucket holds about ``bucket`` rows of it; tables so that a pair of
+    similarity ``reach`` meets in one of them with probability ``found``."""
+    bits = max(1, round(math.log2(max(n / bucket, 2))))
+    alike = (1 - math.acos(reach) / math.pi) ** bits
+    return bits, max(1, math.ceil(math.log(1 - found) / math.log(1 - alike)))
+
 
+def lsh_search(queries: DataFrame, refs: DataFrame, keep: list[str], dim: int, bits: int | None = None, tables: int | None = None, seed: int = 0) -> DataFrame:
+    """(keep, ref_id, s, candidates): approximate best reference of each query by random hyperplanes.
 
-def lsh_search(queries: DataFrame, refs: DataFrame, keep: list[str], dim: int, bits: int = 5, tables: int = 32, seed: int = 0) -> DataFrame:
-    """Approximate best reference of each query by random hyperplanes: equi-joins on (table, bucket), then exact scores."""
-    p = planes(dim, bits * tables, seed)
+    Rows meet in the buckets of each table, where one product gives exact scores; only each bucket's best leaves it.
+    candidates counts the pairs compared. Queries that meet no reference are left out.
+    """
+    auto = lsh_plan(refs.count())
+    bits, tables = bits or auto[0], tables or auto[1]
+    p = np.random.default_rng(seed).standard_normal((bits * tables, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sign = (_matrix(b.column(b.num_columns - 1)) @ p.T > 0).reshape(b.num_rows, tables, bits)
-            code = (sign * (1 << np.arange(bits))).sum(axis=2) if b.num_rows else np.zeros((0, tables), int)
+            rows, z = _sound(b.column(b.num_columns - 1), dim)
+            sign = (z @ p.T > 0).reshape(len(rows), tables, bits)
+            code = (sign * (1 << np.arange(bits))).sum(axis=2) if len(rows) else np.zeros((0, tables), int)
             i, t = np.indices(code.shape).reshape(2, -1)
-            at = pa.array(i)
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns), pa.array(t.astype(np.int32)), pa.array(code.ravel().astype(np.int32))], [*b.schema.names, "tab", "code"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows[i])) for c in b.columns), pa.array(t.astype(np.int32)), pa.array(code.ravel())], [*b.schema.names, "tab", "code"])
 
     def coded(df: DataFrame) -> DataFrame:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(run, f"{fields}, tab int, code int")
+        return df.mapInArrow(run, f"{fields}, tab int, code long")
 
-    q = coded(queries.select(*keep, F.col("z").alias("qz")))
-    r = coded(refs.select("ref_id", "label_id", "z"))
-    c = q.join(r, ["tab", "code"]).dropDuplicates([*keep, "ref_id"])
-    s = F.round(F.aggregate(F.zip_with("qz", "z", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
-    return c.select(*keep, "ref_id", "label_id", s.alias("s"))
+    own = _own(queries, keep)
+    names = [*keep, "ref_id", "s", "n"]
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select([*keep, "z"])
+        if not left.num_rows or not right.num_rows:
+            return left.slice(0, 0).select(keep).append_column("ref_id", pa.array([], pa.int64())).append_column("s", pa.array([], pa.float64())).append_column("n", pa.array([], pa.int64()))
+        _, q = _sound(left.column("z").combine_chunks(), dim)
+        _, z = _sound(right.column("z").combine_chunks(), dim)
+        rid = right.column("ref_id").to_numpy()
+        order = np.argsort(rid, kind="stable")
+        at, best = np.zeros(len(q), np.int64), np.zeros(len(q))
+        for lo in range(0, len(q), AT_ONCE):
+            s = q[lo : lo + AT_ONCE] @ z[order].T
+            at[lo : lo + AT_ONCE] = s.argmax(axis=1)
+            best[lo : lo + AT_ONCE] = s.max(axis=1)
+        return pa.table([*(left.column(c) for c in keep), pa.array(rid[order][at]), pa.array(best), pa.array(np.full(len(q), len(z)))], names)
+
+    q, r = coded(queries.select(*keep, "z")), coded(refs.select("ref_id", "z"))
+    met = q.groupBy("tab", "code").cogroup(r.groupBy("tab", "code")).applyInArrow(solve, f"{own}ref_id long, s double, n long")
+    top = met.groupBy(*keep).agg(F.max(F.struct("s", (-F.col("ref_id")).alias("neg"))).alias("m"), F.sum("n").alias("candidates"))
+    return top.select(*keep, (-F.col("m.neg")).alias("ref_id"), F.col("m.s").alias("s"), "candidates")

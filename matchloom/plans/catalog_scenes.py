@@ -276,19 +276,23 @@ def ar_sql(name: str, k: int) -> str:
 _BY_AREA = " UNION ALL ".join(f"SELECT round(avg(ap),9) AS ap, count(*) AS cats, '{n}' AS area FROM m_{n}_ap" for n, _, _ in RANGES)
 
 
-def _eval(spark, sf, least: float = 0.0, by_category: bool = True, **kw):
-    d = V.pred(spark, sf).filter(F.col("score") >= least).withColumnRenamed("mask_no", "det_no")
+def _truth(spark, sf):
+    """Detections, and ground truth with the ignore zones as crowds of every category."""
+    d = V.pred(spark, sf).withColumnRenamed("mask_no", "det_no")
     g = V.gt(spark, sf).withColumn("iscrowd", F.lit(False))
-    z = V.zones(spark, sf)
-    cats = g.select("gt_label").distinct()
-    zone = z.crossJoin(cats).select("scene_id", F.lit(-1).cast("long").alias("gt_no"), "gt_label", "x0", "y0", "x1", "y1", F.lit(True).alias("iscrowd"))
-    g = g.unionByName(zone)
-    return M.matches(d, g, by_category, **kw), g
+    cats = g.select("gt_label").distinct().agg(F.collect_set("gt_label").alias("cats"))  # one row of the labels
+    zone = V.zones(spark, sf).crossJoin(F.broadcast(cats)).select("scene_id", F.lit(-1).cast("long").alias("gt_no"), F.explode("cats").alias("gt_label"), "x0", "y0", "x1", "y1", F.lit(True).alias("iscrowd"))
+    return d, g.unionByName(zone)
+
+
+def _eval(spark, sf, least: float = 0.0, by_category: bool = True, **kw):
+    d, g = _truth(spark, sf)
+    return M.matches(d.filter(F.col("score") >= least), g, by_category, **kw), g
 
 
 @query("coco_matches", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT * FROM mt")
 def coco_matches(spark, sf):
-    return _eval(spark, sf)[0]
+    return _eval(spark, sf, gt_no=True)[0]
 
 
 @query("tp_counts", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT cat, thr, count(*) FILTER (matched AND NOT ignored) AS tp, count(*) FILTER (NOT matched AND NOT ignored) AS fp FROM mt GROUP BY ALL")
@@ -305,10 +309,16 @@ def ap_by_category(spark, sf):
 
 @query("ap_by_area", f"WITH RECURSIVE {EVAL}, {', '.join(match_sql(f'm_{n}', lo=lo, hi=hi) + ', ' + ap_sql(f'm_{n}') for n, lo, hi in RANGES)} {_BY_AREA}")
 def ap_by_area(spark, sf):
+    d, g = _truth(spark, sf)
+    m = M.by_threshold(M.packed(d, g, ranges=RANGES))
+    ap = M.ap_by_threshold(m, M.area_counts(g, RANGES), ["area", "cat"], bounds=M.score_bounds(d))
+    return ap.groupBy("area").agg(F.round(F.avg(M.mean_of(F.col("aps"))), 9).alias("ap"), F.count("*").alias("cats"))
+
+
+def _recalls(m, n, at):
     out = None
-    for name, lo, hi in RANGES:
-        m, g = _eval(spark, sf, lo=lo, hi=hi)
-        part = M.average_precision(m, M.gt_counts(g, lo, hi)).agg(F.round(F.avg("ap"), 9).alias("ap"), F.count("*").alias("cats")).withColumn("area", F.lit(name))
+    for k in at:
+        part = M.average_recall(m, n, k)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -316,19 +326,13 @@ def ap_by_area(spark, sf):
 @query("ar_at_maxdets", f"WITH RECURSIVE {EVAL}, {match_sql()} {' UNION ALL '.join(ar_sql('mt', k) for k in (1, 10, 100))}")
 def ar_at_maxdets(spark, sf):
     m, g = _eval(spark, sf)
-    n = M.gt_counts(g)
-    out = None
-    for k in (1, 10, 100):
-        part = M.average_recall(m, n, k)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _recalls(m, M.gt_counts(g), (1, 10, 100))
 
 
 @query("proposal_recall", f"WITH RECURSIVE {EVAL}, {match_sql(by_category=False, max_det=1000)} {' UNION ALL '.join(ar_sql('mt', k) for k in (100, 1000))}")
 def proposal_recall(spark, sf):
     m, g = _eval(spark, sf, by_category=False, max_det=1000)
-    n = M.gt_counts(g.withColumn("gt_label", F.lit(0)))
-    return M.average_recall(m, n, 100).unionByName(M.average_recall(m, n, 1000))
+    return _recalls(m, M.gt_counts(g.withColumn("gt_label", F.lit(0))), (100, 1000))
 
 
 @query("boot_ap", f"""WITH RECURSIVE {EVAL}, {match_sql()}, {V.boot_sql('gt', 10)}, wg AS (SELECT b, cat, sum(w) AS npig FROM mt_g JOIN boot USING (scene_id) WHERE NOT skip GROUP BY ALL),

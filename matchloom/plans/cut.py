@@ -1,15 +1,38 @@
-"""Cutting lineage in loops: reliable checkpoints in the shared folder."""
+"""The shared folder, and cutting lineage in loops by reliable checkpoints in it."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder of our own, but only on a local master: executors of a cluster would not share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file:///tmp/checkpoints/matchloom-{os.getuid()}"
+    return folder.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    uri = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(uri)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return uri
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in spark.checkpoint.dir; where that is unset (as in tests), in a folder of our own."""
+    """df as a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/matchloom-{os.getuid()}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
