@@ -143,13 +143,28 @@ def dedup(pairs_: DataFrame, refs: DataFrame, eta: float) -> DataFrame:
     return kept.select(F.col("grp").cast("int").alias("label_id"), F.col("rank").alias("insert_no"))
 
 
-def greedy_cover(covers: DataFrame) -> DataFrame:
+def _cover(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    reach: dict[int, set[int]] = {}
+    for a, b in zip(g["a"].tolist(), g["b"].tolist(), strict=True):
+        reach.setdefault(a, set()).add(b)
+    left, chosen = set().union(*reach.values()), []
+    while left:
+        best = min(reach, key=lambda a: (-len(reach[a] & left), a))
+        left -= reach[best]
+        chosen.append(best)
+    return {"label_id": np.full(len(chosen), g["label_id"][0]), "step": np.arange(len(chosen)), "ref_id": np.array(chosen, np.int64)}
+
+
+def greedy_cover(covers: DataFrame, most: int = 2_000_000) -> DataFrame:
     """(label_id, step, ref_id): references of a label chosen one by one for the most uncovered rows, the smaller id on ties.
 
-    covers: (label_id, a, b), b covered by a, itself included. Every round chooses once for each label that has
-    uncovered rows; no label is gathered.
+    covers: (label_id, a, b), b covered by a, itself included. In one kernel per label where none has over ``most``
+    rows, else in rounds that choose once for each label that has uncovered rows and gather no label; the same rows either way.
     """
-    left = cut(covers.select("label_id", "a", "b").filter("label_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").distinct())
+    covers = cut(covers.select("label_id", "a", "b").filter("label_id IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").distinct())
+    if (covers.groupBy("label_id").count().agg(F.max("count")).collect()[0][0] or 0) <= most:
+        return per_group(covers, "label_id", _cover, "label_id int, step long, ref_id long")
+    left = covers
     step, out = 0, None
     while not left.isEmpty():
         best = left.groupBy("label_id", "a").agg(F.count("*").alias("n")).groupBy("label_id").agg(F.max(F.struct("n", (-F.col("a")).alias("neg"))).alias("m"))

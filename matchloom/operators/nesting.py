@@ -1,4 +1,8 @@
-"""Nesting graph of masks and selection on it. Comparisons are in whole numbers: 10 v >= 9 small, 5 a >= 4 b."""
+"""Nesting graph of masks and selection on it. Comparisons are in whole numbers: 10 v >= 9 small, 5 a >= 4 b.
+
+Defined results: masks of equal area are never nested; empty boxes overlap nothing; masks with null coordinates
+have no edges; (scene_id, mask_no) is a key; ties go to the smaller number; scenes without masks give no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.cut import cut
 from .boxes import area, inter, overlap
 
 
@@ -19,9 +24,9 @@ def nested(masks: DataFrame) -> DataFrame:
     return e.filter("area_a < area_b AND 10 * v >= 9 * area_a")
 
 
-def near_duplicates(edges: DataFrame) -> DataFrame:
-    """Nested pairs of almost one size: 5 a >= 4 b."""
-    return edges.filter("5 * area_a >= 4 * area_b")
+def near_duplicates(edges: DataFrame, ratio: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Nested pairs of almost one size: area_a / area_b >= ratio, in whole numbers."""
+    return edges.filter(f"{ratio[1]} * area_a >= {ratio[0]} * area_b")
 
 
 def _components(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -40,15 +45,15 @@ def _components(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "mask_no": nodes, "comp": [find(x) for x in nodes]})
 
 
-def select(masks: DataFrame) -> DataFrame:
-    """One mask per object (scene_id, mask_no).
+def select(masks: DataFrame, ratio: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One mask per object (scene_id, mask_no), with near-duplicates from a share of areas of ``ratio``.
 
     Near-duplicates form components; a component survives if every container of
     its members belongs to it; its smallest (area, mask_no) is kept. Components
     are found per scene, a bounded group; all else is joins.
     """
     edges = nested(masks)
-    comp = near_duplicates(edges).select("scene_id", "a", "b").groupBy("scene_id").applyInPandas(_components, "scene_id long, mask_no long, comp long")
+    comp = near_duplicates(edges, ratio).select("scene_id", "a", "b").groupBy("scene_id").applyInPandas(_components, "scene_id long, mask_no long, comp long")
     named = masks.alias("x").join(comp, ["scene_id", "mask_no"], "left").select("scene_id", "mask_no", area("x").alias("area"), F.coalesce("comp", "mask_no").alias("comp"))
     own = named.select("scene_id", F.col("mask_no").alias("a"), F.col("comp").alias("comp_a"))
     host = named.select("scene_id", F.col("mask_no").alias("b"), F.col("comp").alias("comp_b"))
@@ -198,6 +203,8 @@ def _split(share: float):
 
 
 def split(masks: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame:
-    """Top-down cut of the forest: a mask gives way to two or more children that cover ``share`` of it."""
+    """Top-down cut of the forest: a mask gives way to two or more children that cover ``share`` of it; then masks nested in another one kept go."""
     up = masks.select("scene_id", "mask_no", "x0", "y0", "x1", "y1").join(parents(edges), ["scene_id", "mask_no"], "left")
-    return up.groupBy("scene_id").applyInPandas(_split(share), "scene_id long, mask_no long")
+    kept = cut(up.groupBy("scene_id").applyInPandas(_split(share), "scene_id long, mask_no long"))
+    inner = violations(kept, edges).select("scene_id", F.col("a").alias("mask_no")).distinct()
+    return kept.join(inner, ["scene_id", "mask_no"], "left_anti")

@@ -60,6 +60,7 @@ class Refs:
 
 
 Fold = Callable[[np.ndarray, pa.RecordBatch, Refs], list[pa.Array]]
+Allowed = Callable[[pa.RecordBatch, Refs], np.ndarray]
 REF = ["ref_id", "label_id", "insert_no", "z"]
 
 
@@ -130,8 +131,11 @@ def _copies(df: DataFrame) -> list[str]:
     return ["_i"] if "_i" in df.columns else []
 
 
-def similarities(queries: DataFrame, refs: DataFrame, keep: list[str], per_label: bool = False, least: float | None = None, places: int | None = None) -> DataFrame:
-    """All pairs (keep, ref_id, label_id, insert_no, s), or the best of each label (keep, label_id, s); only s >= least."""
+def similarities(queries: DataFrame, refs: DataFrame, keep: list[str], per_label: bool = False, least: float | None = None, places: int | None = None, allowed: Allowed | None = None) -> DataFrame:
+    """All pairs (keep, ref_id, label_id, insert_no, s), or the best of each label (keep, label_id, s); only s >= least.
+
+    ``allowed`` chooses among the pairs inside the kernel.
+    """
 
     def best(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
         order = np.argsort(r.label_id, kind="stable")
@@ -141,7 +145,8 @@ def similarities(queries: DataFrame, refs: DataFrame, keep: list[str], per_label
         return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.label_id[order][heads][j].astype(np.int32)), pa.array(s[i, j])]
 
     def all_(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-        i, j = np.nonzero(s >= (least if least is not None else -np.inf))
+        hit = s >= (least if least is not None else -np.inf)
+        i, j = np.nonzero(hit & allowed(own, r) if allowed is not None else hit)
         return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.ref_id[j]), pa.array(r.label_id[j].astype(np.int32)), pa.array(r.insert_no[j]), pa.array(s[i, j])]
 
     if per_label:
@@ -150,7 +155,7 @@ def similarities(queries: DataFrame, refs: DataFrame, keep: list[str], per_label
     return fold_pairs(queries, refs, keep, all_, f"{_own(queries, keep)}ref_id long, label_id int, insert_no long, s double", places).drop("_i")
 
 
-def nearest(queries: DataFrame, refs: DataFrame, keep: list[str], k: int, allowed: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, places: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, refs: DataFrame, keep: list[str], k: int, allowed: Allowed | None = None, places: int | None = None) -> DataFrame:
     """(keep, ref_id, label_id, insert_no, s, rank): the k nearest references of each query, by s, then ref_id.
 
     ``allowed`` gives the matrix of pairs (queries x references) that may be answered.
@@ -195,14 +200,22 @@ class Distribution:
 
     def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, places: int | None = None):
         self.args = (queries, refs, keep or [])
-        self.by, self.places = by, places
+        self.places = places
 
         def ends(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
             return [pa.array([float(s.min())]), pa.array([float(s.max())])]
 
         lo, hi = fold_pairs(*self.args, ends, "lo double, hi double", places).agg(F.min("lo"), F.max("hi")).collect()[0]
         self.lo, self.hi = (lo, hi) if lo is not None else (0.0, 0.0)
-        group, bin_ = self._group, self._bin
+        low, width = self.lo, self.hi - self.lo
+
+        def group(own: pa.RecordBatch, r: Refs, s: np.ndarray) -> np.ndarray:
+            return np.zeros(s.shape, np.int64) if by is None else np.broadcast_to(by(own, r), s.shape).astype(np.int64)
+
+        def bin_(s: np.ndarray) -> np.ndarray:
+            return np.clip(((s - low) / width * BINS).astype(np.int64), 0, BINS - 1) if width > 0 else np.zeros(s.shape, np.int64)
+
+        self._key = group, bin_
 
         def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
             g = group(own, r, s)
@@ -214,13 +227,6 @@ class Distribution:
         for r in rows:
             self.counts.setdefault(r["g"], np.zeros(BINS, np.int64))[r["bin"]] = r["n"]
 
-    def _group(self, own: pa.RecordBatch, r: Refs, s: np.ndarray) -> np.ndarray:
-        return np.zeros(s.shape, np.int64) if self.by is None else np.broadcast_to(self.by(own, r), s.shape).astype(np.int64)
-
-    def _bin(self, s: np.ndarray) -> np.ndarray:
-        width = self.hi - self.lo
-        return np.clip(((s - self.lo) / width * BINS).astype(np.int64), 0, BINS - 1) if width > 0 else np.zeros(s.shape, np.int64)
-
     def n(self, g: int = 0) -> int:
         return int(self.counts[g].sum()) if g in self.counts else 0
 
@@ -228,7 +234,7 @@ class Distribution:
         """The values of ranks (0 for the smallest) in each group; the values of their bins reach the driver."""
         want = {g: np.unique(np.searchsorted(np.cumsum(self.counts[g]), r, "right")) for g, r in ranks.items() if len(r)}
         codes = np.array(sorted(g * BINS + b for g, bins in want.items() for b in bins.tolist()), np.int64)
-        group, bin_ = self._group, self._bin
+        group, bin_ = self._key
 
         def pick(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
             key = group(own, r, s) * BINS + bin_(s)

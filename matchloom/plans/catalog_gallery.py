@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +15,6 @@ from ..operators import search as S
 from ..operators import stats as T
 from ..sources import gallery as GA
 from . import views as V
-from .numbering import numbered
 from .registry import query
 
 K = ["scene_id", "mask_no", "vec_id", "known"]
@@ -45,40 +46,40 @@ def emb_norms(spark, sf):
     return e.agg(F.count("*").alias("n"), F.round(F.max(F.abs(n - 1)), 5).alias("off"), F.min(F.size("embedding")).alias("dim"))
 
 
-@query("gallery_decide", f"WITH {SIM}, {BYLABEL}, {dec_sql()} SELECT vec_id, y_hat, s_star FROM dec")
+@query("gallery_decide", f"WITH {SIM}, {BYLABEL}, {dec_sql()} SELECT vec_id, y_hat, round(s_star,6) AS s_star FROM dec")
 def gallery_decide(spark, sf):
-    return _decided(spark, sf).select("vec_id", "y_hat", "s_star")
+    return _decided(spark, sf).select("vec_id", "y_hat", F.round("s_star", 6).alias("s_star"))
 
 
-@query("gallery_decide_tau", f"WITH {SIM}, {BYLABEL}, {dec_sql(tau=TAU)} SELECT vec_id, y_hat, s_star FROM dec WHERE y_hat<>-1")
+@query("gallery_decide_tau", f"WITH {SIM}, {BYLABEL}, {dec_sql(tau=TAU)} SELECT vec_id, y_hat, round(s_star,6) AS s_star FROM dec WHERE y_hat<>-1")
 def gallery_decide_tau(spark, sf):
-    return _decided(spark, sf, TAU).filter("y_hat <> -1").select("vec_id", "y_hat", "s_star")
+    return _decided(spark, sf, TAU).filter("y_hat <> -1").select("vec_id", "y_hat", F.round("s_star", 6).alias("s_star"))
 
 
-@query("gallery_s_by_label", f"WITH {SIM}, {BYLABEL} SELECT vec_id, label_id, s FROM bl")
+@query("gallery_s_by_label", f"WITH {SIM}, {BYLABEL} SELECT vec_id, label_id, round(s,6) AS s FROM bl")
 def gallery_s_by_label(spark, sf):
-    return _by_label(spark, sf, keep=["vec_id"])
+    return _by_label(spark, sf, keep=["vec_id"]).withColumn("s", F.round("s", 6))
 
 
-@query("gallery_topk", f"WITH {SIM} SELECT vec_id, ref_id, s, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref_id) AS rank FROM sim) WHERE rank<=5")
+@query("gallery_topk", f"WITH {SIM} SELECT vec_id, ref_id, round(s,6) AS s, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref_id) AS rank FROM sim) WHERE rank<=5")
 def gallery_topk(spark, sf):
-    return S.top(S.similarities(V.query(spark, sf), V.ref(spark, sf), ["vec_id"]), ["vec_id"], 5).select("vec_id", "ref_id", "s", "rank")
+    return S.nearest(V.query(spark, sf), V.ref(spark, sf), ["vec_id"], 5).select("vec_id", "ref_id", F.round("s", 6).alias("s"), "rank")
 
 
-@query("gallery_one_per_class", f"WITH {V.REF}, {V.QUERY}, one AS (SELECT label_id, min(ref_id) AS ref_id FROM ref GROUP BY 1), {V.SIM}, o AS (SELECT sim.* FROM sim JOIN one ON sim.ref_id=one.ref_id), {dec_sql('o')} SELECT vec_id, y_hat, s_star FROM dec")
+@query("gallery_one_per_class", f"WITH {V.REF}, {V.QUERY}, one AS (SELECT label_id, min(ref_id) AS ref_id FROM ref GROUP BY 1), {V.SIM}, o AS (SELECT sim.* FROM sim JOIN one ON sim.ref_id=one.ref_id), {dec_sql('o')} SELECT vec_id, y_hat, round(s_star,6) AS s_star FROM dec")
 def gallery_one_per_class(spark, sf):
-    return _decided(spark, sf, refs=GA.rows(V.ref(spark, sf), "one_per_class")).select("vec_id", "y_hat", "s_star")
+    return _decided(spark, sf, refs=GA.rows(V.ref(spark, sf), "one_per_class")).select("vec_id", "y_hat", F.round("s_star", 6).alias("s_star"))
 
 
-@query("gallery_asof", f"WITH {SIM}, o AS (SELECT * FROM sim WHERE insert_no<=251), {dec_sql('o')} SELECT vec_id, y_hat, s_star FROM dec")
+@query("gallery_asof", f"WITH {SIM}, o AS (SELECT * FROM sim WHERE insert_no<=251), {dec_sql('o')} SELECT vec_id, y_hat, round(s_star,6) AS s_star FROM dec")
 def gallery_asof(spark, sf):
-    return _decided(spark, sf, refs=GA.rows(V.ref(spark, sf), upto=251)).select("vec_id", "y_hat", "s_star")
+    return _decided(spark, sf, refs=GA.rows(V.ref(spark, sf), upto=251)).select("vec_id", "y_hat", F.round("s_star", 6).alias("s_star"))
 
 
-@query("gallery_answered_topk", f"WITH {SIM}, {BYLABEL}, {dec_sql()} SELECT scene_id, mask_no, s_star FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s_star DESC, mask_no) AS rn FROM dec) WHERE rn<=3")
+@query("gallery_answered_topk", f"WITH {SIM}, {BYLABEL}, {dec_sql()} SELECT scene_id, mask_no, round(s_star,6) AS s_star FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s_star DESC, mask_no) AS rn FROM dec) WHERE rn<=3")
 def gallery_answered_topk(spark, sf):
     w = Window.partitionBy("scene_id").orderBy(F.desc("s_star"), "mask_no")
-    return _decided(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("scene_id", "mask_no", "s_star")
+    return _decided(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("scene_id", "mask_no", F.round("s_star", 6).alias("s_star"))
 
 
 @query("gallery_k", f"WITH {V.REF} SELECT max(c) AS n_max, least(2*max(c), sum(c))::BIGINT AS k, sum(c)::BIGINT AS n FROM (SELECT count(*) AS c FROM ref GROUP BY label_id)")
@@ -87,9 +88,15 @@ def gallery_k(spark, sf):
     return c.agg(F.max("c").alias("n_max"), F.least(2 * F.max("c"), F.sum("c")).alias("k"), F.sum("c").alias("n"))
 
 
-@query("gallery_rows_sha", f"WITH {V.REF}, b AS (SELECT insert_no//65536 AS blk, sha256(string_agg(ref_id::VARCHAR, chr(10) ORDER BY insert_no)) AS h, count(*) AS n FROM ref GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY blk)) AS rows_sha256 FROM b")
+@query("gallery_rows_sha", f"WITH {V.REF} SELECT count(*) AS n, sha256(string_agg(ref_id::VARCHAR, chr(10) ORDER BY insert_no)) AS rows_sha256 FROM ref")
 def gallery_rows_sha(spark, sf):
-    return GA.rows_sha256(V.ref(spark, sf))
+    r = V.ref(spark, sf)
+    return r.agg(F.count("*").alias("n")).withColumn("rows_sha256", F.lit(GA.rows_sha256(r)))
+
+
+@query("gallery_blocks_sha", f"WITH {V.REF}, b AS (SELECT insert_no//65536 AS blk, sha256(string_agg(ref_id::VARCHAR, chr(10) ORDER BY insert_no)) AS h, count(*) AS n FROM ref GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, chr(10) ORDER BY blk)) AS blocks_sha256 FROM b")
+def gallery_blocks_sha(spark, sf):
+    return GA.blocks_sha256(V.ref(spark, sf))
 
 
 @query("label_dictionary", "SELECT r_name AS label, row_number() OVER (ORDER BY r_name)-1 AS id FROM region")
@@ -101,7 +108,7 @@ def label_dictionary(spark, sf):
 
 @query("label_margin", f"WITH {SIM}, {BYLABEL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label_id) AS rn FROM bl) SELECT vec_id, round(max(s)-min(s),6) AS margin FROM r WHERE rn<=2 GROUP BY 1")
 def label_margin(spark, sf):
-    return S.margin(_by_label(spark, sf, keep=["vec_id"]), ["vec_id"])
+    return S.margin(_by_label(spark, sf, keep=["vec_id"]), ["vec_id"]).withColumn("margin", F.round("margin", 6))
 
 
 @query("label_assign", f"WITH {SIM}, {BYLABEL}, {dec_sql()} SELECT vec_id, y_hat, round(1/(1+exp(-s_star)),6) AS score FROM dec")
@@ -111,34 +118,57 @@ def label_assign(spark, sf):
 
 @query("pair_survival", f"WITH {SIM} SELECT count(*) AS n, round(avg((s>={TAU})::INT),9) AS p FROM sim")
 def pair_survival(spark, sf):
-    s = S.similarities(V.query(spark, sf), V.ref(spark, sf), ["vec_id"])
-    return s.agg(F.count("*").alias("n"), F.round(F.avg((F.col("s") >= TAU).cast("int")), 9).alias("p"))
+    n, k = S.shares(V.query(spark, sf), V.ref(spark, sf), [(TAU, None)])[0]
+    return spark.createDataFrame([(n, round(k / n, 9) if n else None)], "n long, p double")
 
 
-SELF = "selfsim AS (SELECT a.ref_id, a.label_id, a.insert_no, b.ref_id AS other, b.label_id AS other_label, b.insert_no AS other_no, round(list_dot_product(a.z,b.z),6) AS s FROM ref a, ref b WHERE a.ref_id<>b.ref_id)"
+SELF = "selfsim AS (SELECT a.ref_id, a.label_id, a.insert_no, b.ref_id AS other, b.label_id AS other_label, b.insert_no AS other_no, list_dot_product(a.z,b.z) AS s FROM ref a, ref b WHERE a.ref_id<>b.ref_id)"
 
 
-def _self_pairs(spark, sf, least=None):
-    r = V.ref(spark, sf)
-    p = S.similarities(r.select("ref_id", "label_id", "insert_no", "z").toDF("own", "own_label", "own_no", "z"), r, ["own", "own_label", "own_no"], least=least)
-    return p.filter("own <> ref_id")
+OWN = ["own", "own_label", "own_no"]
+
+
+def _own(spark, sf):
+    return V.ref(spark, sf).select("ref_id", "label_id", "insert_no", "z").toDF(*OWN, "z")
+
+
+def _col(own, name):
+    return own.column(OWN.index(name)).to_numpy()[:, None]
 
 
-@query("same_label_nn", f"WITH {V.REF}, {SELF} SELECT ref_id, max(s) AS s FROM selfsim WHERE label_id=other_label GROUP BY 1")
+def same_label(own, r):
+    """Pairs of two rows of one label, and no row with itself."""
+    return (_col(own, "own_label") == r.label_id) & (_col(own, "own") != r.ref_id)
+
+
+def earlier(own, r):
+    """Pairs with an earlier row of the same label."""
+    return (_col(own, "own_label") == r.label_id) & (r.insert_no < _col(own, "own_no"))
+
+
+def _rivals(spark, sf, least):
+    """(label_id, insert_no, before, s) of rows of one label."""
+    p = S.similarities(_own(spark, sf), V.ref(spark, sf), OWN, least=least, allowed=earlier)
+    return p.select("label_id", F.col("own_no").alias("insert_no"), F.col("insert_no").alias("before"), "s")
+
+
+@query("same_label_nn", f"WITH {V.REF}, {SELF} SELECT ref_id, round(max(s),6) AS s FROM selfsim WHERE label_id=other_label GROUP BY 1")
 def same_label_nn(spark, sf):
-    return _self_pairs(spark, sf).filter("own_label = label_id").groupBy(F.col("own").alias("ref_id")).agg(F.max("s").alias("s"))
+    return S.nearest(_own(spark, sf), V.ref(spark, sf), OWN, 1, same_label).select(F.col("own").alias("ref_id"), F.round("s", 6).alias("s"))
 
 
 @query("cross_part_nn", f"WITH {V.REF}, {SELF}, n AS (SELECT ref_id, label_id, arg_max(other_label, (s, -other)) AS y FROM selfsim WHERE (ref_id//100)%2<>(other//100)%2 GROUP BY ALL), t AS (SELECT label_id, count(*) FILTER (y=label_id) AS hit, count(*) AS n FROM n GROUP BY 1) SELECT avg(hit/n)>=0.5 AS mean_ok, count(*) FILTER (hit*3>=n)>=4 AS types_ok, avg(hit/n)>=0.5 AND count(*) FILTER (hit*3>=n)>=4 AS ok FROM t")
 def cross_part_nn(spark, sf):
-    p = _self_pairs(spark, sf).filter("(own div 100) % 2 <> (ref_id div 100) % 2")
-    n = p.groupBy("own", "own_label").agg(F.max(F.struct("s", (-F.col("ref_id")).alias("neg"), "label_id"))["label_id"].alias("y"))
+    n = S.nearest(_own(spark, sf), V.ref(spark, sf), OWN, 1, lambda own, r: (_col(own, "own") // 100) % 2 != (r.ref_id // 100) % 2).withColumnRenamed("label_id", "y")
     return R.gallery_check(n.groupBy("own_label").agg(F.count_if(F.col("y") == F.col("own_label")).alias("hit"), F.count("*").alias("n")))
 
 
 @query("similarity_scale", f"WITH {V.REF}, {SELF} SELECT label_id=other_label AS same, count(*) AS n, round(quantile_cont(s,0.5),6) AS q50, round(quantile_cont(s,0.99),6) AS q99 FROM selfsim GROUP BY 1")
 def similarity_scale(spark, sf):
-    return _self_pairs(spark, sf).groupBy((F.col("own_label") == F.col("label_id")).alias("same")).agg(F.count("*").alias("n"), F.round(F.percentile("s", F.lit(0.5)), 6).alias("q50"), F.round(F.percentile("s", F.lit(0.99)), 6).alias("q99"))
+    kind = lambda own, r: np.where(_col(own, "own") == r.ref_id, -1, (_col(own, "own_label") == r.label_id).astype(int))
+    d = S.Distribution(_own(spark, sf), V.ref(spark, sf), OWN, kind)
+    rows = [(bool(g), d.n(g), *(round(float(v), 6) for v in d.quantiles(np.array([0.5, 0.99]), g))) for g in (0, 1) if d.n(g)]
+    return spark.createDataFrame(rows, "same boolean, n long, q50 double, q99 double")
 
 
 @query("gallery_chains", f"WITH {V.CHAIN} SELECT * FROM chain")
@@ -150,18 +180,17 @@ ETA = 0.3
 
 
 @query("gallery_dedup", f"""WITH RECURSIVE {V.REF}, o AS (SELECT label_id, insert_no, z, row_number() OVER (PARTITION BY label_id ORDER BY insert_no)-1 AS rank FROM ref),
-items AS MATERIALIZED (SELECT label_id AS grp, rank FROM o), sup AS MATERIALIZED (SELECT m.label_id AS grp, m.rank, list(n.rank) AS before FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank WHERE round(list_dot_product(m.z,n.z),6)>={ETA} GROUP BY ALL),
+items AS MATERIALIZED (SELECT label_id AS grp, rank FROM o), sup AS MATERIALIZED (SELECT m.label_id AS grp, m.rank, list(n.rank) AS before FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank WHERE list_dot_product(m.z,n.z)>={ETA} GROUP BY ALL),
 fit AS (SELECT grp, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT grp FROM items)
  UNION ALL SELECT f.grp, f.k+1, CASE WHEN s.before IS NOT NULL AND list_has_any(f.kept, s.before) THEN f.kept ELSE list_append(f.kept, f.k) END FROM fit f JOIN items i ON i.grp=f.grp AND i.rank=f.k LEFT JOIN sup s ON s.grp=f.grp AND s.rank=f.k),
 won AS (SELECT grp, unnest(kept) AS rank FROM (SELECT grp, arg_max(kept, k) AS kept FROM fit GROUP BY grp)) SELECT o.label_id, o.insert_no FROM won JOIN o ON o.label_id=won.grp AND o.rank=won.rank""")
 def gallery_dedup(spark, sf):
-    p = _self_pairs(spark, sf, least=ETA).filter("own_label = label_id AND insert_no < own_no").select("label_id", F.col("own_no").alias("insert_no"), F.col("insert_no").alias("before"), "s")
-    return G.dedup(p, V.ref(spark, sf), ETA)
+    return G.dedup(_rivals(spark, sf, ETA), V.ref(spark, sf), ETA)
 
 
 @query("greedy_cover")
 def greedy_cover(spark, sf):
-    p = _self_pairs(spark, sf, least=0.25).filter("own_label = label_id").select("label_id", F.col("own").alias("a"), F.col("ref_id").alias("b"))
+    p = S.similarities(_own(spark, sf), V.ref(spark, sf), OWN, least=0.25, allowed=same_label).select("label_id", F.col("own").alias("a"), F.col("ref_id").alias("b"))
     own = V.ref(spark, sf).select("label_id", F.col("ref_id").alias("a"), F.col("ref_id").alias("b"))
     return G.greedy_cover(p.union(own))
 
@@ -170,8 +199,10 @@ def greedy_cover(spark, sf):
 def lsh_recall(spark, sf):
     q, r = V.query(spark, sf), V.ref(spark, sf)
     exact = _decided(spark, sf).select("vec_id", F.col("s_star").alias("se"), F.col("y_hat").alias("ye"))
-    approx = S.lsh_search(q, r, ["vec_id"], 64).groupBy("vec_id").agg(F.max("s").alias("sa"))
-    return exact.join(approx, "vec_id", "left").agg(F.count("*").alias("n"), F.round(F.avg((F.abs(F.col("se") - F.coalesce("sa", F.lit(-9.0))) <= 1e-5).cast("int")), 6).alias("recall"))
+    approx = S.lsh_search(q, r, ["vec_id"], 64).join(r.select("ref_id", F.col("label_id").alias("ya")), "ref_id").select("vec_id", "ya", F.col("s").alias("sa"), "candidates")
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6)
+    near = F.abs(F.col("se") - F.col("sa")) <= 1e-5
+    return exact.join(approx, "vec_id", "left").agg(F.count("*").alias("n"), share(near).alias("recall"), share(near & (F.col("ye") == F.col("ya"))).alias("same_label"), F.sum("candidates").alias("candidates"))
 
 
 # ---- AUROC and calibration ---------------------------------------------------------
@@ -205,15 +236,18 @@ def tau_quantile(spark, sf):
     return _decided(spark, sf).filter("NOT known").agg(F.round(C.tau_quantile(F.col("s_star"), 0.05), 9).alias("tau_05"), F.round(C.tau_quantile(F.col("s_star"), 0.01), 9).alias("tau_01"))
 
 
-@query("tail_quantiles", f"WITH {SIM}, q AS (SELECT quantile_cont(s, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS v FROM sim) SELECT i::INT AS i, round(v[i+1],9) AS v FROM q, (SELECT unnest(range(11)) AS i)")
+@query("tail_quantiles", f"WITH {SIM}, l AS (SELECT list(s ORDER BY s) AS v, count(*)-1 AS m FROM sim), g AS (SELECT i, i*m//10000 AS lo, (i*m%10000)/10000.0 AS r, m, v FROM l, (SELECT unnest(range(10001)) AS i)) SELECT i::INT AS i, round(v[lo+1]+(v[least(lo+1,m)+1]-v[lo+1])*r,9) AS v FROM g")
 def tail_quantiles(spark, sf):
-    s = S.similarities(V.query(spark, sf), V.ref(spark, sf), ["vec_id"])
-    return s.agg(C.quantile_grid(F.col("s"), 11).alias("v")).select(F.posexplode("v").alias("i", "v")).select("i", F.round("v", 9).alias("v"))
+    """The grid of 10,001 quantiles of all pairs."""
+    v = S.Distribution(V.query(spark, sf), V.ref(spark, sf)).quantiles(np.arange(10_001) / 10_000)
+    return spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(v)), pa.int32()), "v": pa.array(v)})).withColumn("v", F.round("v", 9))
 
 
-@query("tail_top", f"WITH {SIM} SELECT s FROM sim ORDER BY s DESC LIMIT 1000")
+@query("tail_top", f"WITH {SIM} SELECT round(s,9) AS s FROM (SELECT s FROM sim ORDER BY s DESC LIMIT 200000)")
 def tail_top(spark, sf):
-    return S.similarities(V.query(spark, sf), V.ref(spark, sf), ["vec_id"]).select("s").orderBy(F.desc("s")).limit(1000)
+    """The 200,000 largest similarities of all pairs, as a calibration keeps them."""
+    v = S.Distribution(V.query(spark, sf), V.ref(spark, sf)).top(200_000)
+    return spark.createDataFrame(pa.table({"s": pa.array(v)})).select(F.round("s", 9).alias("s"))
 
 
 @query("tau_model_point", f"WITH {V.REF} SELECT count(*) AS n, round((1-pow(1-0.05,1.0/(0.5*count(*))))*1e6,6) AS p_single_ppm FROM ref")
@@ -254,9 +288,8 @@ def rejection_topk(spark, sf):
 
 @query("new_exemplar_tail", f"WITH {SIM} SELECT round(avg((s>=0.3)::INT) FILTER (insert_no>251),9) AS new_share, round(avg((s>=0.3)::INT) FILTER (insert_no<=251),9) AS old_share FROM sim")
 def new_exemplar_tail(spark, sf):
-    s = S.similarities(V.query(spark, sf), V.ref(spark, sf), ["vec_id"])
-    share = lambda c: F.round(F.avg(F.when(c, (F.col("s") >= 0.3).cast("int"))), 9)
-    return s.agg(share(F.col("insert_no") > 251).alias("new_share"), share(F.col("insert_no") <= 251).alias("old_share"))
+    both = S.shares(V.query(spark, sf), V.ref(spark, sf), [(0.3, lambda r: r.insert_no > 251), (0.3, lambda r: r.insert_no <= 251)])
+    return spark.createDataFrame([tuple(round(k / n, 9) if n else None for n, k in both)], "new_share double, old_share double")
 
 
 CELLS = f"""{SIM}, {BYLABEL}, {V.CHAIN}, sz(pair,n0,n) AS (VALUES (0,3,5),(1,3,10),(2,5,10)),
@@ -295,19 +328,14 @@ def predicted_ratio(spark, sf):
 
 @query("kappa_calibration")
 def kappa_calibration(spark, sf):
-    """Threshold by quantile and by model of the tail for two error rates; kappa is null where no root exists."""
-    pairs = S.similarities(V.query(spark, sf).filter("NOT known"), V.ref(spark, sf), ["vec_id"])
-    tail = C.Tail.of(pairs)
-    star = numbered(_decided(spark, sf).filter("NOT known").select("vec_id", "s_star"), ["s_star", "vec_id"], "i")
-    m, n = star.count(), V.ref(spark, sf).count()
-    rows = []
-    for eps in (0.05, 0.01):
-        ranks = C.decisive_ranks(eps, m) if m else ()
-        level = {m - r.i: r.s_star for r in star.filter(F.col("i").isin([m - k for k in ranks])).select("i", "s_star").collect()} if m else {}
-        k = C.solve_kappa(tail, *(level[r] for r in ranks), eps, n) if m else None
-        rows.append((str(eps), k, C.tau_model(tail, eps, k, n) if k else None))
-    q = spark.createDataFrame(rows, "eps string, kappa double, tau_m double")
-    return q
+    """Threshold by quantile and by model of the tail for two error rates; a kappa out of range is an outcome of its own."""
+    unknown = V.query(spark, sf).filter("NOT known")
+    tail = C.Tail.of(S.Distribution(unknown, V.ref(spark, sf)))
+    levels = (0.05, 0.01)
+    tau = _decided(spark, sf).filter("NOT known").agg(*(C.tau_quantile(F.col("s_star"), e) for e in levels)).collect()[0]
+    done = C.calibrate(tail, dict(zip(levels, tau, strict=True)), V.ref(spark, sf).count())
+    rows = [(repr(e), r["tau_q"], r["kappa"], r["tau_m"], r["path"], r["out_of_range"]) for e, r in done.items()]
+    return spark.createDataFrame(rows, "eps string, tau_q double, kappa double, tau_m double, path string, out_of_range boolean")
 
 
 BOOTQ = V.boot_sql("query")
@@ -328,9 +356,16 @@ def boot_weights(spark, sf):
 # ---- rows, integrity, growth ---------------------------------------------------------
 
 
-@query("gallery_integrity", "SELECT count(*)-count(DISTINCT vec_id) AS repeated_ids, 0::BIGINT AS not_finite, count(DISTINCT len(embedding))-1 AS extra_dims, count(*) FILTER (label IS NULL) AS no_label FROM embeddings WHERE vec_id%2=1")
+SPOILT = "vec_id AS ref_id, CASE WHEN vec_id%90=1 THEN NULL ELSE label END AS label_id, CASE WHEN vec_id%70=1 THEN list_append(embedding::DOUBLE[], 1.0) WHEN vec_id%110=1 THEN list_transform(embedding::DOUBLE[], lambda x: NULL) ELSE embedding::DOUBLE[] END AS z"
+
+
+@query("gallery_integrity", f"WITH g AS (SELECT {SPOILT} FROM embeddings WHERE vec_id%2=1 UNION ALL SELECT {SPOILT} FROM embeddings WHERE vec_id%130=1) SELECT count(*)-count(DISTINCT ref_id) AS repeated_ids, count(*) FILTER (len(list_filter(z, lambda x: x IS NULL OR NOT isfinite(x)))>0) AS not_finite, count(DISTINCT len(z))-1 AS extra_dims, count(*) FILTER (label_id IS NULL) AS no_label FROM g")
 def gallery_integrity(spark, sf):
-    return GA.problems(V.ref(spark, sf, True))
+    """Counts of broken rules in a gallery with planted faults: repeated ids, null components, long vectors, null labels."""
+    r = V.ref(spark, sf, True)
+    z = F.when(F.col("ref_id") % 70 == 1, F.concat("z", F.array(F.lit(1.0).cast("float")))).when(F.col("ref_id") % 110 == 1, F.transform("z", lambda x: F.lit(None).cast("float"))).otherwise(F.col("z"))
+    bad = r.withColumn("z", z).withColumn("label_id", F.when(F.col("ref_id") % 90 != 1, F.col("label_id")))
+    return GA.problems(bad.unionByName(bad.filter("ref_id % 130 = 1")))
 
 
 @query("gallery_append", "WITH g AS (SELECT vec_id AS ref_id, vec_id AS insert_no FROM embeddings WHERE vec_id%2=1 AND vec_id<200), n AS (SELECT vec_id AS ref_id, row_number() OVER (ORDER BY vec_id)+(SELECT max(insert_no) FROM g) AS insert_no FROM embeddings WHERE vec_id%2=1 AND vec_id>=200) SELECT * FROM g UNION ALL SELECT * FROM n")
@@ -356,28 +391,29 @@ def new_rows(spark, sf):
     return r.exceptAll(r.filter("ref_id <= 251")).agg(F.count("*").alias("n"))
 
 
-@query("split_disjoint", "SELECT 0::BIGINT AS common, (SELECT count(DISTINCT vec_id//20) FROM embeddings WHERE vec_id%2=0) AS n")
+@query("split_disjoint", "WITH s AS (SELECT DISTINCT vec_id//20 AS scene_id FROM embeddings WHERE vec_id%2=0) SELECT count(*) FILTER (scene_id%12=0) AS common, count(*) AS n FROM s")
 def split_disjoint(spark, sf):
+    """Scenes that two splits share: none in a sound split, here every twelfth."""
     s = V.query(spark, sf).select("scene_id").distinct()
-    common = s.filter("scene_id % 4 = 0").intersect(s.filter("scene_id % 4 <> 0"))
+    common = s.filter("scene_id % 4 = 0").intersect(s.filter("scene_id % 3 = 0"))
     return common.agg(F.count("*").alias("common")).crossJoin(s.agg(F.count("*").alias("n")))
 
 
-@query("same_rows", "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b")
+@query("same_rows", f"WITH {V.CHAIN} SELECT count(*) FILTER (pos=0) AS only_a, count(*) FILTER (pos=1) AS only_b FROM chain")
 def same_rows(spark, sf):
+    """How many rows two tables do not share: chains without their second label against chains without their first."""
     c = V.chain(spark, sf)
-    return GA.same_rows(c, V.chain(spark, sf).repartition(3))
+    return GA.same_rows(c.filter("pos <> 1"), c.filter("pos <> 0").repartition(3))
 
 
 @query("stream_growth", "SELECT label AS label_id, count(*) AS n, max(vec_id) AS last FROM embeddings WHERE vec_id%2=1 AND vec_id%50<>49 GROUP BY 1")
 def stream_growth(spark, sf):
     """The gallery as four files read by a stream; equals the batch query."""
-    import os
     import uuid
 
     from ..streaming import growth
+    from .cut import fresh_folder
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/matchloom-{os.getuid()}").rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "stream")
     V.ref(spark, sf, True).repartitionByRange(4, "insert_no").write.parquet(f"{folder}/in")
     return growth.run_available(growth.running(spark, f"{folder}/in"), f"growth_{uuid.uuid4().hex}", f"{folder}/checkpoint")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import boxes as B
@@ -18,6 +15,7 @@ from ..sources import voc
 from . import catalog_gallery as CG
 from . import catalog_scenes as CS
 from . import views as V
+from .cut import cut, fresh_folder
 from .registry import query
 
 SUBSET = "CASE WHEN scene_id%4=0 THEN 'cal' ELSE 'test' END"
@@ -167,8 +165,7 @@ def markdown_rows(spark, sf):
 @query("record_sink", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def record_sink(spark, sf):
     """Records as JSON lines in the shared folder, never overwritten, read back."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/matchloom-{os.getuid()}").rstrip("/")
-    path = f"{base}/records-{uuid.uuid4().hex}"
+    path = f"{fresh_folder(spark, 'records')}/lines"
     rows = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
     rows.write.mode("errorifexists").json(path)
     return spark.read.schema(rows.schema).json(path)
@@ -185,12 +182,12 @@ ETAS = (0.2, 0.3, 0.4)
 
 
 @query("dedup_sweep", f"""WITH RECURSIVE {V.REF}, e(e, eta) AS (VALUES {", ".join(f"({i},{x})" for i, x in enumerate(ETAS))}), o AS MATERIALIZED (SELECT label_id, insert_no, z, row_number() OVER (PARTITION BY label_id ORDER BY insert_no)-1 AS rank FROM ref),
-items AS MATERIALIZED (SELECT label_id*10+e AS grp, rank FROM o, e), pr AS MATERIALIZED (SELECT m.label_id, m.rank, n.rank AS b, round(list_dot_product(m.z,n.z),6) AS s FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank),
+items AS MATERIALIZED (SELECT label_id*10+e AS grp, rank FROM o, e), pr AS MATERIALIZED (SELECT m.label_id, m.rank, n.rank AS b, list_dot_product(m.z,n.z) AS s FROM o m JOIN o n ON m.label_id=n.label_id AND n.rank<m.rank),
 sup AS MATERIALIZED (SELECT label_id*10+e AS grp, rank, list(b) AS before FROM pr JOIN e ON s>=eta GROUP BY ALL), {CS.FIT}
 SELECT eta::DOUBLE AS eta, count(*) AS kept FROM won JOIN e ON grp%10=e GROUP BY 1""")
 def dedup_sweep(spark, sf):
     """Gallery rows that deduplication keeps at each threshold; the pairs are made once for all."""
-    p = CG._self_pairs(spark, sf, least=min(ETAS)).filter("own_label = label_id AND insert_no < own_no").select("label_id", F.col("own_no").alias("insert_no"), F.col("insert_no").alias("before"), "s")
+    p = cut(CG._rivals(spark, sf, min(ETAS)))
     out = None
     for eta in ETAS:
         part = G.dedup(p, V.ref(spark, sf), eta).agg(F.count("*").alias("kept")).select(F.lit(eta).alias("eta"), "kept")

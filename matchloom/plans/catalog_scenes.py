@@ -196,7 +196,16 @@ def nest_width(spark, sf):
     return N.widths(m, N.nested(m))
 
 
-@query("forest_split")
+CUT = f"""{NESTED}, {PARENT}, fam AS (SELECT scene_id, parent, count(*) AS kids FROM par GROUP BY ALL HAVING count(*)>=2),
+px AS (SELECT DISTINCT f.scene_id, f.parent, x, y FROM fam f JOIN par p ON p.scene_id=f.scene_id AND p.parent=f.parent JOIN pred m ON m.scene_id=f.scene_id AND m.mask_no=p.mask_no JOIN pred q ON q.scene_id=f.scene_id AND q.mask_no=f.parent,
+ unnest(range(greatest(m.x0,q.x0)::BIGINT, least(m.x1,q.x1)::BIGINT)) a(x), unnest(range(greatest(m.y0,q.y0)::BIGINT, least(m.y1,q.y1)::BIGINT)) b(y)),
+gives AS (SELECT c.scene_id, c.parent AS mask_no FROM (SELECT scene_id, parent, count(*) AS c FROM px GROUP BY ALL) c JOIN pred q ON q.scene_id=c.scene_id AND q.mask_no=c.parent WHERE c.c>=0.5*(q.x1-q.x0)*(q.y1-q.y0)),
+seen AS (SELECT m.scene_id, m.mask_no FROM pred m WHERE NOT EXISTS (SELECT 1 FROM par p WHERE p.scene_id=m.scene_id AND p.mask_no=m.mask_no)
+ UNION ALL SELECT p.scene_id, p.mask_no FROM seen s JOIN gives g ON g.scene_id=s.scene_id AND g.mask_no=s.mask_no JOIN par p ON p.scene_id=s.scene_id AND p.parent=s.mask_no),
+held AS (SELECT * FROM seen s WHERE NOT EXISTS (SELECT 1 FROM gives g WHERE g.scene_id=s.scene_id AND g.mask_no=s.mask_no))"""
+
+
+@query("forest_split", f"WITH RECURSIVE {CUT} SELECT scene_id, mask_no FROM held h WHERE NOT EXISTS (SELECT 1 FROM nest n JOIN held k ON k.scene_id=n.scene_id AND k.mask_no=n.b WHERE n.scene_id=h.scene_id AND n.a=h.mask_no)")
 def forest_split(spark, sf):
     m = V.pred(spark, sf)
     return N.split(m, N.nested(m))

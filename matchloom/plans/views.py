@@ -93,7 +93,7 @@ GT = """gt AS (SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER B
 ZONES = "zones AS (SELECT scene_id, x0, y0, x1+40 AS x1, y1+40 AS y1 FROM pred WHERE scene_id%4=0 AND mask_no=1)"
 REF = "ref AS (SELECT vec_id AS ref_id, label AS label_id, vec_id AS insert_no, embedding::DOUBLE[] AS z FROM embeddings WHERE vec_id%2=1 AND vec_id%50<>49)"
 QUERY = "query AS (SELECT vec_id//20 AS scene_id, vec_id%20 AS mask_no, vec_id, label AS label_id, vec_id%4=0 AS known, embedding::DOUBLE[] AS z FROM embeddings WHERE vec_id%2=0)"
-SIM = "sim AS (SELECT q.scene_id, q.mask_no, q.vec_id, q.known, r.ref_id, r.label_id, r.insert_no, round(list_dot_product(q.z, r.z), 6) AS s FROM query q, ref r)"
+SIM = "sim AS (SELECT q.scene_id, q.mask_no, q.vec_id, q.known, r.ref_id, r.label_id, r.insert_no, list_dot_product(q.z, r.z) AS s FROM query q, ref r)"
 CHAIN = """chain AS (SELECT r.r::BIGINT AS r, row_number() OVER (PARTITION BY r.r ORDER BY md5(concat(r.r, ':', l.label)))-1 AS pos, l.label AS label_id
  FROM (SELECT DISTINCT label FROM embeddings) l, (SELECT unnest(range(9)) AS r) r)"""
 

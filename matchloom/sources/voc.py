@@ -18,9 +18,9 @@ def render(gt: DataFrame) -> DataFrame:
 
 
 def parse(xml: DataFrame) -> DataFrame:
-    """filename, pos, name and whole-number boxes of every object; coordinates are cut to integers."""
+    """filename, pos, name and whole-number boxes of every object; coordinates are cut to integers, toward zero."""
     p = xml.select(F.from_xml("xml", F.lit(SCHEMA)).alias("a")).select("a.filename", F.posexplode("a.object").alias("pos", "o"))
-    return p.select("filename", "pos", "o.name", *(F.floor(F.col(f"o.bndbox.{n}")).cast("int").alias(m) for n, m in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))))
+    return p.select("filename", "pos", "o.name", *(F.col(f"o.bndbox.{n}").cast("int").alias(m) for n, m in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))))
 
 
 def with_rules(objects: DataFrame, rename: dict[str, str], drop: list[str], labels: list[str]) -> DataFrame:
