@@ -254,7 +254,7 @@ EVAL = f"""{V.PRED}, {V.GT}, {V.ZONES}, thrs(thr, least) AS (VALUES {_THR}), poi
 truth AS (SELECT scene_id, gt_no, gt_label, false AS crowd, x0, y0, x1, y1 FROM gt UNION ALL SELECT scene_id, -1, gt_label, true, x0, y0, x1, y1 FROM zones, (SELECT DISTINCT gt_label FROM gt))"""
 
 
-def match_sql(name: str = "mt", by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100, least: float = 0.0) -> str:
+def match_sql(name: str = "mt", by_category: bool = True, lo: float = 0.0, hi: float = 1e10, max_det: int = 100, least: float = 0.0, src: str = "pred") -> str:
     """CTEs that end in ``name``: the matches of EVAL, detection by detection.
 
     The state of a group is the list of taken boxes. A detection's boxes come in
@@ -262,7 +262,7 @@ def match_sql(name: str = "mt", by_category: bool = True, lo: float = 0.0, hi: f
     """
     cat, own, n = ("label_id", "gt_label", name) if by_category else ("0", "0", name)
     return f"""{n}_g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene_id, cat ORDER BY skip, gt_no) AS j FROM (SELECT scene_id, {own} AS cat, gt_no, crowd, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area, crowd OR (x1-x0)*(y1-y0)<{lo} OR (x1-x0)*(y1-y0)>{hi} AS skip FROM truth)),
-{n}_d AS MATERIALIZED (SELECT * FROM (SELECT scene_id, {cat} AS cat, score, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area, row_number() OVER (PARTITION BY scene_id, {cat} ORDER BY score DESC, mask_no)-1 AS rank FROM pred WHERE score>={least}) WHERE rank<{max_det}),
+{n}_d AS MATERIALIZED (SELECT * FROM (SELECT scene_id, {cat} AS cat, score, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area, row_number() OVER (PARTITION BY scene_id, {cat} ORDER BY score DESC, mask_no)-1 AS rank FROM {src} WHERE score>={least}) WHERE rank<{max_det}),
 {n}_p AS (SELECT *, inter/CASE WHEN crowd THEN mask_area ELSE mask_area+gt_area-inter END AS iou FROM (SELECT m.scene_id, m.cat, m.rank, g.j, g.skip, g.crowd, m.area AS mask_area, g.area AS gt_area, {IOU} AS inter FROM {n}_d m JOIN {n}_g g ON m.scene_id=g.scene_id AND m.cat=g.cat WHERE g.x0<m.x1 AND m.x0<g.x1 AND g.y0<m.y1 AND m.y0<g.y1)),
 {n}_c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene_id, cat, thr ORDER BY rank) AS k FROM (SELECT scene_id, cat, thr, rank, list(CASE WHEN crowd THEN -j ELSE j END ORDER BY skip, iou DESC, j DESC) AS js FROM {n}_p JOIN thrs ON iou>=least GROUP BY ALL)),
 {n}_s AS (SELECT DISTINCT scene_id, cat, thr, 0::BIGINT AS k, []::BIGINT[] AS taken, -1::BIGINT AS rank, NULL::BIGINT AS pick FROM {n}_c
