@@ -63,6 +63,22 @@ def select(masks: DataFrame, ratio: tuple[int, int] = (4, 5)) -> DataFrame:
     return named.join(bad, ["scene_id", "comp"], "left_anti").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("scene_id", "mask_no")
 
 
+def record(masks: DataFrame) -> DataFrame:
+    """Counters of ``select`` by scene: masks, selected, nested and near-duplicate pairs, groups, nested pairs of equal area."""
+    edges = nested(masks)
+    kept, e = cut(select(masks)), cut(edges)
+    pair = near_duplicates(e).select("scene_id", "a", "b").groupBy("scene_id").applyInPandas(_components, "scene_id long, mask_no long, comp long")
+    joined = pair.groupBy("scene_id").agg((F.count("*") - F.count_distinct("comp")).alias("_less"))
+    on = (F.col("m.scene_id") == F.col("n.scene_id")) & (F.col("m.mask_no") < F.col("n.mask_no")) & overlap("m", "n")
+    same = masks.alias("m").join(masks.alias("n"), on).filter((area("m") == area("n")) & (10 * inter("m", "n") >= 9 * area("m"))).groupBy("m.scene_id").agg(F.count("*").alias("equal_area"))
+    n = masks.groupBy("scene_id").agg(F.count("*").alias("masks"))
+    out = n.join(kept.groupBy("scene_id").agg(F.count("*").alias("selected")), "scene_id", "left")
+    out = out.join(e.groupBy("scene_id").agg(F.count("*").alias("nested_pairs"), F.count_if(F.expr("5 * area_a >= 4 * area_b")).alias("near_pairs")), "scene_id", "left")
+    out = out.join(joined, "scene_id", "left").join(same, "scene_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("scene_id", "masks", zero("selected"), zero("nested_pairs"), zero("near_pairs"), (F.col("masks") - F.coalesce("_less", F.lit(0))).alias("groups"), zero("equal_area"))
+
+
 def violations(selected: DataFrame, edges: DataFrame) -> DataFrame:
     """Selected pairs that are still nested: none, for a correct selection."""
     a = selected.select("scene_id", F.col("mask_no").alias("a"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as X
+from ..functions import text as T
 from ..operators import rules as R
+from ..operators import seam as SM
 from ..operators import search as SE
 from ..operators import stats as S
 from ..session import table
@@ -85,10 +87,11 @@ def grid_artifacts(spark, sf):
     return once.select("k.scene_id", "k.mask_no")
 
 
-@query("board_pivot", f"WITH {V.PRED}, {V.GT} SELECT scene_id%5 AS board, count(*) FILTER (gt_label=0) AS c0, count(*) FILTER (gt_label=1) AS c1, count(*) FILTER (gt_label=2) AS c2 FROM gt GROUP BY 1")
+@query("board_pivot", f"WITH {V.PRED}, {V.GT} SELECT scene_id%5 AS board, {', '.join(f'count(*) FILTER (gt_label={i}) AS c{i}' for i in range(10))} FROM gt GROUP BY 1")
 def board_pivot(spark, sf):
-    p = V.gt(spark, sf).groupBy((F.col("scene_id") % 5).alias("board")).pivot("gt_label", [0, 1, 2]).agg(F.count("gt_no"))
-    return p.select("board", *(F.coalesce(str(i), F.lit(0)).alias(f"c{i}") for i in range(3)))
+    """Boxes of each board by label, a column for each of the ten labels."""
+    p = V.gt(spark, sf).groupBy((F.col("scene_id") % 5).alias("board")).pivot("gt_label", list(range(10))).agg(F.count("gt_no"))
+    return p.select("board", *(F.coalesce(str(i), F.lit(0)).alias(f"c{i}") for i in range(10)))
 
 
 @query("missing_pairs", "SELECT count(*) FILTER (o.o_orderkey IS NULL) AS no_order, count(*) FILTER (l.k IS NULL) AS no_line FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) l FULL JOIN orders o ON o.o_orderkey=l.k")
@@ -124,10 +127,11 @@ def percent_format(spark, sf):
     return table(spark, sf, "events").select("event_id", X.percent(F.col("event_id") / 8.0).alias("p"))
 
 
-@query("normalised", "SELECT vec_id, round(embedding[1]::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])),6) AS first, round(embedding[-1]::DOUBLE/sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])),6) AS last FROM embeddings")
+@query("normalised", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS z FROM embeddings) SELECT vec_id, i::INT AS i, round(z[i]/sqrt(list_dot_product(z,z)),6) AS v FROM e, (SELECT unnest(range(1,(SELECT max(len(embedding)) FROM embeddings)+1)) AS i)")
 def normalised(spark, sf):
-    z = X.normalise(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at(z, 1), 6).alias("first"), F.round(F.element_at(z, -1), 6).alias("last"))
+    """All components of all vectors at unit length."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(X.normalise(F.col("embedding"))).alias("p", "v"))
+    return e.select("vec_id", (F.col("p") + 1).alias("i"), F.round("v", 6).alias("v"))
 
 
 @query("center_patches", f"WITH {V.PRED} SELECT scene_id, mask_no, (greatest(0,least(36,floor((y0+y1)/2/14)))*37+greatest(0,least(36,floor((x0+x1)/2/14))))::BIGINT AS patch FROM pred")
@@ -171,37 +175,39 @@ def pool_vectors(spark, sf):
     return X.pool(e, "label", "vec_id", "w", "embedding").withColumn("v", F.round("v", 6))
 
 
-def _directions(e, n: int) -> np.ndarray:
-    """The n leading directions of all vectors: partial sums of products per task, one matrix of dim x dim in the driver."""
+@query("debias_project")
+def debias_project(spark, sf):
+    """Embeddings without the two leading directions of the encoder's answers to noise; returns what is left of the norm."""
+    basis = SM.noise_directions(SM.StubEncoder(64), 2, (112, 112))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
         for b in batches:
-            z = SE._matrix(b.column(0))
-            total = total + z.T.astype(float) @ z.astype(float)
-        if np.ndim(total):
-            i, j = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "v"])
+            at, z = SE._sound(b.column(1), 64)
+            left = np.linalg.norm(X.project_out(z, basis), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.round(left, 6))], ["vec_id", "left"])
 
-    cells = e.select("embedding").mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    size = max((c.i + 1 for c in cells), default=0)
-    gram = np.zeros((size, size))
-    for c in cells:
-        gram[c.i, c.j] = c.v
-    return np.linalg.eigh(gram)[1][:, ::-1][:, :n].T
+    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, left double")
 
 
-@query("debias_project")
-def debias_project(spark, sf):
-    """Embeddings without the two leading directions of all of them; returns what is left of the norm."""
-    basis = _directions(table(spark, sf, "embeddings"), 2)
+_F = "CASE WHEN {x} IS NULL THEN '—' ELSE {e} END"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = X.project_out(SE._matrix(b.column(1)), basis)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(np.linalg.norm(z, axis=1), 6))], ["vec_id", "left"])
 
-    return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, left double")
+@query("number_formats", "WITH v AS (SELECT event_id, event_id/8.0::DOUBLE-40 AS x, CASE WHEN event_id%5<>0 THEN event_id/16.0::DOUBLE END AS lo, CASE WHEN event_id%7<>0 THEN event_id/4.0::DOUBLE END AS hi FROM events), t AS (SELECT event_id, replace(printf('%.2f', x),'.',',') AS num, (CASE WHEN x<0 THEN '−' ELSE '+' END)||replace(printf('%.2f', abs(x)),'.',',') AS signed, CASE WHEN lo IS NULL OR hi IS NULL THEN '—' ELSE '['||replace(printf('%.2f', lo),'.',',')||'; '||replace(printf('%.2f', hi),'.',',')||']' END AS interval FROM v) SELECT t.*, CASE WHEN lo IS NULL THEN num ELSE num||' '||interval END AS both, event_id||'/8' AS frac FROM t JOIN v USING (event_id)")
+def number_formats(spark, sf):
+    """Numbers, signed numbers, intervals and both as text; a dash for what is missing."""
+    i = F.col("event_id")
+    v = table(spark, sf, "events").select("event_id", (i / 8.0 - 40).alias("x"), F.when(i % 5 != 0, i / 16.0).alias("lo"), F.when(i % 7 != 0, i / 4.0).alias("hi"))
+    x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+    return v.select("event_id", T.number(x).alias("num"), T.signed(x).alias("signed"), T.interval(lo, hi).alias("interval"), T.with_interval(x, lo, hi).alias("both"), T.fraction(i, F.lit(8)).alias("frac"))
+
+
+@query("path_parts", r"SELECT page_id, regexp_extract(url, '^(.*)/', 1) AS before, string_split(url,'/')[-1] AS after FROM pages")
+def path_parts(spark, sf):
+    """A path before and after its last slash."""
+    from ..sources.files import rsplit
+
+    p = rsplit(F.col("url"), "/")
+    return table(spark, sf, "pages").select("page_id", p["before"].alias("before"), p["after"].alias("after"))
 
 
 # ---- verdict rules on literal inputs ------------------------------------------------------

@@ -146,12 +146,12 @@ def encode_drift(spark, sf):
     return e.select("label", (dot("z", "q") / F.sqrt(dot("z", "z") * dot("q", "q"))).alias("c")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.min("c"), 6).alias("lo"))
 
 
-@query("to_pixels", f"WITH {V.PRED}, c AS (SELECT scene_id, mask_no, (x0+x1)/1280 AS cx, (y0+y1)/960 AS cy, (x1-x0)/640 AS w, (y1-y0)/480 AS h, score FROM pred) SELECT scene_id, mask_no, round(least(greatest((cx-w/2)*640,0),640),6) AS x0, round(least(greatest((cy+h/2)*480,0),480),6) AS y1, round(1/(1+exp(-score)),9) AS p FROM c")
+@query("to_pixels", f"WITH {V.PRED}, c AS (SELECT scene_id, mask_no, (x0+x1)/1280 AS cx, (y0+y1)/960 AS cy, (x1-x0)/640 AS w, (y1-y0)/480 AS h, score FROM pred) SELECT scene_id, mask_no, round(least(greatest((cx-w/2)*640,0),640),6) AS x0, round(least(greatest((cy-h/2)*480,0),480),6) AS y0, round(least(greatest((cx+w/2)*640,0),640),6) AS x1, round(least(greatest((cy+h/2)*480,0),480),6) AS y1, round(1/(1+exp(-score)),9) AS p FROM c")
 def to_pixels(spark, sf):
     """Boxes as centre and size in parts of a 640 x 480 frame, back in pixels and clipped; logits as probabilities."""
     c = V.pred(spark, sf).selectExpr("scene_id", "mask_no", "(x0+x1)/1280 cx", "(y0+y1)/960 cy", "(x1-x0)/640 w", "(y1-y0)/480 h", "score")
     clip = lambda x, top: F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(top)), 6)
-    return c.select("scene_id", "mask_no", clip((F.col("cx") - F.col("w") / 2) * 640, 640.0).alias("x0"), clip((F.col("cy") + F.col("h") / 2) * 480, 480.0).alias("y1"), F.round(1 / (1 + F.exp(-F.col("score"))), 9).alias("p"))
+    return c.select("scene_id", "mask_no", clip((F.col("cx") - F.col("w") / 2) * 640, 640.0).alias("x0"), clip((F.col("cy") - F.col("h") / 2) * 480, 480.0).alias("y0"), clip((F.col("cx") + F.col("w") / 2) * 640, 640.0).alias("x1"), clip((F.col("cy") + F.col("h") / 2) * 480, 480.0).alias("y1"), F.round(1 / (1 + F.exp(-F.col("score"))), 9).alias("p"))
 
 
 @query("markdown_rows", "SELECT '| ' || r_name || ' | ' || count(n_nationkey) || ' | ' || coalesce(replace(printf('%.2f', avg(n_nationkey)), '.', ','), '—') || ' |' AS line FROM region LEFT JOIN nation ON n_regionkey=r_regionkey GROUP BY r_name")

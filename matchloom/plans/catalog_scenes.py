@@ -107,10 +107,10 @@ def mask_batches(spark, sf):
     return V.pred(spark, sf).groupBy("scene_id", F.expr("mask_no div 16").alias("batch")).agg(F.count("*").alias("n"), F.min("mask_no").alias("first"))
 
 
-@query("square_crops", f"WITH {V.PRED} SELECT scene_id, mask_no, round_even(greatest(x1-x0,y1-y0)*1.5,0)::BIGINT AS side, round_even((x0+x1-round_even(greatest(x1-x0,y1-y0)*1.5,0))/2,0)::BIGINT AS x FROM pred")
+@query("square_crops", f"WITH {V.PRED} SELECT scene_id, mask_no, round_even(greatest(x1-x0,y1-y0)*1.5,0)::BIGINT AS side, round_even((x0+x1-round_even(greatest(x1-x0,y1-y0)*1.5,0))/2,0)::BIGINT AS x, round_even((y0+y1-round_even(greatest(x1-x0,y1-y0)*1.5,0))/2,0)::BIGINT AS y FROM pred")
 def square_crops(spark, sf):
     s = B.square(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 1.5)
-    return V.pred(spark, sf).select("scene_id", "mask_no", s["side"].alias("side"), s["x"].alias("x"))
+    return V.pred(spark, sf).select("scene_id", "mask_no", s["side"].alias("side"), s["x"].alias("x"), s["y"].alias("y"))
 
 
 # ---- nesting ---------------------------------------------------------------------
@@ -177,6 +177,12 @@ def rho_select(spark, sf):
     return N.select(V.pred(spark, sf))
 
 
+@query("rho_record", f"WITH RECURSIVE {RHO}, n1 AS (SELECT scene_id, count(*) AS masks FROM pred GROUP BY 1), n2 AS (SELECT scene_id, count(*) AS c FROM rho GROUP BY 1), n3 AS (SELECT scene_id, count(*) AS c, count(*) FILTER (5*area_a>=4*area_b) AS near FROM nest GROUP BY 1), n4 AS (SELECT scene_id, count(DISTINCT comp) AS c FROM comp GROUP BY 1), n5 AS (SELECT scene_id, count(*) AS c FROM nr WHERE a<b AND area_a=area_b AND 10*v>=9*area_a GROUP BY 1) SELECT scene_id, masks, coalesce(n2.c,0) AS selected, coalesce(n3.c,0) AS nested_pairs, coalesce(n3.near,0) AS near_pairs, n4.c AS groups, coalesce(n5.c,0) AS equal_area FROM n1 LEFT JOIN n2 USING (scene_id) LEFT JOIN n3 USING (scene_id) JOIN n4 USING (scene_id) LEFT JOIN n5 USING (scene_id)")
+def rho_record(spark, sf):
+    """The selection's counters, scene by scene."""
+    return N.record(V.pred(spark, sf))
+
+
 @query("rho_violations", f"WITH RECURSIVE {RHO} SELECT count(*) AS n FROM nest n JOIN rho a ON a.scene_id=n.scene_id AND a.mask_no=n.a JOIN rho b ON b.scene_id=n.scene_id AND b.mask_no=n.b")
 def rho_violations(spark, sf):
     m = V.pred(spark, sf)

@@ -36,15 +36,6 @@ def test_decide_ties_deleted_and_threshold(spark):
     assert [x.y_hat for x in none] == [-1, -1]
 
 
-def test_grid_search_equals_broadcast(spark, sf, monkeypatch):
-    from matchloom.plans import views as V
-
-    q, r = V.query(spark, sf), V.ref(spark, sf)
-    a = {(x.vec_id, x.label_id, x.s) for x in S.similarities(q, r, ["vec_id"], True).collect()}
-    monkeypatch.setattr(S, "BROADCAST_BYTES", 30_000)
-    assert {(x.vec_id, x.label_id, x.s) for x in S.similarities(q, r, ["vec_id"], True).collect()} == a
-
-
 def test_rho_cases(spark):
     # equal areas are not nested; a near-duplicate chain leaves its smallest; a part inside a whole goes with its container kept apart
     same = masks(spark, [(0, 0, 10, 10), (0, 0, 10, 10)])
@@ -133,8 +124,15 @@ def test_auroc(spark):
 
 def test_calibration_scalars(spark):
     t = C.Tail(5, [5.0, 4.0], [1.0, 2.0, 3.0, 4.0, 5.0])
-    assert t.quantile(0.5) == 3.0 and t.quantile(0.9) == pytest.approx(4.6)
-    assert C.solve_kappa(t, 0.0, 0.0, 0.05, 10) is None
+    assert t.inverse(0.5) == (3.0, "quantiles") and t.inverse(0.1) == (pytest.approx(4.6), "top") and t.inverse(0.0) == (5.0, "top")
+    assert t.survival(4.5) == 0.2 and t.survival(2.0) == pytest.approx(0.75)
+    with pytest.raises(ValueError):
+        t.inverse(1.5)
+    with pytest.raises(ValueError):
+        C.solve_kappa(t, 0.05, 10, 0.0)
+    assert C.calibrate(t, {0.05: 0.0}, 10)[0.05]["out_of_range"]
+    with pytest.raises(ValueError):
+        C.Tail(0, [], [])
     n = spark.createDataFrame([(6, 100), (7, 100)], "k long, n long")
     assert [r[0] for r in n.select(C.needs_recalibration(F.col("k"), F.col("n"), (1, 20), (1, 5))).collect()] == [False, True]
 
@@ -201,57 +199,196 @@ def test_matching_ignores_zones_and_frees_crowds():
     assert m["gt_no"].tolist() == [0, 1, 1] and m["ignored"].tolist() == [False, True, True]
 
 
-def test_kappa_by_two_ranks_equals_counting():
-    rng, found = np.random.default_rng(1), 0
-    for m, eps in ((40, 0.05), (41, 0.05), (7, 0.3), (100, 0.01), (20, 0.1), (1, 0.5)):
-        s = np.sort(np.round(rng.normal(size=m), 1))[::-1]
-        pairs = np.sort(rng.normal(size=5000))
-        t = C.Tail(5000, pairs[-500:].tolist(), np.quantile(pairs, np.linspace(0, 1, 1001)).tolist())
-        k, above = C.decisive_ranks(eps, m)
-        for level in [*s.tolist(), s[0] + 1, s[-1] - 1, 0.05]:
-            over = (s >= level).sum() / m - eps
-            assert (over < 0) == (s[k - 1] < level) and (over > 0) == (above <= m and s[above - 1] >= level)
-        kappa = C.solve_kappa(t, s[k - 1], s[above - 1], eps, 60)
-        if kappa is not None:
-            found += 1
-            assert (s >= C.tau_model(t, eps, kappa, 60)).sum() / m <= eps
-    assert found
-
-
-def test_kappa_calibration_reads_tail_past_20000_pairs(spark, tmp_path):
-    """All gallery rows alike: each answered query exceeds the threshold with all N pairs, so it lies about 0.05 m N pairs deep."""
+def test_kappa_meets_the_quantile_threshold():
+    rng = np.random.default_rng(1)
+    pairs = np.sort(rng.normal(size=5000))
+    t = C.Tail(5000, pairs[::-1][:500], np.quantile(pairs, np.linspace(0, 1, 1001)))
+    for target in (2.2, 2.6, 3.0):
+        k = C.solve_kappa(t, 0.05, 60, target)
+        assert k["path"] == "top" and 0 <= k["residual"] < 1e-6
+        assert np.quantile(pairs, 0.95 ** (1 / (k["kappa"] * 60))) == pytest.approx(target, abs=1e-6)
+
+
+def vectors(spark, rows, names="ref_id long, label_id int, insert_no long, z array<float>"):
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.fixture(scope="module")
+def pool(spark):
+    """Queries and references with repeats, null vectors, null components and another length."""
+    rng = np.random.default_rng(7)
+    z = rng.normal(size=(60, 6)).astype(np.float32).round(2)
+    refs = [(i, i % 5, i * 3, z[i].tolist()) for i in range(50)] + [(50, 1, 150, None), (51, 2, 153, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (52, 3, 156, [1.0]), (53, 0, 159, z[3].tolist())]
+    queries = [(i, z[50 + i].tolist()) for i in range(10)] + [(3, z[53].tolist()), (3, z[53].tolist()), (90, None), (91, [float("nan")] * 6)]
+    return z, vectors(spark, refs), spark.createDataFrame(queries, "q long, z array<float>")
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 400])
+def test_search_against_brute_force(spark, monkeypatch, pool, limit):
+    """Broadcast and grid alike: all pairs, best of labels, nearest, counts, quantiles; repeated queries are answered each."""
+    monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(S, "QUERY_ROWS", 3)
+    z, refs, queries = pool
+    ids = [*range(50), 53]
+    x = z.astype(float)[[*range(50), 3]]
+    rows = [*range(10), 3, 3]
+    s = z.astype(float)[[50 + i for i in rows]] @ x.T
+    key = lambda d: sorted((r.q, r.ref_id, round(r.s, 9)) for r in d.collect())
+    assert key(S.similarities(queries, refs, ["q"])) == sorted((q, ids[j], round(float(s[i, j]), 9)) for i, q in enumerate(rows) for j in range(51))
+    best = sorted((r.q, r.label_id, round(r.s, 9)) for r in S.similarities(queries, refs, ["q"], per_label=True).collect())
+    assert best == sorted((q, y, round(float(max(s[i, j] for j in range(51) if (ids[j] % 5 if j < 50 else 0) == y)), 9)) for i, q in enumerate(rows) for y in range(5))
+    near = sorted((r.q, r.rank, r.ref_id) for r in S.nearest(queries, refs, ["q"], 4).collect())
+    assert near == sorted((q, k + 1, ids[j]) for i, q in enumerate(rows) for k, j in enumerate(sorted(range(51), key=lambda j: (-s[i, j], ids[j]))[:4]))
+    assert S.shares(queries, refs, [(0.5, None), (0.5, lambda r: r.insert_no > 60)]) == [(s.size, int((s >= 0.5).sum())), (30 * len(rows), int((s[:, 21:] >= 0.5).sum()))]
+    d = S.Distribution(queries, refs)
+    assert d.n() == s.size and np.allclose(d.top(40), np.sort(s.ravel())[::-1][:40])
+    assert np.allclose(d.quantiles(np.linspace(0, 1, 33)), np.quantile(s, np.linspace(0, 1, 33)))
+    two = S.Distribution(queries, refs, ["q"], lambda own, r: np.where(r.label_id == 2, -1, own.column(0).to_numpy()[:, None] % 2))
+    odd = s[[i for i, q in enumerate(rows) if q % 2]][:, [j for j in range(51) if (ids[j] % 5 if j < 50 else 0) != 2]]
+    assert two.n(1) == odd.size and np.allclose(two.quantiles(np.array([0.1, 0.5]), 1), np.quantile(odd, [0.1, 0.5]))
+    none = S.decide(S.similarities(queries, refs, ["q"], per_label=True), queries, ["q"]).filter("q >= 90").collect()
+    assert [(r.y_hat, r.s_star) for r in none] == [(-1, None), (-1, None)]
+    assert S.similarities(queries, refs.limit(0), ["q"]).count() == 0 and S.Distribution(queries, refs.limit(0)).n() == 0
+
+
+def test_decide_compares_unrounded(spark):
+    refs = vectors(spark, [(1, 1, 1, [1.0, 0.0]), (2, 2, 2, [1.0, 3e-7])])
+    q = spark.createDataFrame([(0, [1.0, 1.0])], "q long, z array<float>")
+    got = lambda **k: S.decide(S.similarities(q, refs, ["q"], per_label=True, **k), q, ["q"]).collect()[0].y_hat
+    assert got() == 2 and got(places=6) == 1
+
+
+def test_lsh_grows_with_the_gallery(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(3000, 16))
+    refs = vectors(spark, [(i, i % 7, i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(z)])
+    near = z[:100] + 0.35 * rng.normal(size=(100, 16))
+    q = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(near)], "q long, z array<float>")
+    got = {r.q: r for r in S.lsh_search(q, refs, ["q"], 16).collect()}
+    exact = {r.q: r for r in S.nearest(q, refs, ["q"], 1).collect()}
+    assert np.mean([q_ in got and got[q_].ref_id == r.ref_id for q_, r in exact.items()]) > 0.9
+    assert S.lsh_plan(100_000)[0] > S.lsh_plan(1000)[0]
+
+
+def test_long_chains_of_conflicts(spark):
+    """A chain of 90 conflicts takes 45 rounds; the kernel and the rounds agree."""
+    items = spark.createDataFrame([(0, i) for i in range(91)], "grp long, rank long")
+    chain = spark.createDataFrame([(0, i + 1, i) for i in range(90)], "grp long, rank long, before long")
+    want = [(0, i) for i in range(0, 91, 2)]
+    assert sorted((r.grp, r.rank) for r in G.first_fit(items, chain).collect()) == want
+    short = chain.filter("rank <= 24")
+    assert sorted(r.rank for r in G.first_fit(items, short, most=3).collect()) == sorted([*range(0, 25, 2), *range(25, 91)])
+
+
+def test_cover_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(y), int(a), int(b)) for y, a, b in rng.integers(0, [3, 14, 14], (130, 3))} | {(y, i, i) for y in range(3) for i in range(14)})
+    df = spark.createDataFrame([*rows, rows[0], (None, 1, 1)], "label_id int, a long, b long")
+    want = []
+    for y in range(3):
+        left, step = {b for l, _, b in rows if l == y}, 0
+        while left:
+            best = max(sorted({a for l, a, _ in rows if l == y}), key=lambda a: len({b for l, a_, b in rows if (l, a_) == (y, a)} & left))
+            left -= {b for l, a, b in rows if (l, a) == (y, best)}
+            want.append((y, step, best))
+            step += 1
+    for most in (2_000_000, 5):
+        assert sorted((r.label_id, r.step, r.ref_id) for r in G.greedy_cover(df, most).collect()) == want
+    assert G.greedy_cover(df.limit(0)).count() == 0
+
+
+def test_width_against_brute_force(spark, sf):
+    from matchloom.plans import views as V
+
+    m = V.pred(spark, sf).filter("mask_no < 12")
+    edges = {}
+    for r in N.nested(m).collect():
+        edges.setdefault(r.scene_id, set()).add((r.a, r.b))
+    for r in N.widths(m, N.nested(m)).collect():
+        e = edges.get(r.scene_id, set())
+        reach = set(e)
+        while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+            reach |= more
+        best = max(sum(1 for i in range(12) if x >> i & 1) for x in range(1 << 12) if not any(x >> a & 1 and x >> b & 1 for a, b in reach))
+        assert r.width == best
+
+
+def test_near_duplicate_ratio(spark):
+    m = masks(spark, [(0, 0, 100, 100), (0, 0, 100, 88)])
+    kept = lambda r: [x.mask_no for x in N.select(m, r).collect()]
+    assert kept((4, 5)) == kept((88, 100)) == [1] and kept((89, 100)) == [0]
+
+
+def test_debias_against_brute_force(spark, sf):
+    from matchloom.operators import seam
+    from matchloom.plans.catalog import QUERIES
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    noise = seam.StubEncoder(64).patch_features(seam.noise_input(14, (112, 112)))
+    u = np.linalg.svd(noise, full_matrices=False)[2][:2]
+    z = np.stack(e.embedding).astype(float)
+    want = dict(zip(e.vec_id, np.linalg.norm(z - (z @ u.T) @ u, axis=1)))
+    got = QUERIES["debias_project"](spark, sf).collect()
+    assert len(got) == len(e) and all(r.left == pytest.approx(want[r.vec_id], abs=1e-6) for r in got)
+
+
+def test_kappa_query_against_brute_force(spark, tmp_path):
+    """More than 20,000 pairs above the threshold; kappa solves model threshold = quantile threshold."""
     from matchloom.plans.catalog import QUERIES
 
     rng = np.random.default_rng(7)
     ids = [*range(2, 4000, 4), *range(1, 1100, 2)]
-    z = rng.normal(size=(len(ids), 4)) * np.where(np.array(ids) % 2, 1e-3, 1.0)[:, None] + np.where(np.array(ids) % 2, 1.0, 0.0)[:, None] * [1, 0, 0, 0]
+    z = rng.normal(size=(len(ids), 4)) * np.where(np.array(ids) % 2, 0.05, 1.0)[:, None] + np.where(np.array(ids) % 2, 1.0, 0.0)[:, None] * [1, 0, 0, 0]
     spark.createDataFrame([(i, i % 10, v.tolist()) for i, v in zip(ids, z, strict=True)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.eps: r for r in QUERIES["kappa_calibration"](spark, str(tmp_path)).collect()}
     refs = [i for i in ids if i % 2 and i % 50 != 49]
     q = z[np.array(ids) % 2 == 0].astype(np.float32).astype(float)
-    r = z[np.isin(ids, refs)].astype(np.float32).astype(float)
-    s = np.round(q @ r.T, 6)
-    pairs, star, n = np.sort(s.ravel()), s.max(axis=1), len(refs)
-    level = lambda eps, kappa: np.quantile(pairs, (1 - eps) ** (1 / (kappa * n)))
-    deep = 0
+    s = q @ z[np.isin(ids, refs)].astype(np.float32).astype(float).T
+    pairs, n = np.sort(s.ravel()), len(refs)
     for eps in (0.05, 0.01):
-        lo, hi = math.log(1e-3), 0.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if (star >= level(eps, math.exp(mid))).mean() > eps else (lo, mid)
-        k, tau = got[str(eps)].kappa, got[str(eps)].tau_m
-        deep = max(deep, (pairs >= tau).sum())
-        assert abs(k - math.exp(hi)) < 1e-6 * k
-        assert abs(tau - level(eps, k)) < 3e-6
-    assert 20_000 < deep < 200_000
-
+        r = got[str(eps)]
+        assert r.tau_q == pytest.approx(np.quantile(s.max(axis=1), 1 - eps))
+        level = lambda kappa: np.quantile(pairs, (1 - eps) ** (1 / (kappa * n)))  # noqa: E731, B023
+        assert r.out_of_range == (not level(1e-3) <= r.tau_q <= level(1.0))
+        if not r.out_of_range:
+            assert r.tau_m >= r.tau_q and r.tau_m == pytest.approx(r.tau_q, abs=1e-6)
+    assert not all(r.out_of_range for r in got.values())
+
+
+def test_growth_watch_goes_on_after_a_restart(spark, tmp_path):
+    from matchloom.streaming import growth
+
+    rows = lambda a, b: spark.createDataFrame([(i, 0, i, i % 10 == 9, [1.0]) for i in range(a, b)], growth.SCHEMA)
+    rows(0, 20).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(growth.SCHEMA).parquet(f"{tmp_path}/in")
+    check = lambda df: (df.filter("insert_no % 2 = 0").count(), df.count())
+    first = growth.watch(stream(), f"{tmp_path}/w", 100, 0.2, check, 0.4).collect()
+    assert [(r.added, r.n, r.recalibrate, r.exceeded) for r in first] == [(18, 118, False, True)]
+    rows(20, 50).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    again = growth.watch(stream(), f"{tmp_path}/w", 100, 0.2).orderBy("batch").collect()
+    assert [(r.added, r.n, r.recalibrate) for r in again] == [(18, 118, False), (27, 145, True)]
+    assert growth.watch(stream(), f"{tmp_path}/w", 100, 0.2).count() == 2
+
+
+def test_growth_rules_on_a_fixture(spark, sf):
+    """The quantile rules of one chain against NumPy."""
+    from matchloom.plans import views as V
+    from matchloom.plans.catalog import QUERIES
 
-@pytest.mark.parametrize("n, keep, points", [(0, 5, 11), (1, 5, 11), (7, 3, 11), (1000, 50, 101), (3000, 5000, 11)])
-def test_tail_equals_sorting(spark, n, keep, points):
-    s = np.round(np.random.default_rng(n).normal(size=n), 1 if n == 1000 else 6)
-    t = C.Tail.of(spark.createDataFrame([(float(x),) for x in s] + [(None,)], "s double"), keep, points)
-    assert t.n == n and t.top == sorted(s.tolist(), reverse=True)[:keep]
-    assert np.allclose(t.grid, np.quantile(s, np.linspace(0, 1, points)) if n else [])
+    got = {(r.r, r.n0, r.n, r.eps, r.rule): r for r in QUERIES["growth_rules"](spark, sf).collect()}
+    assert len(got) == 9 * 6 * 2 * 5
+    q = V.query(spark, sf).filter("NOT known").select("vec_id", "z").toPandas()
+    r_ = V.ref(spark, sf).select("label_id", "z").toPandas()
+    s = np.stack(q.z).astype(float) @ np.stack(r_.z).astype(float).T
+    chain = V.chain(spark, sf).filter("r = 4").toPandas()
+    star = {n: s[:, r_.label_id.isin(chain[chain.pos < n].label_id)].max(axis=1) for n in (3, 5, 10)}
+    for n0, n in ((3, 5), (5, 10), (3, 3)):
+        frozen = got[4, n0, n, 0.05, "quantile_frozen"]
+        assert frozen.tau == pytest.approx(np.quantile(star[n0], 0.95)) and frozen.fpr == pytest.approx((star[n] >= frozen.tau).mean(), abs=1e-9)
+        assert got[4, n0, n, 0.05, "quantile_recal"].tau == pytest.approx(np.quantile(star[n], 0.95))
+        assert got[4, n0, n, 0.01, "fixed"].fpr == pytest.approx((star[n] >= 0.35).mean(), abs=1e-9)
+    m = got[4, 10, 10, 0.05, "model"]
+    assert m.tau is None or m.tau >= np.quantile(star[10], 0.95) - 1e-6
 
 
 def test_pool_equals_pooled_over_all_components(spark):
@@ -282,10 +419,11 @@ def test_boot_ap_ci_has_50_replicates(spark, tmp_path):
     from matchloom.plans import catalog_scenes as K
     from matchloom.plans import views
     from matchloom.plans.catalog import QUERIES
+    from matchloom.plans.cut import cut
 
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 400").write.parquet(f"{tmp_path}/lineitem.parquet")
     m, g = K._eval(spark, str(tmp_path))
-    m, g = m.localCheckpoint(), g.localCheckpoint()
+    m, g = cut(m), cut(g)
     value = [r.v for r in M.average_precision(m, M.gt_counts(g), views.boot(g, 50)).groupBy("b").agg(F.avg("ap").alias("v")).collect()]
     got = QUERIES["boot_ap_ci"](spark, str(tmp_path)).collect()[0]
     assert got.replicates == len(value) == 50

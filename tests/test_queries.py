@@ -38,6 +38,19 @@ def test_oracle(spark, sf, duck, name):
     assert sorted(str([norm(v) for v in r]) for r in df.select(*cols).collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+#: Queries without SQL, and the tests that hold them against brute force.
+BY_TEST = {
+    "nest_width": "test_width_against_brute_force", "greedy_cover": "test_cover_against_brute_force", "lsh_recall": "test_lsh_grows_with_the_gallery", "kappa_calibration": "test_kappa_query_against_brute_force",
+    "debias_project": "test_debias_against_brute_force", "boot_ap_ci": "test_boot_ap_ci_has_50_replicates", "growth_rules": "test_growth_rules_on_a_fixture", "growth_rules_verdict": "test_growth_rules_on_a_fixture",
+}
+
+
+def test_every_query_has_sql_or_a_test():
+    import test_operators
+
+    assert set(QUERIES) - set(ORACLES) == set(BY_TEST) and all(hasattr(test_operators, t) for t in BY_TEST.values())
+
+
+def test_lsh_recall_is_high(spark, sf):
+    r = QUERIES["lsh_recall"](spark, sf).collect()[0]
+    assert r.recall >= 0.9 and r.same_label <= r.recall

@@ -1,0 +1,183 @@
+"""Folders of images and annotations, stores under keys, image arithmetic, formats and the model seam, on small files."""
+
+import json
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from matchloom.functions import images as I
+from matchloom.functions import text as T
+from matchloom.operators import calibration as C
+from matchloom.operators import seam
+from matchloom.sources import files, stores
+
+
+def png(path, image):
+    """Writes grey [h, w] or colour [h, w, 3] bytes as PNG."""
+    h, w = image.shape[:2]
+    raw = b"".join(b"\0" + row.astype(np.uint8).tobytes() for row in image)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def voc(path, filename, wh, objects):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    body = "".join(f"<object><name>{n}</name><bndbox><xmin>{b[0]}</xmin><ymin>{b[1]}</ymin><xmax>{b[2]}</xmax><ymax>{b[3]}</ymax></bndbox></object>" for n, b in objects)
+    path.write_text(f"<annotation><filename>{filename}</filename><size><width>{wh[0]}</width><height>{wh[1]}</height></size>{body}</annotation>")
+
+
+def test_references_and_scenes(spark, tmp_path):
+    mask = np.zeros((6, 8), np.uint8)
+    mask[1:4, 2:7] = 200
+    for label in ("b cup", "a.box"):
+        for v in ("001", "002"):
+            (tmp_path / "Objects" / label / "images").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "Objects" / label / "images" / f"{v}.jpg").write_bytes(b"x")
+            png(tmp_path / "Objects" / label / ("mask" if label == "a.box" else "masks") / f"{v}.png", mask)
+    got = files.references(spark, str(tmp_path), 2).orderBy("id").collect()
+    assert [(r.id, r.category_id, r.image) for r in got][:2] == [("a.box/001", 0, "Objects/a.box/images/001.jpg"), ("a.box/002", 0, "Objects/a.box/images/002.jpg")] and got[2].category_id == 1
+    assert got[3].mask == "Objects/b cup/masks/002.png"
+    with pytest.raises(Exception, match="pairs"):
+        files.references(spark, str(tmp_path), 3).collect()
+    shapes = files.reference_masks(files.images(spark, str(tmp_path / "Objects" / "a.box" / "mask"))).collect()
+    assert len(shapes) == 2 and all(list(r.hw) == [6, 8] and r.area == 15 and list(r.box) == [2, 1, 7, 4] for r in shapes)
+    voc(tmp_path / "Scenes" / "easy" / "sink" / "rgb_001.xml", "rgb_001.jpg", (640, 480), [("cup", (-1.5, 2.9, 30.2, 40))])
+    s = files.scenes(spark, str(tmp_path))
+    r = s.collect()
+    assert [(x.id, x.level, x.room, x.image) for x in r] == [("easy/sink/rgb_001", "easy", "easy/sink", "Scenes/easy/sink/rgb_001.jpg")]
+    a = files.annotations(spark, str(tmp_path), s).collect()[0]
+    assert list(a.wh) == [640, 480] and [(o.name, list(o.box)) for o in a.objects] == [("cup", [-1, 2, 30, 40])]  # toward zero
+
+
+def test_boards(spark, tmp_path):
+    ann = tmp_path / "Annotations"
+    voc(ann / "Short" / "01_short_1.xml", "01_short_1.jpg", (100, 90), [("short", (1, 2, 3, 4)), ("short", (5, 6, 7, 8))])
+    voc(ann / "Spur" / "05_spur_2.xml", "05_spur_2.jpg", (100, 90), [("spur", (1, 1, 9, 9))])
+    im = files.board_images(spark, str(tmp_path))
+    assert sorted((r.id, r.board, r.label, r.image) for r in im.collect()) == [("01_short_1", "01", "Short", "images/Short/01_short_1.jpg"), ("05_spur_2", "05", "Spur", "images/Spur/05_spur_2.jpg")]
+    assert sorted((r.id, r.category_id, list(r.box)) for r in files.board_references(spark, str(tmp_path)).collect()) == [("01_short_1/0", 3, [1, 2, 3, 4]), ("01_short_1/1", 3, [5, 6, 7, 8])]
+    report = tmp_path / "check.json"
+    report.write_text(json.dumps({"unlabeled_by_diff": {"candidates": {"05_spur_2": [[10, 10, 20, 20]], "01_short_1": [[0, 0, 1, 1]]}}, "other": 1}))
+    z = files.ignore_zones(spark, str(report))
+    test = im.filter("board = '05'")
+    got = files.truth_with_zones(files.board_truth(spark, str(tmp_path), test), test, z).collect()
+    assert sorted((list(r.box), r.iscrowd) for r in got) == [([1, 1, 9, 9], False), ([10, 10, 20, 20], True)]
+    with pytest.raises(Exception, match="not a test board"):
+        files.truth_with_zones(files.board_truth(spark, str(tmp_path), im), im, z).collect()
+    voc(ann / "Spur" / "06_spur_3.xml", "other.jpg", (1, 1), [("spur", (1, 1, 9, 9))])
+    with pytest.raises(Exception, match="another file"):
+        files.board_truth(spark, str(tmp_path), files.board_images(spark, str(tmp_path))).collect()
+    with pytest.raises(FileNotFoundError):
+        files.clean_image(spark, str(tmp_path), "07")
+    (tmp_path / "PCB_USED").mkdir()
+    (tmp_path / "PCB_USED" / "07.JPG").write_bytes(b"x")
+    assert files.clean_image(spark, str(tmp_path), "07") == "PCB_USED/07.JPG"
+
+
+def test_stores_refuse_other_settings(spark, tmp_path):
+    s = stores.embeddings(spark, f"{tmp_path}/e", {"encoder": "a", "size": 4})
+    assert s.load().count() == 0 and s.progress() is None
+    rows = spark.createDataFrame([("x", 0, False, [1.0, 2.0]), ("x", 1, True, [0.0, 1.0])], stores.EMBEDDINGS)
+    s.save(rows)
+    assert s.load().count() == 2
+    assert [r.image_id for r in s.todo(spark.createDataFrame([("x",), ("y",)], "image_id string")).collect()] == ["y"]
+    with pytest.raises(Exception, match="finite"):
+        s.save(spark.createDataFrame([("z", 0, False, [float("nan"), 1.0])], stores.EMBEDDINGS))
+    with pytest.raises(ValueError, match="another configuration"):
+        stores.embeddings(spark, f"{tmp_path}/e", {"encoder": "b", "size": 4}).load()
+    assert stores.embeddings(spark, f"{tmp_path}/e", {"size": 4, "encoder": "a"}).load().count() == 2
+    s.log(spark.createDataFrame([("x", 1.5)], "image_id string, seconds double"))
+    assert s.progress().collect()[0].seconds == 1.5
+
+
+def test_thresholds_are_tied_to_their_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, i) for i in range(20)], "ref_id long, label_id int, insert_no long")
+    pairs = np.sort(np.random.default_rng(0).normal(size=400))
+    tail = C.Tail(400, pairs[::-1], np.quantile(pairs, np.linspace(0, 1, 101)))
+    done = C.calibrate(tail, {0.05: float(np.quantile(pairs, 0.995))}, 20)
+    stores.write_calibration(rows, f"{tmp_path}/c", tail, done, 0.1, ["s#1"], points=101)
+    assert stores.read_calibration(rows, f"{tmp_path}/c", (0.05,), points=101)["by_eps"]["0.05"]["kappa"] == done[0.05]["kappa"]
+    for other, protocol in ((rows.filter("ref_id > 0"), "full"), (rows, "dedup"), (rows.withColumn("ref_id", F.col("ref_id") + 1), "full")):
+        with pytest.raises(ValueError, match="other rows"):
+            stores.read_calibration(other, f"{tmp_path}/c", (0.05,), protocol, points=101)
+    with pytest.raises(ValueError, match="levels"):
+        stores.read_calibration(rows, f"{tmp_path}/c", (0.01,), points=101)
+    with pytest.raises(Exception):
+        stores.write_calibration(rows, f"{tmp_path}/c", tail, done, 0.1, [], points=101)
+
+
+def test_config_round_trip():
+    c = {"dataset": "x", "eps": (0.05, 0.01), "seed": 3, "hnsw": {"M": 32}, "phi": None}
+    assert stores.load_config(stores.dump_config(c)) == {**c, "eps": [0.05, 0.01]}
+    assert stores.load_config("# note\nname: word\nlist: [1, 2]\n") == {"name": "word", "list": [1, 2]}
+    assert T.digest({"b": 1, "a": 2}) == T.digest({"a": 2, "b": 1}) != T.digest({"a": 2, "b": 2})
+
+
+def test_crops():
+    rng = np.random.default_rng(0)
+    image = rng.integers(0, 255, (40, 50, 3)).astype(np.uint8)
+    mask = np.zeros((40, 50), bool)
+    mask[10:20, 5:25] = True
+    assert I.mask_box(mask) == [5, 10, 25, 20] and I.square((5, 10, 25, 20), 1.5) == (0, 0, 30)
+    with pytest.raises(ValueError):
+        I.mask_box(np.zeros((3, 3), bool))
+    window = lambda x0, y0, x1, y1: I.mask_window(mask, (1.0, 1.0), x0, y0, x1, y1)
+    assert (window(0, 0, 50, 40) == mask).all() and not window(-10, -10, 0, 0).any() and window(3, 8, 27, 22).sum() == 200
+    half = I.mask_window(mask[::2, ::2], (2.0, 2.0), 0, 0, 50, 40)
+    assert half.shape == (40, 50) and (half != mask).mean() < 0.06
+    black = I.make_crop(image, (5, 10, 25, 20), window, "0", 1.5, size=30)
+    assert (black[10:20, 5:25] == image[10:20, 5:25]).all() and black.sum() == image[10:20, 5:25].sum()
+    out = I.make_crop(image, (40, 30, 50, 40), lambda *_: np.zeros((30, 30), bool), "mean", 3.0, size=30)
+    assert (out == I.MEAN).all()
+    soft = I.make_crop(image, (5, 10, 25, 20), window, "blur", 1.5, size=30)
+    assert (soft[10:20, 5:25] == image[10:20, 5:25]).all() and soft[0:9].std() < image[0:9].std()
+    assert I.make_crop(image, (5, 10, 25, 20), window, "mean", 1.5, size=10).shape == (10, 10, 3)
+    flat = np.full((7, 9, 3), 80.0)
+    assert np.allclose(I.blur(flat, 2.0), 80) and np.allclose(I.resize(flat, 3, 4), 80) and np.allclose(I.resize(flat, 14, 18), 80)
+    with pytest.raises(ValueError):
+        I.make_crop(image, (0, 0, 1, 1), window, "pink", 1.0)
+
+
+def test_formats_and_tables(spark):
+    d = spark.createDataFrame([(0.125, -1.0, None), (None, 0.0, 2.5)], "x double, lo double, hi double")
+    got = [tuple(r) for r in d.select(T.percent(F.col("x")), T.signed(F.col("lo")), T.interval(F.col("lo"), F.col("hi")), T.with_interval(F.col("lo"), F.col("lo"), F.col("hi")), T.number(F.col("x"))).collect()]
+    assert got == [("12,50", "−1,00", "—", "-1,00 —", "0,12"), ("—", "+0,00", "[0,00; 2,50]", "0,00 [0,00; 2,50]", "—")]
+    text = "# One\n| a | b |\n|---|:-:|\n| x | 1,5 [1; 2] |\n| y | — |\nTable: p\n## Two\n| c |\n|---|\n| −2 |\nTable: q"
+    t = T.sections(text)
+    assert t["One"] == [["a", "b"], ["x", "1,5 [1; 2]"], ["y", "—"]] and T.cell(t["One"], "x", "b") == 1.5 and T.cell(t["One"], "y", "b") is None and T.cell(t["Two"], "−2", "c") == -2
+    assert T.numbered_tables(text, "4").endswith("Table 4.2: q") and T.key_of(0.05) == "0.05"
+    p = spark.createDataFrame([("a/b/c",), ("x",)], "p string").select(files.rsplit(F.col("p"), "/").alias("r"))
+    assert [tuple(r.r) for r in p.collect()] == [("a/b", "c"), ("", "x")]
+
+
+def test_encoder_seam_keeps_order(spark):
+    rng = np.random.default_rng(1)
+    stub = seam.StubEncoder(8, 4)
+    rows = [(i % 3, i, 4, 4, 3, bytearray(rng.integers(0, 255, 48).astype(np.uint8).tobytes())) for i in range(40)] + [(1, 99, None, None, None, None)]
+    df = spark.createDataFrame(rows, "image long, mask_no long, height int, width int, channels int, data binary").repartition(5)
+    got = {(r.image, r.mask_no): r.z for r in seam.encode(df, stub, "image", "mask_no", [], batch=7).collect()}
+    assert len(got) == 41 and got[1, 99] is None
+    for g, i, h, w, c, data in rows[:40]:
+        assert np.allclose(got[g, i], stub.encode([np.frombuffer(bytes(data), np.uint8).reshape(h, w, c)])[0], atol=1e-6)
+
+    class Broken(seam.StubEncoder):
+        def encode(self, items):
+            return super().encode(items)[:, :3]
+
+    with pytest.raises(Exception, match="encoder answered"):
+        seam.encode(df, Broken(8, 4), "image", "mask_no", []).collect()
+
+    class Halves:
+        def generate(self, image):
+            h = image.shape[0] // 2
+            return [{"mask": np.ones((h, 4)), "box": (0, 0, 4, h), "score": 0.5}]
+
+    found = seam.detect(df, Halves(), "mask_no").collect()
+    assert len(found) == 40 and all(r.area == 8 and r.box == [0.0, 0.0, 4.0, 2.0] for r in found)
+    u = seam.noise_directions(stub, 2, (16, 16))
+    assert np.allclose(u @ u.T, np.eye(2)) and seam.noise_input(5, (12, 13)).shape == (10, 10, 3)
