@@ -27,7 +27,12 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable by the executors' Python workers, once per context."""
+    """Makes this package importable by the executors' Python workers, once per context, and turns an unsound optimisation off.
+
+    With it, the exchange over a union is left out where all sides are dealt by the same key, although adaptive
+    execution may have merged the partitions of the sides differently; rows of one key then miss each other.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     sc = spark.sparkContext
     if getattr(sc, "_matchloom_shipped", False):
         return
