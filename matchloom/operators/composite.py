@@ -33,7 +33,7 @@ def detections(masks: DataFrame, oracle: DataFrame, distractors: DataFrame, keep
 
 def precision(dets: DataFrame, gts: DataFrame, of: DataFrame, ranges: tuple, max_det: int = 1000) -> DataFrame:
     """(subset, area, n_gt, n_categories, ap, ap50, ap75): means over the categories with ground truth."""
-    match = M.by_threshold(M.packed(dets, gts, ranges=ranges, max_det=max_det)).join(of, "scene_id")
+    match = M.packed(dets, gts, ranges=ranges, max_det=max_det).join(of, "scene_id")
     counts = M.area_counts(gts, ranges).join(of, "scene_id")
     ap = M.ap_by_threshold(match, counts, ["subset", "area", "cat"], bounds=M.score_bounds(dets))
     mean = lambda c, name: F.round(F.avg(c), 9).alias(name)
@@ -43,7 +43,7 @@ def precision(dets: DataFrame, gts: DataFrame, of: DataFrame, ranges: tuple, max
 def recall(dets: DataFrame, gts: DataFrame, of: DataFrame, max_dets: tuple[int, ...], by_category: bool, least: float | None = None) -> DataFrame:
     """(subset, use_cats, threshold, max_det, ar) of detections with a score of ``least`` or more."""
     d = dets if least is None else dets.filter(F.col("score") >= least)
-    match = M.matches(d, gts, by_category, max_det=max(max_dets)).join(of, "scene_id")
+    match = M.packed(d, gts, by_category, max_det=max(max_dets)).join(of, "scene_id")
     counts = M.gt_counts(gts if by_category else gts.withColumn("gt_label", F.lit(0))).join(of, "scene_id")
     out = None
     for k in max_dets:

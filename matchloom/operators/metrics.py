@@ -146,40 +146,52 @@ def _npig(counts: DataFrame, weights: DataFrame | None, keys: list[str]) -> Data
     return n.groupBy(*keys).agg(F.sum(F.col("n") * F.col("w")).alias("npig")).filter("npig > 0")
 
 
-def precision_recall(match: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
-    """Recall and precision at every detection that is not ignored, by keys and thr.
+def _counted(rows: DataFrame) -> list[Column]:
+    """Sums of right and of all detections that are not ignored, at each threshold: for an aggregate or a window."""
+    bit = lambda c, i: F.col(c).bitwiseAND(F.lit(1 << i)) != 0
+    out = []
+    for i in range(len(IOU_THRESHOLDS)):
+        out.append(F.sum(F.when(bit("hits", i) & ~bit("skips", i), F.col("w")).otherwise(0)))
+        out.append(F.sum(F.when(~bit("skips", i), F.col("w")).otherwise(0)))
+    return out
+
+
+def precision_recall(rows: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+    """Recall and precision at every right detection, by keys and thr; rows are those of ``packed``. A wrong one only lowers precision at the recall of the right one before it.
 
-    With ``bounds`` the running sums are taken within parts of the scores, which start from the totals of the
-    parts above, so no task sorts a whole category.
+    The order of detections is the same at all thresholds, so one sort serves them all. With ``bounds`` the running sums
+    are taken within parts of the scores, which start from the totals of the parts above, so no task sorts a whole category.
     """
-    m = match.join(weights, "scene_id") if weights is not None else match.withColumn("w", F.lit(1).cast("long"))
     part = F.lit(0)
     for x in bounds or []:
         part = part + (F.col("score") >= x).cast("int")
-    m = m.filter("NOT ignored").withColumn("part", part)
-    by = [*keys, "thr"]
-    run = Window.partitionBy(*by, "part").orderBy(F.desc("score"), "scene_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    hit = F.when(F.col("matched"), F.col("w")).otherwise(0)
-    m = m.withColumn("tp", F.sum(hit).over(run)).withColumn("n", F.sum("w").over(run))
+    m = rows.join(weights, "scene_id") if weights is not None else rows.withColumn("w", F.lit(1).cast("long"))
+    m = m.withColumn("part", part)
+    n = len(IOU_THRESHOLDS)
+    run = Window.partitionBy(*keys, "part").orderBy(F.desc("score"), "scene_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    right = F.col("hits").bitwiseAND(F.bitwise_not("skips"))
+    sums = m.select(*keys, "part", right.alias("right"), *(c.over(run).alias(f"c{i}") for i, c in enumerate(_counted(m))))
     if bounds:
-        sums = match.join(weights, "scene_id") if weights is not None else match.withColumn("w", F.lit(1).cast("long"))
-        sums = sums.filter("NOT ignored").withColumn("part", part).groupBy(*by, "part").agg(F.sum(hit).alias("a"), F.sum("w").alias("b"))
-        above = Window.partitionBy(*by).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(*by, "part", F.coalesce(F.sum("a").over(above), F.lit(0)).alias("a"), F.coalesce(F.sum("b").over(above), F.lit(0)).alias("b"))
-        m = m.join(sums, [*by, "part"]).withColumn("tp", F.col("tp") + F.col("a")).withColumn("n", F.col("n") + F.col("b"))
-    m = m.join(_npig(counts, weights, keys), keys)
-    return m.select(*by, (F.col("tp") / F.col("npig")).alias("recall"), (F.col("tp") / (F.col("n") + F.lit(2.220446049250313e-16))).alias("precision"))
-
-
-def ap_by_threshold(match: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+        above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        base = m.groupBy(*keys, "part").agg(*(c.alias(f"b{i}") for i, c in enumerate(_counted(m))))
+        base = base.select(*keys, "part", *(F.coalesce(F.sum(f"b{i}").over(above), F.lit(0)).alias(f"b{i}") for i in range(2 * n)))
+        sums = sums.join(base, [*keys, "part"]).select(*keys, "right", *((F.col(f"c{i}") + F.col(f"b{i}")).alias(f"c{i}") for i in range(2 * n)))
+    sums = sums.filter("right <> 0").join(_npig(counts, weights, keys), keys)
+    each = F.array(*(F.struct(F.lit(i).alias("thr"), F.col(f"c{2 * i}").alias("tp"), F.col(f"c{2 * i + 1}").alias("n")) for i in range(n)))
+    kept = F.filter(each, lambda x: F.call_function("shiftright", F.col("right"), x["thr"]).bitwiseAND(F.lit(1)) == 1)
+    x = sums.select(*keys, "npig", F.explode(kept).alias("x"))
+    return x.select(*keys, "x.thr", (F.col("x.tp") / F.col("npig")).alias("recall"), (F.col("x.tp") / (F.col("x.n") + F.lit(2.220446049250313e-16))).alias("precision"))
+
+
+def ap_by_threshold(rows: DataFrame, counts: DataFrame, keys: list[str], weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
     """(keys, npig, aps): AP at each threshold as an array, 0 without detections; keys without ground truth are left out.
 
     A recall point takes the largest precision among detections whose recall reaches it, so the
     running sum is the only window over detections: the rest is a maximum for each of 101 points.
     """
-    points = F.array(*(F.lit(float(x)) for x in RECALL_POINTS))
-    pr = precision_recall(match, counts, keys, weights, bounds)
-    reach = F.size(F.filter(points, lambda p: p <= F.col("recall")))  # points up to here
+    pr = precision_recall(rows, counts, keys, weights, bounds)
+    near = F.floor(F.col("recall") * 100 + 0.5)  # the points are the doubles i * 0.01; only the nearest can be on either side
+    reach = near + (near.cast("double") * F.lit(0.01) <= F.col("recall")).cast("long")  # points up to here
     top = pr.groupBy(*keys, "thr", reach.alias("k")).agg(F.max("precision").alias("p"))
     later = Window.partitionBy(*keys, "thr").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     before = F.coalesce(F.lag("k", -1).over(Window.partitionBy(*keys, "thr").orderBy(F.desc("k"))), F.lit(0))
@@ -196,18 +208,19 @@ def mean_of(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
 
 
-def average_precision(match: DataFrame, counts: DataFrame, weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
+def average_precision(rows: DataFrame, counts: DataFrame, weights: DataFrame | None = None, bounds: list[float] | None = None) -> DataFrame:
     """AP by (b,) cat: mean over thresholds and 101 recall points; b is a bootstrap replicate of weights (b, scene_id, w)."""
     keys = ["b", "cat"] if weights is not None else ["cat"]
-    return ap_by_threshold(match, counts, keys, weights, bounds).select(*keys, "npig", mean_of(F.col("aps")).alias("ap"))
+    return ap_by_threshold(rows, counts, keys, weights, bounds).select(*keys, "npig", mean_of(F.col("aps")).alias("ap"))
 
 
-def average_recall(match: DataFrame, counts: DataFrame, max_det: int, keys: list[str] | None = None) -> DataFrame:
-    """AR over thresholds and categories with ground truth, at max_det detections per scene and category, by keys."""
+def average_recall(rows: DataFrame, counts: DataFrame, max_det: int, keys: list[str] | None = None) -> DataFrame:
+    """AR over thresholds and categories with ground truth, at max_det detections per scene and category, by keys; rows are those of ``packed``."""
     keys = keys or []
-    tp = match.filter((F.col("rank") < max_det) & F.col("matched") & ~F.col("ignored")).groupBy(*keys, "cat").agg(F.count("*").alias("tp"))
+    right = F.bit_count(F.col("hits").bitwiseAND(F.bitwise_not("skips")))
+    tp = rows.filter(F.col("rank") < max_det).groupBy(*keys, "cat").agg(F.sum(right).alias("tp"))
     n = counts.groupBy(*keys, "cat").agg(F.sum("n").alias("n"))
-    r = n.join(tp, [*keys, "cat"], "left").select(*keys, "n", (F.coalesce("tp", F.lit(0)) / F.col("n") / len(IOU_THRESHOLDS)).alias("r"))
+    r = n.join(tp, [*keys, "cat"], "left").select(*keys, (F.coalesce("tp", F.lit(0)) / F.col("n") / len(IOU_THRESHOLDS)).alias("r"))
     agg = (F.lit(max_det).alias("max_det"), F.round(F.avg("r"), 9).alias("ar"))
     return r.groupBy(*keys).agg(*agg) if keys else r.agg(*agg)
 

@@ -302,17 +302,17 @@ def _truth(spark, sf):
 
 def _eval(spark, sf, least: float = 0.0, by_category: bool = True, **kw):
     d, g = _truth(spark, sf)
-    return M.matches(d.filter(F.col("score") >= least), g, by_category, **kw), g
+    return M.packed(d.filter(F.col("score") >= least), g, by_category, **kw), g
 
 
 @query("coco_matches", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT * FROM mt")
 def coco_matches(spark, sf):
-    return _eval(spark, sf, gt_no=True)[0]
+    return M.by_threshold(_eval(spark, sf, gt_no=True)[0]).drop("area")
 
 
 @query("tp_counts", f"WITH RECURSIVE {EVAL}, {match_sql()} SELECT cat, thr, count(*) FILTER (matched AND NOT ignored) AS tp, count(*) FILTER (NOT matched AND NOT ignored) AS fp FROM mt GROUP BY ALL")
 def tp_counts(spark, sf):
-    m, _ = _eval(spark, sf)
+    m = M.by_threshold(_eval(spark, sf)[0])
     return m.groupBy("cat", "thr").agg(F.count_if(F.col("matched") & ~F.col("ignored")).alias("tp"), F.count_if(~F.col("matched") & ~F.col("ignored")).alias("fp"))
 
 
@@ -325,7 +325,7 @@ def ap_by_category(spark, sf):
 @query("ap_by_area", f"WITH RECURSIVE {EVAL}, {', '.join(match_sql(f'm_{n}', lo=lo, hi=hi) + ', ' + ap_sql(f'm_{n}') for n, lo, hi in RANGES)} {_BY_AREA}")
 def ap_by_area(spark, sf):
     d, g = _truth(spark, sf)
-    m = M.by_threshold(M.packed(d, g, ranges=RANGES))
+    m = M.packed(d, g, ranges=RANGES)
     ap = M.ap_by_threshold(m, M.area_counts(g, RANGES), ["area", "cat"], bounds=M.score_bounds(d))
     return ap.groupBy("area").agg(F.round(F.avg(M.mean_of(F.col("aps"))), 9).alias("ap"), F.count("*").alias("cats"))
 

@@ -106,7 +106,7 @@ def test_matching_rules():
 def test_ap_by_hand_and_by_brute_force(spark):
     g = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 10.0, 10.0, False), (1, 0, 0, 0.0, 0.0, 10.0, 10.0, False), (1, 1, 1, 0.0, 0.0, 9.0, 9.0, False)], GT + ", iscrowd boolean")
     d = spark.createDataFrame([(0, 0, 0, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 0, 0, 0.8, 50.0, 50.0, 60.0, 60.0), (1, 1, 0, 0.7, 0.0, 0.0, 10.0, 10.0)], "scene_id long, det_no long, label_id int, score double, x0 double, y0 double, x1 double, y1 double")
-    ap = {r.cat: r.ap for r in M.average_precision(M.matches(d, g), M.gt_counts(g)).collect()}
+    ap = {r.cat: r.ap for r in M.average_precision(M.packed(d, g), M.gt_counts(g)).collect()}
     tp, fp = np.array([1, 1, 2]), np.array([0, 1, 1])
     rc, pr = tp / 2, tp / (tp + fp + np.spacing(1))
     env = np.maximum.accumulate(pr[::-1])[::-1]
