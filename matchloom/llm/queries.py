@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import chat, decontam, kneser, mixing, quality, secrets, simhash, stash, substrings, topk, urls
+from . import chat, decontam, kneser, mixing, packing, quality, secrets, simhash, stash, substrings, topk, urls
 
 #: The url rules of op8.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -139,6 +139,16 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: path of its JSON file, on the driver."""
+    import public_tokenizers
+
+    start(spark)
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        done = packing.pack_documents(table(spark, sf_dir, "documents"), f.read())
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -148,7 +158,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_chat": op1_chat, "op2_substrings": op2_substrings, "op3_kneser": op3_kneser, "op4_secrets": op4_secrets, "op5_quality": op5_quality,
-        "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_urls": op8_urls, "op9_decontam": op9_decontam, "op10_topk": op10_topk, "pipeline": pipeline,
+        "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_urls": op8_urls, "op9_decontam": op9_decontam, "op10_topk": op10_topk,
+        "op12_packing": op12_packing, "pipeline": pipeline,
     }
 
 
