@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import chat, decontam, kneser, mixing, packing, quality, secrets, simhash, stash, substrings, topk, urls
+from . import chat, codes, decontam, kneser, mixing, packing, quality, secrets, simhash, stash, substrings, topk, urls
 
 #: The url rules of op8.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -139,6 +139,41 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = codes.train(vectors)
+    done = stash.stash(codes.encode(vectors, books, ["vec_id", "label"]), "codes")
+    done = codes.with_group_error(done, "label", "label_error")
+    return done.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op11_sql() -> str:
+    """Rounds written out: a{r} assigns the parts y to the books b{r}, b{r + 1} is made of them."""
+    assign = lambda r: f"""a{r} AS MATERIALIZED (SELECT q.rid, q.p, min(list_sum(list_transform(range(1, len(q.y) + 1), lambda i: (q.y[i] - b.y[i]) * (q.y[i] - b.y[i])))::HUGEINT * 256 + b.e) AS m
+  FROM q JOIN b{r} b ON q.p = b.p GROUP BY q.rid, q.p)"""
+    update = lambda r: f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.y, b.y) AS y FROM b{r} b LEFT JOIN (
+    SELECT p, e, list(CASE WHEN s >= 0 THEN s // c ELSE -((c - 1 - s) // c) END::BIGINT ORDER BY i) AS y FROM (
+      SELECT p, e, i, sum(y)::HUGEINT AS s, count(*)::HUGEINT AS c FROM (
+        SELECT q.p, a.m % 256 AS e, unnest(q.y) AS y, unnest(range(len(q.y))) AS i FROM q JOIN a{r} a ON q.rid = a.rid AND q.p = a.p) GROUP BY p, e, i) GROUP BY p, e) n
+    ON b.p = n.p AND b.e = n.e)"""
+    rounds = ",\n".join(f"{assign(r)},\n{update(r)}" for r in range(codes.ROUNDS))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT rid, p, x[p * len(x) // {codes.PARTS} + 1:(p + 1) * len(x) // {codes.PARTS}] AS y FROM v, (SELECT unnest(range({codes.PARTS})) AS p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, y FROM q WHERE rid <= {codes.ENTRIES}),
+{rounds},
+{assign(codes.ROUNDS)},
+c AS (SELECT rid, string_agg(printf('%02x', (m % 256)::BIGINT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY rid),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{codes.ROUNDS})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), h
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """tokenizer: path of its JSON file, on the driver."""
     import public_tokenizers
@@ -159,9 +194,9 @@ def queries() -> dict:
     return {
         "op1_chat": op1_chat, "op2_substrings": op2_substrings, "op3_kneser": op3_kneser, "op4_secrets": op4_secrets, "op5_quality": op5_quality,
         "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_urls": op8_urls, "op9_decontam": op9_decontam, "op10_topk": op10_topk,
-        "op12_packing": op12_packing, "pipeline": pipeline,
+        "op11_codes": op11_codes, "op12_packing": op12_packing, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op2_substrings": OP2_SQL, "op10_topk": OP10_SQL}
+    return {"op1_chat": OP1_SQL, "op2_substrings": OP2_SQL, "op10_topk": OP10_SQL, "op11_codes": OP11_SQL}
