@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship, table
-from . import chat, codes, decontam, kneser, mixing, packing, quality, secrets, simhash, stash, substrings, topk, urls
+from . import chat, codes, decontam, kneser, mixing, packing, phrases, quality, secrets, simhash, stash, substrings, topk, urls
 
 #: The url rules of op8.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -184,6 +184,30 @@ def op12_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start(spark)
+    return phrases.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP13_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, len, array_to_string(ws[i:i + len - 1], ' ') AS phrase FROM (
+  SELECT lang, ws, len, unnest(range(1, len(ws) - len + 2)) AS i FROM w, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS len) WHERE len(ws) >= len)),
+f AS MATERIALIZED (SELECT lang, len, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {phrases.SUPPORT}),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+k AS (SELECT lang, len, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, len)) AS k FROM f WHERE len > 1),
+s AS (SELECT k.lang, k.phrase, k.len, k.a, k.k, x.a AS l, y.a AS r, ({phrases.UNIT} * k.a::HUGEINT // (x.a + y.a))::BIGINT AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1:], ' ')),
+c AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN (
+    SELECT lang, a, len, ws, b, unnest(range(1, len - b + 2)) AS i FROM (SELECT lang, a, len, string_split(phrase, ' ') AS ws, unnest(range(2, len)) AS b FROM c WHERE len > 2)) o
+  ON o.lang = c.lang AND c.len = o.b AND c.phrase = array_to_string(o.ws[o.i:o.i + o.b - 1], ' ') WHERE 100 * o.a::HUGEINT >= {phrases.INSIDE} * c.a::HUGEINT),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c WHERE NOT EXISTS (FROM u WHERE u.lang = c.lang AND u.phrase = c.phrase))
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN t ON r.lang = t.lang WHERE rank <= {phrases.FIRST}
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -194,9 +218,9 @@ def queries() -> dict:
     return {
         "op1_chat": op1_chat, "op2_substrings": op2_substrings, "op3_kneser": op3_kneser, "op4_secrets": op4_secrets, "op5_quality": op5_quality,
         "op6_mixing": op6_mixing, "op7_simhash": op7_simhash, "op8_urls": op8_urls, "op9_decontam": op9_decontam, "op10_topk": op10_topk,
-        "op11_codes": op11_codes, "op12_packing": op12_packing, "pipeline": pipeline,
+        "op11_codes": op11_codes, "op12_packing": op12_packing, "op13_phrases": op13_phrases, "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op2_substrings": OP2_SQL, "op10_topk": OP10_SQL, "op11_codes": OP11_SQL}
+    return {"op1_chat": OP1_SQL, "op2_substrings": OP2_SQL, "op10_topk": OP10_SQL, "op11_codes": OP11_SQL, "op13_phrases": OP13_SQL}
