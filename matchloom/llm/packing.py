@@ -20,9 +20,11 @@ are documents each; a text of any length is cut as any other; an empty table giv
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ from . import vectext as V
 
 LENGTH, GROUP, SLACK, END = 2048, 4096, 0.005, 1
 MOST_WORDS = 1_000_000  # words that a worker keeps the ids of
+JOINED = 100  # words of letters that go to the tokenizer as one text
 SLICE = 4 << 20  # bytes of text that are encoded at once
 _LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -48,8 +51,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a word
+        if suffix:
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._forget()
+        self._forget([])
 
     @staticmethod
     def of(spec: str) -> Encoder:
@@ -59,22 +66,50 @@ class Encoder:
             _encoders[key] = Encoder(spec)
         return _encoders[key]
 
-    def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.first = np.zeros(0, self.wide), np.zeros(1, np.int64)
+    def _forget(self, but: list[bytes]) -> None:
+        """Keeps the ids of these words only."""
+        at = np.fromiter((self.place[w] for w in but), np.int64, len(but)) if but else np.zeros(0, np.int64)
+        flat, first = (self.flat, self.first) if but else (np.zeros(0, self.wide), np.zeros(1, np.int64))
+        n = first[at + 1] - first[at]
+        to = np.concatenate([[0], np.cumsum(n)])
+        self.flat, self.first = flat[np.repeat(first[at] - to[:-1], n) + np.arange(to[-1])], to
+        self.place: dict[bytes, int] = dict(zip(but, range(len(but)), strict=True))
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
-        """The places of words in ``first``."""
-        new = [w for w in words if w not in self.place]
+        """The places of distinct words in ``first``."""
+        at = list(map(self.place.get, words))
+        new = [w for w, x in zip(words, at, strict=True) if x is None]
         if new:
             if len(self.place) + len(new) > MOST_WORDS:
-                self._forget()
-                new = words
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.flat = np.concatenate([self.flat, *(np.array(x, self.wide) for x in made)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in made])])
-        return np.fromiter((self.place[w] for w in words), np.int64, len(words))
+                self._forget([w for w, x in zip(words, at, strict=True) if x is not None])
+                at = list(map(self.place.get, words))
+            made, first = self._ids([w.decode() for w in new]), len(self.place)
+            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), self.wide, int(size.sum()))])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+            fresh = iter(range(first, first + len(new)))
+            at = [next(fresh) if x is None else x for x in at]
+        return np.array(at, np.int64)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Words of letters go some at a time in one text, where their last ids tell them apart; where those do not add up, and all others, singly."""
+        out: list = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha()] if self.ends.any() else []
+        parts = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        joined = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in p]) for p in parts], add_special_tokens=False)
+        for p, e in zip(parts, joined, strict=True):
+            ids = e.ids
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(p) and last[-1] == len(ids):
+                a = 0
+                for i, b in zip(p, last.tolist(), strict=True):
+                    out[i] = ids[a:b]
+                    a = b
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows in one array, where each row begins and the last ends); each row ends with ``end``."""
