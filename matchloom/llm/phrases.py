@@ -36,9 +36,9 @@ from . import vectext as V
 
 SUPPORT, LONGEST, UNIT, INSIDE, FIRST = 30, 4, 2_000_000, 80, 2000
 MOST_BUCKETS, MOST_FREQUENT = 24, 26  # powers of two
-SLICE = 4 << 20  # bytes of text that are counted at once
+SLICE = 1 << 20  # bytes of text that are counted at once
 BLOCK = 1 << 16
-RANK_ROWS = 100_000  # candidates that are ranked at once
+RANK_ROWS = 2000  # candidates that are ranked at once, about
 BROADCAST_ROWS = 200_000
 
 _CUT = np.zeros(256, bool)
