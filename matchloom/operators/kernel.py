@@ -64,3 +64,39 @@ def per_group(df: DataFrame, key: str, solve: Callable[[dict[str, np.ndarray]],
     # Dealt by a hash of the key: an exchange by the key itself is left out over a union whose sides were dealt by it, although
     # adaptive execution may have merged the partitions of those sides differently.
     return df.filter(df[key].isNotNull()).repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def streamed(df: DataFrame, key: str, order: list, start: Callable[[], dict], step: Callable[[dict, dict[str, np.ndarray]], None], finish: Callable[[dict], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Each group of df by key, of any size, as slices in ``order``: a state from ``start``, which ``step`` brings forward slice by slice and ``finish`` turns into columns.
+
+    Rows without a key take no part. Only the state and one batch are held.
+    """
+    fields = StructType.fromDDL(schema)
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(fields)
+
+        def out(state: dict) -> pa.RecordBatch:
+            got = finish(state)
+            return pa.RecordBatch.from_arrays([pa.array(got[n]).cast(target.field(n).type) for n in names], names)
+
+        state, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = b.column(b.schema.names.index(key)).to_numpy(zero_copy_only=False)
+            cut = (np.flatnonzero(k[1:] != k[:-1]) + 1).tolist()
+            for i, j in zip([0, *cut], [*cut, b.num_rows], strict=True):
+                if state is None or k[i] != last:
+                    if state is not None:
+                        yield out(state)
+                    state, last = start(), k[i]
+                part = b.slice(i, j - i)
+                step(state, {n: c.to_numpy(zero_copy_only=False) for n, c in zip(part.schema.names, part.columns, strict=True)})
+        if state is not None:
+            yield out(state)
+
+    return df.filter(df[key].isNotNull()).repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInArrow(run, schema)

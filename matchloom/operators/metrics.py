@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernel import per_group
+from ..plans.cut import cut
+from .kernel import per_group, streamed
 
 #: IoU and recall thresholds; both are the doubles of numpy.linspace.
 IOU_THRESHOLDS = np.linspace(0.5, 0.95, 10)
@@ -135,9 +136,9 @@ def area_counts(gts: DataFrame, ranges: tuple[tuple[str, float, float], ...]) ->
     return out
 
 
-def score_bounds(dets: DataFrame, parts: int = 32) -> list[float]:
+def score_bounds(dets: DataFrame, parts: int = 32, value: str = "score") -> list[float]:
     """Rough quantiles of the scores: where a running sum over scores is cut into parts. Any bounds give the same sums."""
-    got = dets.agg(F.percentile_approx("score", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000))).collect()[0][0]
+    got = dets.agg(F.percentile_approx(value, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(1000))).collect()[0][0]
     return sorted(set(got or []))
 
 
@@ -162,11 +163,8 @@ def precision_recall(rows: DataFrame, counts: DataFrame, keys: list[str], weight
     The order of detections is the same at all thresholds, so one sort serves them all. With ``bounds`` the running sums
     are taken within parts of the scores, which start from the totals of the parts above, so no task sorts a whole category.
     """
-    part = F.lit(0)
-    for x in bounds or []:
-        part = part + (F.col("score") >= x).cast("int")
     m = rows.join(weights, "scene_id") if weights is not None else rows.withColumn("w", F.lit(1).cast("long"))
-    m = m.withColumn("part", part)
+    m = m.withColumn("part", _parts(F.col("score"), bounds or []))
     n = len(IOU_THRESHOLDS)
     run = Window.partitionBy(*keys, "part").orderBy(F.desc("score"), "scene_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
     right = F.col("hits").bitwiseAND(F.bitwise_not("skips"))
@@ -214,6 +212,126 @@ def average_precision(rows: DataFrame, counts: DataFrame, weights: DataFrame | N
     return ap_by_threshold(rows, counts, keys, weights, bounds).select(*keys, "npig", mean_of(F.col("aps")).alias("ap"))
 
 
+# ---- many replicates at once ----------------------------------------------------------
+
+
+def weight_vectors(weights: DataFrame, replicates: int) -> DataFrame:
+    """scene_id, wv: the weights (b, scene_id, w) of each scene in all replicates as bytes, 16 bits each; scenes that none drew are left out."""
+
+    def solve(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        v = np.zeros(replicates, "<u2")
+        v[x["b"]] = x["w"]  # beyond 65,535 draws of one scene NumPy raises
+        held = np.empty(1, object)
+        held[0] = v.tobytes()
+        return {"scene_id": x["scene_id"][:1], "wv": held}
+
+    return per_group(weights.select("scene_id", "b", "w"), "scene_id", solve, "scene_id long, wv binary")
+
+
+def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replicates: int, bounds: list[float]) -> DataFrame:
+    """(b, cat, npig, ap) of ``average_precision`` for many replicates, without a row for each detection and replicate.
+
+    A detection carries the vector of its scene's weights. The detections of a category and part of the scores are summed up, vector by vector, in
+    one sorted run that starts from the totals of the parts above; a part gives, for each threshold, replicate and recall point it
+    reaches, the largest precision, and a category puts its parts together.
+    """
+    t, points = len(IOU_THRESHOLDS), len(RECALL_POINTS)
+    vectors = cut(weight_vectors(weights, replicates))
+    m = rows.join(vectors, "scene_id").select("cat", _parts(F.col("score"), bounds).alias("part"), "score", "scene_id", "rank", "hits", "skips", "wv")
+    m = cut(m.withColumn("key", F.concat_ws("/", "cat", "part")))
+
+    def lines(x: dict[str, np.ndarray], step: int = 256):
+        """(right, valid) of each threshold and the weights, some rows at a time."""
+        for lo in range(0, len(x["wv"]), step):
+            hits, skips = (((x[c][lo : lo + step].astype(np.int64)[:, None] >> np.arange(t)) & 1).astype(bool) for c in ("hits", "skips"))
+            yield hits & ~skips, ~skips, np.stack([np.frombuffer(v, "<u2") for v in x["wv"][lo : lo + step]]).astype(np.int64)
+
+    def obj(values: list[bytes]) -> np.ndarray:
+        out = np.empty(len(values), object)
+        out[:] = values
+        return out
+
+    def add(state: dict, x: dict[str, np.ndarray]) -> None:
+        state.setdefault("at", (x["cat"][0], x["part"][0]))
+        for right, valid, w in lines(x):
+            state["total"][0] += right.T.astype(np.int64) @ w
+            state["total"][1] += valid.T.astype(np.int64) @ w
+
+    def drawn(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        w = np.stack([np.frombuffer(v, "<u2") for v in x["wv"]]).astype(np.int64)
+        return {"cat": x["cat"][:1], "npig": obj([(x["n"].astype(np.int64) @ w).tobytes()])}
+
+    npig = per_group(counts.join(vectors, "scene_id").select(F.col("cat"), "n", "wv"), "cat", drawn, "cat int, npig binary")
+    of_parts = streamed(
+        m.select("key", "cat", "part", "hits", "skips", "wv"), "key", [], lambda: {"total": np.zeros((2, t, replicates), np.int64)}, add,
+        lambda s: {"cat": np.array([s["at"][0]]), "part": np.array([s["at"][1]]), "total": obj([s["total"].tobytes()])}, "cat int, part int, total binary",
+    )
+
+    def bases(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        o = np.argsort(-x["part"], kind="stable")
+        run, out = np.zeros((2, t, replicates), np.int64), []
+        for i in o:
+            out.append(run.tobytes())
+            run = run + np.frombuffer(x["total"][i], np.int64).reshape(run.shape)
+        return {"cat": x["cat"][o], "part": x["part"][o], "base": obj(out), "npig": x["npig"][o]}
+
+    base = per_group(of_parts.join(npig, "cat"), "cat", bases, "cat int, part int, base binary, npig binary")
+    none = [F.lit(None).cast(c).alias(n) for n, c in (("score", "double"), ("scene_id", "long"), ("rank", "long"), ("hits", "int"), ("skips", "int"), ("wv", "binary"))]
+    first = base.select(F.concat_ws("/", "cat", "part").alias("key"), "cat", "part", *none, "base", "npig")
+    both = first.unionByName(m.select("key", "cat", "part", "score", "scene_id", "rank", "hits", "skips", "wv"), allowMissingColumns=True)
+
+    def go(state: dict, x: dict[str, np.ndarray]) -> None:
+        """The base comes first, then detections by falling score."""
+        if "run" not in state and x["base"][0] is not None:
+            state["at"] = int(x["cat"][0]), int(x["part"][0])
+            state["run"] = np.frombuffer(x["base"][0], np.int64).reshape(2, t, replicates).copy()
+            state["npig"] = np.frombuffer(x["npig"][0], np.int64)
+            x = {c: v[1:] for c, v in x.items()}
+        if "run" not in state:  # a category without ground truth
+            return
+        run, n, top = state["run"], state["npig"], state["top"]
+        for right, valid, w in lines(x):
+            for j in range(t):
+                tp = run[0, j] + np.cumsum(right[:, j, None] * w, axis=0)
+                seen = run[1, j] + np.cumsum(valid[:, j, None] * w, axis=0)
+                hit = np.flatnonzero(right[:, j])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    recall, precision = tp[hit] / n, tp[hit] / (seen[hit] + np.finfo(float).eps)
+                reach = np.searchsorted(RECALL_POINTS, np.where(n > 0, recall, -1), "right")
+                np.maximum.at(top, (reach, j, np.arange(replicates)[None, :]), np.where(w[hit] > 0, precision, 0))
+                run[0, j], run[1, j] = tp[-1], seen[-1]
+
+    def done(state: dict) -> dict[str, np.ndarray]:
+        """What the part reaches, from the lowest to the highest recall point."""
+        used = np.flatnonzero(state["top"].any(axis=(1, 2)))
+        if "run" not in state or not len(used):
+            return {"cat": np.zeros(0), "low": np.zeros(0), "best": np.zeros(0, object), "npig": np.zeros(0, object)}
+        low, high = int(used[0]), int(used[-1])
+        return {"cat": np.array([state["at"][0]]), "low": np.array([low]), "best": obj([state["top"][low : high + 1].tobytes()]), "npig": obj([state["npig"].tobytes()])}
+
+    found = streamed(both, "key", [F.desc_nulls_first("score"), "scene_id", "rank"], lambda: {"top": np.zeros((points + 1, t, replicates))}, go, done, "cat int, low int, best binary, npig binary")
+
+    def whole(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        top = np.zeros((points + 1, t, replicates))
+        for low, v in zip(x["low"], x["best"], strict=True):
+            part = np.frombuffer(v).reshape(-1, t, replicates)
+            np.maximum(top[low : low + len(part)], part, out=top[low : low + len(part)])
+        n = np.frombuffer(x["npig"][0], np.int64)
+        reached = np.maximum.accumulate(top[:0:-1], axis=0)  # a point takes the largest precision of those that reach it
+        live = np.flatnonzero(n > 0)
+        return {"b": live, "cat": np.full(len(live), x["cat"][0]), "npig": n[live], "ap": (reached.sum(axis=0) / points).mean(axis=0)[live]}
+
+    ap = per_group(found, "cat", whole, "b long, cat int, npig long, ap double")
+    # categories without any detection have AP 0 where they have ground truth
+    def empty(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = np.frombuffer(x["npig"][0], np.int64)
+        live = np.flatnonzero(n > 0)
+        return {"b": live, "cat": np.full(len(live), x["cat"][0]), "npig": n[live]}
+
+    every = per_group(npig, "cat", empty, "b long, cat int, npig long")
+    return every.join(ap.select("b", "cat", "ap"), ["b", "cat"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+
+
 def average_recall(rows: DataFrame, counts: DataFrame, max_det: int, keys: list[str] | None = None) -> DataFrame:
     """AR over thresholds and categories with ground truth, at max_det detections per scene and category, by keys; rows are those of ``packed``."""
     keys = keys or []
@@ -225,30 +343,45 @@ def average_recall(rows: DataFrame, counts: DataFrame, max_det: int, keys: list[
     return r.groupBy(*keys).agg(*agg) if keys else r.agg(*agg)
 
 
-def auroc(scored: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Weighted AUROC, ties one half, of (positive, s[, weight]); null if a class is empty.
+def _parts(value: Column, bounds: list[float]) -> Column:
+    """The part of a value between bounds; nulls, which come first, are in part 0."""
+    part = F.lit(0)
+    for x in bounds:
+        part = part + F.coalesce((value >= x).cast("int"), F.lit(0))
+    return part
+
+
+def summed_below(df: DataFrame, by: list[str], value: str, amount: str, out: str) -> DataFrame:
+    """df with ``out``: the sum of ``amount`` over the rows of smaller ``value``, by group; values are distinct in a group.
 
-    Scores are grouped first, so the window runs over distinct scores.
+    Running sums are taken within parts of the values and start from the totals of the parts below, so no task sorts a whole group.
     """
+    df = cut(df)
+    d = df.withColumn("_part", _parts(F.col(value), score_bounds(df, value=value)))
+    total = d.groupBy(*by, "_part").agg(F.sum(amount).alias("_t"))
+    lower = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    total = total.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col("_part").alias("_p"), F.coalesce(F.sum("_t").over(lower), F.lit(0)).alias("_base"))
+    run = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_run", F.coalesce(F.sum(amount).over(run), F.lit(0)))
+    on = [F.col("_part") == F.col("_p"), *(F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by))]
+    return d.join(total, on).select(*df.columns, (F.col("_run") + F.col("_base")).alias(out))
+
+
+def auroc(scored: DataFrame, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Weighted AUROC, ties one half, of (positive, s[, weight]); null if a class is empty. Scores are grouped first, then summed in parts."""
     by = by or []
     w = F.col(weight) if weight else F.lit(1)
     g = scored.groupBy(*by, "s").agg(F.sum(F.when(F.col("positive"), w).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), w).otherwise(0)).alias("n"))
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    g = summed_below(g, by, "s", "n", "under")
     agg = [F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc")]
     return g.groupBy(*by).agg(*agg) if by else g.agg(*agg)
 
 
 def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Average rank of equal values.
-
-    Ranks come from counts of distinct values, so the window runs over those and
-    not over the rows, and join back by value.
-    """
+    """Average rank of equal values: from counts of distinct values, summed in parts and joined back by value."""
     by = by or []
-    g = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    rank = (F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out)
+    g = summed_below(df.groupBy(*by, value).agg(F.count("*").alias("_c")), by, value, "_c", "_under")
+    rank = (F.col("_under") + (F.col("_c") + 1) / 2).alias(out)
     g = g.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])), rank)
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"g._k{i}")) for i, c in enumerate([*by, value])]
     return df.alias("d").join(g.alias("g"), on).select("d.*", f"g.{out}")

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import runs as U
 from ..plans.cut import cut
 from .boxes import area, inter, overlap
+from .kernel import per_group
 
 
 def nested(masks: DataFrame) -> DataFrame:
@@ -158,24 +160,43 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 
 def matching_width(n: int, edges: list[tuple[int, int]]) -> int:
-    """Largest antichain of a relation on n items: n less the maximum matching of its closure (Dilworth)."""
+    """Largest antichain of a relation on n items: n less the maximum matching of its closure (Dilworth), by Hopcroft and Karp without recursion."""
     reach = np.zeros((n, n), dtype=bool)
     for a, b in edges:
         reach[a, b] = True
     for k in range(n):
         reach |= reach[:, k, None] & reach[None, k, :]
-    match = [-1] * n
-
-    def grow(a: int, seen: set[int]) -> bool:
-        for b in np.flatnonzero(reach[a]).tolist():
-            if b not in seen:
-                seen.add(b)
-                if match[b] < 0 or grow(match[b], seen):
-                    match[b] = a
-                    return True
-        return False
-
-    return n - sum(grow(a, set()) for a in range(n))
+    to = [np.flatnonzero(reach[a]).tolist() for a in range(n)]
+    left, right = [-1] * n, [-1] * n
+    while True:
+        far = {a: 0 for a in range(n) if left[a] < 0}  # steps from a free item, breadth first
+        queue, found = list(far), False
+        for a in queue:
+            for b in to[a]:
+                if right[b] < 0:
+                    found = True
+                elif right[b] not in far:
+                    far[right[b]] = far[a] + 1
+                    queue.append(right[b])
+        if not found:
+            return n - sum(x >= 0 for x in left)
+        at = [0] * n  # next choice of each item: none is tried twice in a round
+        for start in [a for a in range(n) if left[a] < 0]:
+            path = [start]
+            while path:
+                a = path[-1]
+                if at[a] == len(to[a]):
+                    path.pop()
+                    continue
+                b = to[a][at[a]]
+                at[a] += 1
+                if right[b] < 0:
+                    for a in reversed(path):  # each item takes the choice it is at; the one before it gives that up
+                        b = to[a][at[a] - 1]
+                        left[a], right[b] = b, a
+                    break
+                if far.get(right[b]) == far[a] + 1:
+                    path.append(right[b])
 
 
 def _width(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,35 +213,26 @@ def widths(masks: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(w, "scene_id", "left").select("scene_id", (F.col("n") - F.coalesce("nested", F.lit(0)) + F.coalesce("antichain", F.lit(0))).alias("width"))
 
 
-def _split(share: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        box = {r.mask_no: (r.x0, r.y0, r.x1, r.y1) for r in pdf.itertuples()}
-        kids: dict[int, list[int]] = {}
-        for r in pdf.itertuples():
-            if not pd.isna(r.parent):
-                kids.setdefault(int(r.parent), []).append(r.mask_no)
-        keep: list[int] = []
-        todo = [r.mask_no for r in pdf.itertuples() if pd.isna(r.parent)]
-        while todo:
-            x = todo.pop()
-            below = kids.get(x, [])
-            if len(below) >= 2:
-                a = np.zeros((int(box[x][3] - box[x][1]), int(box[x][2] - box[x][0])), dtype=bool)
-                for k in below:
-                    l, t, r, b = (int(v) for v in (box[k][0] - box[x][0], box[k][1] - box[x][1], box[k][2] - box[x][0], box[k][3] - box[x][1]))
-                    a[max(t, 0) : max(b, 0), max(l, 0) : max(r, 0)] = True
-                if a.sum() >= share * a.size:
-                    todo += below
-                    continue
-            keep.append(x)
-        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "mask_no": sorted(keep)})
+def box_runs(masks: DataFrame) -> DataFrame:
+    """Boxes of whole pixels as masks of runs: scene_id, mask_no, starts, ends in a frame that holds all boxes of the scene."""
+
+    def solve(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        box = np.stack([x[c] for c in ("x0", "y0", "x1", "y1")], axis=1).astype(np.int64)
+        y = int(box[:, 1].min())
+        h = int(box[:, 3].max()) - y
+        made = [U.from_box((x0, y0 - y, x1, y1 - y), h) for x0, y0, x1, y1 in box.tolist()]
+        starts, ends = np.empty(len(made), object), np.empty(len(made), object)
+        starts[:], ends[:] = [m[0] for m in made], [m[1] for m in made]
+        return {"scene_id": x["scene_id"], "mask_no": x["mask_no"], "starts": starts, "ends": ends}
 
-    return run
+    sound = masks.select("scene_id", "mask_no", "x0", "y0", "x1", "y1").na.drop()
+    return per_group(sound, "scene_id", solve, "scene_id long, mask_no long, starts array<long>, ends array<long>")
 
 
 def split(masks: DataFrame, edges: DataFrame, share: float = 0.5) -> DataFrame:
     """Top-down cut of the forest: a mask gives way to two or more children that cover ``share`` of it; then masks nested in another one kept go."""
-    up = masks.select("scene_id", "mask_no", "x0", "y0", "x1", "y1").join(parents(edges), ["scene_id", "mask_no"], "left")
-    kept = cut(up.groupBy("scene_id").applyInPandas(_split(share), "scene_id long, mask_no long"))
+    from . import masks as K
+
+    kept = cut(K.split(box_runs(masks), parents(edges), share))
     inner = violations(kept, edges).select("scene_id", F.col("a").alias("mask_no")).distinct()
     return kept.join(inner, ["scene_id", "mask_no"], "left_anti")

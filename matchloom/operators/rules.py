@@ -30,8 +30,10 @@ def joint(df: DataFrame, by: list[str], column: str) -> DataFrame:
     return df.groupBy(*by).agg(F.when(F.count_distinct(column) == 1, F.max(column)).alias("joint"))
 
 
-def rejection_outcome(quantile_ok: Column, model_ok: Column) -> Column:
-    return F.when(quantile_ok & model_ok, "a").when(quantile_ok | model_ok, "b").otherwise("c")
+def rejection_outcome(model: Column, quantile: Column, fixed: Column) -> Column:
+    """refined: a if the model holds, else b if the recalibrated quantile does, else c; as_written: b and c only where the fixed threshold fails, else null."""
+    code = F.when(model, "a").when(quantile, "b").otherwise("c")
+    return F.struct(code.alias("refined"), F.when(model | ~fixed, code).alias("as_written"))
 
 
 def first_run(ap: Column, least: float = 30.0, published: float = 41.61, within: float = 8.0) -> Column:
@@ -74,7 +76,6 @@ def sequential_choice(results: DataFrame, gain: float = 0.01) -> DataFrame:
     return results.agg(rows.alias("rows")).filter(F.size("rows") > 0).select(fold.alias("x")).select("x.name", "x.recall")
 
 
-def ceiling_violations(found: DataFrame, recall: DataFrame, slack: float = 1 / 101) -> DataFrame:
-    """Types whose ap is above min(1, recall + slack): none, for a correct evaluation."""
-    top = F.least(F.lit(1.0), F.col("recall") + slack)
-    return found.join(recall, "type").filter(F.col("ap") > top + 1e-12).select("type", "ap", top.alias("top"))
+def ceiling_check(found: DataFrame, recall: DataFrame) -> DataFrame:
+    """type, ap, top, violated: whether ap is above ``ap_ceiling`` of the type's recall; never, for a correct evaluation."""
+    return found.join(recall, "type").select("type", "ap", ap_ceiling(F.col("recall")).alias("top")).withColumn("violated", F.col("ap") > F.col("top") + 1e-12)

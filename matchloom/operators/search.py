@@ -3,7 +3,7 @@
 The gallery is broadcast only after its size is checked; larger ones are cut
 into blocks that meet every query block in a grid of tasks. Either way a kernel multiplies blocks
 of vectors and reduces what it sees before anything is emitted: the best of each label, the k nearest,
-counts, or histograms; only ``similarities`` without ``per_label`` emits all pairs. Partial results are merged by the same order.
+or counts; only ``similarities`` without ``per_label`` emits all pairs. Partial results are merged by the same order.
 
 Similarities are dot products in double precision and are compared as they are; queries round what they return.
 ``places`` rounds before any comparison, for callers that want near ties to be ties.
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 << 20
 QUERY_ROWS = 50_000
 AT_ONCE = 512  # queries that meet a block of references in one product
-BINS = 1 << 14
+PAIRS_AT_ONCE = 1 << 22  # pairs of a block whose similarities are held at once
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -56,7 +56,7 @@ class Refs:
         t = t.combine_chunks()
         column = t.column("z").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.float32()))
         at, self.z = _sound(column, dim)
-        self.ref_id, self.label_id, self.insert_no = (t.column(c).to_numpy()[at] if t.num_rows else np.zeros(0, np.int64) for c in ("ref_id", "label_id", "insert_no"))
+        self.ref_id, self.label_id, self.insert_no = (t.column(c).to_numpy()[at] if t.num_rows and c in t.column_names else np.zeros(0, np.int64) for c in ("ref_id", "label_id", "insert_no"))
 
 
 Fold = Callable[[np.ndarray, pa.RecordBatch, Refs], list[pa.Array]]
@@ -75,8 +75,9 @@ def fold_pairs(queries: DataFrame, refs: DataFrame, keep: list[str], fold: Fold,
     dim = max(stats["d"] or 0, 0)
 
     def emit(b: pa.RecordBatch, r: Refs) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, b.num_rows, AT_ONCE):
-            part = b.slice(lo, AT_ONCE)
+        step = max(1, min(AT_ONCE, PAIRS_AT_ONCE // max(len(r.z), 1)))
+        for lo in range(0, b.num_rows, step):
+            part = b.slice(lo, step)
             at, q = _sound(part.column(part.num_columns - 1), dim)
             if not len(at) or not len(r.z):
                 continue
@@ -181,98 +182,80 @@ def nearest(queries: DataFrame, refs: DataFrame, keep: list[str], k: int, allowe
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_i")
 
 
-def shares(queries: DataFrame, refs: DataFrame, levels: list[tuple[float, Callable[[Refs], np.ndarray] | None]], places: int | None = None) -> list[tuple[int, int]]:
-    """(pairs, pairs with s >= level) for each level, over the references that its mask chooses: partial counts only."""
+OWN = ["own", "own_label", "own_no"]
+LABEL_ROWS = 4096  # rows of a label that meet as many others at once
 
-    def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-        rows = [(i, s[:, m].size, int((s[:, m] >= level).sum())) for i, (level, mask) in enumerate(levels) for m in [mask(r) if mask is not None else slice(None)]]
-        return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)]
 
-    got = {r["i"]: (r["n"], r["k"]) for r in fold_pairs(queries, refs, [], count, "i int, n long, k long", places).groupBy("i").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
-    return [got.get(i, (0, 0)) for i in range(len(levels))]
+def fold_within(refs: DataFrame, fold: Fold, names: str) -> DataFrame:
+    """What fold makes of the similarities of references of one label: fold(s, columns OWN of the first, second) gives the columns of ``names`` (DDL).
 
+    Labels are multiplied each by itself, large ones in blocks of about ``LABEL_ROWS`` rows, so a row meets its own label only. Rows without a label take no part.
+    """
+    dim = max(refs.agg(F.max(F.size("z"))).collect()[0][0] or 0, 0)
+    some = refs.select(*REF).filter("label_id IS NOT NULL")
+    blocks = some.groupBy(F.col("label_id").alias("_label")).agg(F.ceil(F.count("*") / LABEL_ROWS).alias("nb"))
+    placed = some.join(blocks, F.col("label_id") == F.col("_label")).withColumn("blk", F.pmod(F.xxhash64("ref_id"), F.col("nb")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
+    left = placed.select(F.col("label_id").alias("l"), F.col("blk").alias("i"), every.alias("j"), F.col("ref_id").alias("own"), F.col("label_id").alias("own_label"), F.col("insert_no").alias("own_no"), F.col("z").alias("q"))
+    right = placed.select(F.col("label_id").alias("m"), every.alias("g"), F.col("blk").alias("h"), "ref_id", "insert_no", "z")
+    header = [c.split()[0] for c in names.split(", ")]
 
-class Distribution:
-    """The similarities of all pairs, without a row for each: histograms first, then the values of the bins that are asked for.
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    ``by`` names a group of every pair by a small whole number, as a matrix or as a row for all queries.
-    """
+    empty = to_arrow_schema(StructType.fromDDL(names)).empty_table()
+
+    def solve(one: pa.Table, two: pa.Table) -> pa.Table:
+        r, made = Refs(two, dim), []
+        step = max(1, min(AT_ONCE, PAIRS_AT_ONCE // max(len(r.z), 1)))
+        for lo in range(0, one.num_rows, step):
+            part = one.select([*OWN, "q"]).slice(lo, step).combine_chunks()
+            at, q = _sound(part.column("q").combine_chunks(), dim)
+            if len(at) and len(r.z):
+                own = part.select(OWN).take(pa.array(at)).combine_chunks().to_batches()[0]
+                columns = fold(q @ r.z.T, own, r)
+                if len(columns[0]):
+                    made.append(pa.RecordBatch.from_arrays(columns, header))
+        return pa.Table.from_batches(made) if made else empty
 
-    def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, places: int | None = None):
-        self.args = (queries, refs, keep or [])
-        self.places = places
+    return left.groupBy("l", "i", "j").cogroup(right.groupBy("m", "g", "h")).applyInArrow(solve, names)
 
-        def ends(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-            return [pa.array([float(s.min())]), pa.array([float(s.max())])]
 
-        lo, hi = fold_pairs(*self.args, ends, "lo double, hi double", places).agg(F.min("lo"), F.max("hi")).collect()[0]
-        self.lo, self.hi = (lo, hi) if lo is not None else (0.0, 0.0)
-        low, width = self.lo, self.hi - self.lo
+def similarities_within(refs: DataFrame, least: float, allowed: Allowed) -> DataFrame:
+    """(own, own_label, own_no, ref_id, insert_no, s): the pairs of one label that ``allowed`` chooses, with s >= least."""
 
-        def group(own: pa.RecordBatch, r: Refs, s: np.ndarray) -> np.ndarray:
-            return np.zeros(s.shape, np.int64) if by is None else np.broadcast_to(by(own, r), s.shape).astype(np.int64)
+    def some(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        i, j = np.nonzero((s >= least) & allowed(own, r))
+        return [*(c.take(pa.array(i)) for c in own.columns), pa.array(r.ref_id[j]), pa.array(r.insert_no[j]), pa.array(s[i, j])]
 
-        def bin_(s: np.ndarray) -> np.ndarray:
-            return np.clip(((s - low) / width * BINS).astype(np.int64), 0, BINS - 1) if width > 0 else np.zeros(s.shape, np.int64)
+    return fold_within(refs, some, f"{_own(refs.select(*(F.col(a).alias(b) for a, b in zip(REF, OWN, strict=False))), OWN)}ref_id long, insert_no long, s double")
 
-        self._key = group, bin_
 
-        def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-            g = group(own, r, s)
-            key, n = np.unique(g * BINS + bin_(s), return_counts=True)
-            return [pa.array((key // BINS).astype(np.int32)), pa.array((key % BINS).astype(np.int32)), pa.array(n)]
+def nearest_within(refs: DataFrame, allowed: Allowed) -> DataFrame:
+    """(own, ref_id, s): the nearest reference of one label that ``allowed`` chooses, ties to the smaller ref_id."""
 
-        rows = fold_pairs(*self.args, count, "g int, bin int, n long", places).filter("g >= 0").groupBy("g", "bin").agg(F.sum("n").alias("n")).collect()  # BINS a group at most
-        self.counts: dict[int, np.ndarray] = {}
-        for r in rows:
-            self.counts.setdefault(r["g"], np.zeros(BINS, np.int64))[r["bin"]] = r["n"]
+    def best(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        order = np.argsort(r.ref_id, kind="stable")
+        s = np.where(allowed(own, r), s, -np.inf)[:, order]
+        j = s.argmax(axis=1)
+        top = s[np.arange(len(s)), j]
+        live = np.flatnonzero(top > -np.inf)
+        return [own.column(0).take(pa.array(live)), pa.array(r.ref_id[order][j[live]]), pa.array(top[live])]
 
-    def n(self, g: int = 0) -> int:
-        return int(self.counts[g].sum()) if g in self.counts else 0
+    met = fold_within(refs, best, "own long, ref_id long, s double")
+    m = met.groupBy("own").agg(F.max(F.struct("s", (-F.col("ref_id")).alias("neg"))).alias("m"))
+    return m.select("own", (-F.col("m.neg")).alias("ref_id"), F.col("m.s").alias("s"))
 
-    def values(self, ranks: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-        """The values of ranks (0 for the smallest) in each group; the values of their bins reach the driver."""
-        want = {g: np.unique(np.searchsorted(np.cumsum(self.counts[g]), r, "right")) for g, r in ranks.items() if len(r)}
-        codes = np.array(sorted(g * BINS + b for g, bins in want.items() for b in bins.tolist()), np.int64)
-        group, bin_ = self._key
 
-        def pick(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-            key = group(own, r, s) * BINS + bin_(s)
-            hit = np.isin(key, codes)
-            return [pa.array((key[hit] // BINS).astype(np.int32)), pa.array(s[hit])]
+def shares(queries: DataFrame, refs: DataFrame, levels: list[tuple[float, Callable[[Refs], np.ndarray] | None]], places: int | None = None) -> list[tuple[int, int]]:
+    """(pairs, pairs with s >= level) for each level, over the references that its mask chooses: partial counts only."""
 
-        got = fold_pairs(*self.args, pick, "g int, s double", self.places).toArrow() if len(codes) else None
-        out = {}
-        for g, r in ranks.items():
-            if not len(r):
-                out[g] = np.zeros(0)
-                continue
-            v = np.sort(got.column("s").to_numpy()[got.column("g").to_numpy() == g])
-            size = self.counts[g]
-            below = np.cumsum(size) - size
-            bins = want[g]
-            start = np.cumsum(size[bins]) - size[bins]  # where a bin's values begin in v
-            b = np.searchsorted(np.cumsum(size), r, "right")
-            out[g] = v[start[np.searchsorted(bins, b)] + r - below[b]]
-        return out
+    def count(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
+        rows = [(i, s[:, m].size, int((s[:, m] >= level).sum())) for i, (level, mask) in enumerate(levels) for m in [mask(r) if mask is not None else slice(None)]]
+        return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)]
 
-    def quantiles(self, q: np.ndarray, g: int = 0) -> np.ndarray:
-        """Linearly interpolated quantiles, exact; no values give none."""
-        n = self.n(g)
-        if not n:
-            return np.full(len(q), np.nan)
-        at = np.asarray(q, float) * (n - 1)
-        lo = np.floor(at).astype(np.int64)
-        hi = np.minimum(lo + 1, n - 1)
-        both = np.unique(np.concatenate([lo, hi]))
-        v = self.values({g: both})[g]
-        a, b = v[np.searchsorted(both, lo)], v[np.searchsorted(both, hi)]
-        return a + (b - a) * (at - lo)
-
-    def top(self, k: int, g: int = 0) -> np.ndarray:
-        """The k largest values, falling."""
-        n = self.n(g)
-        return self.values({g: np.arange(max(0, n - k), n)})[g][::-1] if n else np.zeros(0)
+    got = {r["i"]: (r["n"], r["k"]) for r in fold_pairs(queries, refs, [], count, "i int, n long, k long", places).groupBy("i").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()}
+    return [got.get(i, (0, 0)) for i in range(len(levels))]
 
 
 def decide(by_label: DataFrame, queries: DataFrame, keys: list[str], tau: float | None = None) -> DataFrame:

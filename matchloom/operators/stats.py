@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .metrics import average_ranks
+from .ranks import quantiles_by
 
 
 def distribution(df: DataFrame, value: str, by: list[str], edges: list[float]) -> DataFrame:
@@ -14,8 +15,10 @@ def distribution(df: DataFrame, value: str, by: list[str], edges: list[float]) -
     v = F.col(value)
     x = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     bins = [F.count_if((v >= lo) & ((v < hi) if i < len(edges) - 2 else (v <= hi))) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
-    q = [F.round(F.percentile(v, F.lit(p)), 6).alias(f"q{int(p * 100):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)]
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"), *q, *(b.alias(f"bin{i}") for i, b in enumerate(bins)))
+    q = {f"q{int(p * 100):02d}": p for p in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    found = quantiles_by(x, value, by, q).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), *(F.round(c, 6).alias(c) for c in q))
+    moments = x.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"), *(b.alias(f"bin{i}") for i, b in enumerate(bins)))
+    return moments.join(F.broadcast(found), [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]).drop(*(f"_k{i}" for i in range(len(by))))  # a row for each group
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -43,12 +46,13 @@ def interval(v: str) -> list[Column]:
     return [F.round(F.percentile(v, F.lit(0.025)), 6).alias("lo"), F.round(F.percentile(v, F.lit(0.975)), 6).alias("hi")]
 
 
-def ratio_bootstrap(scenes: DataFrame, weights: DataFrame) -> DataFrame:
-    """Per replicate the ratio of weighted sums of (scene_id, num, den): not the mean of ratios."""
+def ratio_bootstrap(scenes: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per replicate the ratio of weighted sums of (scene_id, num, den): not the mean of ratios. ``by``: columns of scenes."""
     j = scenes.join(weights, "scene_id")
-    return j.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("value"))
+    return j.groupBy("b", *(by or [])).agg(F.try_divide(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("value"))
 
 
-def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Replicate-wise difference of two (b, value) tables."""
-    return a.select("b", F.col("value").alias("va")).join(b.select("b", F.col("value").alias("vb")), "b").select("b", (F.col("va") - F.col("vb")).alias("value"))
+def paired(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Replicate-wise difference of two (b, by, value) tables."""
+    keys = ["b", *(by or [])]
+    return a.select(*keys, F.col("value").alias("va")).join(b.select(*keys, F.col("value").alias("vb")), keys).select(*keys, (F.col("va") - F.col("vb")).alias("value"))

@@ -11,6 +11,7 @@ from ..operators import calibration as C
 from ..operators import composite as E
 from ..operators import greedy as G
 from ..operators import nesting as N
+from ..operators import ranks as RK
 from ..operators import rules as R
 from ..operators import search as S
 from . import catalog_gallery as CG
@@ -128,22 +129,19 @@ def _growth(spark, sf):
     ans = cut(ans.join(seen, ["r", "n", "truth"], "left").withColumn("inside", F.coalesce("inside", F.lit(False))))
     rank = F.row_number().over(Window.partitionBy("r", "n", "scene_id").orderBy(F.desc("s"), "mask_no"))
     ans = ans.withColumn("rank", rank)
-    tau = {(r["r"], r["n"], e): r[f"t{i}"] for r in ans.filter("NOT known").groupBy("r", "n").agg(*(C.tau_quantile(F.col("s"), e).alias(f"t{i}") for i, e in enumerate(LEVELS))).collect() for i, e in enumerate(LEVELS)}
+    tau = {(r["r"], r["n"], e): r[f"t{i}"] for r in RK.quantiles_by(ans.filter("NOT known"), "s", ["r", "n"], {f"t{i}": 1 - e for i, e in enumerate(LEVELS)}).collect() for i, e in enumerate(LEVELS)}
     # the model: tails of all row sets at once, a group for each chain and size
     sets = sorted({(r, n) for r, n, _ in tau})
     rows = {(r["r"], r["n"]): set(r["labels"]) for r in seen.groupBy("r", "n").agg(F.collect_set("truth").alias("labels")).collect()}  # chains x sizes lists of labels
     size = {r["label_id"]: r["c"] for r in V.ref(spark, sf).groupBy("label_id").agg(F.count("*").alias("c")).collect()}
     many = {k: sum(size.get(x, 0) for x in v) for k, v in rows.items()}
-    model: dict[tuple, float | None] = {}
-    for labels in {frozenset(v) for v in rows.values()}:  # equal row sets are calibrated once
-        keys = [k for k in sets if rows[k] == labels]
-        d = S.Distribution(V.query(spark, sf).filter("NOT known"), V.ref(spark, sf).filter(F.col("label_id").isin(*labels)))
-        tail = C.Tail.of(d)
-        for k in keys:
-            done = C.calibrate(tail, {e: tau[(*k, e)] for e in LEVELS}, many[k])
-            for e, c in done.items():
-                for n in SIZES:
-                    model[(*k, e, n)] = None if c["out_of_range"] else C.tau_model(tail, e, c["kappa"], many[(k[0], n)])[0]
+    # a group of pairs for each label; a row set is a union of labels, so one pass over the pairs serves all sets
+    number = {k: i for i, k in enumerate(sets)}
+    ranks = RK.Ranks(RK.pairs(V.query(spark, sf).filter("NOT known"), V.ref(spark, sf), by=lambda own, r: r.label_id[None, :]), {i: sorted(rows[k]) for k, i in number.items()})
+    done = C.calibrate(ranks, {(i, e): tau[(*k, e)] for k, i in number.items() for e in LEVELS}, {i: many[k] for k, i in number.items()})
+    asked = [(k, e, n) for k in sets for e in LEVELS for n in SIZES if not done[number[k], e]["out_of_range"]]
+    found = C.thresholds(ranks, [(number[k], e, done[number[k], e]["kappa"], many[k[0], n]) for k, e, n in asked])
+    model = {(*k, e, n): t for (k, e, n), t in zip(asked, found, strict=True)}
     plan = []
     for r in sorted({k[0] for k in sets}):
         for n0, n in PAIRS:

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import draws as D
 from ..operators import calibration as C
+from ..operators import graph as GR
 from ..operators import greedy as G
 from ..operators import metrics as M
+from ..operators import ranks as RK
 from ..operators import rules as R
 from ..operators import search as S
 from ..operators import stats as T
 from ..sources import gallery as GA
 from . import views as V
+from .cut import cut
+from .numbering import numbered
 from .registry import query
 
 K = ["scene_id", "mask_no", "vec_id", "known"]
@@ -125,7 +129,7 @@ def pair_survival(spark, sf):
 SELF = "selfsim AS (SELECT a.ref_id, a.label_id, a.insert_no, b.ref_id AS other, b.label_id AS other_label, b.insert_no AS other_no, list_dot_product(a.z,b.z) AS s FROM ref a, ref b WHERE a.ref_id<>b.ref_id)"
 
 
-OWN = ["own", "own_label", "own_no"]
+OWN = S.OWN
 
 
 def _own(spark, sf):
@@ -136,25 +140,25 @@ def _col(own, name):
     return own.column(OWN.index(name)).to_numpy()[:, None]
 
 
-def same_label(own, r):
-    """Pairs of two rows of one label, and no row with itself."""
-    return (_col(own, "own_label") == r.label_id) & (_col(own, "own") != r.ref_id)
+def other(own, r):
+    """Pairs of two rows, none with itself."""
+    return _col(own, "own") != r.ref_id
 
 
 def earlier(own, r):
-    """Pairs with an earlier row of the same label."""
-    return (_col(own, "own_label") == r.label_id) & (r.insert_no < _col(own, "own_no"))
+    """Pairs with an earlier row."""
+    return r.insert_no < _col(own, "own_no")
 
 
 def _rivals(spark, sf, least):
     """(label_id, insert_no, before, s) of rows of one label."""
-    p = S.similarities(_own(spark, sf), V.ref(spark, sf), OWN, least=least, allowed=earlier)
-    return p.select("label_id", F.col("own_no").alias("insert_no"), F.col("insert_no").alias("before"), "s")
+    p = S.similarities_within(V.ref(spark, sf), least, earlier)
+    return p.select(F.col("own_label").alias("label_id"), F.col("own_no").alias("insert_no"), F.col("insert_no").alias("before"), "s")
 
 
 @query("same_label_nn", f"WITH {V.REF}, {SELF} SELECT ref_id, round(max(s),6) AS s FROM selfsim WHERE label_id=other_label GROUP BY 1")
 def same_label_nn(spark, sf):
-    return S.nearest(_own(spark, sf), V.ref(spark, sf), OWN, 1, same_label).select(F.col("own").alias("ref_id"), F.round("s", 6).alias("s"))
+    return S.nearest_within(V.ref(spark, sf), other).select(F.col("own").alias("ref_id"), F.round("s", 6).alias("s"))
 
 
 @query("cross_part_nn", f"WITH {V.REF}, {SELF}, n AS (SELECT ref_id, label_id, arg_max(other_label, (s, -other)) AS y FROM selfsim WHERE (ref_id//100)%2<>(other//100)%2 GROUP BY ALL), t AS (SELECT label_id, count(*) FILTER (y=label_id) AS hit, count(*) AS n FROM n GROUP BY 1) SELECT avg(hit/n)>=0.5 AS mean_ok, count(*) FILTER (hit*3>=n)>=4 AS types_ok, avg(hit/n)>=0.5 AND count(*) FILTER (hit*3>=n)>=4 AS ok FROM t")
@@ -166,9 +170,10 @@ def cross_part_nn(spark, sf):
 @query("similarity_scale", f"WITH {V.REF}, {SELF} SELECT label_id=other_label AS same, count(*) AS n, round(quantile_cont(s,0.5),6) AS q50, round(quantile_cont(s,0.99),6) AS q99 FROM selfsim GROUP BY 1")
 def similarity_scale(spark, sf):
     kind = lambda own, r: np.where(_col(own, "own") == r.ref_id, -1, (_col(own, "own_label") == r.label_id).astype(int))
-    d = S.Distribution(_own(spark, sf), V.ref(spark, sf), OWN, kind)
-    rows = [(bool(g), d.n(g), *(round(float(v), 6) for v in d.quantiles(np.array([0.5, 0.99]), g))) for g in (0, 1) if d.n(g)]
-    return spark.createDataFrame(rows, "same boolean, n long, q50 double, q99 double")
+    d = RK.Ranks(RK.pairs(_own(spark, sf), V.ref(spark, sf), OWN, kind), groups=2)
+    live = [g for g in (0, 1) if d.n[g]]
+    q = d.quantiles(np.repeat(live, 2).astype(int), np.tile([0.5, 0.99], len(live))).reshape(-1, 2)
+    return spark.createDataFrame([(bool(g), d.n[g], *(round(float(x), 6) for x in v)) for g, v in zip(live, q, strict=True)], "same boolean, n long, q50 double, q99 double")
 
 
 @query("gallery_chains", f"WITH {V.CHAIN} SELECT * FROM chain")
@@ -188,9 +193,13 @@ def gallery_dedup(spark, sf):
     return G.dedup(_rivals(spark, sf, ETA), V.ref(spark, sf), ETA)
 
 
-@query("greedy_cover")
+@query("greedy_cover", f"""WITH RECURSIVE {V.REF}, pr AS MATERIALIZED (SELECT a.label_id, a.ref_id AS a, list(b.ref_id) AS bs FROM ref a JOIN ref b ON a.label_id=b.label_id AND (a.ref_id=b.ref_id OR list_dot_product(a.z, b.z)>=0.25) GROUP BY ALL),
+st AS (SELECT label_id, -1::BIGINT AS step, NULL::BIGINT AS ref_id, list(a) AS todo FROM pr GROUP BY label_id
+ UNION ALL SELECT label_id, step+1, pick[2], list_filter(todo, lambda x: NOT list_contains(own, x)) FROM (
+  SELECT s.label_id, s.step, s.todo, max([len(list_intersect(p.bs, s.todo)), -p.a]) AS best, -best[2] AS won, [0, won] AS pick, arg_max(p.bs, [len(list_intersect(p.bs, s.todo)), -p.a]) AS own FROM st s JOIN pr p USING (label_id) WHERE len(s.todo)>0 GROUP BY ALL))
+SELECT label_id, step, ref_id FROM st WHERE step>=0""")
 def greedy_cover(spark, sf):
-    p = S.similarities(_own(spark, sf), V.ref(spark, sf), OWN, least=0.25, allowed=same_label).select("label_id", F.col("own").alias("a"), F.col("ref_id").alias("b"))
+    p = S.similarities_within(V.ref(spark, sf), 0.25, other).select(F.col("own_label").alias("label_id"), F.col("own").alias("a"), F.col("ref_id").alias("b"))
     own = V.ref(spark, sf).select("label_id", F.col("ref_id").alias("a"), F.col("ref_id").alias("b"))
     return G.greedy_cover(p.union(own))
 
@@ -205,6 +214,21 @@ def lsh_recall(spark, sf):
     return exact.join(approx, "vec_id", "left").agg(F.count("*").alias("n"), share(near).alias("recall"), share(near & (F.col("ye") == F.col("ya"))).alias("same_label"), F.sum("candidates").alias("candidates"))
 
 
+@query("graph_recall")
+def graph_recall(spark, sf):
+    """Search in layered graphs against exact search: best similarity within 1e-5, its label, and how many of the 48 nearest are shared."""
+    q, r, k = V.query(spark, sf), V.ref(spark, sf), 48
+    exact = S.nearest(q, r, ["vec_id"], k)
+    index = cut(GR.build(r))
+    found = GR.search(q, index, ["vec_id"], k)
+    both = exact.select("vec_id", "ref_id", "rank", F.col("s").alias("se"), F.col("label_id").alias("ye")).join(found.select("vec_id", "ref_id", F.lit(1).alias("hit")), ["vec_id", "ref_id"], "left")
+    shared = both.groupBy("vec_id").agg((F.count("hit") / F.count("*")).alias("shared"), F.max(F.when(F.col("rank") == 1, F.struct("se", "ye"))).alias("top"))
+    best = found.filter("rank = 1").join(r.select("ref_id", F.col("label_id").alias("ya")), "ref_id").select("vec_id", F.col("s").alias("sa"), "ya")
+    near = F.coalesce(F.abs(F.col("top.se") - F.col("sa")) <= 1e-5, F.lit(False))
+    share = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return shared.join(best, "vec_id", "left").agg(F.count("*").alias("n"), share(near).alias("recall"), share(near & (F.col("top.ye") == F.col("ya"))).alias("same_label"), F.round(F.avg("shared"), 6).alias("shared"))
+
+
 # ---- AUROC and calibration ---------------------------------------------------------
 
 DEC = f"{SIM}, {BYLABEL}, {dec_sql()}"
@@ -233,21 +257,21 @@ def auroc_stratified(spark, sf):
 
 @query("tau_quantile", f"WITH {DEC} SELECT round(quantile_cont(s_star,0.95),9) AS tau_05, round(quantile_cont(s_star,0.99),9) AS tau_01 FROM dec WHERE NOT known")
 def tau_quantile(spark, sf):
-    return _decided(spark, sf).filter("NOT known").agg(F.round(C.tau_quantile(F.col("s_star"), 0.05), 9).alias("tau_05"), F.round(C.tau_quantile(F.col("s_star"), 0.01), 9).alias("tau_01"))
+    q = RK.Ranks(RK.column(_decided(spark, sf).filter("NOT known"), "s_star")).quantiles(np.zeros(2, int), np.array([0.95, 0.99]))
+    return spark.createDataFrame([tuple(None if np.isnan(x) else round(float(x), 9) for x in q)], "tau_05 double, tau_01 double")
 
 
 @query("tail_quantiles", f"WITH {SIM}, l AS (SELECT list(s ORDER BY s) AS v, count(*)-1 AS m FROM sim), g AS (SELECT i, i*m//10000 AS lo, (i*m%10000)/10000.0 AS r, m, v FROM l, (SELECT unnest(range(10001)) AS i)) SELECT i::INT AS i, round(v[lo+1]+(v[least(lo+1,m)+1]-v[lo+1])*r,9) AS v FROM g")
 def tail_quantiles(spark, sf):
     """The grid of 10,001 quantiles of all pairs."""
-    v = S.Distribution(V.query(spark, sf), V.ref(spark, sf)).quantiles(np.arange(10_001) / 10_000)
-    return spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(v)), pa.int32()), "v": pa.array(v)})).withColumn("v", F.round("v", 9))
+    q = RK.Ranks(RK.pairs(V.query(spark, sf), V.ref(spark, sf))).quantile_frame(np.arange(10_001) / 10_000)
+    return q.select(F.col("i").cast("int").alias("i"), F.round("value", 9).alias("v"))
 
 
 @query("tail_top", f"WITH {SIM} SELECT round(s,9) AS s FROM (SELECT s FROM sim ORDER BY s DESC LIMIT 200000)")
 def tail_top(spark, sf):
     """The 200,000 largest similarities of all pairs, as a calibration keeps them."""
-    v = S.Distribution(V.query(spark, sf), V.ref(spark, sf)).top(200_000)
-    return spark.createDataFrame(pa.table({"s": pa.array(v)})).select(F.round("s", 9).alias("s"))
+    return RK.top(V.query(spark, sf), V.ref(spark, sf), 200_000).select(F.round("s", 9).alias("s"))
 
 
 @query("tau_model_point", f"WITH {V.REF} SELECT count(*) AS n, round((1-pow(1-0.05,1.0/(0.5*count(*))))*1e6,6) AS p_single_ppm FROM ref")
@@ -302,8 +326,9 @@ def _cells(spark, sf):
     sizes = spark.createDataFrame([(0, 3, 5), (1, 3, 10), (2, 5, 10)], "pair int, n0 int, n int")
     b = _by_label(spark, sf, keep=["vec_id", "known"]).join(F.broadcast(V.chain(spark, sf)), "label_id").crossJoin(F.broadcast(sizes))
     top = lambda n: F.max(F.when(F.col("pos") < F.col(n), F.col("s")))
-    m = b.groupBy("r", "pair", "vec_id", "known").agg(top("n0").alias("s0"), top("n").alias("s1"))
-    t = m.filter("NOT known").groupBy("r", "pair").agg(C.tau_quantile(F.col("s0"), 0.05).alias("tau0"), C.tau_quantile(F.col("s1"), 0.05).alias("tau1"))
+    m = cut(b.groupBy("r", "pair", "vec_id", "known").agg(top("n0").alias("s0"), top("n").alias("s1")))
+    two = [RK.quantiles_by(m.filter("NOT known"), f"s{i}", ["r", "pair"], {f"tau{i}": 0.95}) for i in (0, 1)]
+    t = F.broadcast(two[0].join(two[1], ["r", "pair"]))  # a row for each chain and growth
     rate = lambda t_: F.round(F.avg((F.col("s1") >= F.col(t_)).cast("int")), 9)
     return m.filter("NOT known").join(t, ["r", "pair"]).groupBy("r", "pair").agg(rate("tau0").alias("fpr_frozen"), rate("tau1").alias("fpr_again"))
 
@@ -320,22 +345,22 @@ def growth_verdict(spark, sf):
     return R.majority(R.chain_verdict(rule("frozen", "fpr_frozen").unionByName(rule("again", "fpr_again")), ["rule"]), ["rule"])
 
 
-@query("predicted_ratio", "SELECT n::INT AS n, round((1-pow(0.95, n/25.0))/0.05,9) AS ratio FROM (SELECT unnest([25,50,100]) AS n)")
-def predicted_ratio(spark, sf):
-    n = spark.range(25, 101, 25).filter("id IN (25, 50, 100)").select(F.col("id").cast("int").alias("n"))
-    return n.select("n", F.round(C.predicted_ratio(0.05, F.col("n"), F.lit(25)), 9).alias("ratio"))
+_KAPPA = f"""{SIM}, {BYLABEL}, {dec_sql()}, u AS MATERIALIZED (SELECT s FROM sim WHERE NOT known), nn AS (SELECT count(*) AS n FROM u), rr AS (SELECT count(*) AS refs FROM ref),
+e(eps, e) AS (VALUES ('0.05', 0.05::DOUBLE), ('0.01', 0.01::DOUBLE)), t AS (SELECT eps, e, (SELECT CASE WHEN eps='0.05' THEN quantile_cont(s_star,0.95) ELSE quantile_cont(s_star,0.99) END FROM dec WHERE NOT known) AS tau FROM e),
+a AS (SELECT eps, any_value(e) AS e, any_value(tau) AS tau, count(*) FILTER (s<tau) AS below, count(*) FILTER (s=tau) AS equal, max(s) FILTER (s<tau) AS under, min(s) FILTER (s>=tau) AS over FROM t, u GROUP BY eps),
+p AS (SELECT *, CASE WHEN equal>0 THEN below::DOUBLE WHEN over IS NOT NULL AND under IS NOT NULL THEN below-1+(tau-under)/(over-under) END AS place FROM a, nn, rr),
+k AS (SELECT *, CASE WHEN place>0 AND place<n-1 THEN ln(1-e)/(refs*ln(place/(n-1))) END AS kappa FROM p)"""
 
 
-@query("kappa_calibration")
+@query("kappa_calibration", f"WITH {_KAPPA} SELECT eps, round(tau,9) AS tau_q, CASE WHEN kappa BETWEEN 0.001 AND 1 THEN round(kappa,6) END AS kappa, CASE WHEN kappa BETWEEN 0.001 AND 1 THEN round(tau,9) END AS tau_m, coalesce(kappa NOT BETWEEN 0.001 AND 1, true) AS out_of_range FROM k")
 def kappa_calibration(spark, sf):
     """Threshold by quantile and by model of the tail for two error rates; a kappa out of range is an outcome of its own."""
-    unknown = V.query(spark, sf).filter("NOT known")
-    tail = C.Tail.of(S.Distribution(unknown, V.ref(spark, sf)))
-    levels = (0.05, 0.01)
-    tau = _decided(spark, sf).filter("NOT known").agg(*(C.tau_quantile(F.col("s_star"), e) for e in levels)).collect()[0]
-    done = C.calibrate(tail, dict(zip(levels, tau, strict=True)), V.ref(spark, sf).count())
-    rows = [(repr(e), r["tau_q"], r["kappa"], r["tau_m"], r["path"], r["out_of_range"]) for e, r in done.items()]
-    return spark.createDataFrame(rows, "eps string, tau_q double, kappa double, tau_m double, path string, out_of_range boolean")
+    unknown, levels = V.query(spark, sf).filter("NOT known"), (0.05, 0.01)
+    star = RK.Ranks(RK.column(_decided(spark, sf).filter("NOT known"), "s_star")).quantiles(np.zeros(2, int), 1 - np.array(levels))
+    done = C.calibrate(RK.Ranks(RK.pairs(unknown, V.ref(spark, sf))), {(0, e): float(t) for e, t in zip(levels, star, strict=True)}, {0: V.ref(spark, sf).count()})
+    rows = [(repr(e), r["tau_q"], r["kappa"], r["tau_m"], r["out_of_range"]) for (_, e), r in done.items()]
+    out = spark.createDataFrame(rows, "eps string, tau_q double, kappa double, tau_m double, out_of_range boolean")
+    return out.select("eps", F.round("tau_q", 9).alias("tau_q"), F.round("kappa", 6).alias("kappa"), F.round("tau_m", 9).alias("tau_m"), "out_of_range")
 
 
 BOOTQ = V.boot_sql("query")
@@ -353,6 +378,31 @@ def boot_weights(spark, sf):
     return V.boot(V.query(spark, sf))
 
 
+SEED = 20260918  # fixed value: the seed of splits, chains and replicates
+
+
+@query("boot_weights_seeded")
+def boot_weights_seeded(spark, sf):
+    """Replicates' weights of each subset's scenes, as NumPy's generator draws them from [seed, place of the subset]."""
+    from .catalog_eval import _of
+
+    of = cut(_of(spark, sf))
+    names = sorted(r["subset"] for r in of.select("subset").distinct().collect())  # a name for each subset
+    out = None
+    for i, name in enumerate(names):
+        scenes = cut(numbered(of.filter(F.col("subset") == name).select("scene_id"), ["scene_id"], "i"))
+        part = D.boot_weights(scenes, [SEED, i], 50).select(F.lit(name).alias("subset"), "b", "scene_id", "w")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("gallery_chains_seeded")
+def gallery_chains_seeded(spark, sf):
+    """Chains of labels in the orders that NumPy's generator gives from seed + chain."""
+    labels = sorted(r["label_id"] for r in V.ref(spark, sf).select("label_id").distinct().collect())
+    return D.permutations(spark, labels, SEED, 9).select("r", "pos", F.col("item").cast("int").alias("label_id"))
+
+
 # ---- rows, integrity, growth ---------------------------------------------------------
 
 

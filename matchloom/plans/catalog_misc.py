@@ -158,9 +158,10 @@ def rle_areas(spark, sf):
     return V.pred(spark, sf).select("scene_id", "mask_no", "x0", "y0", "x1", "y1").mapInArrow(run, "scene_id long, mask_no long, area long, same boolean")
 
 
-@query("pool_features", "WITH e AS (SELECT label, i, round(sum(embedding[i]::DOUBLE*(vec_id%7))/sum(vec_id%7),6) AS v FROM embeddings, (SELECT unnest(range(1,5)) AS i) GROUP BY ALL) SELECT label, i::INT AS i, v FROM e")
+@query("pool_features", "WITH e AS (SELECT label, i, round(sum(embedding[i]::DOUBLE*(vec_id%7))/sum(vec_id%7),6) AS v FROM embeddings, (SELECT unnest(range(1,(SELECT max(len(embedding)) FROM embeddings)+1)) AS i) GROUP BY ALL) SELECT label, i::INT AS i, v FROM e")
 def pool_features(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("p", "v"))
+    """The weighted mean of each component by label, all components, without unit length."""
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("p", "v"))
     w = F.col("vec_id") % 7
     return e.groupBy("label", (F.col("p") + 1).alias("i")).agg(F.round(F.sum(F.col("v").cast("double") * w) / F.sum(w), 6).alias("v"))
 
@@ -170,7 +171,7 @@ n AS (SELECT r.*, total, row_number() OVER (PARTITION BY r.label ORDER BY abs(2*
 e AS (SELECT label, i, sum(z[i]::DOUBLE*w)/sum(w) AS v FROM u, (SELECT unnest(range(1,(SELECT max(len(embedding)) FROM embeddings)+1)) AS i) GROUP BY ALL)
 SELECT label, i::INT AS i, round(v/greatest(sqrt(sum(v*v) OVER (PARTITION BY label)),1e-12),6) AS v FROM e""")
 def pool_vectors(spark, sf):
-    """The whole pooled vector of each label; pool_features has the first four components of the mean, as its SQL has."""
+    """The pooled vector of each label at unit length, with the fallback for labels without weight."""
     e = table(spark, sf, "embeddings").select("label", "vec_id", (F.col("vec_id") % 7).alias("w"), "embedding")
     return X.pool(e, "label", "vec_id", "w", "embedding").withColumn("v", F.round("v", 6))
 
@@ -208,43 +209,3 @@ def path_parts(spark, sf):
 
     p = rsplit(F.col("url"), "/")
     return table(spark, sf, "pages").select("page_id", p["before"].alias("before"), p["after"].alias("after"))
-
-
-# ---- verdict rules on literal inputs ------------------------------------------------------
-
-
-@query("verdict_outcomes", "SELECT v.*, CASE WHEN lo>0 THEN 1 WHEN hi<0 THEN 3 ELSE 2 END AS outcome FROM (VALUES ('a',0.57::DOUBLE,2.14::DOUBLE),('b',-0.2,0.3),('c',-2.0,-0.1)) v(id,lo,hi)")
-def verdict_outcomes(spark, sf):
-    v = spark.createDataFrame([("a", 0.57, 2.14), ("b", -0.2, 0.3), ("c", -2.0, -0.1)], "id string, lo double, hi double")
-    return v.withColumn("outcome", R.outcome(F.col("lo"), F.col("hi")))
-
-
-@query("verdict_joint", "SELECT g, CASE WHEN count(DISTINCT o)=1 THEN max(o) END AS joint FROM (VALUES (1,1),(1,1),(2,1),(2,3)) v(g,o) GROUP BY 1")
-def verdict_joint(spark, sf):
-    return R.joint(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 3)], "g int, o int"), ["g"], "o")
-
-
-@query("verdict_rejection", "SELECT q, m, CASE WHEN q AND m THEN 'a' WHEN q OR m THEN 'b' ELSE 'c' END AS outcome FROM (VALUES (true,true),(true,false),(false,false)) v(q,m)")
-def verdict_rejection(spark, sf):
-    v = spark.createDataFrame([(True, True), (True, False), (False, False)], "q boolean, m boolean")
-    return v.withColumn("outcome", R.rejection_outcome(F.col("q"), F.col("m")))
-
-
-@query("verdict_first_run", "SELECT ap, ap>=30 AND abs(ap-41.61)<=8 AS ok FROM (VALUES (29.0::DOUBLE),(33.7),(45.0),(50.3)) v(ap)")
-def verdict_first_run(spark, sf):
-    return spark.createDataFrame([(29.0,), (33.7,), (45.0,), (50.3,)], "ap double").withColumn("ok", R.first_run(F.col("ap")))
-
-
-@query("best_variant", "SELECT * FROM (VALUES ('x',64.0::DOUBLE,70.0::DOUBLE,2),('y',63.95,71.0,1),('z',60.0,90.0,0)) v(name,ap,ap50,ord) WHERE ap>=63.9 ORDER BY ap50 DESC, ord LIMIT 1")
-def best_variant(spark, sf):
-    return R.best_variant(spark.createDataFrame([("x", 64.0, 70.0, 2), ("y", 63.95, 71.0, 1), ("z", 60.0, 90.0, 0)], "name string, ap double, ap50 double, ord int"))
-
-
-@query("ap_ceiling", "SELECT r, round(least(1.0::DOUBLE, r+1.0/101),9) AS top FROM (VALUES (0.5::DOUBLE),(0.995)) v(r)")
-def ap_ceiling(spark, sf):
-    return spark.createDataFrame([(0.5,), (0.995,)], "r double").select("r", F.round(R.ap_ceiling(F.col("r")), 9).alias("top"))
-
-
-@query("dedup_eta_choice", "SELECT min(t) FILTER (loss<=3) AS eta FROM (VALUES (0.90::DOUBLE,5),(0.94,3),(0.96,0)) v(t,loss)")
-def dedup_eta_choice(spark, sf):
-    return spark.createDataFrame([(0.90, 5), (0.94, 3), (0.96, 0)], "t double, loss int").agg(F.min(F.when(F.col("loss") <= 3, F.col("t"))).alias("eta"))

@@ -8,6 +8,7 @@ from ..operators import boxes as B
 from ..operators import greedy as G
 from ..operators import metrics as M
 from ..operators import nesting as N
+from ..operators import ranks as RK
 from ..operators import rules as R
 from ..operators import stats as S
 from ..session import table
@@ -53,8 +54,9 @@ def objects_with_parent(spark, sf):
     a = m.select("scene_id", "mask_no", _area().alias("area"))
     up = N.parents(N.nested(m)).join(a.toDF("scene_id", "parent", "host"), ["scene_id", "parent"])
     r = _hits(spark, sf).select("scene_id", "mask_no").join(a, ["scene_id", "mask_no"]).join(up, ["scene_id", "mask_no"], "left").withColumn("ratio", F.col("area") / F.col("host"))
-    q = lambda p: F.round(F.percentile("ratio", F.lit(p)), 6)
-    return r.agg(F.count("*").alias("n"), F.count("parent").alias("with_parent"), q(0.5).alias("q50"), q(0.95).alias("q95"))
+    r = cut(r)
+    q = RK.quantiles_by(r, "ratio", [], {"q50": 0.5, "q95": 0.95}).select(F.round("q50", 6).alias("q50"), F.round("q95", 6).alias("q95"))
+    return r.agg(F.count("*").alias("n"), F.count("parent").alias("with_parent")).crossJoin(F.broadcast(q))  # a row each
 
 
 _RULES = {"all": "SELECT scene_id, mask_no FROM pred", "maximal": "SELECT scene_id, mask_no FROM pred m WHERE NOT EXISTS (SELECT 1 FROM nest n WHERE n.scene_id=m.scene_id AND n.a=m.mask_no)", "minimal": "SELECT scene_id, mask_no FROM pred m WHERE NOT EXISTS (SELECT 1 FROM nest n WHERE n.scene_id=m.scene_id AND n.b=m.mask_no)", "rho": "SELECT scene_id, mask_no FROM rho"}
@@ -96,8 +98,9 @@ _FITS = "round(avg(((x0+x1)/2-{f}*s/2>=0 AND (y0+y1)/2-{f}*s/2>=0 AND (x0+x1)/2+
 def ref_geometry(spark, sf):
     """Side of boxes against a frame of 720 x 540, and the share of squares that stay in it."""
     r = V.pred(spark, sf).withColumn("s", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    q = RK.quantiles_by(r, "s", [], {"q": 0.5}).collect()[0]["q"]
     fits = lambda f: F.round(F.avg(F.expr(f"(x0+x1)/2-{f}D*s/2>=0 AND (y0+y1)/2-{f}D*s/2>=0 AND (x0+x1)/2+{f}D*s/2<=720 AND (y0+y1)/2+{f}D*s/2<=540").cast("int")), 9)
-    return r.agg(F.round(F.min("s") / 720, 6).alias("lo"), F.round(F.percentile("s", F.lit(0.5)) / 720, 6).alias("q50"), F.round(F.max("s") / 720, 6).alias("hi"), fits("1.0").alias("fits_10"), fits("1.5").alias("fits_15"), F.count_if(F.expr("x0=0 OR y0=0 OR x1=720 OR y1=540")).alias("touching"))
+    return r.agg(F.round(F.min("s") / 720, 6).alias("lo"), F.round(F.lit(q) / 720, 6).alias("q50"), F.round(F.max("s") / 720, 6).alias("hi"), fits("1.0").alias("fits_10"), fits("1.5").alias("fits_15"), F.count_if(F.expr("x0=0 OR y0=0 OR x1=720 OR y1=540")).alias("touching"))
 
 
 @query("matched_sets", f"WITH {V.PRED}, g AS (SELECT * FROM pred WHERE mask_no%2=0), m AS (SELECT * FROM pred WHERE mask_no%2=1), x AS (SELECT g.scene_id, g.mask_no, max({CS.IOU}/((g.x1-g.x0)*(g.y1-g.y0)+(m.x1-m.x0)*(m.y1-m.y0)-{CS.IOU})) AS iou FROM g JOIN m ON g.scene_id=m.scene_id AND g.x0<m.x1 AND m.x0<g.x1 AND g.y0<m.y1 AND m.y0<g.y1 GROUP BY ALL) SELECT g.scene_id, g.mask_no, coalesce(x.iou,0) AS iou, coalesce(x.iou,0)>=0.5 AS matched FROM g LEFT JOIN x USING (scene_id, mask_no)")
@@ -193,38 +196,3 @@ def dedup_sweep(spark, sf):
         part = G.dedup(p, V.ref(spark, sf), eta).agg(F.count("*").alias("kept")).select(F.lit(eta).alias("eta"), "kept")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-# ---- verdict rules on literal inputs -------------------------------------------------------
-
-
-@query("verdict_transfer", "SELECT n, count(*) FILTER (h) AS chains, CASE WHEN n=100 THEN bool_and(h) ELSE count(*) FILTER (h)>=5 END AS holds FROM (SELECT n, CASE n WHEN 25 THEN r<4 WHEN 50 THEN r<6 ELSE true END AS h FROM (SELECT unnest([25,50,100]) AS n), (SELECT unnest(range(9)) AS r)) GROUP BY n")
-def verdict_transfer(spark, sf):
-    c = spark.createDataFrame([(25,), (50,), (100,)], "n int").crossJoin(spark.range(9).withColumnRenamed("id", "r"))
-    return R.transfer(c.withColumn("holds", F.when(F.col("n") == 25, F.col("r") < 4).when(F.col("n") == 50, F.col("r") < 6).otherwise(True)))
-
-
-@query("verdict_zones", "SELECT d, CASE WHEN d>=60.0-1 THEN 'upper' WHEN d<=50.0+1 THEN 'lower' ELSE 'partial' END AS verdict FROM (VALUES (59.0::DOUBLE),(51.0),(55.0),(70.0)) v(d)")
-def verdict_zones(spark, sf):
-    d = spark.createDataFrame([(59.0,), (51.0,), (55.0,), (70.0,)], "d double")
-    return d.select("d", R.zone_verdict(F.col("d"), F.lit(60.0), F.lit(50.0), 1.0).alias("verdict"))
-
-
-@query("verdict_sequence", "SELECT 'split_b' AS name, 0.72::DOUBLE AS recall")
-def verdict_sequence(spark, sf):
-    return R.sequential_choice(spark.createDataFrame([(0, "maximal", 0.70), (1, "split_a", 0.705), (2, "split_b", 0.72), (3, "split_c", 0.725)], "ord int, name string, recall double"))
-
-
-@query("verdict_ceiling", "SELECT * FROM (SELECT a.type, a.ap, least(1.0::DOUBLE, r.recall+1.0::DOUBLE/101) AS top FROM (VALUES ('x',0.5::DOUBLE),('y',0.9),('z',1.0)) a(type,ap) JOIN (VALUES ('x',0.495::DOUBLE),('y',0.8),('z',0.995)) r(type,recall) USING (type)) WHERE ap>top+1e-12")
-def verdict_ceiling(spark, sf):
-    a = spark.createDataFrame([("x", 0.5), ("y", 0.9), ("z", 1.0)], "type string, ap double")
-    return R.ceiling_violations(a, spark.createDataFrame([("x", 0.495), ("y", 0.8), ("z", 0.995)], "type string, recall double"))
-
-
-@query("weak_variant", "WITH v AS (SELECT b, (b*37%101)/101.0::DOUBLE + 0.5 AS best, (b*53%101)/101.0::DOUBLE AS other, (b*71%101)/101.0::DOUBLE - 1 AS third FROM (SELECT unnest(range(50)) AS b)) SELECT round(quantile_cont(best-other,0.025),6) AS lo_other, round(quantile_cont(best-third,0.025),6) AS lo_third, quantile_cont(best-other,0.025)>0 AND quantile_cont(best-third,0.025)>0 AS weak FROM v")
-def weak_variant(spark, sf):
-    """Weak if the best run beats both others over paired replicates: both intervals above zero."""
-    v = spark.range(50).select(F.col("id").alias("b"), (F.col("id") * 37 % 101 / 101.0 + 0.5).alias("best"), (F.col("id") * 53 % 101 / 101.0).alias("other"), (F.col("id") * 71 % 101 / 101.0 - 1).alias("third"))
-    run = lambda c: v.select("b", F.col(c).alias("value"))
-    lo = lambda c: S.paired(run("best"), run(c)).agg(S.interval("value")[0].alias(f"lo_{c}"))
-    return lo("other").crossJoin(lo("third")).withColumn("weak", (F.col("lo_other") > 0) & (F.col("lo_third") > 0))

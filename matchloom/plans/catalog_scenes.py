@@ -21,10 +21,11 @@ BEST = "best AS (SELECT g.scene_id, g.gt_no, g.gt_label, (g.x1-g.x0)*(g.y1-g.y0)
 DIST = """d AS (SELECT m.scene_id, m.mask_no FROM pred m LEFT JOIN (SELECT scene_id, mask_no, max(iou) AS t FROM p GROUP BY ALL) t USING (scene_id, mask_no)
  WHERE coalesce(t,0)<0.1 AND NOT EXISTS (SELECT 1 FROM zones z WHERE z.scene_id=m.scene_id AND m.x0<z.x1 AND z.x0<m.x1 AND m.y0<z.y1 AND z.y0<m.y1))"""
 ABIN = "CASE WHEN gt_area<1024 THEN 0 WHEN gt_area<2048 THEN 1 ELSE 2 END"
-NEST = """nr AS (SELECT m.scene_id, m.mask_no AS a, n.mask_no AS b, ((least(m.x1,n.x1)-greatest(m.x0,n.x0))*(least(m.y1,n.y1)-greatest(m.y0,n.y0)))::BIGINT AS v,
+NEST = """nr AS MATERIALIZED (SELECT m.scene_id, m.mask_no AS a, n.mask_no AS b, ((least(m.x1,n.x1)-greatest(m.x0,n.x0))*(least(m.y1,n.y1)-greatest(m.y0,n.y0)))::BIGINT AS v,
  ((m.x1-m.x0)*(m.y1-m.y0))::BIGINT AS area_a, ((n.x1-n.x0)*(n.y1-n.y0))::BIGINT AS area_b
- FROM pred m JOIN pred n ON m.scene_id=n.scene_id AND m.mask_no<>n.mask_no WHERE m.x0<n.x1 AND n.x0<m.x1 AND m.y0<n.y1 AND n.y0<m.y1),
-nest AS (SELECT * FROM nr WHERE area_a<area_b AND 10*v>=9*area_a)"""
+ FROM pred m JOIN (SELECT scene_id, list({'mask_no': mask_no, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS own FROM pred GROUP BY scene_id) s USING (scene_id), (SELECT unnest(s.own) AS n)
+ WHERE m.mask_no<>n.mask_no AND m.x0<n.x1 AND n.x0<m.x1 AND m.y0<n.y1 AND n.y0<m.y1),
+nest AS MATERIALIZED (SELECT * FROM nr WHERE area_a<area_b AND 10*v>=9*area_a)"""
 NESTED = f"{V.PRED}, {NEST}"
 PARENT = "par AS (SELECT scene_id, a AS mask_no, b AS parent FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, a ORDER BY area_b, b) AS rn FROM nest) WHERE rn=1)"
 
@@ -217,6 +218,56 @@ def forest_split(spark, sf):
     return N.split(m, N.nested(m))
 
 
+# ---- masks as runs --------------------------------------------------------------------
+
+SIDE = 720  # height of the frame
+NOTCH = "floor((x1-x0)/2)", "floor((y1-y0)/2)"
+
+
+def _shapes(spark, sf):
+    """The masks as runs: boxes, every second one without its upper right quarter."""
+    from ..operators.kernel import per_group
+
+    def solve(x):
+        import numpy as np
+
+        from ..functions import runs as U
+
+        made = []
+        for no, x0, y0, x1, y1 in zip(*(x[c].astype(int).tolist() for c in ("mask_no", "x0", "y0", "x1", "y1")), strict=True):
+            m = U.from_box((x0, y0, x1, y1), SIDE)
+            made.append(U.minus(m, U.from_box((x1 - (x1 - x0) // 2, y0, x1, y0 + (y1 - y0) // 2), SIDE)) if no % 2 else m)
+        starts, ends = np.empty(len(made), object), np.empty(len(made), object)
+        starts[:], ends[:] = [m[0] for m in made], [m[1] for m in made]
+        return {"scene_id": x["scene_id"], "mask_no": x["mask_no"], "starts": starts, "ends": ends}
+
+    return per_group(V.pred(spark, sf).select("scene_id", "mask_no", "x0", "y0", "x1", "y1"), "scene_id", solve, "scene_id long, mask_no long, starts array<long>, ends array<long>")
+
+
+_CORNER = "greatest(least(m.{a}1,n.{b}1)-greatest(m.{a}0,n.{b}0),0)*greatest(least(m.{a}3,n.{b}3)-greatest(m.{a}2,n.{b}2),0)"
+SHAPES = f"""shp AS MATERIALIZED (SELECT scene_id, mask_no, x0 AS o0, x1 AS o1, y0 AS o2, y1 AS o3, CASE WHEN mask_no%2=1 THEN x1-{NOTCH[0]} ELSE x1 END AS c0, x1 AS c1, y0 AS c2, CASE WHEN mask_no%2=1 THEN y0+{NOTCH[1]} ELSE y0 END AS c3 FROM pred),
+sar AS MATERIALIZED (SELECT *, ((o1-o0)*(o3-o2)-(c1-c0)*(c3-c2))::BIGINT AS area FROM shp),
+spr AS MATERIALIZED (SELECT m.scene_id, m.mask_no AS a, n.mask_no AS b, m.area AS area_a, n.area AS area_b, ({_CORNER.format(a='o', b='o')}-{_CORNER.format(a='o', b='c')}-{_CORNER.format(a='c', b='o')}+{_CORNER.format(a='c', b='c')})::BIGINT AS v
+ FROM sar m JOIN (SELECT scene_id, list({{'mask_no': mask_no, 'area': area, 'o0': o0, 'o1': o1, 'o2': o2, 'o3': o3, 'c0': c0, 'c1': c1, 'c2': c2, 'c3': c3}}) AS own FROM sar GROUP BY scene_id) s USING (scene_id), (SELECT unnest(s.own) AS n) WHERE m.area<n.area)"""
+
+
+@query("mask_nesting", f"WITH {V.PRED}, {SHAPES} SELECT scene_id, a, b, v, area_a, area_b FROM spr WHERE v>0 AND 10*v>=9*area_a")
+def mask_nesting(spark, sf):
+    """Nested masks that are no boxes, from their runs."""
+    from ..operators import masks as K
+
+    return K.nested(_shapes(spark, sf))
+
+
+@query("mask_overlaps", f"WITH {V.PRED}, {SHAPES}, e AS (SELECT m.scene_id, m.mask_no AS i, n.mask_no AS k, m.area AS area_i, n.area AS area_k, ({_CORNER.format(a='o', b='o')}-{_CORNER.format(a='o', b='c')}-{_CORNER.format(a='c', b='o')}+{_CORNER.format(a='c', b='c')})::BIGINT AS v FROM sar m JOIN (SELECT scene_id, list({{'mask_no': mask_no, 'area': area, 'o0': o0, 'o1': o1, 'o2': o2, 'o3': o3, 'c0': c0, 'c1': c1, 'c2': c2, 'c3': c3}}) AS own FROM sar GROUP BY scene_id) s USING (scene_id), (SELECT unnest(s.own) AS n) WHERE m.mask_no<n.mask_no) SELECT scene_id, count(*) AS pairs, sum(v)::BIGINT AS shared, round(max(v/(area_i+area_k-v)),9) AS top_iou FROM e WHERE v>0 GROUP BY 1")
+def mask_overlaps(spark, sf):
+    """By scene: pairs of masks that share pixels, the pixels, the largest IoU."""
+    from ..operators import masks as K
+
+    p = K.shared(_shapes(spark, sf))
+    return p.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.sum("v").alias("shared"), F.round(F.max(F.col("v") / (F.col("area_i") + F.col("area_k") - F.col("v"))), 9).alias("top_iou"))
+
+
 # ---- greedy ------------------------------------------------------------------------
 
 FIT = """fit AS (SELECT grp, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT grp FROM items)
@@ -319,7 +370,7 @@ def tp_counts(spark, sf):
 @query("ap_by_category", f"WITH RECURSIVE {EVAL}, {match_sql()}, {ap_sql()} SELECT cat, npig, round(ap,9) AS ap FROM mt_ap")
 def ap_by_category(spark, sf):
     m, g = _eval(spark, sf)
-    return M.average_precision(m, M.gt_counts(g)).withColumn("ap", F.round("ap", 9))
+    return M.average_precision(m, M.gt_counts(g), bounds=M.score_bounds(V.pred(spark, sf))).withColumn("ap", F.round("ap", 9))
 
 
 @query("ap_by_area", f"WITH RECURSIVE {EVAL}, {', '.join(match_sql(f'm_{n}', lo=lo, hi=hi) + ', ' + ap_sql(f'm_{n}') for n, lo, hi in RANGES)} {_BY_AREA}")
@@ -350,25 +401,24 @@ def proposal_recall(spark, sf):
     return _recalls(m, M.gt_counts(g.withColumn("gt_label", F.lit(0))), (100, 1000))
 
 
-@query("boot_ap", f"""WITH RECURSIVE {EVAL}, {match_sql()}, {V.boot_sql('gt', 10)}, wg AS (SELECT b, cat, sum(w) AS npig FROM mt_g JOIN boot USING (scene_id) WHERE NOT skip GROUP BY ALL),
+@query("boot_ap", f"""WITH RECURSIVE {EVAL}, {match_sql()}, {V.boot_sql('gt')}, wg AS (SELECT b, cat, sum(w) AS npig FROM mt_g JOIN boot USING (scene_id) WHERE NOT skip GROUP BY ALL),
 pr AS (SELECT b, cat, thr, recall, max(prec) AS prec FROM (SELECT b, m.cat, thr, sum(w*matched::INT) OVER o/npig AS recall, sum(w*matched::INT) OVER o/(sum(w) OVER o+2.220446049250313e-16) AS prec FROM mt m JOIN boot USING (scene_id) JOIN wg USING (b, cat) WHERE NOT ignored WINDOW o AS (PARTITION BY b, m.cat, thr ORDER BY score DESC, scene_id, rank ROWS UNBOUNDED PRECEDING)) GROUP BY ALL),
 ap AS (SELECT b, cat, sum(p)/1010 AS ap FROM (SELECT b, cat, thr, x, max(prec) AS p FROM pr JOIN points ON x<=recall GROUP BY ALL) GROUP BY ALL), v AS (SELECT b, avg(coalesce(ap,0)) AS value FROM wg LEFT JOIN ap USING (b, cat) GROUP BY b)
 SELECT count(*) AS replicates, round(quantile_cont(value,0.025),6) AS lo, round(quantile_cont(value,0.975),6) AS hi FROM v""")
 def boot_ap(spark, sf):
-    return _boot_ap(spark, sf, 10)
+    return _boot_ap(spark, sf, 50)
 
 
 @query("boot_ap_ci")
 def boot_ap_ci(spark, sf):
-    """boot_ap with the 50 replicates of the other bootstrap queries."""
-    return _boot_ap(spark, sf)
+    """boot_ap with 1,000 replicates."""
+    return _boot_ap(spark, sf, 1000)
 
 
-def _boot_ap(spark, sf, *replicates: int):
+def _boot_ap(spark, sf, replicates: int):
     m, g = _eval(spark, sf)
-    w = V.boot(g, *replicates)
-    ap = M.average_precision(m, M.gt_counts(g), w).groupBy("b").agg(F.avg("ap").alias("value"))
-    return ap.agg(F.count("*").alias("replicates"), *S.interval("value"))
+    ap = M.bootstrap_ap(m, M.gt_counts(g), V.boot(g, replicates), replicates, M.score_bounds(V.pred(spark, sf)))
+    return ap.groupBy("b").agg(F.avg("ap").alias("value")).agg(F.count("*").alias("replicates"), *S.interval("value"))
 
 
 @query("boot_recall_ci", f"WITH {SCENE}, {BEST}, {V.boot_sql('gt')}, s AS (SELECT scene_id, count(*) FILTER (best_iou>=0.75) AS num, count(*) AS den FROM best GROUP BY 1), v AS (SELECT b, sum(w*num)/sum(w*den) AS value FROM s JOIN boot USING (scene_id) GROUP BY b) SELECT round(quantile_cont(value,0.025),6) AS lo, round(quantile_cont(value,0.975),6) AS hi, count(*) AS n FROM v")

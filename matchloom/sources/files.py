@@ -68,7 +68,7 @@ def scenes(spark: SparkSession, root: str) -> DataFrame:
 
 def annotations(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     """rows (with xml, a path) and the parsed annotation: filename, wh, objects (name, box)."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").text(root)
+    text = spark.read.text(root, wholetext=True, pathGlobFilter="*.xml", recursiveFileLookup=True)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     text = text.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?/?\Q{base}\E/", "").alias("xml"), F.from_xml("value", F.lit(SCHEMA)).alias("a"))
     box = lambda o: F.array(*(o["bndbox"][n].cast("int") for n in ("xmin", "ymin", "xmax", "ymax")))
@@ -100,7 +100,7 @@ def board_references(spark: SparkSession, root: str) -> DataFrame:
 
 def ignore_zones(spark: SparkSession, path: str) -> DataFrame:
     """(id, box) of the candidates of a check report, of the test boards only."""
-    j = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", "unlabeled_by_diff struct<candidates:map<string,array<array<int>>>>").alias("j"))
+    j = spark.read.text(path, wholetext=True).select(F.from_json("value", "unlabeled_by_diff struct<candidates:map<string,array<array<int>>>>").alias("j"))
     z = j.select(F.explode("j.unlabeled_by_diff.candidates").alias("id", "zones")).select("id", F.explode("zones").alias("box"))
     return z.filter(F.substring_index("id", "_", 1).isin(*BOARDS["test"]))
 

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, digest, key_of
-from ..operators.calibration import Tail
 from . import gallery as GA
 
 EMBEDDINGS = "image_id string, mask_no long, empty boolean, z array<float>"
@@ -102,9 +101,9 @@ def check_calibration(rec: dict, eps: tuple[float, ...], keep: int = 200_000, po
         raise ValueError(f"calibration record: {', '.join(broken)}")
 
 
-def write_calibration(rows: DataFrame, path: str, tail: Tail, by_eps: dict[float, dict], delta: float, check_ids: list[str], protocol: str = "full", points: int = 10_001) -> dict:
-    """Stores thresholds with the hash of the gallery rows they were set for; never overwrites."""
-    rec = {"format": FORMAT, "N0": rows.count(), "F": {"n_pairs": tail.n, "top": tail.top.tolist(), "quantiles": tail.grid.tolist()}, "delta": delta, "check_set_ids": check_ids, "by_eps": {key_of(e): {k: r[k] for k in ("tau_q", "tau_m", "kappa")} for e, r in by_eps.items()}, "gallery_rows": protocol, "gallery_rows_sha256": GA.rows_sha256(rows)}
+def write_calibration(rows: DataFrame, path: str, tail: dict, by_eps: dict[float, dict], delta: float, check_ids: list[str], protocol: str = "full", points: int = 10_001) -> dict:
+    """Stores thresholds and ``calibration.tail_record`` with the hash of the gallery rows they were set for; never overwrites."""
+    rec = {"format": FORMAT, "N0": rows.count(), "F": tail, "delta": delta, "check_set_ids": check_ids, "by_eps": {key_of(e): {k: r[k] for k in ("tau_q", "tau_m", "kappa")} for e, r in by_eps.items()}, "gallery_rows": protocol, "gallery_rows_sha256": GA.rows_sha256(rows)}
     check_calibration(rec, tuple(by_eps), points=points)
     rows.sparkSession.createDataFrame([(canonical(rec),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
     return rec
@@ -112,7 +111,7 @@ def write_calibration(rows: DataFrame, path: str, tail: Tail, by_eps: dict[float
 
 def read_calibration(rows: DataFrame, path: str, eps: tuple[float, ...], protocol: str = "full", points: int = 10_001) -> dict:
     """The stored thresholds; an error if the gallery rows are not those they were set for."""
-    rec = json.loads(rows.sparkSession.read.option("wholetext", "true").text(path).collect()[0][0])
+    rec = json.loads(rows.sparkSession.read.text(path, wholetext=True).collect()[0][0])
     check_calibration(rec, eps, points=points)
     if rec["gallery_rows"] != protocol or rec["N0"] != rows.count() or rec["gallery_rows_sha256"] != GA.rows_sha256(rows):
         raise ValueError(f"thresholds were set for other rows than these ({rec['gallery_rows']}, asked for {protocol})")

@@ -13,6 +13,7 @@ from matchloom.operators import calibration as C
 from matchloom.operators import greedy as G
 from matchloom.operators import metrics as M
 from matchloom.operators import nesting as N
+from matchloom.operators import ranks as RK
 from matchloom.operators import rules as R
 from matchloom.operators import search as S
 from matchloom.sources import gallery as GA
@@ -123,16 +124,7 @@ def test_auroc(spark):
 
 
 def test_calibration_scalars(spark):
-    t = C.Tail(5, [5.0, 4.0], [1.0, 2.0, 3.0, 4.0, 5.0])
-    assert t.inverse(0.5) == (3.0, "quantiles") and t.inverse(0.1) == (pytest.approx(4.6), "top") and t.inverse(0.0) == (5.0, "top")
-    assert t.survival(4.5) == 0.2 and t.survival(2.0) == pytest.approx(0.75)
-    with pytest.raises(ValueError):
-        t.inverse(1.5)
-    with pytest.raises(ValueError):
-        C.solve_kappa(t, 0.05, 10, 0.0)
-    assert C.calibrate(t, {0.05: 0.0}, 10)[0.05]["out_of_range"]
-    with pytest.raises(ValueError):
-        C.Tail(0, [], [])
+    assert C.place(0.05, 0.5, 10, 101) == pytest.approx(100 * 0.95 ** (1 / 5)) and C.kappa_for(0.05, C.place(0.05, 0.5, 10, 101), 10, 101) == pytest.approx(0.5)
     n = spark.createDataFrame([(6, 100), (7, 100)], "k long, n long")
     assert [r[0] for r in n.select(C.needs_recalibration(F.col("k"), F.col("n"), (1, 20), (1, 5))).collect()] == [False, True]
 
@@ -199,14 +191,30 @@ def test_matching_ignores_zones_and_frees_crowds():
     assert m["gt_no"].tolist() == [0, 1, 1] and m["ignored"].tolist() == [False, True, True]
 
 
-def test_kappa_meets_the_quantile_threshold():
+def plain_threshold(pairs, eps, kappa, refs):
+    return float(np.quantile(pairs, math.exp(math.log1p(-eps) / (kappa * refs))))
+
+
+def test_kappa_meets_the_quantile_threshold(spark):
+    """The closed form against bisection on the quantile of all pairs; plateaus, levels out of reach."""
     rng = np.random.default_rng(1)
-    pairs = np.sort(rng.normal(size=5000))
-    t = C.Tail(5000, pairs[::-1][:500], np.quantile(pairs, np.linspace(0, 1, 1001)))
-    for target in (2.2, 2.6, 3.0):
-        k = C.solve_kappa(t, 0.05, 60, target)
-        assert k["path"] == "top" and 0 <= k["residual"] < 1e-6
-        assert np.quantile(pairs, 0.95 ** (1 / (k["kappa"] * 60))) == pytest.approx(target, abs=1e-6)
+    pairs = np.sort(np.concatenate([rng.normal(size=5000), np.repeat(2.7, 40), np.repeat(-9.0, 30)]))
+    ranks = RK.Ranks(RK.column(spark.createDataFrame([(float(x),) for x in pairs], "x double"), "x"))
+    levels = [2.2, 2.6, 2.7, 3.0, float(pairs[-1]), float(pairs[-1]) + 1, -9.0, -20.0, 0.0, float(pairs[4000])]
+    for eps, refs in ((0.05, 60), (0.01, 3), (0.3, 2)):
+        for level in levels:
+            got = C.calibrate(ranks, {(0, eps): level}, {0: refs})[0, eps]
+            ends = [plain_threshold(pairs, eps, k, refs) for k in C.KAPPA]
+            assert got["out_of_range"] == (not ends[0] <= level <= ends[1]), (eps, refs, level, ends, got)
+            if not got["out_of_range"]:
+                lo, hi = (math.log(k) for k in C.KAPPA)
+                while hi - lo > 1e-12:
+                    mid = (lo + hi) / 2
+                    lo, hi = (mid, hi) if plain_threshold(pairs, eps, math.exp(mid), refs) < level - 1e-12 else (lo, mid)
+                assert got["kappa"] == pytest.approx(math.exp(hi), rel=1e-6) and got["tau_m"] == pytest.approx(level, abs=1e-9)
+    assert C.solve(0.05, 1.0, 5, 0, (0, 0, -math.inf, math.inf)) is None
+    with pytest.raises(ValueError):
+        C.tail_record(RK.Ranks(RK.column(spark.createDataFrame([], "x double"), "x")))
 
 
 def vectors(spark, rows, names="ref_id long, label_id int, insert_no long, z array<float>"):
@@ -240,15 +248,46 @@ def test_search_against_brute_force(spark, monkeypatch, pool, limit):
     near = sorted((r.q, r.rank, r.ref_id) for r in S.nearest(queries, refs, ["q"], 4).collect())
     assert near == sorted((q, k + 1, ids[j]) for i, q in enumerate(rows) for k, j in enumerate(sorted(range(51), key=lambda j: (-s[i, j], ids[j]))[:4]))
     assert S.shares(queries, refs, [(0.5, None), (0.5, lambda r: r.insert_no > 60)]) == [(s.size, int((s >= 0.5).sum())), (30 * len(rows), int((s[:, 21:] >= 0.5).sum()))]
-    d = S.Distribution(queries, refs)
-    assert d.n() == s.size and np.allclose(d.top(40), np.sort(s.ravel())[::-1][:40])
-    assert np.allclose(d.quantiles(np.linspace(0, 1, 33)), np.quantile(s, np.linspace(0, 1, 33)))
-    two = S.Distribution(queries, refs, ["q"], lambda own, r: np.where(r.label_id == 2, -1, own.column(0).to_numpy()[:, None] % 2))
-    odd = s[[i for i, q in enumerate(rows) if q % 2]][:, [j for j in range(51) if (ids[j] % 5 if j < 50 else 0) != 2]]
-    assert two.n(1) == odd.size and np.allclose(two.quantiles(np.array([0.1, 0.5]), 1), np.quantile(odd, [0.1, 0.5]))
+    d = RK.Ranks(RK.pairs(queries, refs))
+    assert d.n == {0: s.size} and sorted(r.s for r in RK.top(queries, refs, 40).collect()) == pytest.approx(np.sort(s.ravel())[-40:].tolist())
+    assert RK.top(queries, refs, 10**6).count() == s.size
+    assert np.allclose(d.quantiles(np.zeros(33, int), np.linspace(0, 1, 33)), np.quantile(s, np.linspace(0, 1, 33)))
+    assert np.allclose([r.value for r in d.quantile_frame(np.linspace(0, 1, 33)).orderBy("i").collect()], np.quantile(s, np.linspace(0, 1, 33)))
+    by = lambda own, r: np.where(r.label_id == 2, -1, own.column(0).to_numpy()[:, None] % 2)
+    two = RK.Ranks(RK.pairs(queries, refs, ["q"], by), {0: [1], 1: [0, 1], 2: [7]})
+    some = [j for j in range(51) if (ids[j] % 5 if j < 50 else 0) != 2]
+    odd, both = s[[i for i, q in enumerate(rows) if q % 2]][:, some], s[:, some]
+    assert two.n == {0: odd.size, 1: both.size, 2: 0}
+    assert np.allclose(two.quantiles(np.array([0, 1, 0, 1]), np.array([0.1, 0.5, 0.5, 1.0])), [np.quantile(odd, 0.1), np.quantile(both, 0.5), np.quantile(odd, 0.5), both.max()])
+    assert np.isnan(two.quantiles(np.array([2]), np.array([0.5]))).all()
+    near = two.around(np.array([0.5, 99.0]))
+    assert near[0, 0] == (int((odd < 0.5).sum()), int((odd == 0.5).sum()), pytest.approx(odd[odd < 0.5].max()), pytest.approx(odd[odd >= 0.5].min())) and near[1, 1][:2] == (both.size, 0)
     none = S.decide(S.similarities(queries, refs, ["q"], per_label=True), queries, ["q"]).filter("q >= 90").collect()
     assert [(r.y_hat, r.s_star) for r in none] == [(-1, None), (-1, None)]
-    assert S.similarities(queries, refs.limit(0), ["q"]).count() == 0 and S.Distribution(queries, refs.limit(0)).n() == 0
+    assert S.similarities(queries, refs.limit(0), ["q"]).count() == 0 and RK.Ranks(RK.pairs(queries, refs.limit(0))).n == {0: 0}
+
+
+@pytest.mark.parametrize("rows_at_once", [4096, 7])
+def test_products_within_labels(spark, monkeypatch, rows_at_once):
+    """A label with most rows, in blocks too; rows without label or sound vector; work is by label."""
+    monkeypatch.setattr(S, "LABEL_ROWS", rows_at_once)
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(70, 5)).astype(np.float32)
+    label = [1 if i < 50 else i % 6 + 2 for i in range(70)]
+    refs = vectors(spark, [(i, label[i], 70 - i, z[i].tolist()) for i in range(70)] + [(90, None, 90, z[0].tolist()), (91, 1, 91, None), (92, 1, 92, [1.0, None, 1.0, 1.0, 1.0])])
+    s = z.astype(float) @ z.astype(float).T
+    met = []
+    plain = S.fold_within
+    monkeypatch.setattr(S, "fold_within", lambda r, fold, names: met.append(1) or plain(r, fold, names))
+    earlier = lambda own, r: r.insert_no < own.column(2).to_numpy()[:, None]
+    got = sorted((r.own, r.ref_id, round(r.s, 9)) for r in S.similarities_within(refs, 0.2, earlier).collect())
+    assert got == sorted((i, j, round(float(s[i, j]), 9)) for i in range(70) for j in range(70) if label[i] == label[j] and 70 - j < 70 - i and s[i, j] >= 0.2)
+    other = lambda own, r: own.column(0).to_numpy()[:, None] != r.ref_id
+    near = {r.own: (r.ref_id, r.s) for r in S.nearest_within(refs, other).collect()}
+    for i in range(70):
+        mine = [(s[i, j], -j) for j in range(70) if j != i and label[j] == label[i]]
+        assert near[i] == (-max(mine)[1], pytest.approx(max(mine)[0])) if mine else i not in near
+    assert S.similarities_within(refs.limit(0), 0.2, earlier).count() == 0 and len(met) == 3
 
 
 def test_decide_compares_unrounded(spark):
@@ -270,6 +309,37 @@ def test_lsh_grows_with_the_gallery(spark):
     assert S.lsh_plan(100_000)[0] > S.lsh_plan(1000)[0]
 
 
+def test_graphs_against_brute_force(spark):
+    """Clustered vectors in several shards: recall, order, repeats, rows that take no part, and equal graphs from equal rows."""
+    from matchloom.operators import graph as GR
+    from matchloom.plans.cut import cut
+
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 24))
+    z = centre[rng.integers(0, 12, 1800)] + 0.5 * rng.normal(size=(1800, 24))
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    refs = [(i * 3 + 1, v.tolist()) for i, v in enumerate(z[:1600])] + [(9001, None), (9002, [1.0]), (9003, [float("nan")] * 24), (None, z[0].tolist())]
+    queries = [(i, v.tolist()) for i, v in enumerate(z[1600:])] + [(900, None), (901, z[5].tolist())]
+    r = spark.createDataFrame(refs, "ref_id long, z array<double>")
+    q = spark.createDataFrame(queries, "q long, z array<double>")
+    index = cut(GR.build(r.repartition(3), shard_rows=400))
+    assert index.count() == 5 and sum(len(x.ids) // 8 for x in index.collect()) == 1600
+    assert sorted(bytes(x.links) for x in index.collect()) == sorted(bytes(x.links) for x in GR.build(r.repartition(7), shard_rows=400).collect())
+    got = {}
+    for x in GR.search(q, index, ["q"], 10, query_rows=50).orderBy("q", "rank").collect():
+        got.setdefault(x.q, []).append((x.ref_id, x.s))
+    assert set(got) == {*range(200), 901} and got[901][0][0] == 16
+    hits = 0
+    for i in range(200):
+        s = z[:1600] @ z[1600 + i]
+        hits += len({int(j) * 3 + 1 for j in np.argsort(-s)[:10]} & {a for a, _ in got[i]})
+        assert all(abs(s[(a - 1) // 3] - b) < 1e-12 for a, b in got[i]) and [b for _, b in got[i]] == sorted((b for _, b in got[i]), reverse=True)
+    assert hits / 2000 >= 0.95
+    assert GR.search(q, GR.build(r.limit(0)), ["q"], 3).count() == 0
+    few = GR.build(r.filter("ref_id < 8"))
+    assert sorted(x.ref_id for x in GR.search(q.filter("q = 0"), few, ["q"], 9).collect()) == [1, 4, 7]
+
+
 def test_long_chains_of_conflicts(spark):
     """A chain of 90 conflicts takes 45 rounds; the kernel and the rounds agree."""
     items = spark.createDataFrame([(0, i) for i in range(91)], "grp long, rank long")
@@ -387,8 +457,21 @@ def test_growth_rules_on_a_fixture(spark, sf):
         assert frozen.tau == pytest.approx(np.quantile(star[n0], 0.95)) and frozen.fpr == pytest.approx((star[n] >= frozen.tau).mean(), abs=1e-9)
         assert got[4, n0, n, 0.05, "quantile_recal"].tau == pytest.approx(np.quantile(star[n], 0.95))
         assert got[4, n0, n, 0.01, "fixed"].fpr == pytest.approx((star[n] >= 0.35).mean(), abs=1e-9)
-    m = got[4, 10, 10, 0.05, "model"]
-    assert m.tau is None or m.tau >= np.quantile(star[10], 0.95) - 1e-6
+    rows = {n: r_.label_id.isin(chain[chain.pos < n].label_id).to_numpy() for n in (3, 5, 10)}
+    for (n0, n), eps in [(x, e) for x in ((3, 3), (3, 10), (5, 10), (10, 10)) for e in (0.05, 0.01)]:
+        pairs, refs, target = np.sort(s[:, rows[n0]].ravel()), int(rows[n0].sum()), float(np.quantile(star[n0], 1 - eps))
+        m = got[4, n0, n, eps, "model"]
+        ends = [plain_threshold(pairs, eps, k, refs) for k in C.KAPPA]
+        assert (m.tau is None) == (not ends[0] <= target <= ends[1])
+        if m.tau is not None:
+            lo, hi = (math.log(k) for k in C.KAPPA)
+            while hi - lo > 1e-12:
+                lo, hi = ((lo + hi) / 2, hi) if plain_threshold(pairs, eps, math.exp((lo + hi) / 2), refs) < target - 1e-12 else (lo, (lo + hi) / 2)
+            assert m.tau == pytest.approx(plain_threshold(pairs, eps, math.exp(hi), int(rows[n].sum())), abs=1e-7)
+    said = {(r.eps, r.rule): r.majority for r in QUERIES["growth_rules_verdict"](spark, sf).collect()}
+    for r in QUERIES["verdict_rejection"](spark, sf).collect():
+        model, quantile, fixed = (said[r.eps, x] for x in ("model", "quantile_recal", "fixed"))
+        assert r.refined == ("a" if model else "b" if quantile else "c") and r.as_written == (None if not model and fixed else r.refined)
 
 
 def test_pool_equals_pooled_over_all_components(spark):
@@ -415,7 +498,8 @@ def test_patch_grid_mask():
         X.patch_grid_mask(m, (4, 4), 2, resize=False)
 
 
-def test_boot_ap_ci_has_50_replicates(spark, tmp_path):
+def test_boot_ap_over_weight_vectors(spark, tmp_path):
+    """Vectors of 1,000 replicates give the AP of every replicate and category that a row for each detection and replicate gives."""
     from matchloom.plans import catalog_scenes as K
     from matchloom.plans import views
     from matchloom.plans.catalog import QUERIES
@@ -423,8 +507,75 @@ def test_boot_ap_ci_has_50_replicates(spark, tmp_path):
 
     spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 400").write.parquet(f"{tmp_path}/lineitem.parquet")
     m, g = K._eval(spark, str(tmp_path))
-    m, g = cut(m), cut(g)
-    value = [r.v for r in M.average_precision(m, M.gt_counts(g), views.boot(g, 50)).groupBy("b").agg(F.avg("ap").alias("v")).collect()]
-    got = QUERIES["boot_ap_ci"](spark, str(tmp_path)).collect()[0]
-    assert got.replicates == len(value) == 50
-    assert np.allclose([got.lo, got.hi], np.quantile(value, [0.025, 0.975]), atol=2e-6)
+    m, g, w = cut(m), cut(g), cut(views.boot(g, 1000))
+    g = g.filter("gt_label <> 3")  # a category of detections without ground truth, and one of ground truth without detections
+    m = m.filter("cat <> 5")
+    want = {(r.b, r.cat): (r.npig, r.ap) for r in M.average_precision(m, M.gt_counts(g), w).collect()}
+    for bounds in ([], [0.1, 0.45, 0.450001, 0.8]):
+        got = {(r.b, r.cat): (r.npig, r.ap) for r in M.bootstrap_ap(m, M.gt_counts(g), w, 1000, bounds).collect()}
+        assert set(got) == set(want) and len(got) > 3000 and all(got[k][0] == want[k][0] for k in got)
+        assert np.allclose([got[k][1] for k in got], [want[k][1] for k in got], atol=1e-12)
+    r = QUERIES["boot_ap_ci"](spark, str(tmp_path)).collect()[0]
+    assert r.replicates == 1000 and 0 <= r.lo <= r.hi <= 1
+
+
+def test_sums_in_parts(spark):
+    """Running sums in parts equal those of one sort, with nulls, groups that are null, and more rows than parts."""
+    rng = np.random.default_rng(1)
+    rows = [(None if g == 3 else int(g), float(v), int(n)) for g, v, n in zip(rng.integers(0, 4, 4000), rng.permutation(4000) / 7.0, rng.integers(0, 9, 4000))] + [(0, None, 5)]
+    got = M.summed_below(spark.createDataFrame(rows, "g int, v double, n long"), ["g"], "v", "n", "under").collect()
+    key = lambda v: -math.inf if v is None else v
+    assert len(got) == 4001 and all(r.under == sum(n for g, v, n in rows if g == r.g and key(v) < key(r.v)) for r in got[::40])
+
+
+def test_ranks_of_a_column(spark):
+    """Negative, tiny, huge and equal numbers; nulls and non-finite ones left out; what reaches the driver is bounded by what is asked."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000), np.repeat([0.0, -0.0, 1.0, 5e-324, -1.7e308], 50), np.round(rng.normal(size=2000), 2)])
+    rows = [(int(i % 3), float(v)) for i, v in enumerate(x)] + [(0, None), (1, float("nan")), (2, float("inf")), (None, 1.0), (-1, 2.0)]
+    df = spark.createDataFrame(rows, "g long, v double").repartition(5)
+    r = RK.Ranks(RK.column(df, "v", "g"), {0: [0], 9: [1, 2]})
+    parts = {0: np.sort(x[0::3]), 9: np.sort(np.concatenate([x[1::3], x[2::3]]))}
+    assert r.n == {k: len(v) for k, v in parts.items()}
+    for k, v in parts.items():
+        assert r.values(np.full(len(v), k), np.arange(len(v))).tolist() == (v + 0.0).tolist()
+    assert np.array_equal(RK.numbers(RK.codes(x)), x + 0.0) and (np.diff(RK.codes(np.sort(x)).astype(object)) >= 0).all()
+    with pytest.raises(ValueError):
+        r.values(np.array([0]), np.array([len(parts[0])]))
+
+
+def test_few_values_reach_the_driver(spark, monkeypatch):
+    """Asking for 50 ranks of 40,000 numbers in one narrow range brings 50 rows a pass, not the numbers."""
+    df = spark.range(40_000).select((F.lit(0.5) + F.col("id") * 1e-12).alias("v"))
+    r = RK.Ranks(RK.column(df, "v"))
+    seen, plain = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: seen.append(plain(self).num_rows) or plain(self))
+    ranks = np.arange(0, 40_000, 800)
+    assert np.allclose(r.values(np.zeros(50, int), ranks), 0.5 + ranks * 1e-12, rtol=0, atol=1e-16)
+    assert seen and max(seen) <= 50
+
+
+def test_draws_equal_numpy(spark, sf):
+    """Whole streams in small chunks, with rejections; weights by subset and chains of labels as the queries give them."""
+    from matchloom.functions import draws as D
+    from matchloom.plans import catalog_eval as CE
+    from matchloom.plans import catalog_gallery as CG
+    from matchloom.plans import views as V
+    from matchloom.plans.catalog import QUERIES
+
+    for seed, high, n in ((5, 7, 1000), ([3, 1], 120, 4001), (11, 3_000_000_000, 900), (2, 2**32 - 1, 50), (4, 1, 5), (9, 2, 0)):
+        got = [r.value for r in D.integers(spark, seed, high, n, chunk=64).orderBy("i").collect()]
+        assert got == np.random.default_rng(seed).integers(0, high, n).tolist()
+    of = CE._of(spark, sf).toPandas()
+    got = {(r.subset, r.b, r.scene_id): r.w for r in QUERIES["boot_weights_seeded"](spark, sf).collect()}
+    want = {}
+    for i, name in enumerate(sorted(of.subset.unique())):
+        sel = np.sort(of.scene_id[of.subset == name].to_numpy())
+        drawn = sel[np.random.default_rng([CG.SEED, i]).integers(0, len(sel), (50, len(sel)))]
+        for b, row in enumerate(drawn):
+            for scene, w in zip(*np.unique(row, return_counts=True)):
+                want[name, b, int(scene)] = int(w)
+    assert got == want
+    labels = sorted(r.label_id for r in V.ref(spark, sf).select("label_id").distinct().collect())
+    chains = {(r.r, r.pos): r.label_id for r in QUERIES["gallery_chains_seeded"](spark, sf).collect()}
+    assert chains == {(r, p): labels[j] for r in range(9) for p, j in enumerate(np.random.default_rng(CG.SEED + r).permutation(len(labels)))}

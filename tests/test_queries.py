@@ -40,8 +40,8 @@ def test_oracle(spark, sf, duck, name):
 
 #: Queries without SQL, and the tests that hold them against brute force.
 BY_TEST = {
-    "nest_width": "test_width_against_brute_force", "greedy_cover": "test_cover_against_brute_force", "lsh_recall": "test_lsh_grows_with_the_gallery", "kappa_calibration": "test_kappa_query_against_brute_force",
-    "debias_project": "test_debias_against_brute_force", "boot_ap_ci": "test_boot_ap_ci_has_50_replicates", "growth_rules": "test_growth_rules_on_a_fixture", "growth_rules_verdict": "test_growth_rules_on_a_fixture",
+    "nest_width": "test_width_against_brute_force", "lsh_recall": "test_lsh_grows_with_the_gallery", "graph_recall": "test_graphs_against_brute_force", "boot_weights_seeded": "test_draws_equal_numpy", "gallery_chains_seeded": "test_draws_equal_numpy",
+    "debias_project": "test_debias_against_brute_force", "boot_ap_ci": "test_boot_ap_over_weight_vectors", "verdict_rejection": "test_growth_rules_on_a_fixture", "growth_rules": "test_growth_rules_on_a_fixture", "growth_rules_verdict": "test_growth_rules_on_a_fixture",
 }
 
 
@@ -54,3 +54,9 @@ def test_every_query_has_sql_or_a_test():
 def test_lsh_recall_is_high(spark, sf):
     r = QUERIES["lsh_recall"](spark, sf).collect()[0]
     assert r.recall >= 0.9 and r.same_label <= r.recall
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_graph_recall_is_high(spark, size):
+    r = QUERIES["graph_recall"](spark, f"/root/testdata/sf{size}").collect()[0]
+    assert r.recall >= 0.95 and r.same_label <= r.recall and r.shared >= 0.9 and r.n > 0
