@@ -12,7 +12,8 @@ Shard tasks write sorted arrays to the shared folder (to a name of their own, th
 renamed, so a repeated task is harmless): trigrams and counts; contexts with totals
 and numbers of followers; continuation counts of pairs; sums of them by middle word;
 continuation counts of words; word counts for the base score.  A key is stored as
-its low 48 bits under an index of its high 16.  Workers map those files into memory;
+its low 48 bits under an index of its high 16.  Counts are summed and stored in 64 bits where they need them.
+Workers map those files into memory, ``MOST_MAPS`` at a time, the last used staying;
 nothing of the model is broadcast but a few sums and the split words.
 
 Probability of w after u v, with discounts D1, D2, D3+ of each order:
@@ -33,6 +34,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,7 @@ BEGIN = np.uint64(0xA96E4D17F3B0C25B)  # the start mark's
 PER_SHARD = 1_500_000  # tokens
 PASSES = 4
 SCORE_BYTES = 4 << 20  # of text that are looked up at once
+MOST_MAPS = 4096  # files that a task keeps mapped; a process may have 65,530 maps
 _SPLIT = np.uint64(0x9FB21C651E98DF25)
 _LOW48 = np.uint64((1 << 48) - 1)
 OUT = ("n_tokens", "n_known", "base_score", "score")
@@ -112,13 +115,15 @@ def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[o][head], np.add.reduceat(counts[o].astype(np.int64), head) if len(o) else counts.astype(np.int64), o[head]
 
 
-def _small(c: np.ndarray) -> np.ndarray:
-    """Counts as bytes where they fit; the length tells a reader which it is."""
-    return c.astype(np.uint8 if not len(c) or c.max() < 256 else np.uint32)
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """Counts as bytes, or in 32 or 64 bits, whichever they fit."""
+    top = int(c.max(initial=0))
+    return c.astype(np.uint8 if top < 1 << 8 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
 def _counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.uint32).astype(np.int64)
+    """The n counts of ``_narrow``; the length tells which it was."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}" if n else np.uint8).astype(np.int64)
 
 
 # ---- counting ---------------------------------------------------------------------
@@ -146,7 +151,7 @@ def _count_words(shards: int, most: int = 4_000_000):
         def out() -> pa.RecordBatch:
             k, c, _ = _merge(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
             held.clear()
-            return _batch([(s, k[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes()) for s, a, b in _by_shard(shard_of(k, shards))], ["shard", "key", "count"])
+            return _batch([(s, k[a:b].tobytes(), _narrow(c[a:b]).tobytes()) for s, a, b in _by_shard(shard_of(k, shards))], ["shard", "key", "count"])
 
         for b in batches:
             for _, _, raw, off in V.slices(b.column(0)):
@@ -177,7 +182,7 @@ def _count_triples(shards: int, lo: int, hi: int, split: Split, most: int = 2_00
             for s, a, b in _by_shard(shard):
                 head = _heads(v[a:b])
                 run_ = np.diff(np.append(head, b - a)).astype(np.uint32)
-                rows.append((s, v[a:b][head].tobytes(), run_.tobytes(), uv[a:b].tobytes(), w[a:b].tobytes(), _small(c[a:b]).tobytes()))
+                rows.append((s, v[a:b][head].tobytes(), run_.tobytes(), uv[a:b].tobytes(), w[a:b].tobytes(), _narrow(c[a:b]).tobytes()))
             return _batch(rows, ["shard", "v", "run", "uv", "w", "count"])
 
         for b in batches:
@@ -229,14 +234,14 @@ def _keys(name: str, key: np.ndarray) -> dict[str, np.ndarray]:
 def _values(name: str, c: np.ndarray) -> dict[str, np.ndarray]:
     """Counts as bytes; those of 255 or more apart."""
     big = np.flatnonzero(c >= 255)
-    return {f"{name}.n": np.minimum(c, 255).astype(np.uint8), f"{name}.big": big.astype(np.uint32), f"{name}.more": c[big].astype(np.uint32)}
+    return {f"{name}.n": np.minimum(c, 255).astype(np.uint8), f"{name}.big": big.astype(np.uint32), f"{name}.more": c[big].astype(np.uint64)}
 
 
 def _shares(name: str, total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray) -> dict[str, np.ndarray]:
     """Totals and numbers of followers, as codes of their distinct combinations."""
-    stats = np.stack([total, n1, n2, n3], axis=1).astype(np.uint32)
+    stats = np.stack([total, n1, n2, n3], axis=1).astype(np.uint64)
     small = (stats < 1 << 16).all(axis=1)
-    packed = (stats[:, 0].astype(np.uint64) << np.uint64(48)) | (stats[:, 1].astype(np.uint64) << np.uint64(32)) | (stats[:, 2].astype(np.uint64) << np.uint64(16)) | stats[:, 3]
+    packed = (stats[:, 0] << np.uint64(48)) | (stats[:, 1] << np.uint64(32)) | (stats[:, 2] << np.uint64(16)) | stats[:, 3]
     kinds, first, code = np.unique(packed[small], return_index=True, return_inverse=True)
     codes = np.empty(len(stats), dtype=np.int64)
     codes[small] = code
@@ -266,7 +271,7 @@ def _stat(kind: int, c: np.ndarray) -> dict:
 def _word_rows(w: np.ndarray, shards: int) -> list[dict]:
     """How many distinct pairs end in each word, cut by the word's shard."""
     k, c = np.unique(w, return_counts=True)
-    return [{"kind": 1, "shard": s, "key": k[a:b].tobytes(), "count": c[a:b].astype(np.uint32).tobytes(), "rows": 0} for s, a, b in _by_shard(shard_of(k, shards))]
+    return [{"kind": 1, "shard": s, "key": k[a:b].tobytes(), "count": _narrow(c[a:b]).tobytes(), "rows": 0} for s, a, b in _by_shard(shard_of(k, shards))]
 
 
 def _column(t: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
@@ -274,13 +279,18 @@ def _column(t: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _count_column(t: pa.Table) -> np.ndarray:
+    parts = [_counts(x.as_py(), len(k.as_py()) // 8) for x, k in zip(t.column("count"), t.column("key"), strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _reduce_words(folder: str, per_shard: int):
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        k, c, _ = _merge(_column(t, "key"), _column(t, "count", np.uint32))
+        k, c, _ = _merge(_column(t, "key"), _count_column(t))
         _save(folder, f"word-{shard}", _keys("word", k) | _values("word", c))
         often = c > per_shard  # at most tokens / per_shard of all words
-        rows = [_stat(0, c), {"kind": 6, "key": k[often].tobytes(), "count": c[often].astype(np.uint32).tobytes()}]
+        rows = [_stat(0, c), {"kind": 6, "key": k[often].tobytes(), "count": c[often].astype(np.uint64).tobytes()}]
         return pa.Table.from_pylist(rows, schema=_SCHEMA)
 
     return run
@@ -312,7 +322,7 @@ def _reduce_triples(folder: str, shards: int, split: Split):
         if hot.any():
             key, m, first = _merge(vw[hot], one[hot])
             v2, w2, to = v[hot][first], w[hot][first], shard_of(key, shards)
-            rows += [{"kind": 4, "shard": s, "key": key[a:b].tobytes(), "v": v2[a:b].tobytes(), "w": w2[a:b].tobytes(), "count": m[a:b].astype(np.uint32).tobytes()} for s, a, b in _by_shard(to)]
+            rows += [{"kind": 4, "shard": s, "key": key[a:b].tobytes(), "v": v2[a:b].tobytes(), "w": w2[a:b].tobytes(), "count": _narrow(m[a:b]).tobytes()} for s, a, b in _by_shard(to)]
         _save(folder, f"tri-{shard}", arrays)
         del arrays, vw, v, w
         V.trim()
@@ -324,7 +334,7 @@ def _reduce_triples(folder: str, shards: int, split: Split):
 def _reduce_split(folder: str, shards: int):
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        key, m, first = _merge(_column(t, "key"), _column(t, "count", np.uint32))
+        key, m, first = _merge(_column(t, "key"), _count_column(t))
         v, w = _column(t, "v")[first], _column(t, "w")[first]
         _save(folder, f"split-{shard}", _keys("bi", key) | _values("bi", m))
         sums = zip(*(x.tolist() for x in _followers(v, m)), strict=True)
@@ -337,7 +347,7 @@ def _reduce_split(folder: str, shards: int):
 def _reduce_after(folder: str):
     def run(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
-        k, c, _ = _merge(_column(t, "key"), _column(t, "count", np.uint32))
+        k, c, _ = _merge(_column(t, "key"), _count_column(t))
         _save(folder, f"after-{shard}", _keys("after", k) | _values("after", c))
         return pa.Table.from_pylist([_stat(1, c)], schema=_SCHEMA)
 
@@ -387,12 +397,17 @@ class Model:
     """The memory-mapped arrays of a folder, and the sums that come with them."""
 
     def __init__(self, folder: str, sums: dict):
-        self.folder, self.sums, self.maps = folder, sums, {}
+        self.folder, self.sums = folder, sums
+        self.maps: OrderedDict[str, dict[str, np.ndarray] | None] = OrderedDict()  # the last used, last
         self.split = Split(np.array(sums["split"][0], np.uint64), np.array(sums["split"][1], np.uint64))
         self.sub = np.array(sums["split"][2], np.int64).reshape(-1, 4)[np.argsort(np.array(sums["split"][0], np.uint64))]
 
     def file(self, name: str) -> dict[str, np.ndarray] | None:
-        if name not in self.maps:
+        if name in self.maps:
+            self.maps.move_to_end(name)
+        else:
+            while len(self.maps) >= MOST_MAPS:  # a map closes when the last view of it goes
+                self.maps.popitem(last=False)
             self.maps[name] = _open(f"{self.folder}/{name}")
         return self.maps[name]
 
@@ -464,7 +479,7 @@ def train(docs: DataFrame, per_shard: int = PER_SHARD, passes: int = PASSES) ->
 
     words = texts.mapInArrow(_count_words(shards), WORDS).groupBy("shard").applyInArrow(_reduce_words(folder, per_shard), STATS)
     words = S.stash(words, "words")
-    often = [(k, c) for r in words.filter("kind = 6").select("key", "count").collect() for k, c in zip(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint32), strict=True) if k != END]
+    often = [(k, c) for r in words.filter("kind = 6").select("key", "count").collect() for k, c in zip(np.frombuffer(r[0], np.uint64), np.frombuffer(r[1], np.uint64), strict=True) if k != END]
     if docs_n > per_shard:  # every document begins with the start mark
         often.append((BEGIN, docs_n))
     split = Split(np.array([k for k, _ in often], np.uint64), np.array([-(-int(c) // per_shard) for _, c in often], np.uint64))
