@@ -19,7 +19,7 @@ Pivots are a bounded sample (the vectors of smallest id hash);
 every row is grouped and searched, and the bounds hold for any pivots, so results are exact.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; shorter vectors are padded with zeros; a query's own id is no
+take no part; components whose products could pass 64 bits are an error before any search; shorter vectors are padded with zeros; a query's own id is no
 candidate; equal scores go to the smaller id; repeated ids are rows of their
 own, fewer than k candidates give fewer ranks; an empty table gives an empty result.
 """
@@ -53,9 +53,9 @@ def _dense(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, x: floor(scale * component) as longs, of the vectors that take part."""
+    """vec_id, x: floor(scale * component) as longs, of the vectors that take part; one of 2^62 or more is an error."""
     sound = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) <> double('Infinity'))"
-    return vectors.filter(sound).select("vec_id", F.expr(f"transform(embedding, c -> CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT))").alias("x"))
+    return vectors.filter(sound).select("vec_id", F.expr(f"transform(embedding, c -> CASE WHEN abs({scale} * CAST(c AS DOUBLE)) < {2.0**62!r}D THEN CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT) ELSE raise_error(concat('component ', c, ' is too large for whole numbers')) END)").alias("x"))
 
 
 def dots(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -141,10 +141,12 @@ class Cells:
 
 def voronoi(vectors: DataFrame, k: int, pivots: int | None, most_pivots: int, block: int) -> tuple[Cells, DataFrame, int] | None:
     """Cells of vectors (vec_id, x), the vectors with their cell, and the dimension; None without vectors."""
-    n, dim = vectors.agg(F.count("*"), F.max(F.size("x"))).collect()[0]
+    n, dim, low, high = vectors.agg(F.count("*"), F.max(F.size("x")), F.min(F.array_min("x")), F.max(F.array_max("x"))).collect()[0]
     if not n:
         return None
     dim = max(int(dim or 0), 1)
+    if dim * max(abs(int(low or 0)), abs(int(high or 0))) ** 2 >= 2**63:
+        raise ValueError(f"components from {low} to {high} are too large: their products could pass 64 bits")
     pivots = pivots or min(most_pivots, int(np.ceil(np.sqrt(n))))
     sample = vectors.select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()
     centre = np.zeros((len(sample), dim))
