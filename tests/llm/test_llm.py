@@ -208,6 +208,33 @@ def test_kneser(spark, texts, per_shard):
     assert all(r.score == pytest.approx(0) for r in kneser.score(frame(spark, rows), empty, ["doc_id"]).collect())
 
 
+def test_kneser_counts_above_32_bits(tmp_path):
+    """Counts beyond 4,294,967,295 keep their value from the shuffle to the look-up."""
+    c = np.array([1, 254, 255, 256, 2**32 - 1, 2**32, 2**32 + 5, 7 * 10**12])
+    assert all(kneser._counts(kneser._narrow(c[:k]).tobytes(), k).tolist() == c[:k].tolist() for k in range(len(c) + 1))
+    key = np.arange(1, 9, dtype=np.uint64) << np.uint64(50)
+    t = pa.table({"shard": pa.array([0, 0], pa.int32()), "key": [key.tobytes(), key[6:].tobytes()], "count": [kneser._narrow(c).tobytes(), kneser._narrow(np.array([1, 2**33])).tobytes()]})
+    rows = kneser._reduce_words(str(tmp_path), 10**12)(t).to_pylist()
+    total = c + np.array([0, 0, 0, 0, 0, 0, 1, 2**33])
+    assert rows[0]["total"] == int(total.sum()) and np.frombuffer(rows[1]["count"], np.uint64).tolist() == [int(total[-1])]
+    kneser._save(str(tmp_path), "tri-0", kneser._keys("ctx", key) | kneser._shares("ctx", total, total - 1, np.ones(8, np.int64), np.full(8, 2**40)))
+    m = kneser.Model(str(tmp_path), {"shards": 1, "split": ([], [], [])})
+    assert m.look("word", "word", key, np.zeros(8, np.int32)).tolist() == total.tolist()
+    assert m.look("tri", "ctx", key, np.zeros(8, np.int32)).tolist() == [[int(x), int(x) - 1, 1, 2**40] for x in total]
+
+
+def test_kneser_keeps_few_maps(spark, texts, monkeypatch):
+    rows = [*texts, (101, "held out words a bee")]
+    model = kneser.train(frame(spark, rows), per_shard=40)
+    col = pa.array([t for _, t in rows])
+    want = [kneser.Model(model.folder, model.sums).score(raw, off) for _, _, raw, off in V.slices(col)]
+    assert model.sums["shards"] > 8
+    monkeypatch.setattr(kneser, "MOST_MAPS", 3)
+    m = kneser.Model(model.folder, model.sums)
+    got = [m.score(raw, off) for _, _, raw, off in V.slices(col)]
+    assert all((a == b).all() for x, y in zip(want, got) for a, b in zip(x, y)) and len(m.maps) <= 3
+
+
 # ---- op4
 
 SECRETS = [
@@ -558,30 +585,38 @@ def brute_judge(urls_, rules, most_children=24, z=1.96, overlap=0.5, weight=8.0,
     for host in {h for h, _ in rows}:
         own = [r for (h, _), r in rows.items() if h == host]
         p_host = share(own, whole)
-        branches = {}
+        nodes = {}
+        for r in own:
+            for i in range(len(r[0])):
+                nodes.setdefault(tuple(r[0][:i]), {}).setdefault(r[0][i], []).append(r)
+        group = {}  # (node above, branch): rows of the merged branch
+        for above, branches in nodes.items():
+            order = sorted((share(b, p_host), n) for n, b in branches.items())
+            groups = []
+            for i, (p, n) in enumerate(order):
+                size = sum(r[1] for r in branches[n]) + weight
+                leads = {r[0][len(above) + 1] if len(r[0]) > len(above) + 1 else "" for r in branches[n]}
+                if i:
+                    q, m, was = last
+                    mean = (p * size + q * m) / (size + m)
+                    same = abs(p - q) <= z * math.sqrt(mean * (1 - mean) * (1 / size + 1 / m)) and len(leads & was) / len(leads | was) >= overlap
+                if not i or not same:
+                    groups.append([])
+                groups[-1].append(n)
+                last = (p, size, leads)
+            if len(branches) > 1:
+                for names in groups:
+                    for n in names:
+                        group[(*above, n)] = [r for m in names for r in branches[m]]
+        templates = {}
         for r in own:
-            branches.setdefault(r[0][0], []).append(r)
-        order = sorted((share(b, p_host), n) for n, b in branches.items())
-        groups = []
-        for i, (p, n) in enumerate(order):
-            size = sum(r[1] for r in branches[n]) + weight
-            leads = {r[0][1] if len(r[0]) > 1 else "" for r in branches[n]}
-            if i:
-                q, m, was = last
-                mean = (p * size + q * m) / (size + m)
-                same = abs(p - q) <= z * math.sqrt(mean * (1 - mean) * (1 / size + 1 / m)) and len(leads & was) / len(leads | was) >= overlap
-            if not i or not same:
-                groups.append([])
-            groups[-1].append(n)
-            last = (p, size, leads)
-        for names in groups:
-            p_branch = share([r for n in names for r in branches[n]], p_host)
-            templates = {}
-            for n in names:
-                for r in branches[n]:
-                    templates.setdefault("/".join(r[0]), []).append(r)
-            for t, found in templates.items():
-                out[host, t] = share(found, p_branch)
+            templates.setdefault("/".join(r[0]), []).append(r)
+        for t, found in templates.items():
+            p = p_host
+            for i in range(len(found[0][0])):
+                if tuple(found[0][0][: i + 1]) in group:
+                    p = share(group[tuple(found[0][0][: i + 1])], p)
+            out[host, t] = share(found, p)
     answers = []
     for h, kinds, ruled in seen:
         t = "/".join(rows[h, kinds][0])
@@ -615,6 +650,31 @@ def test_urls_deep_branches(spark):
     assert got["/a/b/c"].template == "a/b/c" and got[f"/{long}"].template == long.replace("a/b/c/d/e/f/", "a/b/c/d/e/*/", 1)
 
 
+def test_urls_long_paths_take_few_rounds(spark, monkeypatch):
+    """1,000 shared segments, 1,000 levels that all differ, and both in turn: as one by one, in a few tables."""
+    shared = "/".join(f"s{'abcdefghij'[i % 10]}" for i in range(1000))
+    names = ["".join(x) for x in zip("abcdefghijklmnopqrstuvwxyzabcd", "zyxwvutsrqponmlkjihgfedcbazyxw")]
+    u = [f"http://long.net/{shared}/{x}" for x in names] + [f"http://wild.net/{'/'.join(names[(i + j * (1 + i % 7)) % 30] + 'qrstuvw'[j % 7] for j in range(1000))}" for i in range(30)]
+    u += [f"http://both.net/{'/'.join(x if j % 2 else 'k' for j in range(200))}" for x in names]
+    made = []
+    plain = urls.S.stash
+    monkeypatch.setattr(urls.S, "stash", lambda df, name: made.append(name) or plain(df, name))
+    got = urls.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), []).orderBy("page_id").collect()
+    assert len(made) <= 12
+    assert [r.template for r in got] == [t for _, t, _ in brute_judge(u, [])]
+    assert {r.template for r in got if r.host == "long.net"} == {f"{shared}/*"} and {r.template.count("*") for r in got if r.host == "both.net"} == {100}
+
+
+def test_urls_branches_merge_below_the_first_level(spark):
+    """Siblings on the third level: two of one share learn from each other, a third of another share does not."""
+    ends = "abcdefgh"
+    u = [f"http://n.net/x/y/{b}/{e}" for b in ("bad1x", "bad2x", "goodx") for e in ends]
+    rules = [(f"n.net/x/y/{b}/{e}", "block" if b.startswith("bad") else "allow") for b in ("bad1x", "goodx") for e in ends] + [("n.net/x/y/bad2x/a", "block")]
+    got = {r.path: r for r in urls.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), rules).collect()}
+    alone = {r.path: r for r in urls.judge(spark.createDataFrame(list(enumerate(u)), "page_id long, url string"), rules, z=-1.0).collect()}
+    assert got["/x/y/bad2x/h"].rule is None and got["/x/y/bad2x/h"].purity > alone["/x/y/bad2x/h"].purity + 0.05
+
+
 # ---- op9
 
 
@@ -716,6 +776,24 @@ def test_topk(spark, block):
     assert topk.top_k(few, few.filter("vec_id % 50 = 0"), 5).count() == 4
 
 
+def test_topk_ranges(spark):
+    """Scores up to 64 bits are exact; components whose products could pass them are an error."""
+    ddl = "vec_id long, embedding array<double>"
+    big = [3e6, -2999999.5, 2.5e6, 1.0]
+    df = spark.createDataFrame([(i, [big[i % 4] * (1 if j % 3 else -1) for j in range(3)]) for i in range(8)], ddl)
+    v = topk.scaled(df)
+    x = {r.vec_id: [int(c) for c in r.x] for r in v.collect()}
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.filter("vec_id = 0"), 3).orderBy("rank").collect()]
+    want = sorted(((-sum(a * b for a, b in zip(x[0], x[i])), i) for i in x if i))[:3]
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(want)]
+    for bad in (3e15, 1e13):
+        v = topk.scaled(spark.createDataFrame([(0, [bad, 1.0]), (1, [1.0, 1.0])], ddl))
+        with pytest.raises(ValueError, match="too large"):
+            topk.top_k(v, v.filter("vec_id = 0"), 3)
+    with pytest.raises(Exception, match="too large"):
+        topk.scaled(spark.createDataFrame([(0, [1e20])], ddl)).collect()
+
+
 def test_topk_leaves_groups_out(spark):
     """On clustered data most groups are never visited, and the answer is still that of all pairs."""
     rng = np.random.default_rng(9)
