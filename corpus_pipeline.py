@@ -79,8 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    What a stage made for itself goes when its result is written, and its input with it; the input and the tables of the last stage stay for the result.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before, last = stash.made(spark), docs
         docs = stash.stash(stage(spark, docs, sf_dir), "pipeline")
+        stash.drop_since(spark, before, docs)
+        stash.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)

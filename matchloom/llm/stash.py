@@ -85,6 +85,17 @@ def drop(*stashed: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def made(spark: SparkSession) -> frozenset[str]:
+    """The tables and folders that are there now, for ``drop_since``."""
+    return frozenset(_made.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_since(spark: SparkSession, before: frozenset[str], *keep: DataFrame) -> None:
+    """Deletes what has been made since ``before``, but for the tables ``keep``."""
+    for uri in made(spark) - before - {df._stash_path for df in keep}:
+        _delete(spark, uri)
+
+
 def close(spark: SparkSession) -> None:
     """Deletes all stashed tables and model files of this application: for when their results have been written."""
     for uri in list(_made.get(spark.sparkContext.applicationId, ())):
