@@ -29,8 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
+from ..plans.numbering import numbered
 from . import stash as S
 from . import vectext as V
 
@@ -38,7 +37,6 @@ SUPPORT, LONGEST, UNIT, INSIDE, FIRST = 30, 4, 2_000_000, 80, 2000
 MOST_BUCKETS, MOST_FREQUENT = 24, 26  # powers of two
 SLICE = 1 << 20  # bytes of text that are counted at once
 BLOCK = 1 << 16
-RANK_ROWS = 2000  # candidates that are ranked at once, about
 BROADCAST_ROWS = 200_000
 
 _CUT = np.zeros(256, bool)
@@ -299,10 +297,9 @@ def mine(docs: DataFrame, first: int = FIRST, support: int = SUPPORT, longest: i
     frequent, totals = frequent_phrases(docs, support, longest, buckets)
     scored = S.stash(score_cuts(frequent, unit), "scored")
     kept = S.stash(drop_contained(scored, inside), "kept")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # what is among the first of a language is among the first of its part
-    parts = max(1, min(256, -(-kept.count() // RANK_ROWS)))
-    salted = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
-    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= first)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= first)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # numbered in one order over all languages, in range partitions, so that no task sorts a whole language
+    falling = kept.select("*", (-F.col("score")).alias("_s"), (-F.col("a")).alias("_a"))
+    placed = S.stash(numbered(falling, ["lang", "_s", "_a", "phrase"], "_no").drop("_s", "_a"), "placed")
+    begin = placed.groupBy("lang").agg(F.min("_no").alias("_begin")).join(totals, "lang")  # a row for each language
+    ranked = placed.join(begin, "lang").withColumn("rank", F.col("_no") - F.col("_begin") + 1).filter(F.col("rank") <= first)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -63,7 +63,6 @@ def test_against_plain(spark, rows, kw):
 def test_full_buckets_change_nothing(spark, rows, monkeypatch):
     want = mined(spark, rows, support=4)
     monkeypatch.setattr(P, "SLICE", 300)
-    monkeypatch.setattr(P, "RANK_ROWS", 5)
     monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(P, "MOST_FREQUENT", 16)
     assert mined(spark, rows, support=4, buckets=16) == want == plain(rows, support=4)
