@@ -45,6 +45,22 @@ def shared(masks: DataFrame) -> DataFrame:
     return per_group(masks.select("scene_id", "mask_no", "starts", "ends"), "scene_id", solve, PAIRS)
 
 
+def crossings(masks: DataFrame, theta: tuple[int, int] = (9, 10)) -> DataFrame:
+    """Pairs of ``shared`` where neither mask lies in the other at ``theta`` of its area: they cross."""
+    return shared(masks).filter(f"{theta[1]} * v < {theta[0]} * least(area_i, area_k)")
+
+
+def coverage(masks: DataFrame) -> DataFrame:
+    """(scene_id, masks, total, covered, twice): pixels of all masks of a scene, those that any covers, those that two or more cover."""
+
+    def solve(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        _, own = _masks(x)
+        row = (x["scene_id"][0], len(own), sum(map(U.area, own)), U.area(U.covered(own, 1)), U.area(U.covered(own, 2)))
+        return {n: np.array([v]) for n, v in zip(("scene_id", "masks", "total", "covered", "twice"), row, strict=True)}
+
+    return per_group(masks.select("scene_id", "mask_no", "starts", "ends"), "scene_id", solve, "scene_id long, masks long, total long, covered long, twice long")
+
+
 def nested(masks: DataFrame, theta: tuple[int, int] = (9, 10)) -> DataFrame:
     """Edges (scene_id, a, b, v, area_a, area_b), as ``nesting.nested`` has them of boxes: a lies in b at ``theta`` of a's area and is strictly smaller."""
     p = shared(masks).filter("area_i <> area_k")

@@ -92,6 +92,16 @@ def gallery_k(spark, sf):
     return c.agg(F.max("c").alias("n_max"), F.least(2 * F.max("c"), F.sum("c")).alias("k"), F.sum("c").alias("n"))
 
 
+@query("gallery_search_k", f"WITH {SIM}, kk AS (SELECT least(2*max(c), sum(c))::BIGINT AS k FROM (SELECT count(*) AS c FROM ref GROUP BY label_id)), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ref_id) AS rank FROM sim) WHERE rank<=(SELECT k FROM kk)), tl AS (SELECT vec_id, label_id, max(s) AS s FROM t GROUP BY ALL) SELECT vec_id, arg_max(label_id, (s, -label_id))::INT AS y_hat, round(max(s),6) AS s_star, count(*) AS labels FROM tl GROUP BY 1")
+def gallery_search_k(spark, sf):
+    """Decisions from the k nearest references, k twice the largest label's rows, and how many labels those have."""
+    k = gallery_k(spark, sf).collect()[0]["k"] or 0
+    t = S.nearest(V.query(spark, sf), V.ref(spark, sf), ["vec_id"], k)
+    best = t.groupBy("vec_id", "label_id").agg(F.max("s").alias("s"))
+    m = best.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("label_id")).alias("neg"))).alias("m"), F.count("*").alias("labels"))
+    return m.select("vec_id", (-F.col("m.neg")).cast("int").alias("y_hat"), F.round("m.s", 6).alias("s_star"), "labels")
+
+
 @query("gallery_rows_sha", f"WITH {V.REF} SELECT count(*) AS n, sha256(string_agg(ref_id::VARCHAR, chr(10) ORDER BY insert_no)) AS rows_sha256 FROM ref")
 def gallery_rows_sha(spark, sf):
     r = V.ref(spark, sf)
@@ -373,6 +383,20 @@ def boot_fpr_ci(spark, sf):
     return T.ratio_bootstrap(s, V.boot(V.query(spark, sf))).agg(*T.interval("value"))
 
 
+@query("rejection_ci", f"WITH {V.REF}, {V.QUERY}, {V.SIM}, {BYLABEL}, {dec_sql(tau=TAU)}, {BOOTQ}, x AS (SELECT d.*, q.label_id FROM dec d JOIN query q USING (vec_id)), s AS (SELECT scene_id, count(*) FILTER (NOT known) AS u, count(*) FILTER (known) AS k, count(*) FILTER (NOT known AND y_hat<>-1) AS fpr, count(*) FILTER (known AND y_hat=-1) AS miss, count(*) FILTER (known AND y_hat=label_id AND y_hat<>-1) AS correct FROM x GROUP BY 1), v AS (SELECT b, sum(w*fpr)/sum(w*u) AS fpr, sum(w*miss)/sum(w*k) AS miss, sum(w*correct)/sum(w*k) AS correct FROM s JOIN boot USING (scene_id) GROUP BY b) SELECT unnest(['fpr','miss','correct']) AS rate, round(unnest([quantile_cont(fpr,0.025), quantile_cont(miss,0.025), quantile_cont(correct,0.025)]),6) AS lo, round(unnest([quantile_cont(fpr,0.975), quantile_cont(miss,0.975), quantile_cont(correct,0.975)]),6) AS hi FROM v")
+def rejection_ci(spark, sf):
+    """Intervals of the three rates of decisions over resampled scenes."""
+    d = _decided(spark, sf, TAU).join(V.query(spark, sf).select("vec_id", "label_id"), "vec_id")
+    known, said = F.col("known"), F.col("y_hat") != -1
+    counts = {"fpr": (~known & said, ~known), "miss": (known & ~said, known), "correct": (known & said & (F.col("y_hat") == F.col("label_id")), known)}
+    per = cut(d.groupBy("scene_id").agg(*(F.count_if(c).alias(f"{n}_{i}") for n, pair in counts.items() for i, c in enumerate(pair))))
+    w, out = cut(V.boot(V.query(spark, sf))), None
+    for n in counts:
+        part = T.ratio_bootstrap(per.select("scene_id", F.col(f"{n}_0").alias("num"), F.col(f"{n}_1").alias("den")), w).agg(*T.interval("value")).select(F.lit(n).alias("rate"), "lo", "hi")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("boot_weights", f"WITH {V.QUERY}, {BOOTQ} SELECT b, scene_id, w FROM boot")
 def boot_weights(spark, sf):
     return V.boot(V.query(spark, sf))

@@ -78,6 +78,26 @@ def rule_metrics(spark, sf):
     return k.groupBy("rule").agg(F.count("*").alias("kept")).join(found, "rule")
 
 
+@query("rule_recall_by_bin", f"WITH RECURSIVE {CS.RHO}, {V.GT}, {CS.PAIR}, k AS ({' UNION ALL '.join(f'SELECT *, {n!r} AS rule FROM ({q})' for n, q in _RULES.items())}), h AS (SELECT DISTINCT rule, p.scene_id, p.gt_no FROM k JOIN p ON p.scene_id=k.scene_id AND p.mask_no=k.mask_no WHERE p.iou>=0.5), g AS (SELECT scene_id, gt_no, (x1-x0)*(y1-y0) AS gt_area FROM gt), n AS (SELECT {CS.ABIN} AS abin, count(*) AS n FROM g GROUP BY 1), f AS (SELECT rule, {CS.ABIN} AS abin, count(*) AS found FROM h JOIN g USING (scene_id, gt_no) GROUP BY ALL) SELECT r.rule, n.abin, n.n, coalesce(f.found,0) AS found, coalesce((SELECT sum(x.found) FROM f x WHERE x.rule='all' AND x.abin=n.abin),0)::BIGINT-coalesce(f.found,0) AS lost FROM (SELECT DISTINCT rule FROM k) r CROSS JOIN n LEFT JOIN f ON f.rule=r.rule AND f.abin=n.abin")
+def rule_recall_by_bin(spark, sf):
+    """By selection rule and area: ground truth, what of it is found, and what is lost against all masks."""
+    g, m = V.gt(spark, sf), V.pred(spark, sf)
+    e = cut(N.nested(m))
+    k = None
+    for name, kept in (("all", m), ("maximal", N.maximal(m, e)), ("minimal", N.minimal(m, e)), ("rho", N.select(m))):
+        part = kept.select("scene_id", "mask_no", F.lit(name).alias("rule"))
+        k = part if k is None else k.unionByName(part)
+    area = g.select("scene_id", "gt_no", B.area_bin(_area()).alias("abin"))
+    hit = k.join(B.pairs(g, m, 0.5).select("scene_id", "gt_no", "mask_no"), ["scene_id", "mask_no"]).select("rule", "scene_id", "gt_no").distinct()
+    found = cut(hit.join(area, ["scene_id", "gt_no"]).groupBy("rule", "abin").agg(F.count("*").alias("found")))  # a row for each rule and bin
+    every = found.filter("rule = 'all'").select("abin", F.col("found").alias("every"))
+    rules = spark.createDataFrame([(n,) for n in _RULES], "rule string")
+    n = area.groupBy("abin").agg(F.count("*").alias("n")).crossJoin(F.broadcast(rules))
+    x = n.join(found, ["rule", "abin"], "left").join(every, "abin", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return x.select("rule", "abin", "n", zero("found").alias("found"), (zero("every") - zero("found")).alias("lost"))
+
+
 @query("nesting_by_ratio", f"WITH {CS.NESTED} SELECT (10*area_a//area_b) AS tenth, count(*) AS n, count(*) FILTER (5*area_a>=4*area_b) AS near, count(*) FILTER (v=area_a) AS inside FROM nest GROUP BY 1")
 def nesting_by_ratio(spark, sf):
     e = N.nested(V.pred(spark, sf)).withColumn("tenth", F.expr("10 * area_a div area_b"))

@@ -268,6 +268,29 @@ def mask_overlaps(spark, sf):
     return p.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.sum("v").alias("shared"), F.round(F.max(F.col("v") / (F.col("area_i") + F.col("area_k") - F.col("v"))), 9).alias("top_iou"))
 
 
+@query("mask_crossings", f"WITH {V.PRED}, {SHAPES}, e AS (SELECT m.scene_id, m.mask_no AS i, n.mask_no AS k, m.area AS area_i, n.area AS area_k, ({_CORNER.format(a='o', b='o')}-{_CORNER.format(a='o', b='c')}-{_CORNER.format(a='c', b='o')}+{_CORNER.format(a='c', b='c')})::BIGINT AS v FROM sar m JOIN (SELECT scene_id, list({{'mask_no': mask_no, 'area': area, 'o0': o0, 'o1': o1, 'o2': o2, 'o3': o3, 'c0': c0, 'c1': c1, 'c2': c2, 'c3': c3}}) AS own FROM sar GROUP BY scene_id) s USING (scene_id), (SELECT unnest(s.own) AS n) WHERE m.mask_no<n.mask_no) SELECT scene_id, i, k, v FROM e WHERE v>0 AND 10*v<9*least(area_i, area_k)")
+def mask_crossings(spark, sf):
+    """Pairs of masks that cross: they share pixels, and neither lies in the other."""
+    from ..operators import masks as K
+
+    return K.crossings(_shapes(spark, sf)).select("scene_id", "i", "k", "v")
+
+
+STRIPS = """xs AS (SELECT DISTINCT scene_id, unnest([x0, x1]) AS x FROM pred), st AS MATERIALIZED (SELECT scene_id, x AS xa, lead(x) OVER (PARTITION BY scene_id ORDER BY x) AS xb FROM xs),
+sb AS (SELECT s.scene_id, s.xa, s.xb, b.y0, b.y1 FROM st s JOIN (SELECT scene_id, list({'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1}) AS own FROM pred GROUP BY scene_id) p USING (scene_id), (SELECT unnest(p.own) AS b) WHERE s.xb IS NOT NULL AND b.x0<=s.xa AND b.x1>=s.xb),
+sw AS (SELECT scene_id, xb-xa AS w, y0, y1, max(y1) OVER (PARTITION BY scene_id, xa ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS up FROM sb),
+cv AS (SELECT scene_id, sum(w*greatest(0, y1-greatest(y0, coalesce(up, y0))))::BIGINT AS covered FROM sw GROUP BY 1)"""
+
+
+@query("mask_redundancy", f"WITH {V.PRED}, {STRIPS}, t AS (SELECT scene_id, count(*) AS masks, sum((x1-x0)*(y1-y0))::BIGINT AS total FROM pred GROUP BY 1) SELECT scene_id, masks, total, covered, round(1-covered/total,9) AS redundancy FROM t JOIN cv USING (scene_id)")
+def mask_redundancy(spark, sf):
+    """By scene: pixels of all masks, pixels that any covers, and the share that is covered again."""
+    from ..operators import masks as K
+
+    c = K.coverage(N.box_runs(V.pred(spark, sf)))
+    return c.select("scene_id", "masks", "total", "covered", F.round(1 - F.col("covered") / F.col("total"), 9).alias("redundancy"))
+
+
 # ---- greedy ------------------------------------------------------------------------
 
 FIT = """fit AS (SELECT grp, 0::BIGINT AS k, []::BIGINT[] AS kept FROM (SELECT DISTINCT grp FROM items)

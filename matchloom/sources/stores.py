@@ -118,6 +118,32 @@ def read_calibration(rows: DataFrame, path: str, eps: tuple[float, ...], protoco
     return rec
 
 
+def write_kept(rows: DataFrame, kept: DataFrame, path: str, threshold: float, of: str) -> dict:
+    """Stores which of a gallery's rows deduplication keeps (label_id, insert_no), with the threshold, the run ``of`` which it is, and hashes of the rows and of those kept; never overwrites."""
+    own = kept.select("label_id", "insert_no")
+    if own.join(rows.select("label_id", "insert_no"), ["label_id", "insert_no"], "left_anti").limit(1).count():
+        raise ValueError("kept rows are not among the gallery's")
+    named = rows.join(own, ["label_id", "insert_no"], "left_semi")
+    rec = {"format": FORMAT, "threshold": threshold, "of": of, "rows": rows.count(), "kept": named.count(), "rows_sha256": GA.blocks_sha256(rows).collect()[0]["blocks_sha256"], "kept_sha256": GA.blocks_sha256(named).collect()[0]["blocks_sha256"]}
+    own.write.mode("errorifexists").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(canonical(rec),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/record")  # last: a torn write has none
+    return rec
+
+
+def read_kept(rows: DataFrame, path: str, threshold: float, of: str) -> DataFrame:
+    """The kept rows of a gallery; an error if they were chosen with another threshold, of another run or gallery, or are not those that were written."""
+    spark = rows.sparkSession
+    if not _exists(spark, f"{path}/record"):
+        raise FileNotFoundError(f"{path}: no record of kept rows")
+    rec = json.loads(spark.read.text(f"{path}/record", wholetext=True).collect()[0][0])
+    if (rec["threshold"], rec["of"]) != (threshold, of) or rec["rows_sha256"] != GA.blocks_sha256(rows).collect()[0]["blocks_sha256"]:
+        raise ValueError("kept rows are of another threshold, run or gallery")
+    named = rows.join(spark.read.schema("label_id int, insert_no long").parquet(f"{path}/rows"), ["label_id", "insert_no"], "left_semi")
+    if named.count() != rec["kept"] or rec["kept_sha256"] != GA.blocks_sha256(named).collect()[0]["blocks_sha256"]:
+        raise ValueError("kept rows are not those that were written")
+    return named
+
+
 def dump_config(config: dict) -> str:
     """A flat configuration as YAML: a line for each key, values as JSON, which YAML contains."""
     return "".join(f"{k}: {json.dumps(list(v) if isinstance(v, tuple) else v, ensure_ascii=False)}\n" for k, v in config.items())

@@ -79,6 +79,11 @@ def test_operators_against_pixels(spark):
     want = {(s, i, k): int((a & b).sum()) for s, v in masks.items() for i, a in enumerate(v) for k, b in enumerate(v) if i < k and (a & b).any()}
     got = {(r.scene_id, r.i, r.k): r for r in K.shared(df).collect()}
     assert {k: r.v for k, r in got.items()} == want and all(r.area_i == masks[r.scene_id][r.i].sum() for r in got.values())
+    crossed = {(r.scene_id, r.i, r.k) for r in K.crossings(df).collect()}
+    assert crossed == {(s, i, k) for (s, i, k), v in want.items() if 10 * v < 9 * min(masks[s][i].sum(), masks[s][k].sum())} and crossed
+    for r in K.coverage(df).collect():
+        depth = sum(m.astype(int) for m in masks[r.scene_id])
+        assert (r.masks - (r.scene_id == 0), r.total, r.covered, r.twice) == (len(masks[r.scene_id]), depth.sum(), (depth > 0).sum(), (depth > 1).sum())
     edges = K.nested(df)
     plain = set()
     for (s, i, k), v in want.items():

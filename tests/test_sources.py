@@ -218,3 +218,105 @@ def test_configs_are_the_grid(spark, tmp_path):
     (tmp_path / "configs" / "dinov2_p_pcb.yaml").unlink()
     with pytest.raises(ValueError, match="grid"):
         CF.read_all(spark, folder)
+
+
+def flood(mask, diagonal):
+    """Regions by a flood fill, pixel by pixel."""
+    seen, out = np.zeros_like(mask), []
+    step = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    for i, j in zip(*np.nonzero(mask)):
+        if seen[i, j]:
+            continue
+        todo, own = [(i, j)], []
+        seen[i, j] = True
+        while todo:
+            y, x = todo.pop()
+            own.append((y, x))
+            for a, b in step:
+                u, v = y + a, x + b
+                if 0 <= u < mask.shape[0] and 0 <= v < mask.shape[1] and mask[u, v] and not seen[u, v]:
+                    seen[u, v] = True
+                    todo.append((u, v))
+        ys, xs = zip(*own)
+        out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1, len(own)))
+    return sorted(out)
+
+
+def test_regions_against_flood_fill():
+    from matchloom.functions import regions as RG
+
+    rng = np.random.default_rng(0)
+    masks = [rng.random((h, w)) < p for h, w in ((1, 1), (1, 12), (9, 1), (15, 17), (30, 25)) for p in (0.1, 0.4, 0.6, 0.95)]
+    snake = np.zeros((21, 21), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    for m in [*masks, snake, np.zeros((4, 5), bool), np.ones((4, 5), bool)]:
+        for diagonal in (True, False):
+            box, area = RG.regions(m, diagonal)
+            assert sorted((*b, a) for b, a in zip(box.tolist(), area.tolist())) == flood(m, diagonal)
+        for side in (1, 3, 9):
+            want = np.zeros_like(m)
+            for i, j in zip(*np.nonzero(m)):
+                want[max(i - side // 2, 0) : i + side // 2 + 1, max(j - side // 2, 0) : j + side // 2 + 1] = True
+            assert (RG.spread(m, side) == want).all()
+
+
+def test_profile_and_differences(spark, tmp_path):
+    from matchloom.sources import profile as PF
+
+    (tmp_path / "a").mkdir()
+    body = b"\xff\xd8" + b"x" * 40
+    for name, data in (("whole.jpg", body + b"\xff\xd9"), ("tail.jpg", body + b"\xff\xd9" + b"SEFHab12"), ("torn.jpg", body), ("odd.jpg", body + b"\x1f\xfd\x90")):
+        (tmp_path / "a" / name).write_bytes(data)
+    mask = np.zeros((6, 8), np.uint8)
+    mask[1:4, 2:7] = 200
+    for name in ("m.png", "copy.png"):
+        png(tmp_path / "a" / name, mask)
+    got = {r.path.rsplit("/", 1)[1]: r for r in PF.files(spark, f"{tmp_path}/a").collect()}
+    assert [got[n].ends for n in ("whole.jpg", "tail.jpg", "torn.jpg", "odd.jpg", "m.png")] == [True, True, False, False, None]
+    assert [got[n].trailer for n in ("whole.jpg", "tail.jpg", "torn.jpg", "m.png")] == ["", "SEFHab", "", None]
+    assert [(r.n, r.first.rsplit("/", 1)[1]) for r in PF.repeated(PF.files(spark, f"{tmp_path}/a")).collect()] == [(2, "copy.png")]
+    shape = {r.path.rsplit("/", 1)[1]: r for r in PF.shapes(files.images(spark, f"{tmp_path}/a")).collect()}
+    assert (shape["m.png"].height, shape["m.png"].channels, shape["m.png"].levels, shape["m.png"].between, shape["m.png"].foreground, list(shape["m.png"].box)) == (6, 1, 2, 15, 15 / 48, [2, 1, 7, 4])
+    assert shape["torn.jpg"].height is None and shape["torn.jpg"].box is None
+
+    rng = np.random.default_rng(1)
+    clean = rng.integers(90, 110, (120, 140, 3)).astype(np.uint8)
+    rows, boxes = [], []
+    for i in range(3):
+        image = clean.copy()
+        image[20:30, 20:30] = 255  # annotated
+        image[60:70, 40 + 30 * i : 50 + 30 * i] = 0  # not annotated, elsewhere in each image
+        image[100:110, 100:110] = 0  # in all images: the clean image's own
+        image[5, 5] = 255  # too small
+        rows.append((f"05_x_{i}", "05", 120, 140, 3, bytearray(image.tobytes())))
+        boxes += [(f"05_x_{i}", 0, 20, 20, 30, 30), (f"05_x_{i}", 1, 0, 80, 9, 90)]
+    ddl = "height int, width int, channels int, data binary"
+    im = spark.createDataFrame(rows, f"id string, board string, {ddl}")
+    cl = spark.createDataFrame([("05", 120, 140, 3, bytearray(clean.tobytes()))], f"board string, {ddl}")
+    regions = PF.differences(im, cl)
+    found = regions.collect()
+    assert len(found) == 9 and all(r.area >= 60 for r in found)
+    outside, missed = PF.unlabelled(regions, spark.createDataFrame(boxes, "id string, no int, x0 int, y0 int, x1 int, y1 int"))
+    assert sorted((r.id, r.x0 // 30) for r in outside.collect()) == [("05_x_0", 1), ("05_x_1", 2), ("05_x_2", 3)]
+    assert sorted((r.id, r.no) for r in missed.collect()) == [(f"05_x_{i}", 1) for i in range(3)]
+    with pytest.raises(Exception, match="another size"):
+        PF.differences(im, cl.withColumn("width", F.lit(70)).withColumn("channels", F.lit(6))).collect()
+    assert PF.differences(im.limit(0), cl).count() == 0
+
+
+def test_kept_rows_are_tied_to_their_gallery(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3, i) for i in range(20)], "ref_id long, label_id int, insert_no long")
+    kept = rows.filter("ref_id % 4 <> 1").select("label_id", "insert_no")
+    stores.write_kept(rows, kept, f"{tmp_path}/k", 0.9, "run")
+    assert sorted(r.ref_id for r in stores.read_kept(rows, f"{tmp_path}/k", 0.9, "run").collect()) == [i for i in range(20) if i % 4 != 1]
+    for other, threshold, of in ((rows.filter("ref_id > 0"), 0.9, "run"), (rows, 0.8, "run"), (rows, 0.9, "other")):
+        with pytest.raises(ValueError, match="another"):
+            stores.read_kept(other, f"{tmp_path}/k", threshold, of)
+    with pytest.raises(ValueError, match="not among"):
+        stores.write_kept(rows, kept.withColumn("insert_no", F.col("insert_no") + 50), f"{tmp_path}/m", 0.9, "run")
+    with pytest.raises(FileNotFoundError):
+        stores.read_kept(rows, f"{tmp_path}/none", 0.9, "run")
+    spark.createDataFrame([(0, 0)], "label_id int, insert_no long").write.mode("overwrite").parquet(f"{tmp_path}/k/rows")
+    with pytest.raises(ValueError, match="not those"):
+        stores.read_kept(rows, f"{tmp_path}/k", 0.9, "run")
