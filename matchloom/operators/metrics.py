@@ -229,16 +229,22 @@ def weight_vectors(weights: DataFrame, replicates: int) -> DataFrame:
 
 
 def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replicates: int, bounds: list[float]) -> DataFrame:
-    """(b, cat, npig, ap) of ``average_precision`` for many replicates, without a row for each detection and replicate.
+    """(b, cat, npig, ap) of ``average_precision`` for many replicates, without a row for each detection and replicate."""
+    return weighted_ap(rows, counts, weights, replicates, ["cat"], bounds).select("b", "cat", "npig", mean_of(F.col("aps")).alias("ap"))
 
-    A detection carries the vector of its scene's weights. The detections of a category and part of the scores are summed up, vector by vector, in
-    one sorted run that starts from the totals of the parts above; a part gives, for each threshold, replicate and recall point it
-    reaches, the largest precision, and a category puts its parts together.
+
+def weighted_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replicates: int, keys: list[str], bounds: list[float]) -> DataFrame:
+    """(b, keys, npig, aps) of ``ap_by_threshold`` under each of many weightings (b, scene_id, w) of the scenes: replicates, or subsets with weights 0 and 1.
+
+    A detection carries the vector of its scene's weights. The detections of a key and part of the scores are summed up, vector by vector, in
+    one sorted run that starts from the totals of the parts above; a part gives, for each threshold, weighting and recall point it
+    reaches, the largest precision, and a key puts its parts together.
     """
     t, points = len(IOU_THRESHOLDS), len(RECALL_POINTS)
     vectors = cut(weight_vectors(weights, replicates))
-    m = rows.join(vectors, "scene_id").select("cat", _parts(F.col("score"), bounds).alias("part"), "score", "scene_id", "rank", "hits", "skips", "wv")
-    m = cut(m.withColumn("key", F.concat_ws("/", "cat", "part")))
+    grp = F.concat_ws("/", *keys).alias("grp")
+    m = rows.join(vectors, "scene_id").select(grp, _parts(F.col("score"), bounds).alias("part"), "score", "scene_id", "rank", "hits", "skips", "wv")
+    m = cut(m.withColumn("key", F.concat_ws("/", "grp", "part")))
 
     def lines(x: dict[str, np.ndarray], step: int = 256):
         """(right, valid) of each threshold and the weights, some rows at a time."""
@@ -252,19 +258,19 @@ def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replica
         return out
 
     def add(state: dict, x: dict[str, np.ndarray]) -> None:
-        state.setdefault("at", (x["cat"][0], x["part"][0]))
+        state.setdefault("at", (x["grp"][0], x["part"][0]))
         for right, valid, w in lines(x):
             state["total"][0] += right.T.astype(np.int64) @ w
             state["total"][1] += valid.T.astype(np.int64) @ w
 
     def drawn(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         w = np.stack([np.frombuffer(v, "<u2") for v in x["wv"]]).astype(np.int64)
-        return {"cat": x["cat"][:1], "npig": obj([(x["n"].astype(np.int64) @ w).tobytes()])}
+        return {"grp": x["grp"][:1], "npig": obj([(x["n"].astype(np.int64) @ w).tobytes()])}
 
-    npig = per_group(counts.join(vectors, "scene_id").select(F.col("cat"), "n", "wv"), "cat", drawn, "cat int, npig binary")
+    npig = cut(per_group(counts.join(vectors, "scene_id").select(grp, "n", "wv"), "grp", drawn, "grp string, npig binary"))
     of_parts = streamed(
-        m.select("key", "cat", "part", "hits", "skips", "wv"), "key", [], lambda: {"total": np.zeros((2, t, replicates), np.int64)}, add,
-        lambda s: {"cat": np.array([s["at"][0]]), "part": np.array([s["at"][1]]), "total": obj([s["total"].tobytes()])}, "cat int, part int, total binary",
+        m.select("key", "grp", "part", "hits", "skips", "wv"), "key", [], lambda: {"total": np.zeros((2, t, replicates), np.int64)}, add,
+        lambda s: {"grp": obj([s["at"][0]]), "part": np.array([s["at"][1]]), "total": obj([s["total"].tobytes()])}, "grp string, part int, total binary",
     )
 
     def bases(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -273,17 +279,17 @@ def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replica
         for i in o:
             out.append(run.tobytes())
             run = run + np.frombuffer(x["total"][i], np.int64).reshape(run.shape)
-        return {"cat": x["cat"][o], "part": x["part"][o], "base": obj(out), "npig": x["npig"][o]}
+        return {"grp": x["grp"][o], "part": x["part"][o], "base": obj(out), "npig": x["npig"][o]}
 
-    base = per_group(of_parts.join(npig, "cat"), "cat", bases, "cat int, part int, base binary, npig binary")
+    base = per_group(of_parts.join(npig, "grp"), "grp", bases, "grp string, part int, base binary, npig binary")
     none = [F.lit(None).cast(c).alias(n) for n, c in (("score", "double"), ("scene_id", "long"), ("rank", "long"), ("hits", "int"), ("skips", "int"), ("wv", "binary"))]
-    first = base.select(F.concat_ws("/", "cat", "part").alias("key"), "cat", "part", *none, "base", "npig")
-    both = first.unionByName(m.select("key", "cat", "part", "score", "scene_id", "rank", "hits", "skips", "wv"), allowMissingColumns=True)
+    first = base.select(F.concat_ws("/", "grp", "part").alias("key"), "grp", *none, "base", "npig")
+    both = first.unionByName(m.select("key", "grp", "score", "scene_id", "rank", "hits", "skips", "wv"), allowMissingColumns=True)
 
     def go(state: dict, x: dict[str, np.ndarray]) -> None:
         """The base comes first, then detections by falling score."""
         if "run" not in state and x["base"][0] is not None:
-            state["at"] = int(x["cat"][0]), int(x["part"][0])
+            state["at"] = x["grp"][0]
             state["run"] = np.frombuffer(x["base"][0], np.int64).reshape(2, t, replicates).copy()
             state["npig"] = np.frombuffer(x["npig"][0], np.int64)
             x = {c: v[1:] for c, v in x.items()}
@@ -305,11 +311,11 @@ def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replica
         """What the part reaches, from the lowest to the highest recall point."""
         used = np.flatnonzero(state["top"].any(axis=(1, 2)))
         if "run" not in state or not len(used):
-            return {"cat": np.zeros(0), "low": np.zeros(0), "best": np.zeros(0, object), "npig": np.zeros(0, object)}
+            return {"grp": np.zeros(0, object), "low": np.zeros(0), "best": np.zeros(0, object), "npig": np.zeros(0, object)}
         low, high = int(used[0]), int(used[-1])
-        return {"cat": np.array([state["at"][0]]), "low": np.array([low]), "best": obj([state["top"][low : high + 1].tobytes()]), "npig": obj([state["npig"].tobytes()])}
+        return {"grp": obj([state["at"]]), "low": np.array([low]), "best": obj([state["top"][low : high + 1].tobytes()]), "npig": obj([state["npig"].tobytes()])}
 
-    found = streamed(both, "key", [F.desc_nulls_first("score"), "scene_id", "rank"], lambda: {"top": np.zeros((points + 1, t, replicates))}, go, done, "cat int, low int, best binary, npig binary")
+    found = streamed(both, "key", [F.desc_nulls_first("score"), "scene_id", "rank"], lambda: {"top": np.zeros((points + 1, t, replicates))}, go, done, "grp string, low int, best binary, npig binary")
 
     def whole(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         top = np.zeros((points + 1, t, replicates))
@@ -319,17 +325,18 @@ def bootstrap_ap(rows: DataFrame, counts: DataFrame, weights: DataFrame, replica
         n = np.frombuffer(x["npig"][0], np.int64)
         reached = np.maximum.accumulate(top[:0:-1], axis=0)  # a point takes the largest precision of those that reach it
         live = np.flatnonzero(n > 0)
-        return {"b": live, "cat": np.full(len(live), x["cat"][0]), "npig": n[live], "ap": (reached.sum(axis=0) / points).mean(axis=0)[live]}
+        return {"b": live, "grp": np.repeat(x["grp"][:1], len(live)), "aps": obj(list((reached.sum(axis=0) / points).T[live]))}
 
-    ap = per_group(found, "cat", whole, "b long, cat int, npig long, ap double")
-    # categories without any detection have AP 0 where they have ground truth
-    def empty(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def every(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         n = np.frombuffer(x["npig"][0], np.int64)
         live = np.flatnonzero(n > 0)
-        return {"b": live, "cat": np.full(len(live), x["cat"][0]), "npig": n[live]}
+        return {"b": live, "grp": np.repeat(x["grp"][:1], len(live)), "npig": n[live]}
 
-    every = per_group(npig, "cat", empty, "b long, cat int, npig long")
-    return every.join(ap.select("b", "cat", "ap"), ["b", "cat"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    aps = per_group(found, "grp", whole, "b long, grp string, aps array<double>")
+    have = per_group(npig, "grp", every, "b long, grp string, npig long")  # keys without any detection have AP 0 where they have ground truth
+    split = F.split("grp", "/")
+    typed = [split[i].cast(counts.schema[k].dataType).alias(k) for i, k in enumerate(keys)]
+    return have.join(aps, ["b", "grp"], "left").select("b", *typed, "npig", F.coalesce("aps", F.array_repeat(F.lit(0.0), t)).alias("aps"))
 
 
 def average_recall(rows: DataFrame, counts: DataFrame, max_det: int, keys: list[str] | None = None) -> DataFrame:
