@@ -110,6 +110,35 @@ def recall_summary(spark, sf):
     return E.recall_summary(B.best_per_gt(g, m), _of(spark, sf), V.boot(g))
 
 
+def paired_ap(spark, sf, replicates: int):
+    """(subset, b, ap, ap50): AP of the selected masks less that of all masks, in the same replicates of each subset's scenes.
+
+    A weighting is a subset and a replicate, so one sorted run over each set of detections serves all of them.
+    """
+    m, truth, of = V.pred(spark, sf), cut(CS._truth(spark, sf)[1]), cut(_of(spark, sf))
+    names = sorted(r["subset"] for r in of.select("subset").distinct().collect())  # a name for each subset
+    number = F.broadcast(spark.createDataFrame(list(enumerate(names)), "at long, subset string"))
+    w = cut(V.boot(V.gt(spark, sf), replicates).join(of.join(number, "subset"), "scene_id").select((F.col("at") * replicates + F.col("b")).alias("b"), "scene_id", "w"))
+    counts, dets = cut(E.M.gt_counts(truth)), m.withColumnRenamed("mask_no", "det_no")
+    bounds = E.M.score_bounds(dets)
+
+    def means(d, tail):
+        x = E.M.weighted_ap(E.M.packed(d, truth), counts, w, replicates * len(names), ["cat"], bounds)
+        return x.groupBy("b").agg(F.avg(E.M.mean_of(F.col("aps"))).alias(f"ap{tail}"), F.avg(F.get("aps", F.lit(0))).alias(f"ap50{tail}"))
+
+    kept = dets.join(N.select(m).withColumnRenamed("mask_no", "det_no"), ["scene_id", "det_no"], "left_semi")
+    both = means(kept, "_kept").join(means(dets, "_all"), "b")
+    return both.select(F.expr(f"b div {replicates}").alias("at"), (F.col("b") % replicates).alias("b"), (F.col("ap_kept") - F.col("ap_all")).alias("ap"), (F.col("ap50_kept") - F.col("ap50_all")).alias("ap50")).join(number, "at").drop("at")
+
+
+@query("paired_ap_diff")
+def paired_ap_diff(spark, sf):
+    """What the selection does to AP and AP50 in each subset: intervals of the paired difference, and the outcome."""
+    d = cut(paired_ap(spark, sf, 50)).selectExpr("subset", "stack(2, 'ap', ap, 'ap50', ap50) AS (metric, value)")
+    ends = [F.round(F.percentile("value", F.lit(q)), 6).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))]
+    return d.groupBy("subset", "metric").agg(F.count("*").alias("replicates"), *ends).withColumn("outcome", R.outcome(F.col("lo"), F.col("hi")))
+
+
 # ---- growth of the gallery: five rules, two error rates ------------------------------------
 
 SIZES, LEVELS, FIXED, TOP = (3, 5, 10), (0.05, 0.01), 0.35, 3

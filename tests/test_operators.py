@@ -519,6 +519,33 @@ def test_boot_ap_over_weight_vectors(spark, tmp_path):
     assert r.replicates == 1000 and 0 <= r.lo <= r.hi <= 1
 
 
+def test_paired_ap_by_subset(spark, tmp_path):
+    """Differences of two subsets against AP computed for each of them by itself."""
+    from matchloom.plans import catalog_eval as CE
+    from matchloom.plans import catalog_scenes as K
+    from matchloom.plans import views
+    from matchloom.plans.catalog import QUERIES
+    from matchloom.plans.cut import cut
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 300").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf = str(tmp_path)
+    got = {(r.subset, r.b): (r.ap, r.ap50) for r in CE.paired_ap(spark, sf, 6).collect()}
+    pred, truth = cut(views.pred(spark, sf)), cut(K._truth(spark, sf)[1])
+    kept = N.select(pred).withColumnRenamed("mask_no", "det_no")
+    w = cut(views.boot(views.gt(spark, sf), 6))
+    for subset, cond in (("all/all", "true"), ("test/1", "scene_id % 4 <> 0 AND scene_id % 3 = 1")):
+        d = pred.filter(cond).withColumnRenamed("mask_no", "det_no")
+        g, value = truth.filter(cond), {}
+        for name, x in (("kept", d.join(kept, ["scene_id", "det_no"], "left_semi")), ("all", d)):
+            ap = M.ap_by_threshold(M.packed(x, g), M.gt_counts(g), ["b", "cat"], w).groupBy("b").agg(F.avg(M.mean_of(F.col("aps"))).alias("ap"), F.avg(F.get("aps", F.lit(0))).alias("ap50"))
+            value[name] = {r.b: (r.ap, r.ap50) for r in ap.collect()}
+        assert {b for s, b in got if s == subset} == set(value["all"])
+        for b in value["all"]:
+            assert got[subset, b] == pytest.approx([x - y for x, y in zip(value["kept"][b], value["all"][b])], abs=1e-12)
+    rows = QUERIES["paired_ap_diff"](spark, sf).collect()
+    assert {r.metric for r in rows} == {"ap", "ap50"} and all(r.outcome == (1 if r.lo > 0 else 3 if r.hi < 0 else 2) for r in rows)
+
+
 def test_sums_in_parts(spark):
     """Running sums in parts equal those of one sort, with nulls, groups that are null, and more rows than parts."""
     rng = np.random.default_rng(1)
