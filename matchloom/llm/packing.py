@@ -218,19 +218,21 @@ def pieces(docs: DataFrame, spec: str, groups: int, length: int = LENGTH, end: i
         from pyspark import TaskContext
 
         encoder, seen = Encoder.of(held.value), Counter()
-        task = np.uint64(TaskContext.get().partitionId())
+        task = V.mix64(np.array([TaskContext.get().partitionId() + 1], np.uint64))
         for b in batches:
             for lo, hi, raw, off in V.slices(b.column(1), SLICE):
                 ids, begin = encoder.encode(raw, off, end)
                 n = np.diff(begin)
-                # a text by sums over its ids; the same text in the same task is told apart by how often it was there
+                # a row by its id and sums over its tokens; equal rows of a task are told apart by how often they were there, so the order of rows does not matter
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(V.mix64(ids.astype(np.uint64) + np.uint64(1)) * V._pow("up", len(ids))[: len(ids)])])
-                content = V.mix64((total[begin[1:]] - total[begin[:-1]]) * V._pow("down", len(ids) + 1)[begin[:-1]]).tolist()
+                own = b.column(0).slice(lo, hi - lo).cast(pa.int64())
+                named = V.mix64(own.fill_null(-1).to_numpy().view(np.uint64) + np.uint64(2) * np.asarray(own.is_null(), np.uint64) * V._MULT)
+                content = V.mix64((total[begin[1:]] - total[begin[:-1]]) * V._pow("down", len(ids) + 1)[begin[:-1]] + named * V._BASE).tolist()
                 again = np.empty(len(content), np.uint64)
                 for i, c in enumerate(content):
                     again[i] = seen[c]
                     seen[c] += 1
-                doc = V.mix64(np.array(content, np.uint64) + V.mix64(again + V.mix64(task + np.uint64(1))) * V._MULT)
+                doc = V.mix64(np.array(content, np.uint64) + V.mix64(again + task) * V._MULT)
                 count = -(-n // length)
                 row = np.repeat(np.arange(len(n)), count)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * length
@@ -238,7 +240,7 @@ def pieces(docs: DataFrame, spec: str, groups: int, length: int = LENGTH, end: i
                 dealt = V.mix64(doc[row] + np.where(size == length, start + 1, 0).astype(np.uint64) * V._BASE)
                 edge = np.append(begin[row] + start, begin[-1]) * encoder.wide.itemsize
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(row)), pa.array(start), pa.array(size), pa.array(n[row]), _binary(ids, edge), pa.array((dealt % np.uint64(groups)).astype(np.int32)), pa.array(V.signed(dealt))],
+                    [own.take(pa.array(row)), pa.array(start), pa.array(size), pa.array(n[row]), _binary(ids, edge), pa.array((dealt % np.uint64(groups)).astype(np.int32)), pa.array(V.signed(dealt))],
                     [c.split()[0] for c in PIECE.split(", ")],
                 )
 
@@ -248,8 +250,7 @@ def pieces(docs: DataFrame, spec: str, groups: int, length: int = LENGTH, end: i
 def pack_documents(docs: DataFrame, spec: str, length: int = LENGTH, group: int = GROUP, slack: float = SLACK, end: int = END) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids, sequence_id, offset of every piece of docs (doc_id, text).
 
-    spec is the tokenizer as JSON; ids are little-endian 32-bit numbers. A row of docs that two tasks could hold in turn
-    (an unstable input) would be dealt twice or not at all, so docs must be a table or give the same rows each time.
+    spec is the tokenizer as JSON; ids are little-endian 32-bit numbers. A partition of docs must hold the same rows each time, in any order.
     """
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).collect()[0]
     most = rows + int(size or 0) // length  # an id has one byte of text at least, but for rare compositions
