@@ -110,13 +110,18 @@ BLOCKS = "block int, sparse boolean, data binary"
 
 
 class Counter:
-    """Counts of 2 ** bits buckets in one task."""
+    """Counts of 2 ** bits buckets in one task, in 16 bits each: those above ``MOST`` stay there."""
+
+    MOST = 32_767
 
     def __init__(self, bits: int):
-        self.bits, self.counts = bits, np.zeros(1 << bits, np.uint32)
+        self.bits, self.counts = bits, np.zeros(1 << bits, np.uint16)
 
     def add(self, keys: np.ndarray) -> None:
-        np.add.at(self.counts, bucket(keys, self.bits), np.uint32(1))
+        for lo in range(0, len(keys), self.MOST):  # so many at once cannot pass 16 bits
+            at = bucket(keys[lo : lo + self.MOST], self.bits)
+            np.add.at(self.counts, at, np.uint16(1))
+            self.counts[at[self.counts[at] > self.MOST]] = self.MOST
 
     def blocks(self) -> Iterator[tuple[int, bool, bytes]]:
         for i in range(0, len(self.counts), BLOCK):

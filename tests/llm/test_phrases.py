@@ -80,6 +80,17 @@ def test_equal_hashes_do_not_mix(spark, rows, monkeypatch):
     assert total == {(0, "a"): 2, (0, "b"): 1, (0, "c"): 1, (1, "a"): 2, (1, "b"): 2}
 
 
+def test_bucket_counts_stop_before_they_wrap():
+    c = P.Counter(16)
+    one = np.uint64(7) << np.uint64(48)
+    for n in (10, 40_000, 200_000, 70_000):
+        c.add(np.full(n, one))
+        c.add(np.arange(0, 1 << 16, dtype=np.uint64) << np.uint64(48))
+    assert c.counts[7] == c.MOST and set(np.delete(c.counts, 7).tolist()) == {4}
+    (block, sparse, data), = c.blocks()
+    assert (block, sparse, len(data)) == (0, False, 1 << 16) and data[7] == 255 and data[8] == 4
+
+
 def test_empty_and_limits(spark):
     assert mined(spark, []) == [] and mined(spark, [(None, None)]) == []
     with pytest.raises(ValueError):
