@@ -606,3 +606,19 @@ def test_draws_equal_numpy(spark, sf):
     labels = sorted(r.label_id for r in V.ref(spark, sf).select("label_id").distinct().collect())
     chains = {(r.r, r.pos): r.label_id for r in QUERIES["gallery_chains_seeded"](spark, sf).collect()}
     assert chains == {(r, p): labels[j] for r in range(9) for p, j in enumerate(np.random.default_rng(CG.SEED + r).permutation(len(labels)))}
+
+
+def test_weights_of_all_sets_in_one_join(spark):
+    """Sets of scenes draw from their own streams at once, and nothing is broadcast, whatever the threshold."""
+    from matchloom.functions import draws as D
+
+    sizes = {0: 7, 1: 1, 3: 40}  # set 2 has no scenes
+    scenes = spark.createDataFrame([(k, i, 1000 * k + i) for k, n in sizes.items() for i in range(n)], "stream long, i long, scene_id long")
+    got = D.boot_weights_by(scenes, [[5, k] for k in range(4)], 9)
+    want = {}
+    for k, n in sizes.items():
+        for b, row in enumerate(np.random.default_rng([5, k]).integers(0, n, (9, n))):
+            for i, w in zip(*np.unique(row, return_counts=True)):
+                want[k, b, 1000 * k + int(i)] = int(w)
+    assert {(r.stream, r.b, r.scene_id): r.w for r in got.collect()} == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
