@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,19 +144,31 @@ def center_patches(spark, sf):
 @query("rle_areas", f"WITH {V.PRED} SELECT scene_id, mask_no, ((x1-x0)*(y1-y0))::BIGINT AS area, true AS same FROM pred")
 def rle_areas(spark, sf):
     """Box masks, each in a frame of the box and one pixel around it, through run-length text and back: area, and whether decoding restores the mask."""
+    return V.pred(spark, sf).select("scene_id", "mask_no", "x0", "y0", "x1", "y1").mapInArrow(rle_boxes(), "scene_id long, mask_no long, area long, same boolean")
+
+
+SIZES_HELD = 1 << 16  # sizes of frames that a task remembers
+
+
+def rle_boxes(encode=X.rle_encode):
+    """The kernel of rle_areas. A frame depends on the size of its box alone, so each size is encoded and decoded once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(SIZES_HELD)
+        def both(h: int, w: int) -> tuple[int, bool]:
+            m = np.zeros((h + 2, w + 2), dtype=bool)
+            m[1:-1, 1:-1] = True
+            r = encode(m)
+            return X.rle_area(r), bool((X.rle_decode(r) == m).all())
+
         for b in batches:
-            area, same = [], []
-            for x0, y0, x1, y1 in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                m = np.zeros((int(y1 - y0) + 2, int(x1 - x0) + 2), dtype=bool)
-                m[1:-1, 1:-1] = True
-                r = X.rle_encode(m)
-                area.append(X.rle_area(r))
-                same.append(bool((X.rle_decode(r) == m).all()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area, pa.int64()), pa.array(same)], ["scene_id", "mask_no", "area", "same"])
-
-    return V.pred(spark, sf).select("scene_id", "mask_no", "x0", "y0", "x1", "y1").mapInArrow(run, "scene_id long, mask_no long, area long, same boolean")
+            x0, y0, x1, y1 = (c.to_numpy() for c in b.columns[2:])
+            size, at = np.unique(((y1 - y0).astype(np.int64) << 32) | (x1 - x0).astype(np.int64), return_inverse=True)
+            found = [both(k >> 32, k & 0xFFFFFFFF) for k in size.tolist()]
+            area, same = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(area[at]), pa.array(same[at])], ["scene_id", "mask_no", "area", "same"])
+
+    return run
 
 
 @query("pool_features", "WITH e AS (SELECT label, i, round(sum(embedding[i]::DOUBLE*(vec_id%7))/sum(vec_id%7),6) AS v FROM embeddings, (SELECT unnest(range(1,(SELECT max(len(embedding)) FROM embeddings)+1)) AS i) GROUP BY ALL) SELECT label, i::INT AS i, v FROM e")
