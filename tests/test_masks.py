@@ -126,3 +126,59 @@ def test_width_without_recursion():
                 reach |= reach[:, [k]] & reach[[k], :]
             best = max(bin(s).count("1") for s in range(1 << n) if not any(reach[a, b] for a in range(n) for b in range(n) if s >> a & 1 and s >> b & 1))
             assert N.matching_width(n, edges) == best
+
+
+def test_many_boxes_at_once():
+    """from_boxes, depths and Flat against the algebra of single masks; frames with negative places and a notch."""
+    rng = np.random.default_rng(5)
+    for h in (9, 30):
+        box = rng.integers(-3, 9, (60, 4))
+        box[:, 2:] += 1
+        box[:5] = [[0, 0, 4, h]] * 5  # columns that touch
+        notch = np.maximum(box[:, 2:] - box[:, :2], 0) // 2
+        for cut in (None, notch):
+            n, a, b = U.from_boxes(box, h, cut)
+            flat = U.Flat(n, a, b)
+            want = [U.from_box(tuple(x), h) for x in box.tolist()]
+            if cut is not None:
+                want = [U.minus(m, U.from_box((x[2] - d[0], x[1], x[2], x[1] + d[1]), h)) if min(d) > 0 else m for m, x, d in zip(want, box.tolist(), notch.tolist())]
+            own = [flat.one(j) for j in range(len(box))]
+            assert all(U.area(m) == U.area(U.covered([m], 1)) and np.array_equal(U.covered([m], 1), U.covered([w], 1)) for m, w in zip(own, want))
+            assert U.depths(a, b) == (U.area(U.covered(own, 1)), U.area(U.covered(own, 2)))
+            i, k = (x.ravel() for x in np.indices((60, 60)))
+            some = (flat.area[i] > 0) & (flat.area[k] > 0)
+            i, k = i[some], k[some]
+            assert flat.shared(i, k).tolist() == [U.area(U.covered([own[x], own[y]], 2)) if x != y else U.area(own[x]) for x, y in zip(i, k)]
+
+
+def test_shapes_are_made_where_they_are_needed(spark, sf):
+    """No run leaves a kernel: the masks of the queries travel as boxes, once after the view; pairs in slices give the same rows."""
+    from matchloom.plans.catalog import QUERIES
+
+    for name in ("mask_nesting", "mask_overlaps", "mask_crossings", "mask_redundancy"):
+        assert "array<" not in QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().treeString().lower() and "starts" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    masks, rng = {s: random_masks(np.random.default_rng(s), 14, 16, 18) for s in range(3)}, K.AT_ONCE
+    df = frame(spark, {s: [U.from_rle(X.rle_encode(m)) for m in v] for s, v in masks.items()})
+    want = sorted(K.shared(df).collect())
+    solved = []
+    plain, K.per_group = K.per_group, lambda d, key, solve, schema: solved.append(solve) or plain(d, key, solve, schema)
+    try:
+        K.AT_ONCE = 20
+        K.shared(df)
+        x = {"scene_id": np.full(16, 1), "mask_no": np.arange(16), **{c: np.array([*[U.from_rle(X.rle_encode(m))[e] for m in masks[1]], None], object)[:16] for e, c in enumerate(("starts", "ends"))}}
+        got = solved[0](x)
+        assert sorted(zip(*(got[c].tolist() for c in ("i", "k", "v")))) == [(r.i, r.k, r.v) for r in want if r.scene_id == 1]
+    finally:
+        K.AT_ONCE, K.per_group = rng, plain
+
+
+def test_a_size_of_box_is_encoded_once():
+    import pyarrow as pa
+
+    from matchloom.plans.catalog_misc import rle_boxes
+
+    seen = []
+    box = [(0.0, 0.0, 3.0, 2.0), (5.0, 1.0, 8.0, 3.0), (0.0, 0.0, 2.0, 3.0)] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150)), pa.array(range(150)), *(pa.array([b[j] for b in box]) for j in range(4))], ["scene_id", "mask_no", "x0", "y0", "x1", "y1"])
+    out = list(rle_boxes(lambda m: seen.append(m.shape) or X.rle_encode(m))(iter([batch, batch])))
+    assert sorted(seen) == [(4, 5), (5, 4)] and all(b.column(2).to_pylist() == [6] * 150 and all(b.column(3).to_pylist()) for b in out)
