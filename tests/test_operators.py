@@ -622,3 +622,41 @@ def test_weights_of_all_sets_in_one_join(spark):
                 want[k, b, 1000 * k + int(i)] = int(w)
     assert {(r.stream, r.b, r.scene_id): r.w for r in got.collect()} == want
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_scene_matches_like_its_groups(spark):
+    """match_scene against match_group by category and range: rivals, crowds, ties, empty boxes, no ground truth; ignored rows can be left out."""
+    from matchloom.operators import metrics as M
+
+    rng = np.random.default_rng(1)
+    ranges = (("all", 0.0, 1e10), ("small", 0.0, 99.5), ("large", 100.0, 1e10))
+    for n, m in ((0, 3), (5, 0), (40, 12), (60, 30)):
+        box = lambda k: dict(zip(("x0", "y0", "x1", "y1"), np.concatenate([c := rng.integers(0, 8, (2, k)), c + rng.integers(0, 13, (2, k))]).astype(float)))  # noqa: E731, B023
+        det = {"cat": np.sort(rng.integers(0, 3, n)), "no": np.arange(n), "score": np.zeros(n), **box(n)}
+        gt = {"cat": rng.integers(0, 3, m), "no": rng.integers(-1, m, m), "crowd": rng.random(m) < 0.2, **box(m)}
+        for (name, lo, hi), (got, hits, skips, nos) in zip(ranges, M.match_scene(det, gt, M.IOU_THRESHOLDS, ranges)):
+            assert name == got
+            for cat in range(3):
+                d, g = det["cat"] == cat, gt["cat"] == cat
+                one = {"det_no": det["no"][d], "score": det["score"][d], **{c: det[c][d] for c in ("x0", "y0", "x1", "y1")}}
+                two = {"gt_no": gt["no"][g], "iscrowd": gt["crowd"][g], **{c: gt[c][g] for c in ("x0", "y0", "x1", "y1")}}
+                want = M.match_group(one, two, M.IOU_THRESHOLDS, lo, hi, 100)
+                by = lambda c: want[c].reshape(10, -1).T  # noqa: E731, B023
+                assert np.array_equal((hits[d, None] >> np.arange(10)) & 1, by("matched")) and np.array_equal((skips[d, None] >> np.arange(10)) & 1, by("ignored")) and np.array_equal(nos[d], by("gt_no"))
+    d = spark.createDataFrame([(1, k, 0, 0.5, 0.0, 0.0, 5.0 * k, 5.0) for k in (1, 9)], "scene_id long, det_no long, label_id int, score double, x0 double, y0 double, x1 double, y1 double")
+    g = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 5.0, 5.0, False)], "scene_id long, gt_no long, gt_label int, x0 double, y0 double, x1 double, y1 double, iscrowd boolean")
+    assert M.packed(d, g, ranges=ranges).count() == 6 and M.packed(d, g, ranges=ranges, counted=True).count() == 4
+
+
+def test_sums_of_weights_leave_a_task_once_a_key(spark, monkeypatch):
+    """Totals of parts are summed before any shuffle, with weights of 8 and of 16 bits; full tasks give the same."""
+    from matchloom.operators import metrics as M
+
+    rows = spark.createDataFrame([(s, "all", s % 2, r, float((s * 7 + r) % 5), 1023 if (s + r) % 3 else 7, 8 if r else 0) for s in range(30) for r in range(4)], "scene_id long, area string, cat int, rank long, score double, hits int, skips int").repartition(3)
+    counts = spark.createDataFrame([(s, s % 2, 5) for s in range(30)], "scene_id long, cat int, n long")
+    w = spark.createDataFrame([(b, s, 400 if s == 3 and b == 2 else (s + b) % 3) for b in range(3) for s in range(30)], "b long, scene_id long, w long")
+    want = {(r.b, r.cat): (r.npig, r.ap) for r in M.average_precision(rows, counts, w).collect()}
+    for held in (M.SUMS_HELD, 1):
+        monkeypatch.setattr(M, "SUMS_HELD", held)
+        got = {(r.b, r.cat): (r.npig, r.ap) for r in M.bootstrap_ap(rows, counts, w, 3, [1.0, 3.0]).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-12 for k, v in want.items())
