@@ -660,3 +660,20 @@ def test_sums_of_weights_leave_a_task_once_a_key(spark, monkeypatch):
         monkeypatch.setattr(M, "SUMS_HELD", held)
         got = {(r.b, r.cat): (r.npig, r.ap) for r in M.bootstrap_ap(rows, counts, w, 3, [1.0, 3.0]).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-12 for k, v in want.items())
+
+
+def test_lsh_codes_leave_in_small_batches():
+    """Whatever the tables, few rows leave at once; the codes are those of the whole product."""
+    import pyarrow as pa
+
+    from matchloom.operators import search as S
+
+    rng = np.random.default_rng(4)
+    tables, bits, z = 900, 7, rng.normal(size=(500, 8))
+    p = rng.normal(size=(tables * bits, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([None if k == 3 else v.tolist() for k, v in enumerate(z)], pa.list_(pa.float64()))], ["vec_id", "z"])
+    out = list(S.lsh_codes(p, tables)(iter([batch])))
+    assert max(b.num_rows for b in out) <= S.CODES_AT_ONCE
+    want = ((z @ p.T > 0).reshape(500, tables, bits) * (1 << np.arange(bits))).sum(axis=2)
+    got = {(v, t): c for b in out for v, t, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())}
+    assert got == {(v, t): int(want[v, t]) for v in range(500) if v != 3 for t in range(tables)}
