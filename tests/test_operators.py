@@ -677,3 +677,23 @@ def test_lsh_codes_leave_in_small_batches():
     want = ((z @ p.T > 0).reshape(500, tables, bits) * (1 << np.arange(bits))).sum(axis=2)
     got = {(v, t): c for b in out for v, t, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())}
     assert got == {(v, t): int(want[v, t]) for v in range(500) if v != 3 for t in range(tables)}
+
+
+def test_weightings_in_blocks(spark, monkeypatch):
+    """Blocks of weightings, runs of detections and weights of 8 and 16 bits give the AP of every weighting; vectors hold the weights of ``boot``."""
+    from matchloom.operators import metrics as M
+    from matchloom.plans import views
+
+    rows = spark.createDataFrame([(s, "all", s % 3, r, None if s == 5 else float((s * 7 + r) % 5), 1023 if (s + r) % 3 else 7, 8 if r else 0) for s in range(30) for r in range(4)], "scene_id long, area string, cat int, rank long, score double, hits int, skips int").repartition(3).fillna(float("-inf"))
+    counts = spark.createDataFrame([(s, c, 5) for s in range(30) for c in (s % 2, 7)], "scene_id long, cat int, n long")
+    w = spark.createDataFrame([(b, s, 400 if s == 3 and b == 2 else (s + b) % 3) for b in range(40) for s in range(30) if (s + b) % 3], "b long, scene_id long, w long")
+    want = {(r.b, r.cat): (r.npig, r.ap) for r in M.average_precision(rows, counts, w).collect()}
+    monkeypatch.setattr(M, "RUN", 4)
+    for width in (16, 128):
+        monkeypatch.setattr(M, "WIDTH", width)
+        got = {(r.b, r.cat): (r.npig, M.np.mean(r.aps)) for r in M.blocked_ap(rows, counts, w, 40, ["cat"], [1.0, 3.0]).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-12 for k, v in want.items())
+    scenes = spark.range(100, 160).withColumnRenamed("id", "scene_id")
+    one = {(r.b, r.scene_id): r.w for r in views.boot(scenes, 70).collect()}
+    two = {(b, r.scene_id): n for r in views.boot_vectors(scenes, 70).collect() for b, n in enumerate(r.wv) if n}
+    assert one == two and sum(one.values()) == 60 * 70
