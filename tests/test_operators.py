@@ -684,7 +684,7 @@ def test_weightings_in_blocks(spark, monkeypatch):
     from matchloom.operators import metrics as M
     from matchloom.plans import views
 
-    rows = spark.createDataFrame([(s, "all", s % 3, r, None if s == 5 else float((s * 7 + r) % 5), 1023 if (s + r) % 3 else 7, 8 if r else 0) for s in range(30) for r in range(4)], "scene_id long, area string, cat int, rank long, score double, hits int, skips int").repartition(3).fillna(float("-inf"))
+    rows = spark.createDataFrame([(s, "all", s % 2, r, None if s == 5 else float((s * 7 + r) % 5), 1023 if (s + r) % 3 else 7, 8 if r else 0) for s in range(30) for r in range(4)], "scene_id long, area string, cat int, rank long, score double, hits int, skips int").repartition(3).fillna(float("-inf"))
     counts = spark.createDataFrame([(s, c, 5) for s in range(30) for c in (s % 2, 7)], "scene_id long, cat int, n long")
     w = spark.createDataFrame([(b, s, 400 if s == 3 and b == 2 else (s + b) % 3) for b in range(40) for s in range(30) if (s + b) % 3], "b long, scene_id long, w long")
     want = {(r.b, r.cat): (r.npig, r.ap) for r in M.average_precision(rows, counts, w).collect()}
