@@ -60,21 +60,19 @@ _BEST = ", ".join(f"b{k} AS (SELECT g.scene_id, g.gt_no, coalesce(max(p.iou),0)
 KEPT = f"{CS.RHO}, {V.GT}, {CS.PAIR}, {_BEST}, {_PER}, {V.boot_sql('gt')}"
 
 
-def _found(spark, sf):
-    """(scene_id, num, den) of ground truth found by all masks, the selected and the maximal ones, and the replicates' weights."""
-    g, m = V.gt(spark, sf), V.pred(spark, sf)
-    semi = lambda kept: m.join(kept, ["scene_id", "mask_no"], "left_semi")
-    per = lambda x: cut(B.best_per_gt(g, x).groupBy("scene_id").agg(F.count_if(F.col("best_iou") >= 0.5).alias("num"), F.count("*").alias("den")))
-    return per(m), per(semi(N.select(m))), per(semi(N.maximal(m, N.nested(m)))), cut(V.boot(g))
+def _sums(spark, sf, by=None):
+    """(by, b, den, every, rho, top): ground truth of the replicates, and what of it all masks, the selected and the maximal ones find."""
+    per = cut(N.found(V.gt(spark, sf), V.pred(spark, sf)))
+    own = per.select("*", *(F.expr(c).alias(n) for n, c in (by or {}).items()))
+    return S.weighted_sums(own, V.boot_vectors(per, 50), 50, ["den", "every", "rho", "top"], [*(by or {})])
 
 
 _OUTCOMES = "v AS (SELECT b, {by}, sum(w*rho_)/sum(w*den)-sum(w*every_)/sum(w*den) AS value FROM per JOIN boot USING (scene_id) GROUP BY ALL), ci AS (SELECT {names}, round(quantile_cont(value,0.025),6) AS lo, round(quantile_cont(value,0.975),6) AS hi FROM v GROUP BY ALL), oc AS (SELECT *, CASE WHEN lo>0 THEN 1 WHEN hi<0 THEN 3 ELSE 2 END AS outcome FROM ci)"
 
 
 def _outcomes(spark, sf, by):
-    every, rho, _, w = _found(spark, sf)
-    own = lambda x: x.select("*", *(F.expr(c).alias(n) for n, c in by.items()))
-    d = S.paired(S.ratio_bootstrap(own(rho), w, [*by]), S.ratio_bootstrap(own(every), w, [*by]), [*by])
+    typed = [F.col(n).cast(t).alias(n) for n, (_, t) in by.items()]
+    d = _sums(spark, sf, {n: c for n, (c, _) in by.items()}).select(*typed, (F.try_divide("rho", "den") - F.try_divide("every", "den")).alias("value"))
     return d.groupBy(*by).agg(*S.interval("value")).withColumn("outcome", R.outcome(F.col("lo"), F.col("hi")))
 
 
@@ -84,22 +82,21 @@ _LEVEL, _SPLIT = "scene_id % 3", "CASE WHEN scene_id % 4 = 0 THEN 'cal' ELSE 'te
 @query("verdict_outcomes", f"WITH RECURSIVE {KEPT}, {_OUTCOMES.format(by='scene_id%3 AS level', names='level')} SELECT * FROM oc")
 def verdict_outcomes(spark, sf):
     """What the selection does to recall at each level of scenes: better, worse or undecided, by a paired interval."""
-    return _outcomes(spark, sf, {"level": _LEVEL})
+    return _outcomes(spark, sf, {"level": (_LEVEL, "long")})
 
 
 @query("verdict_joint", f"WITH RECURSIVE {KEPT}, {_OUTCOMES.format(by='scene_id%3 AS level, ' + CR.SUBSET + ' AS split', names='level, split')} SELECT split, CASE WHEN count(DISTINCT outcome)=1 THEN max(outcome) END AS joint FROM oc GROUP BY 1")
 def verdict_joint(spark, sf):
     """The outcome that all levels of a split share, if they do."""
-    return R.joint(_outcomes(spark, sf, {"level": _LEVEL, "split": _SPLIT}), ["split"], "outcome")
+    return R.joint(_outcomes(spark, sf, {"level": (_LEVEL, "long"), "split": (_SPLIT, "string")}), ["split"], "outcome")
 
 
 @query("weak_variant", f"WITH RECURSIVE {KEPT}, v AS (SELECT b, sum(w*every_)/sum(w*den) AS e, sum(w*rho_)/sum(w*den) AS r, sum(w*top_)/sum(w*den) AS x FROM per JOIN boot USING (scene_id) GROUP BY b), l AS (SELECT round(quantile_cont(e-r,0.025),6) AS lo_rho, round(quantile_cont(e-x,0.025),6) AS lo_maximal FROM v) SELECT *, lo_rho>0 AND lo_maximal>0 AS weak FROM l")
 def weak_variant(spark, sf):
     """Whether both selections fall behind all masks in recall: both paired intervals above zero."""
-    every, rho, top, w = _found(spark, sf)
-    run = lambda x: S.ratio_bootstrap(x, w)
-    lo = lambda x, name: S.paired(run(every), run(x)).agg(S.interval("value")[0].alias(name))
-    both = lo(rho, "lo_rho").crossJoin(lo(top, "lo_maximal"))  # a row each
+    less = lambda c: (F.try_divide("every", "den") - F.try_divide(c, "den")).alias(c)
+    d = _sums(spark, sf).select(less("rho"), less("top"))
+    both = d.agg(S.interval("rho")[0].alias("lo_rho"), S.interval("top")[0].alias("lo_maximal"))
     return both.withColumn("weak", (F.col("lo_rho") > 0) & (F.col("lo_maximal") > 0))
 
 

@@ -697,3 +697,23 @@ def test_weightings_in_blocks(spark, monkeypatch):
     one = {(r.b, r.scene_id): r.w for r in views.boot(scenes, 70).collect()}
     two = {(b, r.scene_id): n for r in views.boot_vectors(scenes, 70).collect() for b, n in enumerate(r.wv) if n}
     assert one == two and sum(one.values()) == 60 * 70
+
+
+def test_selection_found_in_one_reading_of_a_scene(spark):
+    """Flags and counts of one kernel a scene are those of ``select``, ``maximal`` and ``best_per_gt``; a mask without a box is in no pair."""
+    from matchloom.operators import boxes as B
+    from matchloom.operators import nesting as N
+
+    rng = np.random.default_rng(11)
+    at = rng.integers(0, 12, size=(160, 2))
+    box = np.concatenate([at, at + rng.integers(1, 14, size=(160, 2))], axis=1).astype(float).tolist()
+    box[7] = [None] * 4
+    m = spark.createDataFrame([(k // 40, k % 40, 0, *b) for k, b in enumerate(box)], "scene_id long, mask_no long, label_id int, x0 double, y0 double, x1 double, y1 double")
+    g = spark.createDataFrame([(k // 9, k % 9, 0, float(k % 5), 2.0, float(k % 5 + 9), float(8 + k % 6)) for k in range(45)], "scene_id long, gt_no long, gt_label int, x0 double, y0 double, x1 double, y1 double")
+    want: dict = {}
+    for name, kept in (("every", m), ("rho", N.select(m)), ("top", N.maximal(m, N.nested(m)))):
+        for r in B.best_per_gt(g, m.join(kept, ["scene_id", "mask_no"], "left_semi")).collect():
+            want[r.scene_id, name] = want.get((r.scene_id, name), 0) + (r.best_iou >= 0.5)
+    rows = N.found(g, m.repartition(5)).collect()
+    assert len(rows) == 5 and {(r.scene_id, c): r[c] for r in rows for c in ("every", "rho", "top")} == want and all(r.den == 9 for r in rows)
+    assert sum(r.rho for r in rows) < sum(r.every for r in rows)
