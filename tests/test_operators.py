@@ -717,3 +717,21 @@ def test_selection_found_in_one_reading_of_a_scene(spark):
     rows = N.found(g, m.repartition(5)).collect()
     assert len(rows) == 5 and {(r.scene_id, c): r[c] for r in rows for c in ("every", "rho", "top")} == want and all(r.den == 9 for r in rows)
     assert sum(r.rho for r in rows) < sum(r.every for r in rows)
+
+
+def test_recall_variants_from_two_matchings(spark, tmp_path, monkeypatch):
+    """All variants are those that a matching for each of them gives, and two matchings serve all."""
+    from matchloom.operators import composite as E
+    from matchloom.plans import catalog_eval as CE
+    from matchloom.plans import catalog_scenes as K
+    from matchloom.plans import views
+    from matchloom.plans.cut import cut
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 150").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sf, calls, packed = str(tmp_path), [], E.M.packed
+    m, truth, of = cut(views.pred(spark, sf)), cut(K._truth(spark, sf)[1]), cut(CE._of(spark, sf))
+    monkeypatch.setattr(E.M, "packed", lambda *a, **k: calls.append(1) or packed(*a, **k))
+    got = {tuple(r) for r in E.recall_variants(m, truth, of, (1, 10)).collect()}
+    assert len(calls) == 2
+    one = E.recall(m.withColumnRenamed("mask_no", "det_no"), truth, of, (1, 10), True, 0.4)
+    assert {tuple(r) for r in one.collect()} == {r for r in got if r[1] and r[2] == 0.4} != set()
