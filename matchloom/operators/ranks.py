@@ -8,11 +8,16 @@ receives one row for each asked rank and pass, whatever the data look like.
 The numbers come from a source: the similarities of all pairs of queries and references, which are multiplied again in each pass and
 never kept, or a column. They may be in groups; a set is a union of groups, and its ranks are over all of them.
 
+Pairs are too many for four passes of sorting. Their first digit is a bin of equal width between the bounds of all similarities; a
+task adds up its counts in one array. Later passes look at the pairs in wanted bins only, which a table tells: they split bins into
+parts of equal width, until few numbers share a part with an asked rank, and the last pass counts those numbers as they are.
+
 Defined results: -0.0 counts as 0.0; nulls and non-finite numbers take no part; a rank out of range is an error; an empty set has no ranks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,11 +28,11 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..plans.cut import cut
 from .kernel import per_group
-from .search import Refs, fold_pairs
+from .search import Pairs, Refs
 
 PASSES, DIGIT = 4, 16
 _TOP = np.uint64(1 << 63)
-COUNTS = "slot int, digit int, n long"
+COUNTS, VALUES, DIGITS = "slot int, digit int, n long", "slot int, value double, n long", "i long, digit int, rest long, held long"
 AROUND = "g int, i int, below long, equal long, under double, over double"
 
 
@@ -81,21 +86,202 @@ def _near(group: np.ndarray, x: np.ndarray, levels: np.ndarray) -> list[pa.Array
     return [pa.array(c.astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int64, np.int64, np.float64, np.float64), strict=True)]
 
 
-#: (kernel over (groups, numbers), its columns as DDL) -> the rows of all blocks
+#: Of a column: (kernel over (groups, numbers), its columns as DDL) -> the rows of all batches
 Source = Callable[[Callable[[np.ndarray, np.ndarray], list[pa.Array]], str], DataFrame]
 
 
-def pairs(queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None) -> Source:
-    """All pairs' similarities; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
+#: First bins of a group; the counters of all groups; bits that split a wanted bin; bits below a bin.
+BIN_BITS, COUNTERS, SPLIT_BITS, FINE = 20, 1 << 22, 8, 32
+#: A pass that counts numbers as they are may meet so many that share a part with an asked rank, and so many in all.
+NODE_ROWS, LAST_ROWS = 1 << 20, 1 << 25
+BUFFER, ROWS_OUT, VECTORS_OUT = 1 << 21, 1 << 16, 1 << 12
+
+
+class Bins:
+    """Bins of the similarities of pairs: a key is the place of the pair's group, then the bin; a code has FINE bits more. Both rise with the similarity."""
+
+    def __init__(self, p: Pairs, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None, groups: np.ndarray):
+        self.by, self.groups, self.wild = by, groups, p.wild
+        self.bits = min(BIN_BITS, max(8, (COUNTERS // max(len(groups), 1)).bit_length() - 1))
+        self.half = float(1 << (self.bits - 1))
+        self.scale = (self.half - 1) / p.bound
+        self.none = len(groups) << self.bits  # the key of pairs that take no part
+
+    def place(self, s: np.ndarray) -> np.ndarray:
+        """Where similarities lie, in widths of a bin from the lowest."""
+        t = s * self.scale
+        t += self.half
+        return np.clip(np.nan_to_num(t, nan=0.0, posinf=np.inf, neginf=-np.inf), 0, 2 * self.half - 1) if self.wild else t
+
+    def keys(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> tuple[np.ndarray, np.ndarray]:
+        t = self.place(s)
+        key = t.astype(np.int64)
+        if self.by is not None:
+            g = self.by(own, r)
+            at = np.minimum(np.searchsorted(self.groups, g), len(self.groups) - 1)
+            live = self.groups[at] == g
+            key += at << self.bits
+            if not live.all():
+                key = np.where(live, key, self.none)
+        elif self.groups[0] != 0:  # without ``by`` all pairs are of group 0
+            key[:] = self.none
+        if self.wild:
+            key[~np.isfinite(s)] = self.none
+        return t, key
+
+
+class _Histogram:
+    """Counts the keys of a cell: COUNTS, a slot being the place of a group."""
+
+    def __init__(self, bins: Bins):
+        self.bins, self.n = bins, np.zeros(bins.none + 1, np.int64)
+        self.buffer, self.fill = np.empty(BUFFER, np.int64), 0
+
+    def _flush(self) -> None:
+        self.n += np.bincount(self.buffer[: self.fill], minlength=len(self.n))
+        self.fill = 0
+
+    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        if self.fill + s.size > BUFFER:
+            self._flush()
+        self.buffer[self.fill : self.fill + s.size] = self.bins.keys(s, own, r)[1].ravel()
+        self.fill += s.size
+        return iter(())
+
+    def end(self) -> Iterator[list[pa.Array]]:
+        self._flush()
+        yield from _counts(self.n[:-1], self.bins.bits)
+
+
+def _counts(n: np.ndarray, bits: int) -> Iterator[list[pa.Array]]:
+    """Counters other than 0 as columns of COUNTS; the last ``bits`` of a counter's place are its digit."""
+    at = np.flatnonzero(n)
+    for lo in range(0, len(at), ROWS_OUT):
+        x = at[lo : lo + ROWS_OUT]
+        yield [pa.array((x >> bits).astype(np.int32)), pa.array((x & ((1 << bits) - 1)).astype(np.int32)), pa.array(n[x])]
+
+
+class _Gate:
+    """Lets the pairs through whose code begins with a wanted key of ``depth`` bits below the bin."""
+
+    def __init__(self, bins: Bins, depth: int, wanted: np.ndarray):
+        self.bins, self.depth, self.wanted = bins, depth, wanted
+        self.open = np.zeros(bins.none + 1, bool)
+        self.open[wanted >> depth] = True
+
+    def hits(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(similarity, code, place of the wanted key) of each."""
+        t, key = self.bins.keys(s, own, r)
+        at = np.flatnonzero(self.open[key])
+        t, x = t.ravel()[at], s.ravel()[at]
+        code = (key.ravel()[at] << FINE) | ((t - np.floor(t)) * (1 << FINE)).astype(np.int64)
+        head = code >> (FINE - self.depth)
+        slot = np.minimum(np.searchsorted(self.wanted, head), len(self.wanted) - 1)
+        hit = self.wanted[slot] == head
+        return (x, code, slot) if hit.all() else (x[hit], code[hit], slot[hit])
+
+
+class _Split(_Gate):
+    """Counts the next ``bits`` of what is let through: (slot, v), a slot's counters in 32 or 64 bits each."""
+
+    def __init__(self, bins: Bins, depth: int, wanted: np.ndarray, bits: int):
+        super().__init__(bins, depth, wanted)
+        self.bits, self.n = bits, np.zeros(len(wanted) << bits, np.int64)
+
+    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        _, code, slot = self.hits(s, own, r)
+        np.add.at(self.n, (slot << self.bits) | ((code >> (FINE - self.depth - self.bits)) & ((1 << self.bits) - 1)), 1)
+        return iter(())
+
+    def end(self) -> Iterator[list[pa.Array]]:
+        n = self.n.reshape(len(self.wanted), -1)
+        if int(self.n.max(initial=0)) < 1 << 32:
+            n = n.astype("<u4")
+        at = np.flatnonzero(n.any(axis=1))
+        for lo in range(0, len(at), VECTORS_OUT):
+            x = at[lo : lo + VECTORS_OUT]
+            yield [pa.array(x.astype(np.int32)), pa.array([v.tobytes() for v in n[x]], pa.binary())]
+
+
+class _Held(_Gate):
+    """Hands on what is let through, about BUFFER numbers at a time, to ``out``."""
+
+    def __init__(self, bins: Bins, depth: int, wanted: np.ndarray):
+        super().__init__(bins, depth, wanted)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.fill = 0
+
+    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        got = self.hits(s, own, r)
+        if len(got[0]):
+            self.held.append(got)
+            self.fill += len(got[0])
+        if self.fill > BUFFER:
+            yield from self.end()
+
+    def end(self) -> Iterator[list[pa.Array]]:
+        if self.held:
+            x, code, slot = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            self.held, self.fill = [], 0
+            yield from self.out(x + 0.0, code, slot)
 
-    def source(count: Callable, names: str) -> DataFrame:
-        def fold(s: np.ndarray, own: pa.RecordBatch, r: Refs) -> list[pa.Array]:
-            group = np.zeros(s.shape, np.int64) if by is None else np.broadcast_to(by(own, r), s.shape).astype(np.int64)
-            return count(group.ravel(), s.ravel())
 
-        return fold_pairs(queries, refs, keep or [], fold, names)
+class _Values(_Held):
+    """(slot, value, n): numbers as they are, equal ones together."""
 
-    return source
+    def out(self, x: np.ndarray, code: np.ndarray, slot: np.ndarray) -> Iterator[list[pa.Array]]:
+        o = np.lexsort((x, slot))
+        x, slot = x[o], slot[o]
+        head = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (slot[1:] != slot[:-1])]))
+        n = np.diff(np.append(head, len(x)))
+        for lo in range(0, len(head), ROWS_OUT):
+            h = head[lo : lo + ROWS_OUT]
+            yield [pa.array(slot[h].astype(np.int32)), pa.array(x[h]), pa.array(n[lo : lo + ROWS_OUT])]
+
+
+class _Around(_Held):
+    """AROUND of the numbers in wanted bins; ``below`` counts those in a level's own bin only."""
+
+    def __init__(self, bins: Bins, wanted: np.ndarray, levels: np.ndarray):
+        super().__init__(bins, 0, wanted)
+        self.levels, self.own = levels, bins.place(levels).clip(0, 2 * bins.half - 1).astype(np.int64)
+
+    def out(self, x: np.ndarray, code: np.ndarray, slot: np.ndarray) -> Iterator[list[pa.Array]]:
+        at = code >> (FINE + self.bins.bits)
+        for g in np.unique(at).tolist():
+            v = np.sort(x[at == g])
+            begin = np.searchsorted(self.bins.place(v).astype(np.int64), self.own, "left")
+            lo, hi = np.searchsorted(v, self.levels, "left"), np.searchsorted(v, self.levels, "right")
+            under = np.where(lo > 0, v[np.maximum(lo - 1, 0)], -np.inf)
+            over = np.where(lo < len(v), v[np.minimum(lo, len(v) - 1)], np.inf)
+            yield [pa.array(c.astype(t)) for c, t in zip((np.full(len(lo), self.bins.groups[g]), np.arange(len(lo)), np.maximum(lo - begin, 0), hi - lo, under, over), (np.int32, np.int32, np.int64, np.int64, np.float64, np.float64), strict=True)]
+
+
+class _Above:
+    """(s): the numbers above a level."""
+
+    def __init__(self, level: float):
+        self.level = level
+
+    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        x = s[(s > self.level) & (s < np.inf)]
+        if len(x):
+            yield [pa.array(x)]
+
+    def end(self) -> Iterator[list[pa.Array]]:
+        return iter(())
+
+
+class PairSource:
+    """The similarities of all pairs; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
+
+    def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None):
+        self.pairs, self.by = Pairs(queries, refs, keep), by
+
+
+def pairs(queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None) -> PairSource:
+    """All pairs' similarities; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
+    return PairSource(queries, refs, keep, by)
 
 
 def column(df: DataFrame, value: str, group: str | None = None) -> Source:
@@ -116,43 +302,90 @@ def column(df: DataFrame, value: str, group: str | None = None) -> Source:
 class Ranks:
     """Order statistics of the numbers of a source. sets: the groups of each set; without it, every group below ``groups`` is a set."""
 
-    def __init__(self, source: Source, sets: dict[int, list[int]] | None = None, groups: int = 1):
+    def __init__(self, source: Source | PairSource, sets: dict[int, list[int]] | None = None, groups: int = 1):
         self.source, self.sets = source, sets if sets is not None else {g: [g] for g in range(groups)}
         used = np.unique([g for x in self.sets.values() for g in x]).astype(np.int64)
+        self.used, self.bins = used, Bins(source.pairs, source.by, used) if isinstance(source, PairSource) and len(used) else None
         self.first = Wanted(0, used, np.zeros(len(used)))
-        self.counts = cut(source(self.first.count, COUNTS).groupBy("slot", "digit").agg(F.sum("n").alias("n"))) if len(used) else None
-        held = {int(self.first.keys[r["slot"]] >> np.uint64(DIGIT * (PASSES - 1))): r["n"] for r in self.counts.groupBy("slot").agg(F.sum("n").alias("n")).collect()} if len(used) else {}  # a row a group
+        bins = self.bins
+        first = None if not len(used) else source(self.first.count, COUNTS) if bins is None else source.pairs.gather(lambda: _Histogram(bins), COUNTS)
+        self.counts = cut(first.groupBy("slot", "digit").agg(F.sum("n").alias("n"))) if len(used) else None
+        held = {int(used[r["slot"]]): r["n"] for r in self.counts.groupBy("slot").agg(F.sum("n").alias("n")).collect()} if len(used) else {}  # a row a group
         self.group_n = held
         self.n = {k: sum(held.get(g, 0) for g in x) for k, x in self.sets.items()}
 
-    def _step(self, step: int, which: np.ndarray, prefix: np.ndarray, rest: np.ndarray) -> DataFrame:
-        """(i, digit, rest) of each asked rank i, which is the rest-th number of set which[i] that begins with prefix[i]."""
+    def _nodes(self, which: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the different pairs of set and prefix, the place there of each asked rank; of every set's group: place, and group)."""
         nodes, node = np.unique(np.stack([which.astype(np.uint64), prefix]), axis=1, return_inverse=True)
         members = [(i, g) for i, k in enumerate(nodes[0].tolist()) for g in self.sets[k]]
-        at, group = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
-        if step == 0:
-            wanted, counts = self.first, self.counts
-        else:
-            wanted = Wanted(step, group, nodes[1][at])
-            counts = self.source(wanted.count, COUNTS).groupBy("slot", "digit").agg(F.sum("n").alias("n"))
-        slot = wanted.slots(group, nodes[1][at])
-        spark = counts.sparkSession
-        of = F.broadcast(spark.createDataFrame(pa.table({"slot": pa.array(slot, pa.int32()), "node": pa.array(at, pa.int32())})))  # sets' groups x asked ranks at most
+        return nodes, node, np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
+
+    def _pick(self, counts: DataFrame, by: str, slot: np.ndarray, at: np.ndarray, nodes: int, node: np.ndarray, rest: np.ndarray, schema: str, bits: int = 0) -> DataFrame:
+        """(i, by, rest, held) of each asked rank i: among the counts of its node's slots the one by that has its rest-th number, which holds ``held``. Counts are rows, or vectors of 2^bits counters."""
+        of = F.broadcast(counts.sparkSession.createDataFrame(pa.table({"slot": pa.array(slot, pa.int32()), "node": pa.array(at, pa.int32())})))  # sets' groups x asked ranks at most
         order = np.lexsort((rest, node))
-        begin = np.searchsorted(node[order], np.arange(nodes.shape[1] + 1))
+        begin = np.searchsorted(node[order], np.arange(nodes + 1))
         asked = rest[order]
 
         def read(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
             k = int(x["node"][0])
             lo, hi = int(begin[k]), int(begin[k + 1])
-            o = np.argsort(x["digit"], kind="stable")
-            digit, n = x["digit"][o], x["n"][o]
+            if "v" in x:
+                n = np.zeros(1 << bits, np.int64)
+                for v in x["v"]:
+                    n += np.frombuffer(v, f"<u{len(v) >> bits}").astype(np.int64)
+                digit = np.arange(len(n))
+            else:
+                o = np.argsort(x[by], kind="stable")
+                digit, n = x[by][o], x["n"][o]
             up = np.cumsum(n)
             j = np.searchsorted(up, asked[lo:hi], "right")
-            return {"i": order[lo:hi], "digit": digit[j], "rest": asked[lo:hi] - (up[j] - n[j])}
+            return {"i": order[lo:hi], by: digit[j], "rest": asked[lo:hi] - (up[j] - n[j]), "held": n[j]}
+
+        met = counts.join(of, "slot")
+        merged = met.select("node", "v") if "v" in counts.columns else met.groupBy("node", by).agg(F.sum("n").alias("n"))  # a bounded number of rows a node
+        return per_group(merged, "node", read, schema)
 
-        merged = counts.join(of, "slot").groupBy("node", "digit").agg(F.sum("n").alias("n"))  # 65,536 rows a node at most
-        return per_group(merged, "node", read, "i long, digit int, rest long")
+    def _step(self, step: int, which: np.ndarray, prefix: np.ndarray, rest: np.ndarray) -> DataFrame:
+        """(i, digit, rest, held) of each asked rank i, which is the rest-th number of set which[i] that begins with prefix[i]."""
+        nodes, node, at, group = self._nodes(which, prefix)
+        if step == 0:
+            wanted, counts = self.first, self.counts
+        else:
+            wanted = Wanted(step, group, nodes[1][at])
+            counts = self.source(wanted.count, COUNTS).groupBy("slot", "digit").agg(F.sum("n").alias("n"))
+        return self._pick(counts, "digit", wanted.slots(group, nodes[1][at]), at, nodes.shape[1], node, rest, DIGITS)
+
+    def _within(self, which: np.ndarray, prefix: np.ndarray, rest: np.ndarray, depth: int, bits: int | None) -> DataFrame:
+        """_step over pairs whose codes begin with prefix[i], of ``depth`` bits below the bin: the next ``bits``, or without it (i, value, rest, held)."""
+        nodes, node, at, group = self._nodes(which, prefix)
+        bins, gather = self.bins, self.source.pairs.gather
+        key = (np.searchsorted(self.used, group) << (bins.bits + depth)) | nodes[1][at].astype(np.int64)
+        wanted = np.unique(key)
+        if bits is None:
+            counts = gather(lambda: _Values(bins, depth, wanted), VALUES).groupBy("slot", "value").agg(F.sum("n").alias("n"))
+            return self._pick(counts, "value", np.searchsorted(wanted, key), at, nodes.shape[1], node, rest, "i long, value double, rest long, held long")
+        counts = gather(lambda: _Split(bins, depth, wanted, bits), "slot int, v binary")
+        return self._pick(counts, "digit", np.searchsorted(wanted, key), at, nodes.shape[1], node, rest, DIGITS, bits)
+
+    def _frame_of_pairs(self, which: np.ndarray, rank: np.ndarray) -> DataFrame:
+        """``frame`` over pairs: bins are split until few numbers share a part with an asked rank, or until that no longer parts them (equal ones)."""
+        prefix, rest, depth, last, bits = np.zeros(len(rank), np.uint64), rank, 0, math.inf, self.bins.bits
+        got = self._step(0, which, prefix, rest).toArrow()  # a row for each asked rank
+        while True:
+            i = got.column("i").to_numpy()
+            held = np.zeros(len(rank), np.int64)
+            prefix, rest = prefix.copy(), rest.copy()
+            prefix[i] = (prefix[i] << np.uint64(bits)) | got.column("digit").to_numpy().astype(np.uint64)
+            rest[i], held[i] = got.column("rest").to_numpy(), got.column("held").to_numpy()
+            nodes, first = np.unique(np.stack([which.astype(np.uint64), prefix]), axis=1, return_index=True)
+            total = int(held[first].sum())
+            bits = min(SPLIT_BITS, max(1, (COUNTERS * 2 // len(first)).bit_length() - 1))
+            if total <= LAST_ROWS and held.max() <= NODE_ROWS or depth + bits > FINE or total > last / 2:
+                return self._within(which, prefix, rest, depth, None).select("i", "value")
+            last = total
+            got = self._within(which, prefix, rest, depth, bits).toArrow()
+            depth += bits
 
     def frame(self, which: np.ndarray, rank: np.ndarray) -> DataFrame:
         """(i, value) of the asked ranks (0 for the smallest) of sets; a rank out of range is an error."""
@@ -160,6 +393,8 @@ class Ranks:
         n = np.array([self.n[k] for k in which.tolist()], np.int64)
         if ((rank < 0) | (rank >= n)).any():
             raise ValueError("a rank is out of range")
+        if self.bins is not None:
+            return self._frame_of_pairs(which, rank)
         prefix, rest = np.zeros(len(rank), np.uint64), rank
         for step in range(PASSES - 1):
             got = self._step(step, which, prefix, rest).toArrow()  # a row for each asked rank
@@ -213,11 +448,36 @@ class Ranks:
         met = ends.join(found, "i").groupBy("q").agg(F.max(F.when(~F.col("high"), F.col("value"))).alias("a"), F.max(F.when(F.col("high"), F.col("value"))).alias("b"), F.max(F.when(F.col("high"), F.col("w"))).alias("w"))
         return met.select(F.col("q").alias("i"), (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
 
+    def _around_of_pairs(self, levels: np.ndarray) -> DataFrame | None:
+        """AROUND: the first counts tell what lies in bins below a level's own; that bin and its neighbours that hold numbers are gone through."""
+        bins = self.bins
+        own = bins.place(levels).clip(0, 2 * bins.half - 1).astype(np.int64)
+
+        def read(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            o = np.argsort(x["digit"])
+            digit, up = x["digit"][o].astype(np.int64), np.cumsum(x["n"][o])
+            lo, hi = np.searchsorted(digit, own, "left"), np.searchsorted(digit, own, "right")
+            side = lambda at, here: np.where(here, digit[np.clip(at, 0, len(digit) - 1)], -1)
+            return {"slot": np.full(len(own), x["slot"][0]), "i": np.arange(len(own)), "below": np.where(lo > 0, up[np.maximum(lo - 1, 0)], 0), "before": side(lo - 1, lo > 0), "after": side(hi, hi < len(digit))}
+
+        found = per_group(self.counts, "slot", read, "slot int, i int, below long, before long, after long").toArrow()  # a row a group and level
+        if not found.num_rows:
+            return None
+        slot, i, below, before, after = (found.column(c).to_numpy() for c in ("slot", "i", "below", "before", "after"))
+        near = np.concatenate([(slot.astype(np.int64) << bins.bits) | b for b in (own[i], before, after)])
+        wanted = np.unique(near[np.concatenate([np.ones(len(i), bool), before >= 0, after >= 0])])
+        rows = self.source.pairs.gather(lambda: _Around(bins, wanted, levels), AROUND)
+        base = pa.table({"g": self.used[slot].astype(np.int32), "i": i, "below": below, "equal": np.zeros(len(i), np.int64), "under": np.full(len(i), -np.inf), "over": np.full(len(i), np.inf)})
+        return rows.union(rows.sparkSession.createDataFrame(base, AROUND))
+
     def around(self, levels: np.ndarray) -> dict[tuple[int, int], tuple[int, int, float, float]]:
         """{(set, i): (numbers below levels[i], equal to it, the largest below, the smallest from it on)}: one pass, a row a group and level."""
         levels = np.asarray(levels, float) + 0.0
-        rows = self.source(lambda group, x: _near(group, x, levels), AROUND)
-        got = {(r["g"], r["i"]): r for r in rows.groupBy("g", "i").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), F.max("under").alias("under"), F.min("over").alias("over")).collect()}
+        if self.bins is not None:
+            rows = self._around_of_pairs(levels)
+        else:
+            rows = self.source(lambda group, x: _near(group, x, levels), AROUND)
+        got = {(r["g"], r["i"]): r for r in rows.groupBy("g", "i").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), F.max("under").alias("under"), F.min("over").alias("over")).collect()} if rows is not None else {}
         out = {}
         for k, members in self.sets.items():
             for i in range(len(levels)):
@@ -251,6 +511,5 @@ def top(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     if every is not None:
         return every
     level = float(r.values(np.array([0]), np.array([n - k]))[0])
-    above = n - sum(r.around(np.array([level]))[0, 0][:2])
-    more = queries.sparkSession.range(k - above).select(F.lit(level).alias("s"))
-    return similarities(queries, refs, [], least=float(np.nextafter(level, np.inf))).select("s").union(more)
+    above = cut(r.source.pairs.gather(lambda: _Above(level), "s double"))  # fewer than k rows
+    return above.union(queries.sparkSession.range(k - above.count()).select(F.lit(level).alias("s")))

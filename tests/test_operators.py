@@ -267,6 +267,41 @@ def test_search_against_brute_force(spark, monkeypatch, pool, limit):
     assert S.similarities(queries, refs.limit(0), ["q"]).count() == 0 and RK.Ranks(RK.pairs(queries, refs.limit(0))).n == {0: 0}
 
 
+@pytest.mark.parametrize("held", [(1 << 20, 1 << 24), (20, 100)])
+def test_ranks_of_pairs_by_bins(spark, monkeypatch, held):
+    """Many cells from rows of one partition, each counting once; bins that must be split, equal vectors, numbers far apart, products that are not finite."""
+    monkeypatch.setattr(RK, "NODE_ROWS", held[0])
+    monkeypatch.setattr(RK, "LAST_ROWS", held[1])
+    monkeypatch.setattr(S, "CELL_BYTES", 8 * 4 * 100)
+    monkeypatch.setattr(S, "CELL_QUERIES", 128)
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(400, 4)), rng.normal(size=(300, 4))
+    a[:200], b[:150], a[200], b[200] = a[0], b[0], 0.0, 1e-9
+    b[299] = a[399] = 1e200
+    frame = lambda z, id_: spark.createDataFrame([(i, i % 3, i, x.tolist()) for i, x in enumerate(z)], f"{id_} long, label_id int, insert_no long, z array<double>").coalesce(1)
+    for n, wild in ((-1, False), (None, True)):
+        x, y = a[:n], b[:n]
+        with np.errstate(over="ignore"):
+            s = (x @ y.T).ravel()
+        s = np.sort(s[np.isfinite(s)])
+        source = RK.pairs(frame(x, "q"), frame(y, "ref_id"))
+        assert source.pairs.wild == wild and source.pairs.blocks >= 3 and source.pairs.parts >= 4
+        bins = RK.Bins(source.pairs, None, np.zeros(1, int))
+        passed = source.pairs.gather(lambda: RK._Histogram(bins), RK.COUNTS).groupBy("slot", "digit").count()  # noqa: B023
+        assert passed.agg({"count": "max"}).collect()[0][0] <= source.pairs.blocks * source.pairs.parts
+        d = RK.Ranks(source)
+        assert d.n == {0: len(s)}
+        ranks = np.unique(np.concatenate([np.arange(0, len(s), 997), [0, 1, len(s) - 2, len(s) - 1]]))
+        assert np.allclose(d.values(np.zeros(len(ranks), int), ranks), s[ranks], rtol=1e-12, atol=1e-15)
+        levels = np.array([-50.0, 0.0, 0.3, 1e201])
+        for i, level in enumerate(levels):
+            below, equal, under, over = d.around(levels)[0, i]
+            assert (below, equal) == (int((s < level).sum()), int((s == level).sum()))
+            assert under == pytest.approx(max(s[s < level], default=-np.inf)) and over == pytest.approx(min(s[s >= level], default=np.inf))
+        top = np.sort([r.s for r in RK.top(frame(x, "q"), frame(y, "ref_id"), 31_000).collect()])
+        assert np.allclose(top, s[-31_000:], rtol=1e-12, atol=1e-15)
+
+
 @pytest.mark.parametrize("rows_at_once", [4096, 7])
 def test_products_within_labels(spark, monkeypatch, rows_at_once):
     """A label with most rows, in blocks too; rows without label or sound vector; work is by label."""
