@@ -509,6 +509,16 @@ def test_growth_rules_on_a_fixture(spark, sf):
         assert r.refined == ("a" if model else "b" if quantile else "c") and r.as_written == (None if not model and fixed else r.refined)
 
 
+@pytest.mark.parametrize("name", ["growth_rules"])
+def test_growth_multiplies_pairs_thrice(spark, sf, monkeypatch, name):
+    """Counts, what lies about the thresholds, and the model's thresholds if any kappa is in range: one pass over all pairs each, for all chains and rates."""
+    from matchloom.plans.catalog import QUERIES
+
+    passes, gather = [], S.Pairs.gather
+    monkeypatch.setattr(S.Pairs, "gather", lambda *x: passes.append(x[2]) or gather(*x))
+    assert QUERIES[name](spark, sf).columns and passes in ([RK.COUNTS, RK.AROUND], [RK.COUNTS, RK.AROUND, RK.VALUES])
+
+
 def test_pool_equals_pooled_over_all_components(spark):
     rng = np.random.default_rng(5)
     z = rng.normal(size=(12, 9)).astype(np.float32)
