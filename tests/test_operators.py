@@ -519,6 +519,16 @@ def test_growth_multiplies_pairs_thrice(spark, sf, monkeypatch, name):
     assert QUERIES[name](spark, sf).columns and passes in ([RK.COUNTS, RK.AROUND], [RK.COUNTS, RK.AROUND, RK.VALUES])
 
 
+def test_a_large_gallery_meets_queries_in_many_tasks(spark, monkeypatch, pool):
+    """Queries of one partition are dealt out, broadcast and grid alike; a cell's blocks leave it one by one."""
+    monkeypatch.setattr(S, "SPREAD_REFS", 20)
+    monkeypatch.setattr(S, "TILE", (1, 8))
+    _, refs, queries = pool
+    for limit in (64 << 20, 400):
+        monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+        assert S.similarities(queries.coalesce(1), refs, ["q"]).rdd.getNumPartitions() >= 3
+
+
 def test_pool_equals_pooled_over_all_components(spark):
     rng = np.random.default_rng(5)
     z = rng.normal(size=(12, 9)).astype(np.float32)
