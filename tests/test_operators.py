@@ -509,7 +509,7 @@ def test_growth_rules_on_a_fixture(spark, sf):
         assert r.refined == ("a" if model else "b" if quantile else "c") and r.as_written == (None if not model and fixed else r.refined)
 
 
-@pytest.mark.parametrize("name", ["growth_rules"])
+@pytest.mark.parametrize("name", ["growth_rules", "verdict_rejection"])
 def test_growth_multiplies_pairs_thrice(spark, sf, monkeypatch, name):
     """Counts, what lies about the thresholds, and the model's thresholds if any kappa is in range: one pass over all pairs each, for all chains and rates."""
     from matchloom.plans.catalog import QUERIES
