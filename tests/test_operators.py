@@ -529,6 +529,13 @@ def test_a_large_gallery_meets_queries_in_many_tasks(spark, monkeypatch, pool):
         assert S.similarities(queries.coalesce(1), refs, ["q"]).rdd.getNumPartitions() >= 3
 
 
+def test_graph_recall_asks_for_every_fiftieth_id(spark, sf):
+    from matchloom.plans import views as V
+    from matchloom.plans.catalog import QUERIES
+
+    assert QUERIES["graph_recall"](spark, sf).collect()[0].n == V.query(spark, sf).filter("vec_id % 50 = 0").count() > 0
+
+
 def test_pool_equals_pooled_over_all_components(spark):
     rng = np.random.default_rng(5)
     z = rng.normal(size=(12, 9)).astype(np.float32)
