@@ -101,7 +101,7 @@ class Bins:
     """Bins of the similarities of pairs: a key is the place of the pair's group, then the bin; a code has FINE bits more. Both rise with the similarity."""
 
     def __init__(self, p: Pairs, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None, groups: np.ndarray):
-        self.by, self.groups, self.wild = by, groups, p.wild
+        self.by, self.groups, self.wild, self.floor = by, groups, p.wild, p.floor
         self.bits = min(BIN_BITS, max(8, (COUNTERS // max(len(groups), 1)).bit_length() - 1))
         self.half = float(1 << (self.bits - 1))
         self.scale = (self.half - 1) / p.bound
@@ -130,12 +130,29 @@ class Bins:
         return t, key
 
 
+    def at(self, own: pa.RecordBatch, r: Refs) -> np.ndarray:
+        """The place of each pair's group, -1 where it takes no part: a matrix, or a row for all queries."""
+        g = self.by(own, r) if self.by is not None else np.zeros((1, len(r.z)), np.int64)
+        at = np.minimum(np.searchsorted(self.groups, g), len(self.groups) - 1)
+        return np.where(self.groups[at] == g, at, -1)
+
+    def some(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``keys`` of single pairs, by the places of their groups."""
+        t = self.place(s)
+        return t, np.where(at >= 0, t.astype(np.int64) + (at << self.bits), self.none)
+
+
+def _of(at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """What a matrix, or a row for all queries, says of pairs (i, j)."""
+    return at[0, j] if len(at) == 1 else at[i, j]
+
+
 class _Histogram:
-    """Counts the keys of a cell: COUNTS, a slot being the place of a group."""
+    """Counts the keys of a cell: COUNTS, a slot being the place of a group. Bin 0, which no similarity has, takes all below the floor."""
 
     def __init__(self, bins: Bins):
-        self.bins, self.n = bins, np.zeros(bins.none + 1, np.int64)
-        self.buffer, self.fill = np.empty(BUFFER, np.int64), 0
+        self.bins, self.n, self.level = bins, np.zeros(bins.none + 1, np.int64), bins.floor
+        self.buffer, self.fill, self.all = np.empty(BUFFER, np.int64), 0, np.zeros(len(bins.groups), np.int64)
 
     def _flush(self) -> None:
         self.n += np.bincount(self.buffer[: self.fill], minlength=len(self.n))
@@ -148,8 +165,21 @@ class _Histogram:
         self.fill += s.size
         return iter(())
 
+    def some(self, s: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        if self.fill + len(s) > BUFFER:
+            self._flush()
+        at = self.bins.at(own, r)
+        self.buffer[self.fill : self.fill + len(s)] = self.bins.some(s, _of(at, i, j))[1]
+        self.fill += len(s)
+        if rows:
+            self.all += np.bincount(at.ravel() + 1, minlength=len(self.all) + 1)[1:] * (rows if len(at) == 1 else 1)
+        return iter(())
+
     def end(self) -> Iterator[list[pa.Array]]:
         self._flush()
+        if self.level is not None:
+            n = self.n[:-1].reshape(len(self.all), -1)
+            n[:, 0] += self.all - n.sum(axis=1)
         yield from _counts(self.n[:-1], self.bins.bits)
 
 
@@ -165,13 +195,23 @@ class _Gate:
     """Lets the pairs through whose code begins with a wanted key of ``depth`` bits below the bin."""
 
     def __init__(self, bins: Bins, depth: int, wanted: np.ndarray):
-        self.bins, self.depth, self.wanted = bins, depth, wanted
+        self.bins, self.depth, self.wanted, self.level = bins, depth, wanted, bins.floor
         self.open = np.zeros(bins.none + 1, bool)
         self.open[wanted >> depth] = True
 
     def hits(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(similarity, code, place of the wanted key) of each."""
-        t, key = self.bins.keys(s, own, r)
+        return self._through(s, *self.bins.keys(s, own, r))
+
+    def some(self, s: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        if not len(s):
+            return iter(())
+        return self.take(*self._through(s, *self.bins.some(s, _of(self.bins.at(own, r), i, j))))
+
+    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        return self.take(*self.hits(s, own, r))
+
+    def _through(self, s: np.ndarray, t: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.open[key])
         t, x = t.ravel()[at], s.ravel()[at]
         code = (key.ravel()[at] << FINE) | ((t - np.floor(t)) * (1 << FINE)).astype(np.int64)
@@ -188,8 +228,7 @@ class _Split(_Gate):
         super().__init__(bins, depth, wanted)
         self.bits, self.n = bits, np.zeros(len(wanted) << bits, np.int64)
 
-    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
-        _, code, slot = self.hits(s, own, r)
+    def take(self, x: np.ndarray, code: np.ndarray, slot: np.ndarray) -> Iterator[list[pa.Array]]:
         np.add.at(self.n, (slot << self.bits) | ((code >> (FINE - self.depth - self.bits)) & ((1 << self.bits) - 1)), 1)
         return iter(())
 
@@ -211,8 +250,7 @@ class _Held(_Gate):
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.fill = 0
 
-    def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
-        got = self.hits(s, own, r)
+    def take(self, *got: np.ndarray) -> Iterator[list[pa.Array]]:
         if len(got[0]):
             self.held.append(got)
             self.fill += len(got[0])
@@ -275,13 +313,16 @@ class _Above:
 class PairSource:
     """The similarities of all pairs; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
 
-    def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None):
-        self.pairs, self.by = Pairs(queries, refs, keep), by
+    def __init__(self, queries: DataFrame, refs: DataFrame, keep: list[str] | None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None, floor: float | None = None):
+        self.pairs, self.by = Pairs(queries, refs, keep, floor), by
 
 
-def pairs(queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None) -> PairSource:
-    """All pairs' similarities; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
-    return PairSource(queries, refs, keep, by)
+def pairs(queries: DataFrame, refs: DataFrame, keep: list[str] | None = None, by: Callable[[pa.RecordBatch, Refs], np.ndarray] | None = None, floor: float | None = None) -> PairSource:
+    """All pairs' similarities; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries.
+
+    ``floor``: what lies below is counted, but looked at only if something asked for turns out to lie there; then all passes begin anew, over all pairs.
+    """
+    return PairSource(queries, refs, keep, by, floor)
 
 
 def column(df: DataFrame, value: str, group: str | None = None) -> Source:
@@ -305,15 +346,25 @@ class Ranks:
     def __init__(self, source: Source | PairSource, sets: dict[int, list[int]] | None = None, groups: int = 1):
         self.source, self.sets = source, sets if sets is not None else {g: [g] for g in range(groups)}
         used = np.unique([g for x in self.sets.values() for g in x]).astype(np.int64)
-        self.used, self.bins = used, Bins(source.pairs, source.by, used) if isinstance(source, PairSource) and len(used) else None
+        self.used = used
+        self._count()
+
+    def _count(self) -> None:
+        """The first pass."""
+        source, used = self.source, self.used
+        self.bins = bins = Bins(source.pairs, source.by, used) if isinstance(source, PairSource) and len(used) else None
         self.first = Wanted(0, used, np.zeros(len(used)))
-        bins = self.bins
         first = None if not len(used) else source(self.first.count, COUNTS) if bins is None else source.pairs.gather(lambda: _Histogram(bins), COUNTS)
         self.counts = cut(first.groupBy("slot", "digit").agg(F.sum("n").alias("n"))) if len(used) else None
         held = {int(used[r["slot"]]): r["n"] for r in self.counts.groupBy("slot").agg(F.sum("n").alias("n")).collect()} if len(used) else {}  # a row a group
         self.group_n = held
         self.n = {k: sum(held.get(g, 0) for g in x) for k, x in self.sets.items()}
 
+    def _whole(self) -> None:
+        """Does without a floor from here on."""
+        self.source.pairs.floor = None
+        self._count()
+
     def _nodes(self, which: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(the different pairs of set and prefix, the place there of each asked rank; of every set's group: place, and group)."""
         nodes, node = np.unique(np.stack([which.astype(np.uint64), prefix]), axis=1, return_inverse=True)
@@ -372,6 +423,9 @@ class Ranks:
         """``frame`` over pairs: bins are split until few numbers share a part with an asked rank, or until that no longer parts them (equal ones)."""
         prefix, rest, depth, last, bits = np.zeros(len(rank), np.uint64), rank, 0, math.inf, self.bins.bits
         got = self._step(0, which, prefix, rest).toArrow()  # a row for each asked rank
+        if self.bins.floor is not None and not got.column("digit").to_numpy().all():
+            self._whole()
+            return self._frame_of_pairs(which, rank)
         while True:
             i = got.column("i").to_numpy()
             held = np.zeros(len(rank), np.int64)
@@ -451,6 +505,9 @@ class Ranks:
     def _around_of_pairs(self, levels: np.ndarray) -> DataFrame | None:
         """AROUND: the first counts tell what lies in bins below a level's own; that bin and its neighbours that hold numbers are gone through."""
         bins = self.bins
+        if bins.floor is not None and (levels < bins.floor).any():
+            self._whole()
+            return self._around_of_pairs(levels)
         own = bins.place(levels).clip(0, 2 * bins.half - 1).astype(np.int64)
 
         def read(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -464,6 +521,8 @@ class Ranks:
         if not found.num_rows:
             return None
         slot, i, below, before, after = (found.column(c).to_numpy() for c in ("slot", "i", "below", "before", "after"))
+        if bins.floor is not None:
+            before = np.where(before == 0, -1, before)  # what lies below the floor is not gone through
         near = np.concatenate([(slot.astype(np.int64) << bins.bits) | b for b in (own[i], before, after)])
         wanted = np.unique(near[np.concatenate([np.ones(len(i), bool), before >= 0, after >= 0])])
         rows = self.source.pairs.gather(lambda: _Around(bins, wanted, levels), AROUND)
@@ -483,6 +542,9 @@ class Ranks:
             for i in range(len(levels)):
                 own = [got[g, i] for g in members if (g, i) in got]
                 out[k, i] = (sum(r["below"] for r in own), sum(r["equal"] for r in own), max((r["under"] for r in own), default=-np.inf), min((r["over"] for r in own), default=np.inf))
+        if self.bins is not None and self.bins.floor is not None and any(below and under == -np.inf for below, _, under, _ in out.values()):
+            self._whole()  # the largest below a level lies below the floor
+            return self.around(levels)
         return out
 
 

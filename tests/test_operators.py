@@ -519,6 +519,73 @@ def test_growth_multiplies_pairs_thrice(spark, sf, monkeypatch, name):
     assert QUERIES[name](spark, sf).columns and passes in ([RK.COUNTS, RK.AROUND], [RK.COUNTS, RK.AROUND, RK.VALUES])
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e20])
+def test_a_floor_changes_no_rank(spark, monkeypatch, scale):
+    """Groups, equal vectors, many cells, norms beyond single precision; what lies below the floor is counted, and found by passes anew."""
+    monkeypatch.setattr(S, "CELL_BYTES", 8 * 4 * 100)
+    monkeypatch.setattr(S, "CELL_QUERIES", 128)
+    rng = np.random.default_rng(11)
+    a, b = scale * rng.normal(size=(400, 4)), rng.normal(size=(300, 4))
+    a[:50], b[:40], a[60] = a[0], b[0], 0.0
+    label = np.arange(300) % 3
+    s = a @ b.T
+    frame = lambda z, id_: spark.createDataFrame([(i, i % 3, i, x.tolist()) for i, x in enumerate(z)], f"{id_} long, label_id int, insert_no long, z array<double>")
+    passes, gather = [], S.Pairs.gather
+    monkeypatch.setattr(S.Pairs, "gather", lambda *x: passes.append(x[2]) or gather(*x))
+    floor = float(np.quantile(s, 0.99))
+    source = lambda: RK.pairs(frame(a, "q"), frame(b, "ref_id"), by=lambda own, r: r.label_id[None, :], floor=floor)
+    sets = {0: [0], 1: [1, 2], 2: [0, 1, 2], 3: [9]}
+    of = {k: s[:, np.isin(label, v)].ravel() for k, v in sets.items()}
+    d = RK.Ranks(source(), sets)
+    assert d.source.pairs.rough == (np.float32 if scale == 1 else np.float64) and d.n == {k: len(v) for k, v in of.items()}
+    which, q = np.repeat([0, 1, 2], 3), np.tile([0.9935, 0.999, 1.0], 3)
+    assert np.allclose(d.quantiles(which, q), [np.quantile(of[k], p) for k, p in zip(which.tolist(), q.tolist(), strict=True)], rtol=1e-12)
+    high = np.unique(s[s > floor])
+    at = int(np.diff(high).argmax())
+    levels = np.array([(high[at] + high[at + 1]) / 2, scale * 1e3])
+
+    def right(got, levels):
+        for k, v in of.items():
+            for i, x in enumerate(levels.tolist()):
+                below, equal, under, over = got[k, i]
+                assert (below, equal) == ((v < x).sum(), 0)
+                assert under == pytest.approx(max(v[v < x], default=-np.inf)) and over == pytest.approx(min(v[v >= x], default=np.inf))
+
+    right(d.around(levels), levels)
+    assert passes == [RK.COUNTS, RK.VALUES, RK.AROUND]
+    assert np.allclose(d.quantiles(np.array([1, 2]), np.array([0.2, 0.999])), [np.quantile(of[1], 0.2), np.quantile(of[2], 0.999)], rtol=1e-12)
+    assert passes.count(RK.COUNTS) == 2
+    levels = np.array([floor, -scale])
+    right(RK.Ranks(source(), sets).around(levels), levels)
+
+
+def test_best_of_labels_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_BYTES", 8 * 5 * 40)
+    monkeypatch.setattr(S, "CELL_QUERIES", 30)
+    rng = np.random.default_rng(12)
+    z, q = rng.normal(size=(130, 5)).astype(np.float32), rng.normal(size=(70, 5)).astype(np.float32)
+    refs = vectors(spark, [(i, i % 7 if i != 100 else 50, i, v.tolist()) for i, v in enumerate(z)] + [(900, None, 900, z[0].tolist()), (901, 1, 901, None)])
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(900, None), (901, [1.0])], "q long, z array<float>")
+    got = {}
+    for r in S.Pairs(queries, refs, ["q"]).best([1, 4, 50, 60]).collect():
+        got[r.q] = np.maximum(got.get(r.q, -np.inf), np.frombuffer(r.m))
+    s, label = q.astype(float) @ z.astype(float).T, np.array([i % 7 if i != 100 else 50 for i in range(130)])
+    assert set(got) == set(range(70))
+    for i in range(70):
+        assert np.allclose(got[i][:3], [s[i, label == x].max() for x in (1, 4, 50)], rtol=1e-12) and got[i][3] == -np.inf
+
+
+@pytest.mark.parametrize("name", ["growth_rules", "verdict_rejection"])
+def test_growth_looks_at_pairs_from_a_floor_on(spark, sf, monkeypatch, name):
+    """What the thresholds ask for lies above the median of the queries' best; passes do not look below it, and answers are no join of labels, chains and sizes."""
+    from matchloom.plans.catalog import QUERIES
+
+    floors, pairs = [], RK.pairs
+    monkeypatch.setattr(RK, "pairs", lambda *x, **k: floors.append(k.get("floor")) or pairs(*x, **k))
+    monkeypatch.setattr(S, "similarities", None)
+    assert QUERIES[name](spark, sf).columns and len(floors) == 1 and floors[0] > 0
+
+
 def test_a_large_gallery_meets_queries_in_many_tasks(spark, monkeypatch, pool):
     """Queries of one partition are dealt out, broadcast and grid alike; a cell's blocks leave it one by one."""
     monkeypatch.setattr(S, "SPREAD_REFS", 20)
