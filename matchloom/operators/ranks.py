@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..plans.cut import cut
+from ..plans.cut import cut, stored
 from .kernel import per_group
 from .search import Pairs, Refs
 
@@ -298,11 +298,11 @@ class _Around(_Held):
 class _Above:
     """(s): the numbers above a level."""
 
-    def __init__(self, level: float):
-        self.level = level
+    def __init__(self, above: float):
+        self.above = above
 
     def add(self, s: np.ndarray, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
-        x = s[(s > self.level) & (s < np.inf)]
+        x = s[(s > self.above) & (s < np.inf)]
         if len(x):
             yield [pa.array(x)]
 
@@ -310,6 +310,33 @@ class _Above:
         return iter(())
 
 
+class _Top:
+    """(s): the k largest numbers of a cell. With k at hand, only larger ones than the least of them are looked at."""
+
+    def __init__(self, k: int):
+        self.k, self.level, self.held, self.fill = k, -np.inf, [], 0
+
+    def some(self, s: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int, own: pa.RecordBatch, r: Refs) -> Iterator[list[pa.Array]]:
+        self.held.append(s[np.isfinite(s)] + 0.0)
+        self.fill += len(self.held[-1])
+        if self.fill >= self.k and (self.level == -np.inf or self.fill > self.k + max(self.k, BUFFER) // 4):
+            self._keep()
+        return iter(())
+
+    def _keep(self) -> None:
+        x = np.concatenate(self.held)
+        if len(x) >= self.k:
+            x = np.partition(x, len(x) - self.k)[len(x) - self.k :]
+            self.level = float(np.nextafter(x.min(), np.inf))
+        self.held, self.fill = [x], len(x)
+
+    def end(self) -> Iterator[list[pa.Array]]:
+        if self.held:
+            self._keep()
+            for lo in range(0, self.fill, ROWS_OUT):
+                yield [pa.array(self.held[0][lo : lo + ROWS_OUT])]
+
+
 class PairSource:
     """The similarities of all pairs; ``by`` names a group of every pair by a small whole number (below 0: none), as a matrix or a row for all queries."""
 
@@ -563,8 +590,20 @@ def quantiles_by(df: DataFrame, value: str, by: list[str], q: dict[str, float])
     return spark.createDataFrame(rows, StructType([*fields, *(StructField(n, DoubleType()) for n in q)]))
 
 
+TOP_HELD = 1 << 22  # so many numbers a cell may hold for ``top``
+
+
 def top(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    """s: the k largest similarities of all pairs, as rows; all, if there are fewer."""
+    """s: the k largest similarities of all pairs, as rows; all, if there are fewer. Up to TOP_HELD, each cell keeps its own k largest, in one pass over the pairs."""
+    if k <= TOP_HELD:
+        kept = stored(Pairs(queries, refs).gather(lambda: _Top(k), "s double"))
+        r = Ranks(column(kept, "s"))
+        if r.n[0] <= k:
+            return kept
+        level = float(r.values(np.array([0]), np.array([r.n[0] - k]))[0])
+        above = kept.filter(F.col("s") > level)
+        return above.union(queries.sparkSession.range(k - above.count()).select(F.lit(level).alias("s")))
+
     from .search import similarities
 
     r = Ranks(pairs(queries, refs))

@@ -586,6 +586,24 @@ def test_growth_looks_at_pairs_from_a_floor_on(spark, sf, monkeypatch, name):
     assert QUERIES[name](spark, sf).columns and len(floors) == 1 and floors[0] > 0
 
 
+@pytest.mark.parametrize("held", [1 << 22, 100])
+def test_top_takes_one_pass(spark, monkeypatch, held):
+    """Each cell keeps its own largest; ties at the last place, all pairs, and more than a cell may hold."""
+    monkeypatch.setattr(RK, "TOP_HELD", held)
+    monkeypatch.setattr(S, "CELL_BYTES", 8 * 4 * 100)
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(90, 4)), rng.normal(size=(250, 4))
+    a[:30], b[:40] = a[0], 3 * a[0]
+    s = np.sort((a @ b.T).ravel())
+    frame = lambda z, id_: spark.createDataFrame([(i, 0, i, x.tolist()) for i, x in enumerate(z)], f"{id_} long, label_id int, insert_no long, z array<double>")
+    passes, gather = [], S.Pairs.gather
+    monkeypatch.setattr(S.Pairs, "gather", lambda *x: passes.append(x[2]) or gather(*x))
+    for k in (700, 5000, len(s) + 1):
+        assert np.allclose(np.sort([r.s for r in RK.top(frame(a, "q"), frame(b, "ref_id"), k).collect()]), s[-k:], rtol=1e-12, atol=1e-15)
+        assert (passes == ["s double"]) == (k <= held)
+        passes.clear()
+
+
 def test_a_large_gallery_meets_queries_in_many_tasks(spark, monkeypatch, pool):
     """Queries of one partition are dealt out, broadcast and grid alike; a cell's blocks leave it one by one."""
     monkeypatch.setattr(S, "SPREAD_REFS", 20)
