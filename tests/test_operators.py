@@ -882,3 +882,39 @@ def test_recall_variants_from_two_matchings(spark, tmp_path, monkeypatch):
     assert len(calls) == 2
     one = E.recall(m.withColumnRenamed("mask_no", "det_no"), truth, of, (1, 10), True, 0.4)
     assert {tuple(r) for r in one.collect()} == {r for r in got if r[1] and r[2] == 0.4} != set()
+
+
+def test_paired_recall_takes_one_reading_and_broadcasts_no_scenes(spark, sf, monkeypatch):
+    """No selection by joins, no row for each scene and replicate, and scenes meet their weights in sorted joins, whatever may be broadcast."""
+    from matchloom.operators import kernel as KE
+    from matchloom.operators import nesting as N
+    from matchloom.operators import stats as ST
+    from matchloom.plans import catalog_scenes as K
+    from matchloom.plans import views
+    from matchloom.plans.catalog import QUERIES
+
+    want = QUERIES["paired_recall_diff"](spark, sf).collect()
+    monkeypatch.setattr(N, "select", None)
+    monkeypatch.setattr(views, "boot", None)
+    monkeypatch.setattr(KE, "PAIRS_AT_ONCE", 1000)
+    assert QUERIES["paired_recall_diff"](spark, sf).collect() == want
+    per = K.cut(N.found(views.gt(spark, sf), views.pred(spark, sf)))
+    vectors = views.boot_vectors(per, 5)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 60))
+    try:
+        plan = ST.weighted_sums(per, vectors, 5, ["den"], [])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") <= 1  # the offsets of the partitions, by a hint
+
+
+def test_pairs_within_in_parts(monkeypatch):
+    from matchloom.operators import kernel as KE
+
+    a, b = np.array([0, 0, 1, 3, 3]), np.array([3, 0, 2, 3, 0, 0])
+    want = [(i, j) for i in range(5) for j in range(6) if a[i] == b[j]]
+    for most in (1, 4, 1 << 20):
+        monkeypatch.setattr(KE, "PAIRS_AT_ONCE", most)
+        assert [(int(x), int(y)) for i, j in KE.pairs_within(a, b) for x, y in zip(i, j)] == want
+    assert KE.places(np.array([5, 5, 7, 5])).tolist() == [0, 0, 1, 2] and not len(KE.places(np.zeros(0)))
