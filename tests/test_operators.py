@@ -918,3 +918,23 @@ def test_pairs_within_in_parts(monkeypatch):
         monkeypatch.setattr(KE, "PAIRS_AT_ONCE", most)
         assert [(int(x), int(y)) for i, j in KE.pairs_within(a, b) for x, y in zip(i, j)] == want
     assert KE.places(np.array([5, 5, 7, 5])).tolist() == [0, 0, 1, 2] and not len(KE.places(np.zeros(0)))
+
+
+def test_selection_is_matched_where_scenes_are_read(spark, sf, monkeypatch):
+    """No selection by joins and no vector for each row; whole numbers of 60 bits stay whole; a box without finite sides meets all or none."""
+    from matchloom.operators import metrics as M
+    from matchloom.operators import nesting as N
+    from matchloom.plans.catalog import QUERIES
+
+    monkeypatch.setattr(N, "select", None)
+    monkeypatch.setattr(M, "weighted_ap", None)
+    assert QUERIES["evaluate_selected"](spark, sf).count() == 48
+    rng = np.random.default_rng(4)
+    at = rng.integers(0, 30, (300, 2))
+    box, scene, no = np.concatenate([at, at + rng.integers(-1, 15, (300, 2))], axis=1).astype(float), np.sort(rng.integers(0, 6, 300)), np.arange(300)
+    box[5] = np.nan
+    for far in (box, np.where(np.arange(300)[:, None] == 9, [[-np.inf, 0, np.inf, 9]], box)):
+        one = [N.chosen_of(no[scene == s], far[scene == s]) for s in range(6)]
+        assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(N.chosen_of(no, far, scene=scene), zip(*one)))
+        meet = {(i, j) for i in range(300) for j in range(300) if scene[i] == scene[j] and far[i, 0] < far[j, 2] and far[j, 0] < far[i, 2]}
+        assert meet <= {(int(x), int(y)) for i, j in N._near(scene, far[:, 0], far[:, 2]) for x, y in zip(i, j)}
