@@ -938,3 +938,25 @@ def test_selection_is_matched_where_scenes_are_read(spark, sf, monkeypatch):
         assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(N.chosen_of(no, far, scene=scene), zip(*one)))
         meet = {(i, j) for i in range(300) for j in range(300) if scene[i] == scene[j] and far[i, 0] < far[j, 2] and far[j, 0] < far[i, 2]}
         assert meet <= {(int(x), int(y)) for i, j in N._near(scene, far[:, 0], far[:, 2]) for x, y in zip(i, j)}
+
+
+def test_oracle_masks_are_assigned_where_they_are_matched(spark, sf, monkeypatch):
+    """The kernel's choice is that of ``oracle_assign`` and ``distractors``; the evaluation makes no table of either."""
+    from matchloom.operators import boxes as B
+    from matchloom.operators import composite as E
+    from matchloom.operators import greedy as G
+    from matchloom.operators import metrics as M
+    from matchloom.plans import catalog_scenes as K
+    from matchloom.plans import views
+    from matchloom.plans.catalog import QUERIES
+
+    m, g, z = K.cut(views.pred(spark, sf)), K.cut(views.gt(spark, sf)), K.cut(views.zones(spark, sf))
+    known = {(r.scene_id, r.mask_no) for r in G.oracle_assign(g, m).collect() if r.mask_no >= 0}
+    wrong = {(r.scene_id, r.mask_no) for r in B.distractors(g, m, z).collect()}
+    scenes = m.select("scene_id").distinct().withColumn("sub", F.lit(1).cast("long"))
+    dets = m.withColumnRenamed("mask_no", "det_no").withColumn("label_id", F.col("det_no").cast("int"))  # so that cat tells the mask
+    rows = M.judged(dets, K._truth(spark, sf)[1], scenes, choose=E.assigned, more="known int, hit int, abin int").filter("rank >= 0").collect()
+    assert {(r.scene_id, r["cat"]) for r in rows if r.known == 1} == known != set() and {(r.scene_id, r["cat"]) for r in rows if r.known == 0} == wrong != set()
+    monkeypatch.setattr(G, "oracle_assign", None)
+    monkeypatch.setattr(B, "distractors", None)
+    assert QUERIES["evaluate_oracle"](spark, sf).count() == 48
