@@ -960,3 +960,17 @@ def test_oracle_masks_are_assigned_where_they_are_matched(spark, sf, monkeypatch
     monkeypatch.setattr(G, "oracle_assign", None)
     monkeypatch.setattr(B, "distractors", None)
     assert QUERIES["evaluate_oracle"](spark, sf).count() == 48
+
+
+def test_paired_ap_reads_a_scene_once(spark, tmp_path, monkeypatch):
+    """One reading serves all and the selected masks, and no block of weightings meets every detection."""
+    from matchloom.operators import metrics as M
+    from matchloom.operators import nesting as N
+    from matchloom.plans import catalog_eval as CE
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_orderkey < 200").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(N, "select", None)
+    monkeypatch.setattr(M, "blocked_ap", None)
+    calls, judged = [], M.judged
+    monkeypatch.setattr(M, "judged", lambda *a, **k: calls.append(1) or judged(*a, **k))
+    assert {r.subset for r in CE.paired_ap(spark, str(tmp_path), 3).select("subset").collect()} >= {"all/all", "test/1"} and len(calls) == 1
