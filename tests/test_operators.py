@@ -974,3 +974,26 @@ def test_paired_ap_reads_a_scene_once(spark, tmp_path, monkeypatch):
     calls, judged = [], M.judged
     monkeypatch.setattr(M, "judged", lambda *a, **k: calls.append(1) or judged(*a, **k))
     assert {r.subset for r in CE.paired_ap(spark, str(tmp_path), 3).select("subset").collect()} >= {"all/all", "test/1"} and len(calls) == 1
+
+
+def test_weights_in_blocks_broadcast_no_scenes(spark, monkeypatch):
+    """Whatever Spark may broadcast, scenes, their numbers and their vectors do not pass through the driver: only what is broadcast by a hint."""
+    from matchloom.operators import metrics as M
+    from matchloom.plans import views
+
+    scenes = spark.range(40).withColumnRenamed("id", "scene_id")
+    rows = spark.createDataFrame([(s, "all", s % 2, 0, 0.5, 1, 0) for s in range(40)], "scene_id long, area string, cat int, rank long, score double, hits int, skips int")
+    counts = spark.createDataFrame([(s, s % 2, 1) for s in range(40)], "scene_id long, cat int, n long")
+    plans, cut = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df: plans.append(df) or cut(df))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    count = {}
+    for size in ("-1", str(1 << 60)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        try:
+            plans.append(M.blocked_ap(rows, counts, views.boot_vectors(scenes, 70), 70, ["cat"], []))
+            count[size] = sum(p._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") for p in plans)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        plans.clear()
+    assert len(set(count.values())) == 1
